@@ -7,7 +7,8 @@ predecessor prefix, and encodings of all prefixes form a chain of predecessors.
 A transducer state is the last emitted token with the bytes read since.  Reading a
 byte emits the tokens on which every continuation agrees, that is those before the
 earliest boundary that a token could still start from; the lookahead is bounded by
-the longest token.  States and their transitions are made when first met.
+the longest token.  States and their transitions are made
+when first met, STATES at most; beyond, rare pieces are read without new states.
 
 Decoding is a state machine over UTF-8: a state is the number and range of the
 continuation bytes still due.  It is composed with the vocabulary, so that it steps
@@ -20,6 +21,7 @@ equal results.  Nothing is learned, so there is no corpus state and no shuffle.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,8 +31,10 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-STATES = 400_000
-PIECES = 400_000
+STATES = 50_000
+PAIRS = 400_000
+PIECES = 100_000
+_NONE = 1 << 60
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -47,108 +51,140 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self.clear()
+        self._start()
 
-    def clear(self) -> None:
-        """Forgets the states made so far; the start state is 0."""
+    def _start(self) -> None:
+        """The table of states with state 0, at the start of a piece."""
         self.state: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.what: list[tuple[int, bytes]] = [(-1, b"")]
+        #: Of each state: last emitted token, pending bytes, the boundaries in these that a token could start from,
+        #: and for each prefix of them its last token and where that starts.
+        self.what: list[tuple] = [(-1, b"", (0,), (), ())]
         self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.final: list[tuple[int, ...] | None] = [()]
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a short piece by merging directly; used for pairs of tokens only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        ranks = [self.ranks.get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+        while ranks and (least := min(ranks)) != _NONE:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = self.ranks.get(parts[at] + parts[at + 1], _NONE)
+            if at:
+                ranks[at - 1] = self.ranks.get(parts[at - 1] + parts[at], _NONE)
         return [self.ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether two tokens stay as they are when their bytes are encoded together."""
-        if left < 0:
-            return self.merged(self.token[right]) == [right]
+        """Whether two tokens stay as they are when their bytes are encoded together; left -1 is nothing."""
         found = self._pairs.get((left, right))
         if found is None:
-            if len(self._pairs) >= 2 * self.max_states:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            found = self._pairs[left, right] = self.merged(self.token[left] + self.token[right]) == [left, right]
+            want = [right] if left < 0 else [left, right]
+            found = self._pairs[left, right] = self.merged(b"".join(self.token[t] for t in want)) == want
         return found
 
-    def _chain(self, before: int, pending: bytes) -> list[tuple[int, int]]:
-        """(last token, start of it) for each prefix of `pending` of one byte and more."""
-        last, ends = [before], []
-        for end in range(1, len(pending) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.ranks.get(pending[start:end])
-                if token is not None and (start == 0 or last[start] is not None) and self.compatible(last[start], token):
-                    last.append(token)
-                    ends.append((token, start))
-                    break
-            else:
-                last.append(None)
-                ends.append((None, end - 1))
-        return ends
-
-    def _path(self, ends: list[tuple[int, int]], at: int) -> list[int]:
-        """Boundaries of the encoding of the first `at` bytes, from 0."""
-        cuts = [at]
-        while cuts[-1]:
-            cuts.append(ends[cuts[-1] - 1][1])
-        return cuts[::-1]
-
     def next(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes the transition of `state` on `byte`: the next state and the ids it emits."""
-        before, pending = self.what[state]
+        before, pending, open_, lasts, starts = self.what[state]
         pending += bytes((byte,))
-        ends, n = self._chain(before, pending), len(pending)
-        # A token may still start at any boundary whose rest is a proper prefix of some token, or at the end.
-        alive = [n] + [i for i in range(max(0, n - self.longest + 1), n) if pending[i:] in self.prefixes]
-        shared = self._path(ends, alive[0])
-        for at in alive[1:]:
-            other = self._path(ends, at)
-            k = 0
-            while k < min(len(shared), len(other)) and shared[k] == other[k]:
-                k += 1
-            shared = shared[:k]
-        ids = tuple(ends[c - 1][0] for c in shared[1:])
-        key = (ids[-1] if ids else before, pending[shared[-1] :])
+        prefixes, still, token, start = self.prefixes, [], None, 0
+        for at in open_:  # the longest token first
+            rest = pending[at:]
+            if token is None:
+                found = self.ranks.get(rest)
+                if found is not None and self.compatible(lasts[at - 1] if at else before, found):
+                    token, start = found, at
+            if rest in prefixes:
+                still.append(at)
+        n = len(pending)
+        still.append(n)
+        lasts, starts = (*lasts, token), (*starts, start)
+        # What all open boundaries' encodings share is final: go back from the latest until one is left.
+        heads = still.copy()
+        while len(heads) > 1:
+            back = starts[heads.pop() - 1]
+            if back not in heads:
+                heads.append(back)
+                heads.sort()
+        cut, ids = heads[0], []
+        if cut:
+            at = cut
+            while at:
+                ids.append(lasts[at - 1])
+                at = starts[at - 1]
+            ids.reverse()
+            before, pending = ids[-1], pending[cut:]
+        key = (before, pending)
         to = self.state.get(key)
         if to is None:
             to = self.state[key] = len(self.what)
-            self.what.append(key)
+            if cut:
+                still, lasts, starts = [s - cut for s in still], lasts[cut:], [s - cut if s > cut else 0 for s in starts[cut:]]
+            self.what.append((before, pending, tuple(still), lasts, tuple(starts)))
             self.step.append({})
             self.final.append(None)
-        made = self.step[state][byte] = (to, ids)
+        made = self.step[state][byte] = (to, tuple(ids))
         return made
 
     def flush(self, state: int) -> tuple[int, ...]:
         """The ids of a state's pending bytes at the end of a piece."""
         out = self.final[state]
         if out is None:
-            ends = self._chain(*self.what[state])
-            out = self.final[state] = tuple(ends[c - 1][0] for c in self._path(ends, len(ends))[1:])
+            _, pending, _, lasts, starts = self.what[state]
+            ids, at = [], len(pending)
+            while at:
+                ids.append(lasts[at - 1])
+                at = starts[at - 1]
+            out = self.final[state] = tuple(reversed(ids))
         return out
 
+    def simulate(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """Reads the rest of a piece from `state` without making states, and gives all ids not emitted yet."""
+        before, pending, open_, lasts, starts = self.what[state]
+        ranks, prefixes, data = self.ranks, self.prefixes, pending + rest
+        lasts, starts = [*lasts], [*starts]
+        for n in range(len(pending) + 1, len(data) + 1):
+            token, start, still = None, 0, []
+            for at in open_:
+                part = data[at:n]
+                if token is None:
+                    found = ranks.get(part)
+                    if found is not None and self.compatible(lasts[at - 1] if at else before, found):
+                        token, start = found, at
+                if part in prefixes:
+                    still.append(at)
+            still.append(n)
+            open_ = still
+            lasts.append(token)
+            starts.append(start)
+        ids, at = [], len(data)
+        while at:
+            ids.append(lasts[at - 1])
+            at = starts[at - 1]
+        return tuple(reversed(ids))
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one piece; a piece that is a token by itself is that token."""
+        """Ids of one piece; a piece that is a token by itself is that token.
+
+        Where the table of states is full, the rest of the piece is read without it.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.what) > self.max_states:
-            self.clear()
-        state, out, step = 0, [], self.step
-        for byte in piece:
+        state, out, step = 0, (), self.step
+        for i, byte in enumerate(piece):
             made = step[state].get(byte)
             if made is None:
+                if len(step) >= self.max_states:
+                    return out + self.simulate(state, piece[i:])
                 made = self.next(state, byte)
-            state = made[0]
-            if made[1]:
-                out += made[1]
-        out += self.flush(state)
-        return tuple(out)
+            state, ids = made
+            if ids:
+                out += ids
+        return out + self.flush(state)
 
 
 # Lead byte ranges of UTF-8 with the ranges that the second byte may take and the bytes that follow.
@@ -234,6 +270,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = PIECES) -> None:
         self.transducer, self.find, self.max_pieces = Transducer(ranks), regex.compile(pattern).findall, max_pieces
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.decoder = StreamDecoder(self.transducer.token)
 
     def encode(self, text: str) -> list[int]:
@@ -243,8 +280,12 @@ class Codec:
             ids = memo.get(piece)
             if ids is None:
                 if len(memo) >= self.max_pieces:
-                    memo.clear()
-                ids = memo[piece] = self.transducer.encode(piece.encode())
+                    self.memo, self.older = {}, memo
+                    memo = self.memo
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = self.transducer.encode(piece.encode())
+                memo[piece] = ids
             out += ids
         return out
 
@@ -262,6 +303,8 @@ def _codec_maker(spark: SparkSession, ranks_path: str, pattern: str):
     def codec() -> Codec:
         if not made:
             made.append(Codec(*shared.value))
+            gc.freeze()  # tables without cycles, not to be searched again and again
+            gc.set_threshold(200_000, 20, 100)
         return made[0]
 
     return codec

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtrail.llm.common import bounded_sample, fold
 
-FIT_CHARS = 8_000_000
+FIT_CHARS = 4_000_000
 LONGEST = 5
 MEMO_WORDS = 300_000
 FLOOR = 0.2
