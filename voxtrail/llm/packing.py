@@ -1,7 +1,8 @@
 """Packing of tokenised documents into sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into whole sequences first; the rest is cut into near-equal
-pieces of at most PIECE ids.  Pieces are dealt to blocks of about WINDOWS sequences
+A document's ids are cut into whole sequences first; the rest is cut into a half, a quarter
+and so on of a sequence, down to a last piece of a few ids (LEAST at least, where the
+document has as many).  Pieces are dealt to blocks of about WINDOWS sequences
 each.  In a block, differencing starts with a partition for each piece and merges
 the two partitions of greatest imbalance, heaviest windows against lightest, until one
 is left: near-equal windows.  While one of them exceeds the capacity, the number
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxtrail.session import pin
 
 CAPACITY = 2048
-PIECE = 256
+LEAST = 16
 WINDOWS = 256
 MEMO = 250_000
 END = (1).to_bytes(4, "little")
@@ -70,12 +71,22 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = _Memo(self._encode)
+        self.tails = {c: self._encode(c) for c in ".,"}
         self.mark, self.mark_id = next(((m, ids[0]) for m in "|~^@#%&*+=" if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1), ("", -1))
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _base(self, word: str) -> tuple[str, bytes]:
+        """A word in other words: a point or comma after a letter is a piece by itself, and case makes no difference."""
+        base, tail = word, b""
+        if len(word) > 1 and word[-1] in self.tails and word[-2].isalpha():
+            base, tail = word[:-1], self.tails[word[-1]]
+        if "A" <= base[0] <= "Z":
+            base = base[0].lower() + base[1:]
+        return base, tail
+
+    def _learn(self, words: set[str]) -> None:
         """Encodes new words together, with a mark between them that is one id by itself."""
         words = [w for w in words if self.mark and self.mark not in w]
         for i in range(0, len(words), 500):
@@ -97,27 +108,43 @@ class WordTokenizer:
         for words in split:
             if words:
                 new.update(w for w in words if w not in memo)
-        unknown = []
+        derived, unknown = [], set()
         for w in new:
             data = older.get(w)
-            if data is None:
-                unknown.append(w)
-            else:
+            if data is not None:
                 memo[w] = data
+                continue
+            base, tail = self._base(w)
+            if base not in memo:
+                data = older.get(base)
+                if data is None:
+                    unknown.add(base)
+                else:
+                    memo[base] = data
+            if base is not w:
+                derived.append((w, base, tail))
         self._learn(unknown)
+        for w, base, tail in derived:
+            memo[w] = memo[base] + tail
         find = memo.__getitem__
         return [b"".join(map(find, words)) if words is not None else self._encode(text or "") for text, words in zip(texts, split)]
 
 
-def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then near-equal pieces of the rest."""
-    whole = n // capacity * capacity
-    out = [(i, capacity) for i in range(0, whole, capacity)]
-    rest = n - whole
-    if rest:
-        k = -(-rest // piece)
-        at = [whole + rest * i // k for i in range(k + 1)]
-        out += [(a, b - a) for a, b in zip(at, at[1:])]
+def cut(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: whole sequences, then halves, quarters and so on of one, as they fit.
+
+    The last piece has fewer than 2 * `least` ids.  Sizes that divide each other are what
+    differencing levels best, so windows end up equal but for the last pieces.
+    """
+    out, at, size = [], 0, capacity
+    while at < n:
+        while size > n - at or (0 < n - at - size < least and size < capacity):
+            if size // 2 < least:
+                size = n - at
+            else:
+                size //= 2
+        out.append((at, size))
+        at += size
     return out
 
 
@@ -168,7 +195,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         windows += 1
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every document's pieces."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -183,15 +210,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, piece
             for text in (ids for i in range(0, len(texts), 200) for ids in made[0].encode_batch(texts[i : i + 200].tolist())):
                 data = text + END
                 n = len(data) // 4
-                rows.append([{"start": a, "length": m, "ids_crc32": zlib.crc32(data[4 * a : 4 * (a + m)]), "doc_tokens": n} for a, m in cut(n, capacity, piece)])
+                rows.append([{"start": a, "length": m, "ids_crc32": zlib.crc32(data[4 * a : 4 * (a + m)]), "doc_tokens": n} for a, m in cut(n, capacity, least)])
             yield pd.Series(rows)
 
     return docs.select("doc_id", F.explode(split(F.col("text"))).alias("p")).select("doc_id", "p.*")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least: int = LEAST, windows: int = WINDOWS) -> DataFrame:
     """Adds sequence_id and offset to the documents' pieces."""
-    found = pin(pieces(docs, tokenizer_path, capacity, piece)).withColumn("row", F.monotonically_increasing_id())
+    found = pin(pieces(docs, tokenizer_path, capacity, least)).withColumn("row", F.monotonically_increasing_id())
     whole = found.filter(F.col("length") == capacity)
     whole = whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("row") + F.lit(_FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = found.filter(F.col("length") < capacity)
