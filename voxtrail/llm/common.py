@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _RESOLUTION = 1 << 30
+_CELLS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,25 @@ def bounded_sample(df: DataFrame, text: str, max_chars: int, by: list[str]) -> D
     if total <= max_chars:
         return df
     return df.filter(F.pmod(F.xxhash64(*by), F.lit(_RESOLUTION)) < int(_RESOLUTION * max_chars / total))
+
+
+def range_buckets(df: DataFrame, key: str, rows: int, most: int) -> tuple[Column, int]:
+    """A column that gives consecutive values of integer `key` the same number, and how many numbers there are.
+
+    A bucket has about `rows` rows, and there are `most` buckets at most.  Its
+    bounds come from quantiles, with equal steps between two of them; so equal keys
+    share a bucket, greater keys never have a smaller number, and a null's is -1.
+    """
+    count = df.count()
+    parts = max(1, min(most, -(-count // rows)))
+    cells = min(parts, _CELLS)
+    cuts = df.agg(F.percentile_approx(key, [i / cells for i in range(cells + 1)], 10_000)).first()[0]
+    cuts = sorted(set(cuts or [0]))
+    sub = -(-parts // cells)
+    at = F.col(key)
+    cell = sum((F.when(at >= c, 1).otherwise(0) for c in cuts[1:-1]), F.lit(0))
+    low = F.element_at(F.array(*map(F.lit, cuts)), cell + 1)
+    high = F.element_at(F.array(*map(F.lit, [*cuts[1:], cuts[-1] + 1])), cell + 1)
+    within = F.floor((at - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double") * sub)
+    bucket = cell * sub + F.greatest(F.lit(0), F.least(within, F.lit(sub - 1)))
+    return F.coalesce(bucket, F.lit(-1)).cast("int"), max(1, len(cuts) - 1) * sub

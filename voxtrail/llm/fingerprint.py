@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from voxtrail.llm.common import range_buckets
+
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
 BUCKET_ROWS = 2000
 MAX_BUCKETS = 100_000
-_CELLS = 16
 
 
 def add_sketch(df: DataFrame, text: str, out: str, k: int = SKETCH_SIZE, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -80,23 +81,14 @@ def merge(df: DataFrame, by: list[str], sketch: str, k: int = SKETCH_SIZE, fan:
 def with_next(df: DataFrame, order: str, text: str) -> tuple[DataFrame, WindowSpec]:
     """Adds `next_text`, that of the next row by descending `order`, and after the last the first's.
 
-    Rows go to range buckets by order, sized from quantiles, in one exchange that
-    carries each text once.  A bucket's first row is also sent to the bucket before it
+    Rows go to range buckets by order in one exchange that carries each text once.  A bucket's first row is also sent to the bucket before it
     (`aux` marks such copies; drop them when done), so buckets are independent.  There
     are MAX_BUCKETS buckets at most, which bounds what is broadcast.  Nulls come last;
     equal ids are ordered by their text's hash.
     """
     spark = df.sparkSession
-    count, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(order, [i / _CELLS for i in range(_CELLS + 1)], 10_000)).first()
-    cuts = sorted(set(cuts or [0]))
-    sub = max(1, min(MAX_BUCKETS, -(-count // BUCKET_ROWS)) // _CELLS)
+    bucket, _ = range_buckets(df, order, BUCKET_ROWS, MAX_BUCKETS)
     key = F.col(order)
-    cell = sum((F.when(key >= c, 1).otherwise(0) for c in cuts[1:-1]), F.lit(0))
-    low = F.element_at(F.array(*map(F.lit, cuts)), cell + 1)
-    high = F.element_at(F.array(*map(F.lit, [*cuts[1:], cuts[-1] + 1])), cell + 1)
-    within = F.floor((key - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double") * sub)
-    bucket = F.coalesce(cell * sub + F.greatest(F.lit(0), F.least(within, F.lit(sub - 1))), F.lit(-1)).cast("int")
-
     heads = [(r[0], r[1]) for r in df.select(bucket.alias("b"), order).groupBy("b").agg(F.max(order)).collect()]
     heads.sort(reverse=True)
     sent = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # the first bucket's head goes round to the last

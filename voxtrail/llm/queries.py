@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrail.llm import bpe, fingerprint, langid, packing, toxicity, urls
+from voxtrail.llm import bpe, fingerprint, langid, packing, topk, toxicity, urls
 from voxtrail.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -39,9 +43,28 @@ QUERIES = {
         op2_packing,
         op3_toxicity,
         op4_document_fingerprints,
+        op5_exact_top_k,
         op6_url_filter,
         op8_language_id,
         op10_byte_bpe,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_exact_top_k": """
+        with q as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), parts as (
+            select vec_id, unnest(v) as x, generate_subscripts(v, 1) as d from q
+        ), scores as (
+            select a.vec_id as query_id, b.vec_id as vec_id, sum(a.x * b.x)::bigint as score
+            from parts a join parts b on a.d = b.d
+            where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+            group by a.vec_id, b.vec_id
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+}
