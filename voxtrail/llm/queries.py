@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrail.llm import bpe, fingerprint, langid, packing, topk, toxicity, urls
+from voxtrail.llm import bpe, fingerprint, langid, packing, simhash, topk, toxicity, urls
 from voxtrail.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -46,6 +50,7 @@ QUERIES = {
         op5_exact_top_k,
         op6_url_filter,
         op8_language_id,
+        op9_simhash_groups,
         op10_byte_bpe,
     )
 }
