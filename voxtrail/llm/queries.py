@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrail.llm import bpe, fingerprint, langid, packing, simhash, topk, toxicity, urls
+from voxtrail.llm import bpe, fingerprint, langid, packing, pii, simhash, topk, toxicity, urls
 from voxtrail.llm.common import table
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii_pseudonyms,
         op2_packing,
         op3_toxicity,
         op4_document_fingerprints,
