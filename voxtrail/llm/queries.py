@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrail.llm import bpe, fingerprint, langid, packing, pii, simhash, topk, toxicity, urls
+from voxtrail.llm import bpe, fingerprint, gru, langid, packing, pii, simhash, topk, toxicity, urls
 from voxtrail.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op4_document_fingerprints,
         op5_exact_top_k,
         op6_url_filter,
+        op7_gru_scores,
         op8_language_id,
         op9_simhash_groups,
         op10_byte_bpe,
