@@ -26,13 +26,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that spark.checkpoint.dir names.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests, notebooks) is a folder of this machine used.
+    Only where that is unset (tests, notebooks) is a folder of this machine used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxtrail-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxtrail-"))
+    return context.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Writes `df` to the shared folder and cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
