@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail.session import pin
@@ -32,36 +33,18 @@ from voxtrail.session import pin
 CAPACITY = 2048
 LEAST = 16
 WINDOWS = 256
-MEMO = 250_000
+SLACK = 6
+MEMO = 400_000
 END = (1).to_bytes(4, "little")
 _FULL = 1 << 62
 _SPACE = re.compile(r"[ \t\n\r]+")
 _ODD = re.compile(r"[\x1c-\x1f]")  # blanks to str.split, but not to the file
 
 
-class _Memo(dict):
-    """Ids by word, as bytes; an older generation is kept while a new one fills."""
-
-    def __init__(self, encode) -> None:
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        data = self.older.get(word)
-        if data is None:
-            data = self.encode(word)
-        self[word] = data
-        return data
-
-    def age(self) -> None:
-        if len(self) >= MEMO:
-            self.older = dict(self)
-            self.clear()
-
-
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose pieces never span white space.
 
-    Words are encoded once and kept.  A text with one of the file's special marks,
+    Words are encoded once and kept; an older generation is kept while a new one fills.  A text with one of the file's special marks,
     which could span words, is encoded as a whole.
     """
 
@@ -70,9 +53,12 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self._encode)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails = {c: self._encode(c) for c in ".,"}
-        self.mark, self.mark_id = next(((m, ids[0]) for m in "|~^@#%&*+=" if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1), ("", -1))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -87,27 +73,26 @@ class WordTokenizer:
         return base, tail
 
     def _learn(self, words: set[str]) -> None:
-        """Encodes new words together, with a mark between them that is one id by itself."""
-        words = [w for w in words if self.mark and self.mark not in w]
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            if len(ends) != len(some) - 1:
-                continue  # left to be encoded one by one
+        """Encodes new words of letters together: each is one piece, and its last id alone ends a piece."""
+        words = [w for w in words if w.isalpha()]
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ending[ids]) + 4).tolist()
+            if len(ends) != len(some):
+                continue  # these are left to be encoded one by one
             data = ids.tobytes()
-            for word, start, end in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
-                self.memo[word] = data[4 * start : 4 * end]
+            self.memo.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends))))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        memo, older = self.memo, self.memo.older
         split = [None if not t or any(s in t for s in self.special) else _SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        memo.age()
-        older, new = memo.older, set()
+        if len(self.memo) >= MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older, new = self.memo, self.older, set()
         for words in split:
             if words:
-                new.update(w for w in words if w not in memo)
+                new |= set(words).difference(memo)
         derived, unknown = [], set()
         for w in new:
             data = older.get(w)
@@ -124,6 +109,8 @@ class WordTokenizer:
             if base is not w:
                 derived.append((w, base, tail))
         self._learn(unknown)
+        for w in unknown.difference(memo):
+            memo[w] = self._encode(w)
         for w, base, tail in derived:
             memo[w] = memo[base] + tail
         find = memo.__getitem__
@@ -186,8 +173,11 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each length, none above `capacity`, in as few windows as differencing needs."""
-    windows = max(1, -(-int(lengths.sum()) // capacity))
+    """The window of each length, none above `capacity`, in few windows: one more whenever one exceeds it.
+
+    The start leaves SLACK ids in each window, which differencing hardly ever needs to exceed.
+    """
+    windows = max(1, -(-int(lengths.sum()) // max(1, capacity - SLACK)))
     while True:
         at = differencing(lengths, windows)
         if np.bincount(at, lengths, windows).max(initial=0) <= capacity:
@@ -201,19 +191,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     made: list[WordTokenizer] = []
 
-    @F.pandas_udf("array<struct<start long, length long, ids_crc32 long, doc_tokens long>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(WordTokenizer(shared.value))
-        for texts in batches:
-            rows = []
-            for text in (ids for i in range(0, len(texts), 200) for ids in made[0].encode_batch(texts[i : i + 200].tolist())):
-                data = text + END
-                n = len(data) // 4
-                rows.append([{"start": a, "length": m, "ids_crc32": zlib.crc32(data[4 * a : 4 * (a + m)]), "doc_tokens": n} for a, m in cut(n, capacity, least)])
-            yield pd.Series(rows)
-
-    return docs.select("doc_id", F.explode(split(F.col("text"))).alias("p")).select("doc_id", "p.*")
+        for batch in batches:
+            texts, rows, at, crc = batch.column(1).to_pylist(), [], [], []
+            for i in range(0, len(texts), 200):
+                for row, ids in enumerate(made[0].encode_batch(texts[i : i + 200]), i):
+                    data = ids + END
+                    n = len(data) // 4
+                    for start, length in cut(n, capacity, least):
+                        rows.append(row)
+                        at.append((start, length, n))
+                        crc.append(zlib.crc32(data[4 * start : 4 * (start + length)]))
+            flat = np.array(at, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.array(crc, np.int64)), pa.array(flat[:, 2])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least: int = LEAST, windows: int = WINDOWS) -> DataFrame:
