@@ -34,7 +34,7 @@ CAPACITY = 2048
 LEAST = 16
 WINDOWS = 256
 SLACK = 6
-MEMO = 400_000
+MEMO = 600_000
 END = (1).to_bytes(4, "little")
 _FULL = 1 << 62
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -93,21 +93,19 @@ class WordTokenizer:
         for words in split:
             if words:
                 new |= set(words).difference(memo)
+        fresh = new.difference(older)
+        aged = new - fresh
+        memo.update(zip(aged, map(older.__getitem__, aged)))
         derived, unknown = [], set()
-        for w in new:
-            data = older.get(w)
-            if data is not None:
-                memo[w] = data
-                continue
+        for w in fresh:
             base, tail = self._base(w)
-            if base not in memo:
-                data = older.get(base)
-                if data is None:
-                    unknown.add(base)
-                else:
-                    memo[base] = data
             if base is not w:
                 derived.append((w, base, tail))
+            if base not in memo:
+                if base in older:
+                    memo[base] = older[base]
+                else:
+                    unknown.add(base)
         self._learn(unknown)
         for w in unknown.difference(memo):
             memo[w] = self._encode(w)
@@ -143,12 +141,38 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     nodes.  Sums are kept less the least one, which changes no difference.
     """
     n = len(lengths)
-    parts = {i: (np.array([x]), np.array([i])) for i, x in enumerate(lengths.tolist())}
-    heap = [(-int(x), i) for i, x in enumerate(lengths.tolist())]
-    heapq.heapify(heap)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    single, at = lengths[order], 0  # pieces by descending length, those from `at` on in no partition yet
+    parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    heap: list[tuple[int, int]] = []
     joined, nodes, key = [], n, n
-    while len(heap) > 1:
-        (a, na), (b, nb) = parts.pop(heapq.heappop(heap)[1]), parts.pop(heapq.heappop(heap)[1])
+
+    def largest(most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The partition of greatest difference, or up to `most` pieces that come before any partition."""
+        nonlocal at
+        if at < n and (not heap or single[at] >= -heap[0][0]):
+            stop = min(n, at + most)
+            if heap and most > 1:
+                stop = at + int(np.searchsorted(-single[at:stop], heap[0][0], side="right"))
+            found = (single[at:stop], order[at:stop])
+            at = stop
+            return (found[0] - found[0][-1], found[1]) if len(found[0]) == windows else found
+        return parts.pop(heapq.heappop(heap)[1])
+
+    while at < n or heap:
+        # A first piece takes up the next ones until it has all windows, as no difference exceeds its length
+        # until then; so it gets as many of them at once.
+        a, na = largest(windows)
+        if at == n and not heap:
+            break
+        if len(a) == windows and max(single[at] if at < n else 0, -heap[0][0] if heap else 0) > a[0]:
+            parts[key] = (a, na)  # others have a greater difference now that it is full
+            heapq.heappush(heap, (-int(a[0]), key))
+            key += 1
+            continue
+        b, nb = largest(1)
         both = max(0, len(a) + len(b) - windows)  # so many windows of each meet, the heaviest of one with the lightest of the other
         meet = a[len(a) - both :] + b[len(b) - both :][::-1]
         new = np.arange(nodes, nodes + both)
@@ -157,16 +181,15 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
             nodes += both
         sums = np.concatenate((a[: len(a) - both], b[: len(b) - both], meet))
         ids = np.concatenate((na[: len(a) - both], nb[: len(b) - both], new))
-        order = np.argsort(-sums, kind="stable")
-        sums, ids = sums[order], ids[order]
+        by = np.argsort(-sums, kind="stable")
+        sums, ids = sums[by], ids[by]
         if len(sums) == windows:
             sums = sums - sums[-1]
         parts[key] = (sums, ids)
         heapq.heappush(heap, (-int(sums[0]), key))
         key += 1
     window = np.zeros(nodes, np.int64)
-    for _, ids in parts.values():
-        window[ids] = np.arange(len(ids))
+    window[na] = np.arange(len(na))
     for first, left, right in reversed(joined):
         window[left] = window[right] = window[first : first + len(left)]
     return window[:n]
