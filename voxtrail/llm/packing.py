@@ -18,10 +18,12 @@ one that can be much shorter than the others, and only where the table has few i
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -55,7 +57,7 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails = {c: self._encode(c) for c in ".,"}
+        self.tails: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -64,11 +66,21 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _base(self, word: str) -> tuple[str, bytes]:
-        """A word in other words: a point or comma after a letter is a piece by itself, and case makes no difference."""
-        base, tail = word, b""
-        if len(word) > 1 and word[-1] in self.tails and word[-2].isalpha():
-            base, tail = word[:-1], self.tails[word[-1]]
-        if "A" <= base[0] <= "Z":
+        """A word in simpler words: ASCII marks after a letter or digit are a piece by themselves, and case makes no difference."""
+        base, tail = word.rstrip(punctuation), b""
+        if len(base) == len(word) or not base or not base[-1].isalnum():
+            base = word
+        else:
+            marks = word[len(base) :]
+            found = self.tails.get(marks)
+            if found is None:
+                if len(self.tails) >= MEMO:
+                    self.tails.clear()
+                found = self.tails[marks] = self._encode(marks)
+            tail = found
+        if base.isascii():
+            base = base.lower()
+        elif "A" <= base[0] <= "Z":
             base = base[0].lower() + base[1:]
         return base, tail
 
@@ -99,7 +111,7 @@ class WordTokenizer:
         derived, unknown = [], set()
         for w in fresh:
             base, tail = self._base(w)
-            if base is not w:
+            if base != w:
                 derived.append((w, base, tail))
             if base not in memo:
                 if base in older:
@@ -217,6 +229,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(WordTokenizer(shared.value))
+            gc.freeze()  # what the worker keeps has no cycles
+            gc.set_threshold(200_000, 20, 100)
         for batch in batches:
             texts, rows, at, crc = batch.column(1).to_pylist(), [], [], []
             for i in range(0, len(texts), 200):
