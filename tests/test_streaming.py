@@ -15,9 +15,9 @@ def test_stream_equals_batch(spark, tmp_path):
         part = pd.DataFrame([r for r in rows if r[1] == t], columns=SCHEMA.replace(",", "").split()[::2])
         part.astype({"t": "int32", "cell_id": "int32"}).to_parquet(tmp_path / f"{t}.parquet")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path))
-    q = track_stream(stream).writeStream.format("memory").queryName("points").outputMode("append").start()
+    q = track_stream(stream).writeStream.format("memory").queryName("points").outputMode("append").trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(60)
     finally:
         q.stop()
     got = spark.table("points").orderBy("t", "cell_id").toPandas()
