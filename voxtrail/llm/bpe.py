@@ -329,7 +329,7 @@ def decode_column(spark: SparkSession, ids: Column, ranks_path: str, pattern: st
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series([codec().decode(() if x is None else x.tolist()) for x in rows])
+            yield pd.Series([codec().decode(() if x is None else map(int, x)) for x in rows])
 
     return decode(ids)
 
