@@ -55,7 +55,7 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(
         F.lit("m0").alias("movie"),
         F.month("l_shipdate").cast("int").alias("t"),
-        (F.col("l_linenumber") % 8).cast("int").alias("z"),
+        ((F.col("l_linenumber") - 1) % 8).cast("int").alias("z"),
         (F.col("l_orderkey") % 64).cast("int").alias("y"),
         (F.col("l_partkey") % 64).cast("int").alias("x"),
         (F.col("l_suppkey") % 40).cast("int").alias("label"),
@@ -121,7 +121,7 @@ ORACLE = {
         where n = 1)""",
     "track": "track as (select movie, cell_id::bigint as track_id, t, cz * 4.0::double as z_um, cy * 0.48::double as y_um, cx * 0.48::double as x_um, cell_id from det)",
     "voxel": """voxel as (
-        select 'm0' as movie, month(l_shipdate)::int as t, (l_linenumber % 8)::int as z, (l_orderkey % 64)::int as y, (l_partkey % 64)::int as x,
+        select 'm0' as movie, month(l_shipdate)::int as t, ((l_linenumber - 1) % 8)::int as z, (l_orderkey % 64)::int as y, (l_partkey % 64)::int as x,
             (l_suppkey % 40)::int as label, l_quantity as v0, l_extendedprice / 1000 as v1, l_discount * 500 as v2 from lineitem)""",
     "pair": "pair as (select (l_suppkey % 17)::int as a, (l_partkey % 13)::int as b from lineitem)",
     "pixel_emb": "pixel_emb as (select vec_id as pixel, label as fragment, list_transform(embedding, lambda x: x::double) as emb from embeddings)",

@@ -37,6 +37,11 @@ def fragment_affinity(pixels: DataFrame, pairs: DataFrame, vector: str = "emb")
     return pairs.join(a, "a").join(b, "b").select("a", "b", (dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("affinity"))
 
 
+def sample_pixels(points: DataFrame, key: str, max_pixels: int = 2000, seed: int = 0) -> DataFrame:
+    """The pixels that a loss takes of a patch: all, or `max_pixels` of them in the order of a hash."""
+    return points.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max_pixels)
+
+
 def block_distances(points: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
     """Squared distances of all pairs of a bounded sample, made block by block of an equi-join.
 

@@ -416,8 +416,8 @@ def fragment_affinity(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    sample = A.pixel_embeddings(spark, sf_dir).orderBy("pixel").limit(400)  # the losses take a bounded number of pixels
-    return vectors.nearest_and_farthest(vectors.block_distances(sample, "pixel", "emb", 2), 10)
+    sample = vectors.sample_pixels(A.pixel_embeddings(spark, sf_dir), "pixel")
+    return vectors.nearest_and_farthest(vectors.block_distances(sample, "pixel", "emb", 4), 10)
 
 
 @query()
@@ -428,7 +428,7 @@ def embedding_neighbours(spark, sf_dir):
 
 @query(
     _EMB
-    + """, s as (select * from pixel_emb order by pixel limit 400), p as (select a.pixel as i, b.pixel as j, list_dot_product(a.emb, b.emb) as sim, list_distance(a.emb, b.emb) as d from s a join s b on a.pixel <> b.pixel),
+    + """, s as (select * from pixel_emb), p as (select a.pixel as i, b.pixel as j, list_dot_product(a.emb, b.emb) as sim, list_distance(a.emb, b.emb) as d from s a join s b on a.pixel <> b.pixel),
     r as (select *, row_number() over (partition by i order by d, j) as near, row_number() over (partition by i order by d desc, j) as far from p)
     select round(avg(case when near <= 10 then greatest(1 - sim, 0) end), 6) as loss_pos, round(avg(case when far <= 10 then greatest(0.5 + sim, 0) end), 6) as loss_neg from r"""
 )
