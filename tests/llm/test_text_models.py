@@ -67,9 +67,9 @@ def test_toxicity_awkward(spark, docs_of, awkward):
 
 
 def test_toxic_word_raises_the_score():
-    rows = [(f"plain words here number {i % 7} and more of them", 0) for i in range(60)] + [(f"plain words here vileword number {i % 7} and more", 1) for i in range(20)]
+    rows = [(f"plain words here number {i % 7} and more of them", 0) for i in range(60)] + [(f"plain words here vileword number {i % 7} and more of them", 1) for i in range(20)]
     m = toxicity.fit(rows)
-    assert m.score("some vileword now") > 0.5 > m.score("some words now")
+    assert m.score("plain words vileword and more of them here") > 0.5 > m.score("plain words here and more of them")
 
 
 def test_gru_scores_match_brute_counts(spark):
