@@ -40,7 +40,7 @@ from voxtrail.session import pin
 WORDS = 3
 SEED = 42
 RUN = 64
-TABLES = 96
+TABLES = 128
 WIDE = 4
 HOT_NODES = 1000
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -257,7 +257,7 @@ def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return _attach(base, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def most_bits(similarity: float, spread: float = 1.0) -> int:
+def most_bits(similarity: float, spread: float = 1.5) -> int:
     """Differing bits of wide fingerprints at a Jaccard similarity, and `spread` standard deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     p, n = math.acos(cosine) / math.pi, 64 * WIDE
