@@ -28,9 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voxtrail.llm.common import slices
+
 STATES = 50_000
 PAIRS = 400_000
 PIECES = 100_000
@@ -338,13 +341,14 @@ def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str) -> Data
     """doc_id, n_tokens, and hashes of the ids and of the bytes that they decode to."""
     codec = _codec_maker(docs.sparkSession, ranks_path, pattern)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = []
-            for text in texts:
+            for text in slices(texts):
                 ids = codec().encode(text or "")
                 rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(codec().decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digest(F.col("text")).alias("d")).select("doc_id", "d.*")

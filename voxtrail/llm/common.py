@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _RESOLUTION = 1 << 30
@@ -18,6 +21,12 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
+def slices(values: pa.Array, size: int = 500) -> Iterator:
+    """The values of an Arrow array, of which few at a time are Python objects: batches of long texts stay small."""
+    for i in range(0, len(values), size):
+        yield from values.slice(i, size).to_pylist()
+
+
 def bounded_sample(df: DataFrame, text: str, max_chars: int, by: list[str]) -> DataFrame:
     """Rows of about `max_chars` characters in all, chosen by a hash of `by`.
 

@@ -22,14 +22,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxtrail.llm.common import bounded_sample, fold
+from voxtrail.llm.common import bounded_sample, fold, slices
 
 FIT_CHARS = 4_000_000
 LONGEST = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 FLOOR = 0.2
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -128,11 +128,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with columns lang_pred and score, in place of any of these names; needs neither shuffle nor sort."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [model.predict(t) for t in slices(texts)]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("__lang", predict(F.col(text))).select(*kept, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"))

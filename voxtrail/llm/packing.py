@@ -232,9 +232,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least
             gc.freeze()  # what the worker keeps has no cycles
             gc.set_threshold(200_000, 20, 100)
         for batch in batches:
-            texts, rows, at, crc = batch.column(1).to_pylist(), [], [], []
+            texts, rows, at, crc = batch.column(1), [], [], []
             for i in range(0, len(texts), 200):
-                for row, ids in enumerate(made[0].encode_batch(texts[i : i + 200]), i):
+                for row, ids in enumerate(made[0].encode_batch(texts.slice(i, 200).to_pylist()), i):
                     data = ids + END
                     n = len(data) // 4
                     for start, length in cut(n, capacity, least):

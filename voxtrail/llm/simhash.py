@@ -30,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail.llm import golay
+from voxtrail.llm.common import slices
 from voxtrail.llm.graph import components
 from voxtrail.session import pin
 
@@ -243,10 +245,10 @@ def _attach(docs: DataFrame, nodes: DataFrame, on: list[str]) -> DataFrame:
 def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, for links at two differing bits or fewer."""
 
-    @F.pandas_udf("long")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, words) for t in texts], "<u8").view(np.int64))
+            yield pa.array(np.array([fingerprint(t, words) for t in slices(texts)], "<u8").view(np.int64))
 
     base = pin(docs.select("doc_id", prints(F.col("text")).alias("fp")))
     nodes = pin(base.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
@@ -268,11 +270,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     """doc_id and component_id (smallest doc_id) of documents alike by `similarity` of their shingles, in chains too."""
     fields = [f"w{i}" for i in range(WIDE)]
 
-    @F.pandas_udf(", ".join(f"{f} long" for f in fields))
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(f"{f} long" for f in fields))
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = np.stack([wide_fingerprint(t, words) for t in texts]) if len(texts) else np.zeros((0, WIDE), "<u8")
-            yield pd.DataFrame(found.view(np.int64), columns=fields)
+            found = np.array([wide_fingerprint(t, words) for t in slices(texts)], "<u8").reshape(-1, WIDE).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(WIDE)], fields)
 
     base = pin(docs.select("doc_id", prints(F.col("text")).alias("p")).select("doc_id", "p.*"))
     nodes = pin(base.groupBy(*fields).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))

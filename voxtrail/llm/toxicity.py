@@ -29,10 +29,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxtrail.llm.common import fold
+from voxtrail.llm.common import fold, slices
 
 FIT_CHARS = 2_000_000
 ORDER = 6
@@ -42,7 +42,7 @@ PRUNE = 0.1
 MAX_MARKS = 1_000_000
 WINDOW = 8
 STRONG = 2.5
-MEMO = 200_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -251,11 +251,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with column score, in place of one of that name; needs neither shuffle nor sort."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+            yield pa.array([model.score(t) for t in slices(texts)], pa.float64())
 
     return docs.withColumn("score", rate(F.col(text)))
 
