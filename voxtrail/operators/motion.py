@@ -87,9 +87,14 @@ def scale_pairs(frames: DataFrame, scales: list[int]) -> DataFrame:
 def cumulative(flow: DataFrame, window: int = 5) -> DataFrame:
     """Sum of consecutive displacements from window // 2 frames before each centre to as many after, cut at the ends."""
     half = window // 2
-    w = Window.partitionBy("movie", "z", "y", "x").orderBy("t0").rowsBetween(-half, half - 1)
-    steps = flow.filter("scale = 1")
-    return steps.select("movie", F.col("t0").alias("center_t"), "z", "y", "x", F.sum("u").over(w).alias("u"), F.sum("v").over(w).alias("v"))
+    w = Window.partitionBy("movie", "z", "y", "x").orderBy("t0")
+    around, before = w.rowsBetween(-half, half - 1), w.rowsBetween(1 - half, 0)
+    last = F.max("t0").over(Window.partitionBy("movie", "z", "y", "x"))
+    sums = lambda frame, u, v: F.struct(F.sum("u").over(frame).alias(u), F.sum("v").over(frame).alias(v))
+    steps = flow.filter("scale = 1").select("movie", "t0", "z", "y", "x", sums(around, "u", "v").alias("here"), sums(before, "u", "v").alias("end"), last.alias("last"))
+    # The last frame has no displacement of its own, so the row before it stands for two centres.
+    centres = F.array_compact(F.array(F.struct(F.col("t0").alias("center_t"), F.col("here").alias("s")), F.when(F.col("t0") == F.col("last"), F.struct((F.col("t0") + 1).alias("center_t"), F.col("end").alias("s")))))
+    return steps.select("movie", "z", "y", "x", F.explode(centres).alias("c")).select("movie", "c.center_t", "z", "y", "x", "c.s.u", "c.s.v")
 
 
 def direction_stability(flow: DataFrame, first: int, last: int) -> DataFrame:
@@ -186,8 +191,7 @@ def intensity_target(pixels: DataFrame) -> DataFrame:
 def structure_tensor(frames: DataFrame, sigma: float = 2.0, size: int = 7) -> DataFrame:
     """Gap of the eigenvalues of the image structure tensor, its products blurred by two passes of `size` weights.
 
-    Weighted windows reflect at the borders without repeating the edge pixel, by listing each
-    pixel under the places that use it.
+    The blur's windows reflect at the borders without repeating the edge pixel.
     """
     g = gradient(gradient(frames, "v", "y", ["movie", "t", "z", "x"], "gx"), "v", "x", ["movie", "t", "z", "y"], "gy")
     p = g.select("movie", "t", "z", "y", "x", (F.col("gx") * F.col("gx")).alias("xx"), (F.col("gy") * F.col("gy")).alias("yy"), (F.col("gx") * F.col("gy")).alias("xy"))
@@ -198,29 +202,24 @@ def structure_tensor(frames: DataFrame, sigma: float = 2.0, size: int = 7) -> Da
 
 
 def blur(p: DataFrame, along: str, values: list[str], sigma: float, size: int) -> DataFrame:
-    """One pass of a Gaussian blur along an axis of a dense grid that starts at 0, reflected at its borders.
+    """One pass of a Gaussian blur along an axis of a dense grid, reflected at its borders without the edge pixel.
 
-    Offsets are read by lag and lead in one window of the line; a place beyond a border is read
-    from the mirrored one inside.
+    A line of a plane becomes an array, whose places are weighted sums of places of it; a place
+    beyond a border is read from the mirrored one inside.
     """
-    half = size // 2
+    half, other = size // 2, "x" if along == "y" else "y"
     weights = [2.718281828459045 ** (-((i - half) ** 2) / (2 * sigma**2)) for i in range(size)]
     total = sum(weights)
-    line = Window.partitionBy("movie", "t", "z", "x" if along == "y" else "y").orderBy(along)
-    n = F.max(along).over(Window.partitionBy("movie", "t", "z"))
-    p = p.withColumn("__n", n + 1)
-    out = p
-    for v in values:
-        acc = F.lit(0.0)
-        for i, w in enumerate(weights):
-            o = i - half
-            at = F.col(along) + o
-            mirrored = F.when(at < 0, -at).when(at >= F.col("__n"), 2 * (F.col("__n") - 1) - at).otherwise(at) - F.col(along)
-            pick = F.lit(None).cast("double")
-            for step in range(-half, half + 1):
-                here = F.lag(v, -step).over(line) if step < 0 else F.lead(v, step).over(line) if step else F.col(v)
-                here = F.lag(v, abs(step)).over(line) if step < 0 else here
-                pick = F.when(mirrored == step, here).otherwise(pick)
-            acc = acc + (w / total) * pick
-        out = out.withColumn(f"__{v}", acc)
-    return out.select(*[c for c in p.columns if c not in (*values, "__n")], *[F.col(f"__{v}").alias(v) for v in values])
+    key = ["movie", "t", "z", other]
+    lines = p.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(along, *values))).alias("line"))
+    last = F.size("line") - 1
+
+    def mixed(i: Column) -> Column:
+        def at(o: int) -> Column:
+            j = F.abs(i + o)
+            return F.get("line", F.abs(F.when(j > last, 2 * last - j).otherwise(j)))
+
+        sums = [sum((w / total * at(o - half)[v] for o, w in enumerate(weights)), F.lit(0.0)).alias(v) for v in values]
+        return F.struct(F.get("line", i)[along].alias(along), *sums)
+
+    return lines.select(*key, F.explode(F.transform(F.sequence(F.lit(0), last), mixed)).alias("m")).select("movie", "t", "z", *[F.col(f"m.{c}" if c == along else c).alias(c) for c in ("y", "x")], *[F.col(f"m.{v}").alias(v) for v in values])

@@ -308,7 +308,7 @@ def scale_pairs(spark, sf_dir):
     return motion.scale_pairs(frames, [1, 2, 4])
 
 
-@query(_FLOW + "select movie, t0 as center_t, y, x, round(sum(u) over w, 6) as u, round(sum(v) over w, 6) as v from flow where scale = 1 window w as (partition by movie, y, x order by t0 rows between 2 preceding and 1 following)")
+@query(_FLOW + "select movie, t0 as center_t, y, x, round(sum(u) over w, 6) as u, round(sum(v) over w, 6) as v from flow where scale = 1 window w as (partition by movie, y, x order by t0 rows between 2 preceding and 1 following) union all select movie, t0 + 1, y, x, round(sum(u) over w, 6), round(sum(v) over w, 6) from flow where scale = 1 window w as (partition by movie, y, x order by t0 rows between 1 preceding and current row) qualify t0 = max(t0) over (partition by movie)")
 def cumulative_displacement(spark, sf_dir):
     return tidy(motion.cumulative(A.fields(spark), 5).drop("z"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtrail import adapters as A
 from voxtrail.operators import analytics, flow, labels, motion, segmentation, shapes, tiles, tracking, vectors
+from voxtrail.plans import motion_table
 from voxtrail.plans.catalog import _DET, _VOX, _known, _to_track, query, tidy
 
 _STEP = _DET + """, s as (select *, case when t - lag(t) over w = 1 then y_um - lag(y_um) over w end as vy, case when t - lag(t) over w = 1 then x_um - lag(x_um) over w end as vx,
@@ -167,3 +168,17 @@ def cell_flow_features(spark, sf_dir):
     """Six motion features of every cell: displacement, size, divergence, vorticity and strain."""
     field = motion.magnitudes(motion.deformation(A.fields(spark).filter("scale = 1"))).withColumnRenamed("t0", "t")
     return tidy(labels.mean_field(A.voxels(spark, sf_dir), field, ["u", "v", "mag", "divergence", "vorticity", "strain"]))
+
+
+@query()
+def motion_metrics(spark, sf_dir):
+    """All named motion metrics of the analytic movie."""
+    frames = A.pixels(spark).filter("c = 0").drop("c")
+    return tidy(motion_table.motion_metrics(A.fields(spark), frames, [1, 2, 4]))
+
+
+@query()
+def track_with_flow(spark, sf_dir):
+    """Tracks with displacement fields in the costs."""
+    f = A.fields(spark).filter("scale = 1").select("movie", F.col("t0").alias("t"), "y", "x", "u", "v")
+    return tidy(tracking.track_with_flow(_to_track(spark, sf_dir), f, A.RESOLUTION))
