@@ -7,7 +7,6 @@ which are made relationally (labels.slice_overlaps); the fold over slices sees s
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -319,11 +318,3 @@ def crops(pixels: DataFrame, centres: DataFrame, half: int = 12, depth: int = 1)
     got = listed.join(pixels, ["movie", "t", "z", "y", "x"]).groupBy("movie", "t", "cell_id", (F.col("y") - F.col("cy")).alias("dy"), (F.col("x") - F.col("cx")).alias("dx")).agg(F.max("v").alias("v"))
     stats = got.groupBy("movie", "t", "cell_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     return got.join(stats, ["movie", "t", "cell_id"]).select("movie", "t", "cell_id", "dy", "dx", ((F.col("v") - F.col("m")) / (F.col("s") + 1e-5)).alias("v"))
-
-
-def planes(rows: Iterable[tuple[int, int, float]]) -> np.ndarray:
-    """A dense plane of (y, x, value) rows."""
-    y, x, v = map(np.asarray, zip(*rows))
-    out = np.zeros((y.max() + 1, x.max() + 1))
-    out[y, x] = v
-    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -84,7 +82,3 @@ def warp_consistency(emb_t: DataFrame, emb_t1: DataFrame, flow: DataFrame, prob_
     moved = moved.select("movie", (F.col("t") + 1).alias("t"), "z", place("y", "v", "ymax").alias("y"), place("x", "u", "xmax").alias("x"), F.col("emb").alias("e0"))
     pairs = moved.join(emb_t1.select(*at, F.col("emb").alias("e1")), at)
     return pairs.groupBy("movie", "t").agg(F.avg(1 - cosine(F.col("e0"), F.col("e1"))).alias("warp_loss"), F.count(F.lit(1)).alias("n"))
-
-
-def sum_columns(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
