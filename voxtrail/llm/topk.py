@@ -19,8 +19,6 @@ repeated ids each row counts; with fewer candidates than k, all are returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
