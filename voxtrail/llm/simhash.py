@@ -15,7 +15,8 @@ Equal fingerprints are one node throughout, so exact copies, however many, cost
 
 `near_groups` is the wider form for texts that are alike by a given Jaccard similarity
 of their shingles: fingerprints of 256 bits, TABLES keys of two Golay indices each of
-46 bits picked for the table, and comparison of whole fingerprints.  It misses pairs near
+46 bits picked for the table, and comparison of whole fingerprints, which only rows that
+meet another under a key are given.  It misses pairs near
 the threshold with a probability that README states; it has no cap on partners.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked
@@ -32,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtrail.llm import golay
 from voxtrail.llm.common import slices
@@ -285,11 +286,13 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
             for i in range(0, len(batch), 1000):
                 some = batch.iloc[i : i + 1000]
                 key = table_keys(some[fields].to_numpy().view(np.uint64), bits)
-                at = np.repeat(np.arange(len(some)), key.shape[1])
-                yield pd.DataFrame({"key": key.ravel(), "id": some.id.to_numpy()[at], **{f: some[f].to_numpy()[at] for f in fields}})
+                yield pd.DataFrame({"key": key.ravel(), "id": np.repeat(some.id.to_numpy(), key.shape[1])})
 
-    spec = ", ".join(f"{f} long" for f in ["key", "id", *fields])
-    rows = nodes.filter("id is not null").select("id", *fields).mapInPandas(spread, spec)
+    named_nodes = nodes.filter("id is not null").select("id", *fields)
+    rows = named_nodes.mapInPandas(spread, "key long, id long")
+    # Most keys have one row; only those that meet another get their fingerprints, by a join.
+    met = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("met > 1").select("key", "id")
+    rows = met.join(named_nodes, "id")
     links = _by_key(rows).mapInPandas(_linker(fields, most_bits(similarity), None), "a long, b long")
     roots = components(pin(links)).withColumnRenamed("node", "id")
     named = nodes.join(roots, "id", "left").select(*fields, "n", F.coalesce("root", "id").alias("component_id"))
