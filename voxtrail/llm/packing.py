@@ -36,7 +36,7 @@ CAPACITY = 2048
 LEAST = 16
 WINDOWS = 256
 SLACK = 6
-MEMO = 600_000
+MEMO = 900_000
 END = (1).to_bytes(4, "little")
 _FULL = 1 << 62
 _SPACE = re.compile(r"[ \t\n\r]+")
