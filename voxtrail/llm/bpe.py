@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,9 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtrail.llm.common import slices
 
-STATES = 50_000
+STATES = 80_000
 PAIRS = 400_000
-PIECES = 100_000
+PIECES = 300_000
 _NONE = 1 << 60
 
 
@@ -222,8 +223,20 @@ class StreamDecoder:
 
     def __init__(self, token: dict[int, bytes]) -> None:
         self.token, self._moves = token, {}
+        self.table = [token.get(i, b"") for i in range(max(token, default=0) + 1)]
+        #: Whether a token, read between two characters, ends between two again.
+        self.closed = np.array([i in token and not self._through((0, 0, 0), i)[0][0] for i in range(len(self.table))])
         self.reset()
 
+    def _through(self, state: tuple[int, int, int], token: int) -> tuple[tuple[int, int, int], int, bool]:
+        now, whole, fits = state, 0, True
+        for i, byte in enumerate(self.token[token]):
+            now, ok = utf8_step(now, byte)
+            fits &= ok
+            if not now[0]:
+                whole = i + 1
+        return now, whole, fits
+
     def reset(self) -> None:
         self.state, self.held = (0, 0, 0), b""
 
@@ -231,28 +244,28 @@ class StreamDecoder:
         """State after a token, how many of its bytes end whole characters, and whether all of them fit."""
         made = self._moves.get((state, token))
         if made is None:
-            now, whole, fits = state, 0, True
-            for i, byte in enumerate(self.token[token]):
-                now, ok = utf8_step(now, byte)
-                fits &= ok
-                if not now[0]:
-                    whole = i + 1
             if len(self._moves) > STATES:
                 self._moves.clear()
-            made = self._moves[state, token] = (now, whole, fits)
+            made = self._moves[state, token] = self._through(state, token)
         return made
 
     def feed(self, ids: Iterable[int]) -> bytes:
-        """The bytes of all characters that `ids` complete."""
-        out, state, token, moves = [], self.state, self.token, self._moves
-        held = self.held
-        for i in ids:
-            made = moves.get((state, i)) or self.move(state, i)
-            state, whole, _ = made
-            data = token[i]
-            if not held and whole == len(data):
-                out.append(data)
-            elif whole:
+        """The bytes of all characters that `ids` complete; between characters, closed tokens pass together."""
+        ids = ids if isinstance(ids, np.ndarray) else np.fromiter(ids, np.int64)
+        open_, some, table = [*np.flatnonzero(~self.closed[ids]).tolist(), len(ids)], ids.tolist(), self.table
+        out, state, held, at, k = [], self.state, self.held, 0, 0
+        while at < len(some):
+            if not state[0]:
+                while open_[k] < at:
+                    k += 1
+                if open_[k] > at:
+                    out.append(b"".join(map(table.__getitem__, some[at : open_[k]])))
+                    at = open_[k]
+                    continue
+            state, whole, _ = self.move(state, some[at])
+            data = table[some[at]]
+            at += 1
+            if whole:
                 out.append(held + data[:whole])
                 held = data[whole:]
             else:
@@ -272,25 +285,30 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = PIECES) -> None:
         self.transducer, self.find, self.max_pieces = Transducer(ranks), regex.compile(pattern).findall, max_pieces
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.decoder = StreamDecoder(self.transducer.token)
 
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; pieces met before are not walked again."""
+        pieces, memo = self.find(text), self.memo
+        new = set(pieces).difference(memo)
+        if new:
+            if len(memo) >= self.max_pieces:
+                self.memo, self.older = {}, memo
+                memo, new = self.memo, set(pieces)
+            older, encode = self.older, self.transducer.encode
+            for piece in new:
+                data = older.get(piece)
+                if data is None:
+                    ids = encode(piece.encode())
+                    data = struct.pack(f"<{len(ids)}I", *ids)
+                memo[piece] = data
+        return b"".join(map(memo.__getitem__, pieces))
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; pieces met before are not walked again."""
-        memo, out = self.memo, []
-        for piece in self.find(text):
-            ids = memo.get(piece)
-            if ids is None:
-                if len(memo) >= self.max_pieces:
-                    self.memo, self.older = {}, memo
-                    memo = self.memo
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = self.transducer.encode(piece.encode())
-                memo[piece] = ids
-            out += ids
-        return out
+        """Ids of a text."""
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         self.decoder.reset()
@@ -346,8 +364,9 @@ def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str) -> Data
         for texts in batches:
             rows = []
             for text in slices(texts):
-                ids = codec().encode(text or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(codec().decode(ids)).hexdigest()))
+                data = codec().encode_bytes(text or "")
+                ids = np.frombuffer(data, "<u4")
+                rows.append((len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(codec().decode(ids)).hexdigest()))
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
