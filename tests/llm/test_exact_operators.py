@@ -307,6 +307,30 @@ def test_near_groups_find_near_copies(spark, docs_of):
     assert all(got[i] // 4 == i // 4 for i in range(160))
 
 
+def _likeness(texts):
+    """Brute-force Jaccard similarity of all pairs' sets of five-word shingles."""
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    return {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+
+
+def _changed(rng, words, changes):
+    out = list(words)
+    for at in changes:
+        out[at] = "new" + str(rng.integers(10**9))
+    return " ".join(out)
+
+
+def test_near_groups_link_nothing_below_the_threshold(spark, docs_of):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(150):
+        base = rng.choice(2000, 300).astype(str).tolist()
+        texts += [" ".join(base), _changed(rng, base, range(10, 260, 25))]  # 50 of 296 shingles changed: 0.71
+    near = _likeness(texts)
+    assert max(near.values()) < 0.75 and sum(v > 0.7 for v in near.values()) == 150
+    assert all(r.doc_id == r.component_id for r in simhash.near_groups(docs_of(texts)).collect())
+
+
 # ---- personal data
 
 

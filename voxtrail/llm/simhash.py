@@ -15,8 +15,9 @@ Equal fingerprints are one node throughout, so exact copies, however many, cost
 
 `near_groups` is the wider form for texts that are alike by a given Jaccard similarity
 of their shingles: fingerprints of 256 bits, TABLES keys of two Golay indices each of
-46 bits picked for the table, and comparison of whole fingerprints, which only rows that
-meet another under a key are given.  It misses pairs near
+46 bits picked for the table.  Keys only propose: rows that meet another under a key are
+given their sets of shingles, as 32-bit hashes, and a link holds where the Jaccard similarity
+of two sets does.  It misses pairs near
 the threshold with a probability that README states; it has no cap on partners.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked
@@ -26,7 +27,6 @@ are copies of each other; a component's id ignores null ids unless all are null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +46,8 @@ RUN = 64
 TABLES = 128
 WIDE = 4
 HOT_NODES = 1000
+#: Ids that a join may broadcast: 16 MB of them.
+BROADCAST_IDS = 2_000_000
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
@@ -260,40 +262,112 @@ def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return _attach(base, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def most_bits(similarity: float, spread: float = 1.5) -> int:
-    """Differing bits of wide fingerprints at a Jaccard similarity, and `spread` standard deviations more."""
-    cosine = 2 * similarity / (1 + similarity)
-    p, n = math.acos(cosine) / math.pi, 64 * WIDE
-    return int(n * p + spread * math.sqrt(n * p * (1 - p)))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, in order."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(s, SEED) for s in set(shingles(text, words))], "<u8"))
+
+
+def short_hashes(found: np.ndarray) -> np.ndarray:
+    """A set of shingles by the upper halves of its hashes, which halves what is shuffled."""
+    return np.unique((found >> np.uint64(32)).astype("<u4"))
+
+
+def _grow_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of one group by Jaccard similarity; as `_grow`."""
+    sizes = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    left, out = np.arange(len(sets)), []
+    flat, starts, listed = code, ends - sizes, left  # the codes of the rows `listed`, of which `left` are a part
+    while len(left):
+        edge, left = [int(left[0])], left[1:]
+        while edge and len(left):
+            if 2 * len(left) < len(listed):
+                flat, listed = np.concatenate([code[ends[i] - sizes[i] : ends[i]] for i in left.tolist()]), left
+                starts = np.cumsum(sizes[left]) - sizes[left]
+            at = edge.pop()
+            own = code[ends[at] - sizes[at] : ends[at]]
+            mark[own] = True
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)[np.searchsorted(listed, left)]
+            mark[own] = False
+            near = common / (sizes[at] + sizes[left] - common) >= similarity
+            if near.any():
+                found = left[near].tolist()
+                out += [(at, j) for j in found]
+                edge += found
+                left = left[~near]
+    return out
+
+
+def _set_linker(similarity: float):
+    """Reads partitions of (key, id, shingles) sorted by key; yields links (a, b) that hold by their sets."""
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(ids: np.ndarray, data: list[bytes]) -> list[tuple[int, int]]:
+            sets = [np.frombuffer(d, "<u4") for d in data]
+            return [(ids[i], ids[j]) for i, j in _grow_sets(sets, similarity)] if len(sets) > 1 else []
+
+        key, ids, data = None, [], []
+        for batch in batches:
+            out = []
+            keys = batch.key.to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            batch_ids, batch_data = batch.id.tolist(), batch.shingles.tolist()
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if keys[a] != key:
+                    out += work(ids, data)
+                    key, ids, data = keys[a], [], []
+                ids += batch_ids[a:b]
+                data += batch_data[a:b]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+        if out := work(ids, data):
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return links
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
     """doc_id and component_id (smallest doc_id) of documents alike by `similarity` of their shingles, in chains too."""
-    fields = [f"w{i}" for i in range(WIDE)]
+    bits = table_bits(tables)
+    same = ["h0", "h1"]  # of equal sets of shingles
+
+    def digest(found: np.ndarray) -> np.ndarray:
+        return np.frombuffer(xxhash.xxh3_128_digest(found.tobytes(), SEED), "<i8")
 
-    @F.arrow_udf(", ".join(f"{f} long" for f in fields))
+    @F.arrow_udf("h0 long, h1 long, keys array<long>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = np.array([wide_fingerprint(t, words) for t in slices(texts)], "<u8").reshape(-1, WIDE).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(WIDE)], fields)
+            heads, keys = [], []
+            for t in slices(texts):
+                found = shingle_set(t, words)
+                heads.append(digest(found))
+                keys.append(table_keys(wide_fingerprint(t, words).reshape(1, -1), bits)[0] if len(found) else np.empty(0, np.int64))
+            heads = np.array(heads, np.int64).reshape(-1, 2)
+            yield pa.StructArray.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))], [*same, "keys"])
+
+    @F.arrow_udf("h0 long, h1 long, shingles binary")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            heads, data = [], []
+            for t in slices(texts):
+                found = shingle_set(t, words)
+                heads.append(digest(found))
+                data.append(short_hashes(found).tobytes())
+            heads = np.array(heads, np.int64).reshape(-1, 2)
+            yield pa.StructArray.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), pa.array(data, pa.binary())], [*same, "shingles"])
 
     base = pin(docs.select("doc_id", prints(F.col("text")).alias("p")).select("doc_id", "p.*"))
-    nodes = pin(base.groupBy(*fields).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    bits = table_bits(tables)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 1000):
-                some = batch.iloc[i : i + 1000]
-                key = table_keys(some[fields].to_numpy().view(np.uint64), bits)
-                yield pd.DataFrame({"key": key.ravel(), "id": np.repeat(some.id.to_numpy(), key.shape[1])})
-
-    named_nodes = nodes.filter("id is not null").select("id", *fields)
-    rows = named_nodes.mapInPandas(spread, "key long, id long")
-    # Most keys have one row; only those that meet another get their fingerprints, by a join.
-    met = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("met > 1").select("key", "id")
-    rows = met.join(named_nodes, "id")
-    links = _by_key(rows).mapInPandas(_linker(fields, most_bits(similarity), None), "a long, b long")
+    nodes = pin(base.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
+    rows = nodes.filter("id is not null").select("id", *same, F.explode("keys").alias("key"))
+    # Most keys have one row; only documents that meet another get their sets, by a join.
+    met = pin(rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("met > 1").drop("met"))
+    some = met.select(F.col("id").alias("doc_id")).distinct()
+    some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+    known = docs.join(some, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), sets(F.col("text")).alias("p")).select("id", "p.*").dropDuplicates(["id", *same])
+    rows = met.join(known, ["id", *same]).select("key", "id", "shingles")
+    links = _by_key(rows).mapInPandas(_set_linker(similarity), "a long, b long")
     roots = components(pin(links)).withColumnRenamed("node", "id")
-    named = nodes.join(roots, "id", "left").select(*fields, "n", F.coalesce("root", "id").alias("component_id"))
-    return _attach(base, pin(named), fields).select("doc_id", "component_id")
+    named = nodes.join(roots, "id", "left").select(*same, "n", F.coalesce("root", "id").alias("component_id"))
+    return _attach(base.select("doc_id", *same), pin(named), same).select("doc_id", "component_id")
