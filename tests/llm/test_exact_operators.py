@@ -331,6 +331,25 @@ def test_near_groups_link_nothing_below_the_threshold(spark, docs_of):
     assert all(r.doc_id == r.component_id for r in simhash.near_groups(docs_of(texts)).collect())
 
 
+def test_near_groups_find_pairs_just_above_the_threshold(spark, docs_of):
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(300):
+        base = rng.choice(2000, 300).astype(str).tolist()
+        texts += [" ".join(base), _changed(rng, base, range(10, 10 + 40 * (5 + i % 2), 40))]  # 25 or 30 of 296 shingles: 0.84, 0.82
+    near = {k: v for k, v in _likeness(texts).items() if v >= 0.8}
+    assert len(near) == 300 and max(near.values()) < 0.85
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs_of(texts)).collect()}
+    assert all(got[i] == got[j] for i, j in near)
+
+
+def test_tables_miss_few_pairs_at_the_threshold():
+    tables = simhash.table_minima()
+    alike = np.random.default_rng(5).random((100_000, simhash.MINIMA)) < 0.8
+    missed = ~np.any([alike[:, t].all(1) for t in tables], 0)
+    assert missed.mean() < 1e-4
+
+
 # ---- personal data
 
 

@@ -13,12 +13,13 @@ fingerprints at most.
 
 Equal fingerprints are one node throughout, so exact copies, however many, cost one row.
 
-`near_groups` is the wider form for texts that are alike by a given Jaccard similarity
-of their shingles: fingerprints of 256 bits, TABLES keys of two Golay indices each of
-46 bits picked for the table.  Keys only propose: rows that meet another under a key are
-given their sets of shingles, as 32-bit hashes, and a link holds where the Jaccard similarity
-of two sets does.  It misses pairs near
-the threshold with a probability that README states; it has no cap on partners.
+`near_groups` is for texts that are alike by a given Jaccard similarity of their sets of
+shingles, further apart than fingerprints show.  MINIMA smallest values of the set under
+as many hash functions, which two sets share each with the probability of their
+similarity, make TABLES keys, each of BAND minima; two sets at 0.8 share no key with a
+probability of 1e-5, which README derives.  Keys only propose: rows that meet
+another under a key are given their sets, as 32-bit hashes, and a link holds where the
+similarity of the two sets does.  It has no cap on partners.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; repeated rows and ids
@@ -43,8 +44,9 @@ from voxtrail.session import pin
 WORDS = 3
 SEED = 42
 RUN = 64
-TABLES = 128
-WIDE = 4
+MINIMA = 128
+BAND = 6
+TABLES = 64
 HOT_NODES = 1000
 #: Ids that a join may broadcast: 16 MB of them.
 BROADCAST_IDS = 2_000_000
@@ -73,13 +75,6 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(majority(np.array([[xxhash.xxh64_intdigest(s, SEED)] for s in found], "<u8").reshape(-1, 1))[0])
 
 
-def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
-    """Fingerprint of WIDE 64-bit words by 128-bit hashes."""
-    found = shingles(text, words)
-    data = b"".join(xxhash.xxh3_128_digest(s, seed) for s in found for seed in range(WIDE // 2))
-    return majority(np.frombuffer(data, "<u8").reshape(-1, WIDE))
-
-
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
@@ -95,24 +90,32 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def table_bits(tables: int = TABLES) -> np.ndarray:
-    """For each table, which 46 bits of a wide fingerprint it hashes; drawn once from a fixed seed."""
+def table_minima(tables: int = TABLES) -> np.ndarray:
+    """For each table, which minima of a set make its key; drawn once from a fixed seed."""
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(64 * WIDE)[: 2 * golay.LENGTH] for _ in range(tables)])
-
-
-def table_keys(prints: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """[rows, tables] keys of wide fingerprints (uint64 [rows, WIDE])."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-    weights = 1 << np.arange(golay.LENGTH, dtype=np.int64)
-    out = np.empty((len(prints), len(tables)), np.int64)
-    for t, which in enumerate(tables):
-        some = bits[:, which].astype(np.int64)
-        a, b = golay.decode(some[:, : golay.LENGTH] @ weights), golay.decode(some[:, golay.LENGTH :] @ weights)
-        out[:, t] = (t << 24) | (a << 12) | b
+    return np.stack([rng.permutation(MINIMA)[:BAND] for _ in range(tables)])
+
+
+def _odd(shape: tuple[int, ...]) -> np.ndarray:
+    return np.random.default_rng(SEED + 1).integers(0, 1 << 64, shape, np.uint64) | np.uint64(1)
+
+
+_HASHES, _SHIFTS = _odd((MINIMA,)), np.random.default_rng(SEED + 2).integers(0, 1 << 64, MINIMA, np.uint64)
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """The smallest values of a set (uint64) under MINIMA hash functions."""
+    out = np.full(MINIMA, ~np.uint64(0))
+    for i in range(0, len(found), 256):
+        out = np.minimum(out, (found[i : i + 256, None] * _HASHES + _SHIFTS).min(0))
     return out
 
 
+def table_keys(least: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """[rows, tables] keys of sets by their minima (uint64 [rows, MINIMA])."""
+    return (least[:, tables] * _odd(tables.shape)).sum(2, dtype=np.uint64).view(np.int64)
+
+
 class _Forest:
     """Union of the rows of one batch, to keep only links that join two trees."""
 
@@ -330,7 +333,7 @@ def _set_linker(similarity: float):
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
     """doc_id and component_id (smallest doc_id) of documents alike by `similarity` of their shingles, in chains too."""
-    bits = table_bits(tables)
+    which = table_minima(tables)
     same = ["h0", "h1"]  # of equal sets of shingles
 
     def digest(found: np.ndarray) -> np.ndarray:
@@ -339,13 +342,17 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     @F.arrow_udf("h0 long, h1 long, keys array<long>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            heads, keys = [], []
+            heads, least, empty = [], [], []
             for t in slices(texts):
                 found = shingle_set(t, words)
                 heads.append(digest(found))
-                keys.append(table_keys(wide_fingerprint(t, words).reshape(1, -1), bits)[0] if len(found) else np.empty(0, np.int64))
+                least.append(minima(found))
+                empty.append(not len(found))
             heads = np.array(heads, np.int64).reshape(-1, 2)
-            yield pa.StructArray.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))], [*same, "keys"])
+            keys = table_keys(np.array(least, np.uint64).reshape(-1, MINIMA), which)
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * len(which)
+            keys = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()), mask=pa.array(empty, pa.bool_()))
+            yield pa.StructArray.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), keys], [*same, "keys"])
 
     @F.arrow_udf("h0 long, h1 long, shingles binary")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
