@@ -374,6 +374,23 @@ def test_pseudonyms_keep_formats_and_links(spark, docs_of):
     assert c == texts[2] and d is None and e == ""
 
 
+def test_pseudonyms_of_cards_beside_numbers_and_of_month_first_dates(spark, docs_of):
+    card = "4111 1111 1111 1111"
+    around = ["card {} 12/27", "{} 123", "12 {}", "order 12345 {} 99 x", "{}-12/27", "{} 12/25/2023", "{} 555-123-4567", "{}"]
+    kinds = ["card", "card", "card", "card", "card", "card,date", "card,phone", "card"]
+    dates = [f"{m:02d}/{d:02d}/2023" for m in range(1, 13) for d in range(13, 29)]
+    amex = ["3782 822463 10005 1234", "13/13/2023 02/30/2023 4111 1111 1111 1112 12"]
+    rows = pii.pseudonymise_documents(docs_of([a.format(card) for a in around] + amex + dates)).orderBy("doc_id").collect()
+    assert [r.kinds for r in rows[:8]] == kinds
+    new = rows[7].text
+    assert new != card
+    assert all(r.text == a.format(new) for r, a in zip(rows[:5], around))
+    assert all(r.text.startswith(new + " ") for r in rows[5:7])
+    assert rows[8].n_found == 1 and rows[8].text.endswith(" 1234") and rows[9].text == amex[1]
+    moved = [r.text for r in rows[10:]]
+    assert len(set(moved)) == len(dates) and all(re.fullmatch(r"(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01])/\d{4}", d) for d in moved)
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6 * 7).select(pii.permute_pair("k", "w", (F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int"), 6, 7).alias("p")).distinct()
     assert pairs.count() == 42 and pairs.agg(F.max("p.a"), F.max("p.b")).first() == (5, 6)

@@ -14,7 +14,8 @@ the other.  Separators, an address's domain, a card's first digit and a telephon
 country stay; a card's check digit is computed anew.
 
 Defined cases: a null text stays null; a text without values stays as it is; numbers
-that fail validation stay; values that overlap are taken from the left, the longest kind first
+that fail validation stay, but a card number among other numbers is found by its
+groups; nn/nn/yyyy is day/month, or month/day where that is no date; values that overlap are taken from the left, the longest kind first
 in the order above; repeated rows are treated alike.  Everything is row-local.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
+WALK = 100  # a walk past as many early days has a probability of 1e-40
 KEY = "voxtrail"
 _EPOCH, _DAYS, _LAST = "1800-01-01", 146_097, "2199-12-31"  # one Gregorian cycle of 400 years
 
@@ -35,6 +37,9 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d(+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])"
 CARD = r"(?<![\d.,\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
 PATTERN = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+#: Layouts of cards that may have other numbers beside them, which CARD takes along.
+_START, _END = r"(?<![\d.,\-])", r"(?!\d|-\d{4})"
+LAYOUTS = (r"\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})", r"\d{4}(?: \d{6} \d{5}|-\d{6}-\d{5})", r"\d{4}(?: \d{6} \d{4}|-\d{6}-\d{4})", r"\d{13,19}")
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -100,9 +105,27 @@ def _calendar(text: Column) -> Column:
     """The date of any of the three layouts, null if the calendar has none or it is out of range."""
     iso = F.when(text.rlike(r"^\d{4}-"), text).otherwise(F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)))
     found = F.try_to_date(iso, "yyyy-MM-dd")
+    found = F.coalesce(found, F.try_to_date(F.when(_month_first(text), F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2))), "yyyy-MM-dd"))
     return F.when(found.between(F.lit(_EPOCH).cast("date"), F.lit(_LAST).cast("date")), found)
 
 
+def _month_first(text: Column) -> Column:
+    """Whether a date can only be month/day/year."""
+    return text.rlike(r"^\d{2}/(?:1[3-9]|[23]\d)/")
+
+
+def _walk(key: str, day: Column) -> Column:
+    """A keyed permutation of the days (from _EPOCH) past the 12th of a month: the dates' own one, again until it is past a 12th."""
+    start = F.struct(day.cast("int").alias("day"), F.lit(False).alias("done"))
+
+    def turn(s: Column, i: Column) -> Column:
+        moved = _number(permute_pair(key, "date", F.floor(s["day"] / 773), s["day"] % 773, 189, 773), 773)
+        moved = F.transform(F.array(moved), lambda d: F.struct(d.alias("day"), (F.dayofmonth(F.date_add(F.lit(_EPOCH).cast("date"), d)) > 12).alias("done")))[0]
+        return F.when(s["done"], s).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, turn)["day"]
+
+
 def kind(text: Column) -> Column:
     """email, ip, date, ssn, phone or card for a valid value that the pattern found, else null."""
     whole = lambda p: text.rlike(rf"^(?:{p})$")
@@ -128,7 +151,8 @@ def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
 
     day = F.datediff(_calendar(text), F.lit(_EPOCH).cast("date"))
     date = F.date_add(F.lit(_EPOCH).cast("date"), _number(permute_pair(key, "date", F.floor(day / 773), day % 773, 189, 773), 773))
-    date = F.when(F.substring(text, 3, 1) == "/", F.date_format(date, "dd/MM/yyyy")).when(F.substring(text, 3, 1) == ".", F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    late = F.date_add(F.lit(_EPOCH).cast("date"), _walk(key, day))
+    date = F.when(_month_first(text), F.date_format(late, "MM/dd/yyyy")).when(F.substring(text, 3, 1) == "/", F.date_format(date, "dd/MM/yyyy")).when(F.substring(text, 3, 1) == ".", F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
 
     area = F.substring(text, 1, 3).cast("int")
     rest = (F.substring(text, 5, 2).cast("int") - 1) * 9999 + F.substring(text, 8, 4).cast("int") - 1
@@ -162,18 +186,35 @@ def _social(pair: Column) -> Column:
     return F.concat(F.lpad(area.cast("string"), 3, "0"), F.lit("-"), F.lpad(group.cast("string"), 2, "0"), F.lit("-"), F.lpad(serial.cast("string"), 4, "0"))
 
 
+def _pattern(text: Column) -> Column:
+    """PATTERN; where a valid card in one of LAYOUTS is not what CARD would take, that card comes before what CARD takes around it."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?={_START}({x}){_END})"), F.lit(1)) for x in LAYOUTS]))
+    taken = F.regexp_extract_all(text, F.lit(CARD), F.lit(0))
+    cards = F.array_except(F.filter(found, lambda c: _luhn(_digits(c), 1) % 10 == 0), taken)
+
+    def with_cards(cards: Column) -> Column:
+        exact = F.concat(F.lit(f"{_START}(?:"), F.array_join(cards, "|"), F.lit(f"){_END}"))
+        around = F.concat(F.lit(r"(?<![\d.,\-])\d(?:[ \-]?(?!"), exact, F.lit(r")\d){12,18}(?![\d\-])"))
+        return F.concat(F.lit("|".join((EMAIL, IP, DATE, SSN, PHONE)) + "|"), exact, F.lit("|"), around)
+
+    chosen = F.transform(F.array(cards), lambda c: F.when(F.size(c) > 0, with_cards(c)).otherwise(F.lit(PATTERN)))[0]
+    return F.when(text.rlike(CARD), chosen).otherwise(F.lit(PATTERN))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, found: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in column `text`; `found` names a column for (kind, start, original's length, pseudonym) of each value."""
     t = F.col(text)
     has = t.rlike(r"\d|@")
-    values = F.when(has, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumn("__pattern", F.when(has, _pattern(t)))
+    pattern = F.col("__pattern")
+    values = F.when(has, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("__values", values)
     some = F.size("__values") > 0
     marked = F.when(some, F.transform("__values", lambda v: F.struct(v.alias("value"), kind(v).alias("kind"))))
     docs = docs.withColumn("__marked", marked)
     named = F.transform("__marked", lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"), pseudonym(m["value"], m["kind"], key).alias("pseudonym")))
     docs = docs.withColumn("__named", named)
-    gaps = F.split(t, PATTERN, -1)
+    gaps = F.split(t, pattern, -1)
     docs = docs.withColumn("__gaps", F.when(some, gaps))
     pieces = F.zip_with("__gaps", "__named", lambda g, m: F.concat(g, F.coalesce(m["pseudonym"], F.lit(""))))
     if found:
@@ -181,7 +222,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, found: str
         spans = F.filter(F.transform("__named", lambda m, i: F.struct(m["kind"].alias("kind"), before(i).alias("start"), F.length(m["value"]).alias("length"), m["pseudonym"].alias("pseudonym"))), lambda m: m["kind"].isNotNull())
         docs = docs.withColumn(found, F.coalesce(F.when(some, spans), F.array().cast("array<struct<kind:string,start:int,length:int,pseudonym:string>>")))
     changed = F.when(some, F.array_join(pieces, "")).otherwise(t)
-    return docs.withColumn(text, changed).drop("__values", "__marked", "__named", "__gaps")
+    return docs.withColumn(text, changed).drop("__pattern", "__values", "__marked", "__named", "__gaps")
 
 
 def pseudonymise_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
