@@ -369,7 +369,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     nodes = pin(base.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
     rows = nodes.filter("id is not null").select("id", *same, F.explode("keys").alias("key"))
     # Most keys have one row; only documents that meet another get their sets, by a join.
-    met = pin(rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("met > 1").drop("met"))
+    alone = Window.partitionBy("key")
+    members = [F.count(F.lit(1)).over(alone).alias("met"), F.min("id").over(alone).alias("least"), F.bit_xor(F.xxhash64("id", *same)).over(alone).alias("mix")]
+    met = pin(rows.select("*", *members).filter("met > 1"))
+    # Of keys under which the same documents meet, one will do.
+    met = met.join(met.groupBy("met", "least", "mix").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "id", *same)
     some = met.select(F.col("id").alias("doc_id")).distinct()
     some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
     known = docs.join(some, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), sets(F.col("text")).alias("p")).select("id", "p.*").dropDuplicates(["id", *same])
