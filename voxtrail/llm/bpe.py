@@ -1,14 +1,13 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
-The merges of a rank file are compiled to a transducer over bytes.  The encoding
-of a prefix of a piece ends in one token, the longest suffix token that is
-compatible with the last token of what stands before it; so each prefix has one
-predecessor prefix, and encodings of all prefixes form a chain of predecessors.
-A transducer state is the last emitted token with the bytes read since.  Reading a
-byte emits the tokens on which every continuation agrees, that is those before the
-earliest boundary that a token could still start from; the lookahead is bounded by
-the longest token.  States and their transitions are made
-when first met, STATES at most; beyond, rare pieces are read without new states.
+A state is the last emitted token with the place that the bytes since then have reached in the
+tree of tokens.  Such pairs are never listed: moves in the tree, which no emitted token changes,
+are compiled from the merges' tokens, and a move at a boundary is made when first met.  There,
+after a lookahead of one token's length at most, the longest token that the bytes
+start with is known; the move goes to the longest one of it and its beginnings that is compatible with
+the last token, emits that and leaves the rest of the lookahead to be read from the tree's root.
+A chain of tokens, each compatible with the one before, is the encoding.  Where no
+token is compatible, the last one was too long: it is taken back for the next shorter one.
 
 Decoding is a state machine over UTF-8: a state is the number and range of the
 continuation bytes still due.  It is composed with the vocabulary, so that it steps
@@ -21,11 +20,9 @@ equal results.  Nothing is learned, so there is no corpus state and no shuffle.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,11 +30,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtrail.llm.common import slices
+from voxtrail.llm.common import per_worker, slices
 
-STATES = 80_000
-PAIRS = 400_000
-PIECES = 300_000
+MOVES = 400_000
+DECODED = 80_000
+PIECES = 400_000
 _NONE = 1 << 60
 
 
@@ -49,22 +46,21 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces by the ranks, as repeated merging of the lowest ranked neighbours does."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = STATES) -> None:
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = MOVES) -> None:
+        self.ranks, self.max_moves = ranks, max_moves
         self.token = {v: k for k, v in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._start()
-
-    def _start(self) -> None:
-        """The table of states with state 0, at the start of a piece."""
-        self.state: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        #: Of each state: last emitted token, pending bytes, the boundaries in these that a token could start from,
-        #: and for each prefix of them its last token and where that starts.
-        self.what: list[tuple] = [(-1, b"", (0,), (), ())]
-        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.final: list[tuple[int, ...] | None] = [()]
+        self.size = {v: len(k) for k, v in ranks.items()}
+        #: Nodes by byte; at -1 the longest token that the way to a node starts with.
+        self.tree: dict[int, dict | int | None] = {-1: None}
+        #: Of a token, the longest shorter one that it starts with.
+        self.shorter: dict[int, int | None] = {}
+        for data in sorted(ranks, key=len):
+            node = self.tree
+            for byte in data:
+                last, node = node, node.setdefault(byte, {-1: node[-1]})
+            self.shorter[ranks[data]], node[-1] = last[-1], ranks[data]
+        #: (last token, longest match) as one number, and the token that is emitted; -1 is none.
+        self.moves: dict[int, int] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a short piece by merging directly; used for pairs of tokens only."""
@@ -82,113 +78,56 @@ class Transducer:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when their bytes are encoded together; left -1 is nothing."""
-        found = self._pairs.get((left, right))
-        if found is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            want = [right] if left < 0 else [left, right]
-            found = self._pairs[left, right] = self.merged(b"".join(self.token[t] for t in want)) == want
-        return found
-
-    def next(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Makes the transition of `state` on `byte`: the next state and the ids it emits."""
-        before, pending, open_, lasts, starts = self.what[state]
-        pending += bytes((byte,))
-        prefixes, still, token, start = self.prefixes, [], None, 0
-        for at in open_:  # the longest token first
-            rest = pending[at:]
-            if token is None:
-                found = self.ranks.get(rest)
-                if found is not None and self.compatible(lasts[at - 1] if at else before, found):
-                    token, start = found, at
-            if rest in prefixes:
-                still.append(at)
-        n = len(pending)
-        still.append(n)
-        lasts, starts = (*lasts, token), (*starts, start)
-        # What all open boundaries' encodings share is final: go back from the latest until one is left.
-        heads = still.copy()
-        while len(heads) > 1:
-            back = starts[heads.pop() - 1]
-            if back not in heads:
-                heads.append(back)
-                heads.sort()
-        cut, ids = heads[0], []
-        if cut:
-            at = cut
-            while at:
-                ids.append(lasts[at - 1])
-                at = starts[at - 1]
-            ids.reverse()
-            before, pending = ids[-1], pending[cut:]
-        key = (before, pending)
-        to = self.state.get(key)
-        if to is None:
-            to = self.state[key] = len(self.what)
-            if cut:
-                still, lasts, starts = [s - cut for s in still], lasts[cut:], [s - cut if s > cut else 0 for s in starts[cut:]]
-            self.what.append((before, pending, tuple(still), lasts, tuple(starts)))
-            self.step.append({})
-            self.final.append(None)
-        made = self.step[state][byte] = (to, tuple(ids))
+        want = [right] if left < 0 else [left, right]
+        return self.merged(b"".join(self.token[t] for t in want)) == want
+
+    def move(self, left: int, longest: int) -> int:
+        """Makes the move after token `left` for a longest match: the longest of it and its beginnings that may follow."""
+        token: int | None = longest
+        while token is not None and not self.compatible(left, token):
+            token = self.shorter[token]
+        if len(self.moves) >= self.max_moves:
+            self.moves.clear()
+        made = self.moves[(left << 32) + longest] = -1 if token is None else token
         return made
 
-    def flush(self, state: int) -> tuple[int, ...]:
-        """The ids of a state's pending bytes at the end of a piece."""
-        out = self.final[state]
-        if out is None:
-            _, pending, _, lasts, starts = self.what[state]
-            ids, at = [], len(pending)
-            while at:
-                ids.append(lasts[at - 1])
-                at = starts[at - 1]
-            out = self.final[state] = tuple(reversed(ids))
-        return out
-
-    def simulate(self, state: int, rest: bytes) -> tuple[int, ...]:
-        """Reads the rest of a piece from `state` without making states, and gives all ids not emitted yet."""
-        before, pending, open_, lasts, starts = self.what[state]
-        ranks, prefixes, data = self.ranks, self.prefixes, pending + rest
-        lasts, starts = [*lasts], [*starts]
-        for n in range(len(pending) + 1, len(data) + 1):
-            token, start, still = None, 0, []
-            for at in open_:
-                part = data[at:n]
-                if token is None:
-                    found = ranks.get(part)
-                    if found is not None and self.compatible(lasts[at - 1] if at else before, found):
-                        token, start = found, at
-                if part in prefixes:
-                    still.append(at)
-            still.append(n)
-            open_ = still
-            lasts.append(token)
-            starts.append(start)
-        ids, at = [], len(data)
-        while at:
-            ids.append(lasts[at - 1])
-            at = starts[at - 1]
-        return tuple(reversed(ids))
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is a token by itself is that token.
 
-        Where the table of states is full, the rest of the piece is read without it.
+        Only one chain of compatible tokens leads to a place, so a place that a chain does not get past
+        is closed for good: each is left once at most, and the work grows with the piece's length.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        state, out, step = 0, (), self.step
-        for i, byte in enumerate(piece):
-            made = step[state].get(byte)
-            if made is None:
-                if len(step) >= self.max_states:
-                    return out + self.simulate(state, piece[i:])
-                made = self.next(state, byte)
-            state, ids = made
-            if ids:
-                out += ids
-        return out + self.flush(state)
+            return [whole]
+        moves, tree, size, shorter, n = self.moves, self.tree, self.size, self.shorter, len(piece)
+        out, left, at, closed = [], -1, 0, set()
+        while at < n:
+            node, i = tree, at
+            while i < n and (further := node.get(piece[i])) is not None:
+                node = further
+                i += 1
+            token = node[-1]
+            while True:
+                if token is not None:
+                    made = moves.get((left << 32) + token)
+                    token = self.move(left, token) if made is None else made
+                    if token >= 0:
+                        if not closed or at + size[token] not in closed:
+                            break
+                        token = shorter[token]
+                        continue
+                if not out:
+                    raise ValueError("a byte of the piece is no token")
+                closed.add(at)
+                last = out.pop()
+                at -= size[last]
+                left = out[-1] if out else -1
+                token = shorter[last]
+            out.append(token)
+            at += size[token]
+            left = token
+        return out
 
 
 # Lead byte ranges of UTF-8 with the ranges that the second byte may take and the bytes that follow.
@@ -205,7 +144,6 @@ _LEADS = (
 )
 
 
-@lru_cache(maxsize=None)
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[tuple[int, int, int], bool]:
     """Next state and whether the byte fits; a state is (bytes due, least, greatest value of the next)."""
     due, low, high = state
@@ -244,34 +182,29 @@ class StreamDecoder:
         """State after a token, how many of its bytes end whole characters, and whether all of them fit."""
         made = self._moves.get((state, token))
         if made is None:
-            if len(self._moves) > STATES:
+            if len(self._moves) > DECODED:
                 self._moves.clear()
             made = self._moves[state, token] = self._through(state, token)
         return made
 
     def feed(self, ids: Iterable[int]) -> bytes:
-        """The bytes of all characters that `ids` complete; between characters, closed tokens pass together."""
+        """The bytes of all characters that `ids` complete; between characters, closed tokens pass unread."""
         ids = ids if isinstance(ids, np.ndarray) else np.fromiter(ids, np.int64)
-        open_, some, table = [*np.flatnonzero(~self.closed[ids]).tolist(), len(ids)], ids.tolist(), self.table
-        out, state, held, at, k = [], self.state, self.held, 0, 0
-        while at < len(some):
-            if not state[0]:
-                while open_[k] < at:
-                    k += 1
-                if open_[k] > at:
-                    out.append(b"".join(map(table.__getitem__, some[at : open_[k]])))
-                    at = open_[k]
-                    continue
-            state, whole, _ = self.move(state, some[at])
-            data = table[some[at]]
-            at += 1
-            if whole:
-                out.append(held + data[:whole])
-                held = data[whole:]
-            else:
-                held += data
-        self.state, self.held = state, held
-        return b"".join(out)
+        some, state, due, at = ids.tolist(), self.state, len(self.held), 0  # `due` bytes at the end are of no whole character yet
+        data = self.held + b"".join(map(self.table.__getitem__, some))
+        for first in [0, *np.flatnonzero(~self.closed[ids]).tolist()]:
+            if first < at:
+                continue
+            at = first
+            while at < len(some):
+                state, whole, _ = self.move(state, some[at])
+                size = len(self.table[some[at]])
+                due = size - whole if whole else due + size
+                at += 1
+                if not state[0]:
+                    break
+        self.state, self.held = state, data[len(data) - due :]
+        return data[: len(data) - due]
 
     def end(self) -> bytes:
         """The bytes still held; none after whole texts."""
@@ -291,20 +224,21 @@ class Codec:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; pieces met before are not walked again."""
+        if len(self.memo) >= self.max_pieces:
+            self.memo, self.older = {}, self.memo
         pieces, memo = self.find(text), self.memo
-        new = set(pieces).difference(memo)
-        if new:
-            if len(memo) >= self.max_pieces:
-                self.memo, self.older = {}, memo
-                memo, new = self.memo, set(pieces)
-            older, encode = self.older, self.transducer.encode
-            for piece in new:
-                data = older.get(piece)
+        found = list(map(memo.get, pieces))
+        if None in found:
+            older, encode, at = self.older, self.transducer.encode, -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                piece = pieces[at]
+                data = memo.get(piece) or older.get(piece)
                 if data is None:
                     ids = encode(piece.encode())
                     data = struct.pack(f"<{len(ids)}I", *ids)
-                memo[piece] = data
-        return b"".join(map(memo.__getitem__, pieces))
+                found[at] = memo[piece] = data
+        return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
@@ -318,17 +252,7 @@ class Codec:
 def _codec_maker(spark: SparkSession, ranks_path: str, pattern: str):
     """A function that gives the worker's codec; the vocabulary, of fixed size, is broadcast."""
     with open(ranks_path, "rb") as f:
-        shared = spark.sparkContext.broadcast((read_ranks(f), pattern))
-    made: list[Codec] = []
-
-    def codec() -> Codec:
-        if not made:
-            made.append(Codec(*shared.value))
-            gc.freeze()  # tables without cycles, not to be searched again and again
-            gc.set_threshold(200_000, 20, 100)
-        return made[0]
-
-    return codec
+        return per_worker(spark, Codec, read_ranks(f), pattern)
 
 
 def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +29,25 @@ def slices(values: pa.Array, size: int = 500) -> Iterator:
         yield from values.slice(i, size).to_pylist()
 
 
+def per_worker(spark: SparkSession, make: Callable, *plain) -> Callable[[], Any]:
+    """A function that gives make(*plain) in Python workers, made once in each and kept for later tasks.
+
+    `plain` is broadcast and must be of built-in types or arrays, so that workers need no module of this
+    package; `make` travels by value.  What is made is kept beside the broadcast data, which workers hold on to.
+    """
+    shared = spark.sparkContext.broadcast({"plain": plain})
+
+    def get():
+        store = shared.value
+        if "made" not in store:
+            store["made"] = make(*store["plain"])
+            gc.freeze()  # tables without cycles, not to be searched again and again
+            gc.set_threshold(200_000, 20, 100)
+        return store["made"]
+
+    return get
+
+
 def bounded_sample(df: DataFrame, text: str, max_chars: int, by: list[str]) -> DataFrame:
     """Rows of about `max_chars` characters in all, chosen by a hash of `by`.
 
