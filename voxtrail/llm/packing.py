@@ -1,12 +1,13 @@
 """Packing of tokenised documents into sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into whole sequences first; the rest is cut into a half, a quarter
-and so on of a sequence, down to a last piece of a few ids (LEAST at least, where the
-document has as many).  Pieces are dealt to blocks of about WINDOWS sequences
-each.  In a block, differencing starts with a partition for each piece and merges
-the two partitions of greatest imbalance, heaviest windows against lightest, until one
-is left: near-equal windows.  While one of them exceeds the capacity, the number
-of windows rises by one and the block is packed again.
+A document's ids are cut into whole sequences first; what remains of it, which of a document
+shorter than a sequence is all of it, is one item.  Items are dealt to blocks of about
+WINDOWS sequences each.  In a block, differencing starts with a partition for each item and
+merges the two partitions of greatest imbalance, heaviest windows against lightest, until one
+is left: near-equal windows.  The number of windows rises by one whenever one of them exceeds the
+capacity.  Where that would leave more than PADDING of the block empty, some of its longest items
+are cut into grains of GRAIN ids, which level the windows, and more of them if that
+is not enough; all other items stay whole.
 
 Only lengths and digests are shuffled, never ids.  Sequence numbers are unique, not
 consecutive: a block's number with the window's, or a whole sequence's row number.
@@ -18,9 +19,10 @@ one that can be much shorter than the others, and only where the table has few i
 
 from __future__ import annotations
 
-import gc
 import heapq
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from string import punctuation
@@ -30,13 +32,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voxtrail.llm.common import per_worker
 from voxtrail.session import pin
 
 CAPACITY = 2048
-LEAST = 16
+GRAIN = 32
 WINDOWS = 256
-SLACK = 6
-MEMO = 900_000
+PADDING = 0.015
+MEMO = 700_000
 END = (1).to_bytes(4, "little")
 _FULL = 1 << 62
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -53,11 +56,13 @@ class WordTokenizer:
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.closing: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -68,7 +73,7 @@ class WordTokenizer:
     def _base(self, word: str) -> tuple[str, bytes]:
         """A word in simpler words: ASCII marks after a letter or digit are a piece by themselves, and case makes no difference."""
         base, tail = word.rstrip(punctuation), b""
-        if len(base) == len(word) or not base or not base[-1].isalnum():
+        if len(base) == len(word) or not base or not self._closes(base[-1]):
             base = word
         else:
             marks = word[len(base) :]
@@ -84,12 +89,22 @@ class WordTokenizer:
             base = base[0].lower() + base[1:]
         return base, tail
 
+    def _closes(self, char: str) -> bool:
+        """Whether a character ends in a letter or digit after the file's normalisation, so that marks behind it are a piece apart."""
+        if char.isascii():
+            return char.isalnum()
+        found = self.closing.get(char)
+        if found is None:
+            last = unicodedata.normalize("NFC", char).lower()[-1]
+            found = self.closing[char] = unicodedata.category(last)[0] in "LN"
+        return found
+
     def _learn(self, words: set[str]) -> None:
         """Encodes new words of letters together: each is one piece, and its last id alone ends a piece."""
         words = [w for w in words if w.isalpha()]
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.ending[ids]) + 4).tolist()
             if len(ends) != len(some):
                 continue  # these are left to be encoded one by one
@@ -101,15 +116,29 @@ class WordTokenizer:
         split = [None if not t or any(s in t for s in self.special) else _SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
         if len(self.memo) >= MEMO:
             self.memo, self.older = {}, self.memo
-        memo, older, new = self.memo, self.older, set()
+        find, found, gaps, new = self.memo.get, [], [], set()
         for words in split:
-            if words:
-                new |= set(words).difference(memo)
-        fresh = new.difference(older)
-        aged = new - fresh
+            some, holes, at = list(map(find, words or ())), [], -1
+            for _ in range(some.count(None)):
+                at = some.index(None, at + 1)
+                holes.append(at)
+                new.add(words[at])
+            found.append(some)
+            gaps.append(holes)
+        self._meet(new)
+        find = self.memo.__getitem__
+        for words, some, holes in zip(split, found, gaps):
+            for at in holes:
+                some[at] = find(words[at])
+        return [b"".join(some) if words is not None else self._encode(text or "") for text, words, some in zip(texts, split, found)]
+
+    def _meet(self, new: set[str]) -> None:
+        """Puts words into the memo, from the older one, from simpler words or by encoding them."""
+        memo, older = self.memo, self.older
+        aged = new & older.keys()
         memo.update(zip(aged, map(older.__getitem__, aged)))
         derived, unknown = [], set()
-        for w in fresh:
+        for w in new - aged:
             base, tail = self._base(w)
             if base != w:
                 derived.append((w, base, tail))
@@ -123,26 +152,6 @@ class WordTokenizer:
             memo[w] = self._encode(w)
         for w, base, tail in derived:
             memo[w] = memo[base] + tail
-        find = memo.__getitem__
-        return [b"".join(map(find, words)) if words is not None else self._encode(text or "") for text, words in zip(texts, split)]
-
-
-def cut(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then halves, quarters and so on of one, as they fit.
-
-    The last piece has fewer than 2 * `least` ids.  Sizes that divide each other are what
-    differencing levels best, so windows end up equal but for the last pieces.
-    """
-    out, at, size = [], 0, capacity
-    while at < n:
-        while size > n - at or (0 < n - at - size < least and size < capacity):
-            if size // 2 < least:
-                size = n - at
-            else:
-                size //= 2
-        out.append((at, size))
-        at += size
-    return out
 
 
 def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
@@ -159,7 +168,7 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     single, at = lengths[order], 0  # pieces by descending length, those from `at` on in no partition yet
     parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     heap: list[tuple[int, int]] = []
-    joined, nodes, key = [], n, n
+    joined, nodes, key, na = [], n, n, order[:0]
 
     def largest(most: int) -> tuple[np.ndarray, np.ndarray]:
         """The partition of greatest difference, or up to `most` pieces that come before any partition."""
@@ -173,12 +182,34 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
             return (found[0] - found[0][-1], found[1]) if len(found[0]) == windows else found
         return parts.pop(heapq.heappop(heap)[1])
 
+    def pour(sums: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A partition of greatest difference with the pieces that come next, each in the lightest window, while they do."""
+        nonlocal at, nodes
+        least, bound, top = list(zip(sums.tolist(), range(windows))), -heap[0][0] if heap else 0, int(sums[0])
+        heapq.heapify(least)
+        ids = ids.copy()
+        while at < n and top - least[0][0] >= single[at] >= bound:
+            s, i = least[0]
+            joined.append((nodes, ids[i : i + 1].copy(), order[at : at + 1]))
+            ids[i] = nodes
+            heapq.heapreplace(least, (s + int(single[at]), i))
+            top = max(top, s + int(single[at]))
+            nodes += 1
+            at += 1
+        least.sort(reverse=True)
+        sums = np.array([s for s, _ in least], np.int64)
+        return sums - sums[-1], ids[[i for _, i in least]]
+
     while at < n or heap:
         # A first piece takes up the next ones until it has all windows, as no difference exceeds its length
         # until then; so it gets as many of them at once.
         a, na = largest(windows)
         if at == n and not heap:
             break
+        if len(a) == windows and at < n and a[0] >= single[at] >= (-heap[0][0] if heap else 0):
+            a, na = pour(a, na)
+            if at == n and not heap:
+                break
         if len(a) == windows and max(single[at] if at < n else 0, -heap[0][0] if heap else 0) > a[0]:
             parts[key] = (a, na)  # others have a greater difference now that it is full
             heapq.heappush(heap, (-int(a[0]), key))
@@ -207,49 +238,65 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     return window[:n]
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each length, none above `capacity`, in few windows: one more whenever one exceeds it.
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN, padding: float = PADDING) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of items in few windows, none above `capacity`: each one's item, place of its start there, length and window.
 
-    The start leaves SLACK ids in each window, which differencing hardly ever needs to exceed.
+    A piece is an item, or one of its grains.  Items are cut, the longest first, until they are a share of
+    all ids: none at first, then a sixteenth and twice as much every time.
     """
-    windows = max(1, -(-int(lengths.sum()) // max(1, capacity - SLACK)))
+    by, total = np.argsort(-lengths, kind="stable"), int(lengths.sum())
+    before = np.cumsum(lengths[by]) - lengths[by]
+    fewest, share = max(1, -(-total // capacity)), 0.0
+    most = max(fewest, int(total * (1 + padding) / capacity))
     while True:
-        at = differencing(lengths, windows)
-        if np.bincount(at, lengths, windows).max(initial=0) <= capacity:
-            return at
-        windows += 1
-
-
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of every document's pieces."""
+        apart = np.zeros(len(lengths), bool)
+        apart[by[before < share * total]] = True
+        parts = np.where(apart, -(-lengths // grain), 1)
+        item = np.repeat(np.arange(len(lengths)), parts)
+        start = (np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)) * grain
+        length = np.where(apart[item], np.minimum(grain, lengths[item] - start), lengths[item])
+        # Windows of `grain` ids less than the capacity are what grains level surely; whole items may be lucky.
+        windows = fewest if not share else max(fewest, min(most, -(-total // max(1, capacity - grain // 2))))
+        while windows <= most or share >= 1:
+            at = differencing(length, windows)
+            if np.bincount(at, length, windows).max(initial=0) <= capacity:
+                return item, start, length, at
+            windows += 1
+        share = min(1.0, 2 * share or 0.0625)
+
+
+def items(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and grains of every document's whole sequences and its rest.
+
+    `grains` has the rest's checksums by grains of `grain` ids, as unsigned 32-bit integers.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    made: list[WordTokenizer] = []
+        tokenizer = per_worker(docs.sparkSession, WordTokenizer, f.read())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(WordTokenizer(shared.value))
-            gc.freeze()  # what the worker keeps has no cycles
-            gc.set_threshold(200_000, 20, 100)
+        encode, crc32, size = tokenizer().encode_batch, zlib.crc32, 4 * grain
         for batch in batches:
-            texts, rows, at, crc = batch.column(1), [], [], []
+            texts, rows, at, crc, grains = batch.column(1), [], [], [], []
             for i in range(0, len(texts), 200):
-                for row, ids in enumerate(made[0].encode_batch(texts.slice(i, 200).to_pylist()), i):
+                for row, ids in enumerate(encode(texts.slice(i, 200).to_pylist()), i):
                     data = ids + END
                     n = len(data) // 4
-                    for start, length in cut(n, capacity, least):
+                    for start in range(0, n, capacity):
+                        length = min(capacity, n - start)
+                        part = data[4 * start : 4 * (start + length)]
                         rows.append(row)
                         at.append((start, length, n))
-                        crc.append(zlib.crc32(data[4 * start : 4 * (start + length)]))
+                        crc.append(crc32(part))
+                        grains.append(None if length == capacity else np.array([crc32(part[k : k + size]) for k in range(0, len(part), size)], "<u4").tobytes())
             flat = np.array(at, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.array(crc, np.int64)), pa.array(flat[:, 2])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.array(crc, np.int64)), pa.array(flat[:, 2]), pa.array(grains, pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grains"])
 
-    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, grains binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least: int = LEAST, windows: int = WINDOWS) -> DataFrame:
-    """Adds sequence_id and offset to the documents' pieces."""
-    found = pin(pieces(docs, tokenizer_path, capacity, least)).withColumn("row", F.monotonically_increasing_id())
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, windows: int = WINDOWS) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of all pieces of all documents."""
+    found = pin(items(docs, tokenizer_path, capacity, grain)).withColumn("row", F.monotonically_increasing_id())
     whole = found.filter(F.col("length") == capacity)
     whole = whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("row") + F.lit(_FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = found.filter(F.col("length") < capacity)
@@ -257,9 +304,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, least:
     blocks = max(1, round(tokens / (capacity * windows)))
 
     def place(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("row")
-        at = pack_lengths(block.length.to_numpy(), capacity)
-        block = block.assign(window=at).sort_values(["window", "row"])
+        block = block.sort_values("row", ignore_index=True)
+        item, start, length, window = pack_lengths(block.length.to_numpy(), capacity, grain)
+        cut = length < block.length.to_numpy()[item]
+        crc = block.ids_crc32.to_numpy()[item]
+        grains = block.grains.to_numpy()
+        crc[cut] = [int.from_bytes(grains[i][k : k + 4], "little") for i, k in zip(item[cut].tolist(), (4 * start[cut] // grain).tolist())]
+        block = block.iloc[item].assign(window=window, length=length, ids_crc32=crc, start=block.start.to_numpy()[item] + start)
+        block = block.sort_values(["window", "row", "start"], ignore_index=True)
         block["offset"] = block.groupby("window").length.cumsum() - block.length
         block["sequence_id"] = block.block * (1 << 20) + block.window
         return block[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
