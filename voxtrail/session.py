@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PART_ROWS = 500_000
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
@@ -37,7 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and cuts its lineage."""
+def pin(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes `df` to the shared folder and cuts its lineage.
+
+    With `rows`, a bound of its rows, it is written in parts of about PART_ROWS rows: many
+    tiny files cost a store more than their rows do.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // PART_ROWS)))).checkpoint(eager=True)
