@@ -29,12 +29,13 @@ are copies of each other; a component's id ignores null ids unless all are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtrail.llm import golay
 from voxtrail.llm.common import slices
@@ -44,6 +45,8 @@ from voxtrail.session import pin
 WORDS = 3
 SEED = 42
 RUN = 64
+KEYS = 18
+PART_SHINGLES = 1 << 16
 MINIMA = 128
 BAND = 6
 TABLES = 64
@@ -53,26 +56,30 @@ BROADCAST_IDS = 2_000_000
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    """Shingles of a text's words, A-Z in lower case; all words together if they are fewer."""
+def shingle_parts(text: str | None, words: int, size: int = PART_SHINGLES) -> Iterator[list[bytes]]:
+    """Shingles of a text's words, A-Z in lower case, `size` at a time; all words together if they are fewer."""
     w = text.encode().lower().split() if text else []
     if len(w) <= words:
-        return [b" ".join(w)] if w else []
-    return list(map(b" ".join, zip(*(w[i:] for i in range(words)))))
+        yield [b" ".join(w)] if w else []
+        return
+    for at in range(0, len(w) - words + 1, size):
+        some = w[at : at + size + words - 1]
+        yield list(map(b" ".join, zip(*(some[i:] for i in range(words)))))
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """The words of a fingerprint: each bit of the columns of `hashes` (uint64) that over half of the rows have."""
-    if not len(hashes):
-        return np.zeros(hashes.shape[1], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
-    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """All shingles of a text."""
+    return [s for part in shingle_parts(text, words) for s in part]
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64-bit fingerprint by XXH64."""
-    found = shingles(text, words)
-    return int(majority(np.array([[xxhash.xxh64_intdigest(s, SEED)] for s in found], "<u8").reshape(-1, 1))[0])
+    """64-bit fingerprint by XXH64: each bit that over half of the shingles' hashes have; zero without shingles."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in shingle_parts(text, words):
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), "<u8", len(part))
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(part)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -137,62 +144,35 @@ class _Forest:
         return True
 
 
-def _grow(prints: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
-    """Spanning links of one group: trees grow from each row over the rows not reached yet."""
-    left, out = np.arange(len(prints)), []
-    while len(left):
-        edge, left = [int(left[0])], left[1:]
-        while edge and len(left):
-            at = edge.pop()
-            near = _popcount(prints[left] ^ prints[at]).sum(1) <= most_bits
-            if near.any():
-                found = left[near].tolist()
-                out += [(at, j) for j in found]
-                edge += found
-                left = left[~near]
-    return out
-
-
 def _spanning(key: np.ndarray, prints: np.ndarray, most_bits: int) -> np.ndarray:
-    """[links, 2] positions: a spanning set of the links between rows of equal `key`, which is sorted."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.append(starts, len(key)))
-    out = []
-    for start, size in zip(starts[sizes > RUN].tolist(), sizes[sizes > RUN].tolist()):
-        out += [(start + i, start + j) for i, j in _grow(prints[start : start + size], most_bits)]
-    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= RUN), sizes))
-    key, prints, forest = key[small], prints[small], _Forest(len(small))
+    """[links, 2] positions: a spanning set of the links between rows of equal `key`, which is sorted; RUN rows of a key at most."""
+    out, forest = [], _Forest(len(key))
     for step in range(1, RUN):
         same = np.flatnonzero(key[step:] == key[:-step]) if step < len(key) else ()
         if not len(same):
             break
-        near = same[_popcount(prints[same + step] ^ prints[same]).sum(1) <= most_bits]
-        out += [(int(small[i]), int(small[i + step])) for i in near.tolist() if forest.join(i, i + step)]
+        near = same[_popcount(prints[same + step] ^ prints[same]) <= most_bits]
+        out += [(i, i + step) for i in near.tolist() if forest.join(i, i + step)]
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _linker(columns: list[str], most_bits: int, run: int | None):
-    """Reads partitions sorted by key; yields links (a, b), and (a, null) for rows of keys with more than `run` rows.
-
-    Without `run`, a key's rows are all compared until each is linked to those that it is alike to.
-    """
+def _linker(most_bits: int):
+    """Reads partitions of (key, id), sorted, where ids are fingerprints; yields links (a, b), and (a, null) for rows of keys with more than RUN rows."""
 
     def hot(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"a": rows.id.to_numpy(), "b": pd.array([None] * len(rows), "Int64")})
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if run is not None:
-                sizes = rows.groupby("key").key.transform("size").to_numpy()
-                if (sizes > run).any():
-                    yield hot(rows[sizes > run])
-                rows = rows[(sizes > 1) & (sizes <= run)]
-            if len(rows) > 1:
-                ids = rows.id.to_numpy()
-                found = _spanning(rows.key.to_numpy(), rows[columns].to_numpy().view(np.uint64), most_bits)
-                if len(found):
-                    yield pd.DataFrame({"a": ids[found[:, 0]], "b": pd.array(ids[found[:, 1]], "Int64")})
+    def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sizes = rows.groupby("key").key.transform("size").to_numpy()
+        if (sizes > RUN).any():
+            yield hot(rows[sizes > RUN])
+        rows = rows[(sizes > 1) & (sizes <= RUN)]
+        ids = rows.id.to_numpy()
+        found = _spanning(rows.key.to_numpy(), ids.view(np.uint64), most_bits)
+        if len(found):
+            yield pd.DataFrame({"a": ids[found[:, 0]], "b": pd.array(ids[found[:, 1]], "Int64")})
 
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, large = None, None
         for batch in batches:
             if large is not None:  # the rest of a key known to be large
@@ -207,7 +187,7 @@ def _linker(columns: list[str], most_bits: int, run: int | None):
             last = batch.key.to_numpy() == batch.key.iloc[-1]
             held = batch[last]
             yield from work(batch[~last])
-            if run is not None and len(held) > run:
+            if len(held) > RUN:
                 yield hot(held)
                 held, large = None, held.key.iloc[0]
         if held is not None:
@@ -220,8 +200,8 @@ def _by_key(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key", "id")
 
 
-def links_within_two_bits(nodes: DataFrame) -> DataFrame:
-    """(a, b): links that connect what is connected at two bits or fewer; `nodes` has distinct 64-bit `fp` as long."""
+def links_within_two_bits(nodes: DataFrame, count: int) -> DataFrame:
+    """(a, b): links that connect what is connected at two bits or fewer; `nodes` has distinct 64-bit `fp` as long, `count` of them."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,7 +209,7 @@ def links_within_two_bits(nodes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": key, "id": batch.fp.to_numpy()[at]})
 
     rows = nodes.select("fp").mapInPandas(spread, "key long, id long")
-    found = pin(_by_key(rows).mapInPandas(_linker(["id"], 2, RUN), "a long, b long"))
+    found = pin(_by_key(rows).mapInPandas(_linker(2), "a long, b long"), KEYS * count)
     hot = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     masks = F.array(F.lit(0).cast("long"), *[F.lit(v - (1 << 64) if v >= 1 << 63 else v).cast("long") for v in (1 << i for i in range(64))])
     listed = hot.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("word"))
@@ -257,17 +237,23 @@ def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.array(np.array([fingerprint(t, words) for t in slices(texts)], "<u8").view(np.int64))
 
     base = pin(docs.select("doc_id", prints(F.col("text")).alias("fp")))
-    nodes = pin(base.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(links_within_two_bits(nodes)).withColumnRenamed("node", "fp")
+    nodes = base.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    count = nodes.count()
+    nodes = pin(nodes, count)
+    roots = components(links_within_two_bits(nodes, count)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = pin(rooted.join(least, "root").select("fp", "component_id", "n"))
+    named = pin(rooted.join(least, "root").select("fp", "component_id", "n"), count)
     return _attach(base, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct shingles' 64-bit hashes, in order."""
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(s, SEED) for s in set(shingles(text, words))], "<u8"))
+    found = np.zeros(0, "<u8")
+    for part in shingle_parts(text, words):
+        part = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, part, repeat(SEED)), "<u8", len(part)))
+        found = np.union1d(found, part) if len(found) else part
+    return found
 
 
 def short_hashes(found: np.ndarray) -> np.ndarray:
@@ -331,8 +317,17 @@ def _set_linker(similarity: float):
     return links
 
 
+def text_hash(text: Column) -> Column:
+    """64-bit hash of a text, which with the id tells rows apart; a null is an empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
-    """doc_id and component_id (smallest doc_id) of documents alike by `similarity` of their shingles, in chains too."""
+    """doc_id, text_hash, component_id and kept of every document; components are of texts alike by `similarity` of their shingles, in chains too.
+
+    A component's id is its smallest doc_id.  `kept` marks its first row by doc_id, nulls last, and text_hash; rows
+    that agree in both are marked alike.
+    """
     which = table_minima(tables)
     same = ["h0", "h1"]  # of equal sets of shingles
 
@@ -354,31 +349,58 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
             keys = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()), mask=pa.array(empty, pa.bool_()))
             yield pa.StructArray.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), keys], [*same, "keys"])
 
-    @F.arrow_udf("h0 long, h1 long, shingles binary")
+    @F.arrow_udf("binary")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            heads, data = [], []
-            for t in slices(texts):
-                found = shingle_set(t, words)
-                heads.append(digest(found))
-                data.append(short_hashes(found).tobytes())
-            heads = np.array(heads, np.int64).reshape(-1, 2)
-            yield pa.StructArray.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), pa.array(data, pa.binary())], [*same, "shingles"])
-
-    base = pin(docs.select("doc_id", prints(F.col("text")).alias("p")).select("doc_id", "p.*"))
-    nodes = pin(base.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
-    rows = nodes.filter("id is not null").select("id", *same, F.explode("keys").alias("key"))
+            yield pa.array([short_hashes(shingle_set(t, words)).tobytes() for t in slices(texts)], pa.binary())
+
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    base = pin(docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), prints(F.col("text")).alias("p")).select("doc_id", "text_hash", "p.*"))
+    count = base.count()
+    nodes = pin(base.groupBy(*same).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), tables * count // 8)
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of a written table, so always the same
+    rows = nodes.select("node", F.explode("keys").alias("key"))
     # Most keys have one row; only documents that meet another get their sets, by a join.
     alone = Window.partitionBy("key")
-    members = [F.count(F.lit(1)).over(alone).alias("met"), F.min("id").over(alone).alias("least"), F.bit_xor(F.xxhash64("id", *same)).over(alone).alias("mix")]
-    met = pin(rows.select("*", *members).filter("met > 1"))
+    members = [F.count(F.lit(1)).over(alone).alias("met"), F.min("node").over(alone).alias("least"), F.bit_xor(F.xxhash64("node")).over(alone).alias("mix")]
+    met = pin(rows.select("*", *members).filter("met > 1"), tables * count // 8)
     # Of keys under which the same documents meet, one will do.
-    met = met.join(met.groupBy("met", "least", "mix").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "id", *same)
-    some = met.select(F.col("id").alias("doc_id")).distinct()
-    some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
-    known = docs.join(some, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), sets(F.col("text")).alias("p")).select("id", "p.*").dropDuplicates(["id", *same])
-    rows = met.join(known, ["id", *same]).select("key", "id", "shingles")
+    met = met.join(met.groupBy("met", "least", "mix").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "node")
+    some = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.text_hash").alias("of_hash"))
+    some = pin(some, count)
+    hashed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    on = (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    known = hashed.join(_broadcast_if_small(some), on).select("node", sets(F.col("text")).alias("shingles")).dropDuplicates(["node"])
+    rows = met.join(known, "node").select("key", F.col("node").alias("id"), "shingles")
     links = _by_key(rows).mapInPandas(_set_linker(similarity), "a long, b long")
-    roots = components(pin(links)).withColumnRenamed("node", "id")
-    named = nodes.join(roots, "id", "left").select(*same, "n", F.coalesce("root", "id").alias("component_id"))
-    return _attach(base.select("doc_id", *same), pin(named), same).select("doc_id", "component_id")
+    roots = components(links)
+    rooted = nodes.select(*same, "n", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    named = pin(rooted.join(least, "root").select(*same, "n", "least"), count)
+    out = _attach(base.select("doc_id", "text_hash", *same), named, same)
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return out.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def _broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """Ids for a join: broadcast up to BROADCAST_IDS of them, so that texts stay where they are; beyond, the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of `near_groups`: the first by doc_id, nulls last, and the text's hash.
+
+    Of rows that agree in these, the first by all columns' text stays.  Texts are read in place: what
+    is joined to them are the ids of rows that go.
+    """
+    groups = pin(near_groups(docs, words, similarity))
+    pairs = groups.groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    some = pin(pairs.filter("not kept or n > 1"))
+    few = _broadcast_if_small(some.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
+    twice = _broadcast_if_small(some.filter("kept").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
+    on = (F.col("__hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    hashed = docs.withColumn("__hash", text_hash(F.col("text")))
+    once = hashed.join(few, on, "left_anti").select(docs.columns)
+    copies = hashed.join(twice, on).withColumn("__all", F.to_json(F.struct(*docs.columns)))
+    one = copies.groupBy("of_id", "of_hash").agg(F.min_by(F.struct(*docs.columns), "__all").alias("row")).select("row.*")
+    return once.unionByName(one.select(docs.columns))
