@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import gc
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows of a sample for each bucket of a range.
+SAMPLED = 10
 _RESOLUTION = 1 << 30
-_CELLS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +27,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
-def slices(values: pa.Array, size: int = 500) -> Iterator:
-    """The values of an Arrow array, of which few at a time are Python objects: batches of long texts stay small."""
-    for i in range(0, len(values), size):
-        yield from values.slice(i, size).to_pylist()
+def slices(values: pa.Array, rows: int = 500, size: int = 4_000_000) -> Iterator:
+    """The values of an Arrow array of strings, of which few at a time are Python objects: `rows`, or about `size` bytes."""
+    ends, at = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(values):
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield from values.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 def per_worker(spark: SparkSession, make: Callable, *plain) -> Callable[[], Any]:
@@ -60,23 +68,36 @@ def bounded_sample(df: DataFrame, text: str, max_chars: int, by: list[str]) -> D
     return df.filter(F.pmod(F.xxhash64(*by), F.lit(_RESOLUTION)) < int(_RESOLUTION * max_chars / total))
 
 
-def range_buckets(df: DataFrame, key: str, rows: int, most: int) -> tuple[Column, int]:
-    """A column that gives consecutive values of integer `key` the same number, and how many numbers there are.
+def range_key(key: str, *ties: Column) -> Column:
+    """What rows are ordered by: whether `key` is there, its value, and the ties' values, all as integers."""
+    parts = [F.col(key).isNotNull().cast("int"), F.coalesce(F.col(key).cast("long"), F.lit(0)), *ties]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
-    A bucket has about `rows` rows, and there are `most` buckets at most.  Its
-    bounds come from quantiles, with equal steps between two of them; so equal keys
-    share a bucket, greater keys never have a smaller number, and a null's is -1.
+
+def range_buckets(df: DataFrame, key: Column, rows: int, most: int) -> tuple[Column, int]:
+    """A column that gives consecutive values of the struct `key` the same number, and how many numbers there are.
+
+    A bucket has about `rows` rows, and there are `most` buckets at most.  Bounds are values of `key` in a sample
+    of about SAMPLED rows for each bucket, as far apart as there, so neither gaps nor outliers
+    make a bucket large.  Equal keys share a bucket; greater ones never have a smaller number.
     """
     count = df.count()
     parts = max(1, min(most, -(-count // rows)))
-    cells = min(parts, _CELLS)
-    cuts = df.agg(F.percentile_approx(key, [i / cells for i in range(cells + 1)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or [0]))
-    sub = -(-parts // cells)
-    at = F.col(key)
-    cell = sum((F.when(at >= c, 1).otherwise(0) for c in cuts[1:-1]), F.lit(0))
-    low = F.element_at(F.array(*map(F.lit, cuts)), cell + 1)
-    high = F.element_at(F.array(*map(F.lit, [*cuts[1:], cuts[-1] + 1])), cell + 1)
-    within = F.floor((at - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double") * sub)
-    bucket = cell * sub + F.greatest(F.lit(0), F.least(within, F.lit(sub - 1)))
-    return F.coalesce(bucket, F.lit(-1)).cast("int"), max(1, len(cuts) - 1) * sub
+    if parts == 1:
+        return F.lit(0), 1
+    share = min(1.0, SAMPLED * parts / count)
+    sample = df.select(key.alias("k")).sample(False, share, 7).select("k.*").toPandas()
+    names = list(sample.columns)
+    sample = sample.sort_values(names, ignore_index=True)
+    cuts = sample.iloc[np.unique(np.arange(1, parts) * len(sample) // parts)].drop_duplicates() if len(sample) else sample
+    # Bounds are looked up in two steps, among the first ones of runs of them and then in one run.
+    width = max(1, int(np.ceil(np.sqrt(len(cuts)))))
+    runs = [cuts.iloc[i : i + width] for i in range(0, len(cuts), width)]
+    kind = "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
+    told = lambda table: [{n: int(v) for n, v in zip(names, r)} for r in table.itertuples(index=False)]
+    firsts = F.from_json(F.lit(json.dumps([told(r.iloc[:1])[0] for r in runs])), f"array<{kind}>")
+    all_ = F.from_json(F.lit(json.dumps([told(r) for r in runs])), f"array<array<{kind}>>")
+    wide = F.struct(*[key[n].cast("bigint").alias(n) for n in names])
+    run = F.size(F.filter(firsts, lambda x: x <= wide))
+    within = F.size(F.filter(F.element_at(all_, F.greatest(run, F.lit(1))), lambda x: x <= wide))
+    return F.when(run == 0, 0).otherwise((run - 1) * width + within).cast("int"), len(cuts) + 1

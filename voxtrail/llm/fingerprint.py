@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from voxtrail.llm.common import range_buckets
+from voxtrail.llm.common import range_buckets, range_key
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
@@ -81,22 +81,25 @@ def merge(df: DataFrame, by: list[str], sketch: str, k: int = SKETCH_SIZE, fan:
 def with_next(df: DataFrame, order: str, text: str) -> tuple[DataFrame, WindowSpec]:
     """Adds `next_text`, that of the next row by descending `order`, and after the last the first's.
 
-    Rows go to range buckets by order in one exchange that carries each text once.  A bucket's first row is also sent to the bucket before it
-    (`aux` marks such copies; drop them when done), so buckets are independent.  There
-    are MAX_BUCKETS buckets at most, which bounds what is broadcast.  Nulls come last;
-    equal ids are ordered by their text's hash.
+    Rows go to range buckets by order in one exchange that carries each text once.  A bucket's first row is
+    also sent to the bucket before it (`aux` marks such copies; drop them when done), so buckets
+    are independent.  Nulls come last; equal ids are ordered by their text's hash, and rows equal in both by
+    their place in the input, so no id has too many rows for buckets.  There are MAX_BUCKETS
+    buckets at most, which bounds what the driver holds of them.
     """
     spark = df.sparkSession
-    bucket, _ = range_buckets(df, order, BUCKET_ROWS, MAX_BUCKETS)
-    key = F.col(order)
-    heads = [(r[0], r[1]) for r in df.select(bucket.alias("b"), order).groupBy("b").agg(F.max(order)).collect()]
+    df = df.withColumn("__place", F.monotonically_increasing_id())
+    key = range_key(order, F.xxhash64(text), F.col("__place"))
+    bucket, _ = range_buckets(df, key, BUCKET_ROWS, MAX_BUCKETS)
+    columns = [c for c in df.columns if c != "__place"]
+    heads = [(r[0], r[1]) for r in df.select(bucket.alias("b"), key.alias("k"), "__place").groupBy("b").agg(F.max_by("__place", "k")).collect()]
     heads.sort(reverse=True)
-    sent = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # the first bucket's head goes round to the last
-    to = spark.createDataFrame(sent, f"__head {dict(df.dtypes)[order]}, __to int")
+    sent = [(place, heads[i - 1][0]) for i, (_, place) in enumerate(heads)]  # the first bucket's head goes round to the last
+    to = spark.createDataFrame(sent, "__head long, __to int")
     places = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("aux")), F.when(F.col("__to").isNotNull(), F.struct(F.col("__to").alias("bucket"), F.lit(True).alias("aux")))))
-    rows = df.join(F.broadcast(to), key.eqNullSafe(F.col("__head")), "left").select(*df.columns, F.explode(places).alias("__at"))
-    rows = rows.select(*df.columns, F.col("__at.bucket").alias("__bucket"), F.col("__at.aux").alias("__aux"))
-    w = Window.partitionBy("__bucket").orderBy("__aux", F.col(order).desc_nulls_last(), F.xxhash64(text))
+    rows = df.join(F.broadcast(to), F.col("__place") == F.col("__head"), "left").select(*columns, key.alias("__key"), F.explode(places).alias("__at"))
+    rows = rows.select(*columns, "__key", F.col("__at.bucket").alias("__bucket"), F.col("__at.aux").alias("__aux"))
+    w = Window.partitionBy("__bucket").orderBy("__aux", F.desc("__key"))
     return rows.withColumn("next_text", F.lead(text).over(w)), w
 
 
@@ -107,7 +110,7 @@ def fingerprint_documents(docs: DataFrame, k: int = SKETCH_SIZE) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)))
     rows = add_sketch(add_sketch(rows, "text", "own", k), "edited", "other", k)
-    rows = rows.select("doc_id", "__aux", "__bucket", F.xxhash64("text").alias("__tie"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "text")
+    rows = rows.select("doc_id", "__aux", "__bucket", "__key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other")
     rows = rows.withColumn("next_sketch", F.lead("own").over(w)).filter(~F.col("__aux"))
     return rows.select(
         "doc_id",

@@ -23,12 +23,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxtrail.llm.common import range_buckets
+from voxtrail.llm.common import range_buckets, range_key
 
 BLOCK = 256
 RANGE = 32
-QUERIES = 1024
-MOST = 1_000_000
+QUERIES = 4096
+MOST = 100_000
 _EXACT = 2.0**53
 
 
@@ -105,8 +105,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     """query_id, rank, vec_id and score of each query's k best rows of `vectors`, both as quantised integers."""
     base = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null")
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null").distinct()
-    range_, ranges = range_buckets(base, "id", BLOCK * RANGE, MOST)
-    group, groups = range_buckets(asked, "id", QUERIES, MOST)
+    range_, ranges = range_buckets(base, range_key("id", F.xxhash64("v")), BLOCK * RANGE, MOST)
+    group, groups = range_buckets(asked, range_key("id", F.xxhash64("v")), QUERIES, MOST)
 
     # Each side is dealt to all groups of the other; a pair of a group and a range meets in one task.
     left = asked.select(group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"), "id", "v")

@@ -2,15 +2,16 @@
 
 Two models of the characters of a word, with up to ORDER - 1 characters before
 them, are counted from toxic and from ordinary rows.  Each order discounts its
-counts and backs off to the next shorter context; the shortest distribution is shared,
-counted from both classes, so an expression that neither class has seen often is
-about as likely under either.  A word's log-likelihood ratio, and means of these
-over the document and over windows of words (normalised by length), are weighed
-by a logistic curve fitted on the same rows.
+counts, by amounts estimated from the counts of counts, and backs off to the next shorter
+context; the shortest distribution is shared, counted from both classes, so an
+expression that neither class has seen often is about as likely under either.
 
-A word counts once for each row that has it, and counts of one are discounted whole: they
-only lend weight to the backoff.  So what a class is known by is what several of its
-rows share, be it a word or the beginning that many of their words have.
+A text is compared by its log-likelihood under either model, normalised by length: the difference for a
+character, in the run of WINDOW words (or the whole text, if it has fewer) where it is greatest, as toxic
+texts hold few toxic words.  The score is a logistic curve of this one number, whose slope, never
+negative, and constant are fitted on rows that the models have not seen.
+
+A word counts once for each row that has it.
 
 The models are fitted on a sample of labelled rows of about `fit_chars` characters
 for each class at most (default FIT_CHARS); what is broadcast is bounded so.
@@ -32,17 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxtrail.llm.common import fold, slices
+from voxtrail.llm.common import fold, per_worker, slices
 
 FIT_CHARS = 2_000_000
-ORDER = 6
-FOLDS = 2
-DISCOUNTS = (0.0, 1.0, 1.5, 1.8)
-PRUNE = 0.1
+ORDER = 7
+FOLDS = 3
 MAX_MARKS = 1_000_000
-WINDOW = 8
-STRONG = 2.5
-MEMO = 150_000
+WINDOW = 2
+MEMO = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,8 +68,13 @@ def _counts(vocabulary: Counter) -> list[dict[str, Counter]]:
     return tables
 
 
-def _discount(count: int) -> float:
-    return DISCOUNTS[min(count, 3)]
+def discounts(table: dict[str, Counter]) -> list[float]:
+    """What counts of 0, 1, 2 and 3 or more are discounted by, from how many counts of 1 to 4 there are."""
+    seen = Counter(n for c in table.values() for n in c.values() if n <= 4)
+    if not all(seen[n] for n in (1, 2, 3, 4)):
+        return [0.0, 0.5, 0.5, 0.5]
+    share = seen[1] / (seen[1] + 2 * seen[2])
+    return [0.0, *(min(n, max(0.1, n - (n + 1) * share * seen[n + 1] / seen[n])) for n in (1, 2, 3))]
 
 
 @dataclass
@@ -81,10 +84,12 @@ class KneserNey:
     tables: list[dict[str, Counter]]
     shared: dict[str, float]
     floor: float
+    off: list[list[float]] = field(init=False)
     sums: list[dict[str, tuple[int, float]]] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.sums = [{h: (sum(c.values()), sum(_discount(n) for n in c.values())) for h, c in t.items()} for t in self.tables]
+        self.off = [discounts(t) for t in self.tables]
+        self.sums = [{h: (sum(c.values()), sum(d[min(n, 3)] for n in c.values())) for h, c in t.items()} for t, d in zip(self.tables, self.off)]
 
     def char(self, context: str, char: str) -> float:
         """Probability of `char` after `context`."""
@@ -96,140 +101,135 @@ class KneserNey:
                 break
             n, freed = total
             seen = self.tables[k][h][char]
-            p = (seen - _discount(seen) + freed * p) / n
+            p = (seen - self.off[k][min(seen, 3)] + freed * p) / n
         return p
 
+    def word(self, word: str) -> float:
+        """Log-likelihood of a word's characters and its end."""
+        edged = f"<{word}>"
+        return sum(math.log(self.char(edged[max(0, i - ORDER + 1) : i], edged[i])) for i in range(1, len(edged)))
+
 
-@dataclass
 class Model:
-    """Log ratios of each seen (context, character), what contexts add on backing off, and the curve's weights."""
+    """Log ratios of each seen (context, character), what contexts add on backing off, and the curve's slope and constant."""
 
-    ratio: dict[str, float]
-    backoff: dict[str, float]
-    weights: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
-    memo: dict[str, float] = field(default_factory=dict)
-    grams: dict[str, float] = field(default_factory=dict)
+    def __init__(self, ratio: dict[str, float], backoff: dict[str, float], slope: float, constant: float) -> None:
+        self.ratio, self.backoff, self.slope, self.constant = ratio, backoff, slope, constant
+        self.memo: dict[str, float] = {}
+        self.older: dict[str, float] = {}
+        self.grams: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         """Log-likelihood ratio of a word: the sum over its characters and its end."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            edged, grams, found = f"<{word}>", self.grams, 0.0
-            for end in range(2, len(edged) + 1):
-                gram = edged[max(0, end - ORDER) : end]
-                part = grams.get(gram)
-                if part is None:
+        edged, ratio, grams, found = f"<{word}>", self.ratio, self.grams, 0.0
+        for end in range(2, len(edged) + 1):
+            gram = edged[max(0, end - ORDER) : end]
+            hit = ratio.get(gram)
+            if hit is None:
+                hit = grams.get(gram)
+                if hit is None:
                     if len(grams) >= MEMO:
                         grams.clear()
-                    part = grams[gram] = _found(self.ratio, self.backoff, gram)
-                found += part
-            self.memo[word] = found
+                    hit = grams[gram] = self._found(gram)
+            found += hit
         return found
 
-    def features(self, text: str | None) -> list[float]:
-        """Mean, greatest, mean of three greatest and best window's mean ratio; distinct words of strong ratio, their share; length."""
+    def _found(self, gram: str) -> float:
+        """The ratio of a gram's last character, by its longest seen suffix and the contexts passed on the way."""
+        out = 0.0
+        for low in range(len(gram) - 1):
+            hit = self.ratio.get(gram[low:])
+            if hit is not None:
+                return out + hit
+            out += self.backoff.get(gram[low:-1], 0.0)
+        return out
+
+    def difference(self, text: str | None) -> float:
+        """The greatest difference of the log-likelihoods for a character over WINDOW words; 0 without words."""
         found = words(text)
         if not found:
-            return [0.0] * N_FEATURES
-        memo, rate = self.memo, self.word
-        x = np.array([memo[w] if w in memo else rate(w) for w in found])
-        top = np.sort(x)[-3:]
+            return 0.0
+        if len(self.memo) >= MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older, at = self.memo, self.older, -1
+        x = list(map(memo.get, found))
+        for _ in range(x.count(None)):
+            at = x.index(None, at + 1)
+            word = found[at]
+            rate = memo.get(word)
+            if rate is None:
+                rate = older.get(word)
+                memo[word] = rate = self.word(word) if rate is None else rate
+            x[at] = rate
         sums = np.concatenate(([0.0], np.cumsum(x)))
+        chars = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)))
         size = min(WINDOW, len(x))
-        window = (sums[size:] - sums[:-size]).max() / size
-        strong = x > STRONG
-        distinct = len({found[i] for i in np.flatnonzero(strong)})
-        return [x.mean(), top[-1], top.mean(), window, np.log1p(distinct), strong.mean(), np.log1p(len(x))]
+        return float(((sums[size:] - sums[:-size]) / (chars[size:] - chars[:-size])).max())
 
     def score(self, text: str | None) -> float:
         """Probability of the toxic label."""
-        z = (np.array(self.features(text)) - self.centre) / self.spread
-        return float(1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -40, 40))))
-
-
-N_FEATURES = 7
+        z = self.slope * self.difference(text) + self.constant
+        return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope, 0 at least, and constant of a logistic curve, by Newton steps from a flat one, on a slightly ridged loss."""
+    x = np.stack([x, np.ones(len(x))], 1)
+    ridge = np.diag([1e-3, 1e-6])
+    w = np.array([0.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + w @ ridge @ w / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T * (p * (1 - p)) @ x + ridge, x.T @ (y - p) - ridge @ w)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
 
 
-def _ratios(toxic: Counter, ordinary: Counter) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratios of the two classes' models for all n-grams that either has seen."""
-    both = [_counts(v) for v in (toxic, ordinary)]
+def class_models(rows: list[tuple[str, int]]) -> tuple[KneserNey, KneserNey]:
+    """The models of toxic and of ordinary rows."""
+    vocabulary = {1: Counter(), 0: Counter()}
+    for text, y in rows:
+        vocabulary[y].update(set(words(text)))
+    both = [_counts(vocabulary[y]) for y in (1, 0)]
     shared = Counter()
     for tables in both:
         for c in tables[0].values():
             shared.update(c)
     total = sum(shared.values()) + len(shared) + 1
     base = {c: (n + 1) / total for c, n in shared.items()}
-    a, b = (KneserNey(t, base, 1 / total) for t in both)
+    return KneserNey(both[0], base, 1 / total), KneserNey(both[1], base, 1 / total)
+
+
+def _ratios(a: KneserNey, b: KneserNey) -> tuple[dict[str, float], dict[str, float]]:
+    """Log ratios of two models for all n-grams that either has seen, and what contexts add to those of shorter ones."""
     ratio: dict[str, float] = {}
     backoff: dict[str, float] = {}
     for k in range(1, ORDER):
         for h in {*a.tables[k], *b.tables[k]}:
             (na, da), (nb, db) = a.sums[k].get(h, (1, 1.0)), b.sums[k].get(h, (1, 1.0))
-            passed = math.log(da / na / (db / nb))
-            if passed:
-                backoff[h] = passed
+            backoff[h] = math.log(da / na / (db / nb))
             for char in {*a.tables[k].get(h, ()), *b.tables[k].get(h, ())}:
-                exact = math.log(a.char(h, char) / b.char(h, char))
-                if abs(exact - passed - _found(ratio, backoff, h[1:] + char)) > PRUNE:
-                    ratio[h + char] = exact
+                ratio[h + char] = math.log(a.char(h, char) / b.char(h, char))
     return ratio, backoff
 
 
-def _found(ratio: dict[str, float], backoff: dict[str, float], gram: str) -> float:
-    """The ratio of a gram's last character, by its longest kept suffix and the contexts passed on the way."""
-    out = 0.0
-    for low in range(len(gram) - 1):
-        hit = ratio.get(gram[low:])
-        if hit is not None:
-            return out + hit
-        out += backoff.get(gram[low:-1], 0.0)
-    return out
-
-
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """Fits the curve on rows scored by models that have not seen them, then the models on all rows."""
+    """Fits the curve on rows compared by models that have not seen them, then the models on all rows."""
     rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    blank = Model({}, {}, np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES), np.ones(N_FEATURES))
     share = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
-    blank.weights[-1] = np.log(share / (1 - share))
     if len({y for _, y in rows}) < 2:
-        return blank
-
-    def learn(some: list[tuple[str, int]]) -> Model:
-        vocabulary = {1: Counter(), 0: Counter()}
-        for text, y in some:
-            vocabulary[y].update(set(words(text)))
-        return Model(*_ratios(vocabulary[1], vocabulary[0]), blank.weights, blank.centre, blank.spread)
-
+        return Model({}, {}, 0.0, math.log(share / (1 - share)))
     x, y = [], []
     for part in range(FOLDS):
-        model = learn([r for i, r in enumerate(rows) if i % FOLDS != part])
+        model = Model(*_ratios(*class_models([r for i, r in enumerate(rows) if i % FOLDS != part])), 0.0, 0.0)
         for text, label in (r for i, r in enumerate(rows) if i % FOLDS == part):
-            x.append(model.features(text))
+            x.append(model.difference(text))
             y.append(label)
-    x, y = np.array(x), np.array(y, float)
-    centre, spread = x.mean(0), x.std(0) + 1e-6
-    model = learn(rows)
-    model.weights, model.centre, model.spread = _logistic((x - centre) / spread, y), centre, spread
-    return model
+    return Model(*_ratios(*class_models(rows)), *logistic(np.array(x), np.array(y, float)))
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, fit_chars: int = FIT_CHARS, held_out_modulus: int = 5) -> Model:
@@ -249,11 +249,11 @@ def fit_documents(docs: DataFrame, labels: DataFrame, fit_chars: int = FIT_CHARS
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with column score, in place of one of that name; needs neither shuffle nor sort."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = per_worker(docs.sparkSession, Model, model.ratio, model.backoff, model.slope, model.constant)
 
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = get()
         for texts in batches:
             yield pa.array([model.score(t) for t in slices(texts)], pa.float64())
 
