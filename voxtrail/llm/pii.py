@@ -1,17 +1,20 @@
 """Format-preserving pseudonyms of personal data, in DataFrame functions only.
 
-E-mail addresses, IPv4 addresses, dates, social security numbers, telephone numbers
-and payment card numbers are found by one pattern and validated: card numbers by
-their check digit, dates by the calendar, social security numbers by the areas in use,
-addresses by their octets.  A valid value is replaced by its image under a keyed Feistel
+E-mail addresses, IPv4 addresses, bank accounts (IBAN), dates, social security numbers, telephone numbers
+and payment card numbers are found by one pattern and validated: card and account numbers by
+their check digits and an account's length by its country, dates by the calendar, social security numbers by the areas in use,
+addresses by their octets, international telephone numbers by their length.  A valid value is replaced by its image under a keyed Feistel
 permutation of the values of its format, so equal values get equal pseudonyms in all
 documents, different ones different, and a pseudonym is valid again.
 
 Characters are permuted within their class (digit, small or capital letter) by rounds in
 which one half of the text shifts the other; dates, IPv4 addresses and social security
 numbers are numbered, and the number is permuted as a pair of parts, each shifted by
-the other.  Separators, an address's domain, a card's first digit and a telephone number's
-country stay; a card's check digit is computed anew.
+the other.  Separators, an address's domain, a card's first digit and the country of an account or a telephone number
+stay; check digits are computed anew.
+
+The key is a secret of whoever runs this: `session_key` reads it from the session's setting KEY_SETTING.  KEY
+is for tests; what is made with it can be undone by anyone.
 
 Defined cases: a null text stays null; a text without values stays as it is; numbers
 that fail validation stay, but a card number among other numbers is found by its
@@ -21,8 +24,11 @@ in the order above; repeated rows are treated alike.  Everything is row-local.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+KEY_SETTING = "spark.voxtrail.pseudonym.key"
 ROUNDS = 8
 WALK = 100  # a walk past as many early days has a probability of 1e-40
 KEY = "voxtrail"
@@ -32,16 +38,32 @@ _EPOCH, _DAYS, _LAST = "1800-01-01", 146_097, "2199-12-31"  # one Gregorian cycl
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
-DATE = r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/\-]|\.\d)"
+DATE = r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/\-]|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d(+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])"
 CARD = r"(?<![\d.,\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
-PATTERN = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+FOREIGN = r"(?<![\d+(])\+\d{1,3}(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?![\d\-])"
+#: Lengths of account numbers by country.
+ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNTS.items()) + ")(?![A-Za-z0-9])"
+OTHERS = "|".join((EMAIL, IP, IBAN, DATE, SSN, PHONE, FOREIGN))
+PATTERN = f"{OTHERS}|{CARD}"
 #: Layouts of cards that may have other numbers beside them, which CARD takes along.
 _START, _END = r"(?<![\d.,\-])", r"(?!\d|-\d{4})"
 LAYOUTS = (r"\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})", r"\d{4}(?: \d{6} \d{5}|-\d{6}-\d{5})", r"\d{4}(?: \d{6} \d{4}|-\d{6}-\d{4})", r"\d{13,19}")
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session is set to, or KEY with a warning."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key", stacklevel=2)
+    return key or KEY
+
+
 def _digest(key: str, *parts: Column) -> Column:
     """A number of 60 bits that depends on the key and all parts."""
     text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
@@ -89,10 +111,20 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def _refit(text: Column, digits: Column) -> Column:
-    """`text` with its digits replaced by `digits`, in order."""
-    place = lambda i: F.length(_digits(F.substring(text, F.lit(1), i + 1)))
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+def _refit(text: Column, signs: Column, kept: str = r"\D") -> Column:
+    """`text` with its signs other than `kept` replaced by `signs`, in order."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), kept, ""))
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(kept), c).otherwise(F.substring(signs, place(i), F.lit(1)))), "")
+
+
+def _remainder(account: Column) -> Column:
+    """The remainder by 97 of an account number without blanks: country and check digits behind the rest, letters as 10 to 35."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c.rlike(r"\d"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
 def _luhn(digits: Column, doubled: int) -> Column:
@@ -103,7 +135,7 @@ def _luhn(digits: Column, doubled: int) -> Column:
 
 def _calendar(text: Column) -> Column:
     """The date of any of the three layouts, null if the calendar has none or it is out of range."""
-    iso = F.when(text.rlike(r"^\d{4}-"), text).otherwise(F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)))
+    iso = F.when(text.rlike(r"^\d{4}[-/]"), F.translate(text, "/", "-")).otherwise(F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)))
     found = F.try_to_date(iso, "yyyy-MM-dd")
     found = F.coalesce(found, F.try_to_date(F.when(_month_first(text), F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2))), "yyyy-MM-dd"))
     return F.when(found.between(F.lit(_EPOCH).cast("date"), F.lit(_LAST).cast("date")), found)
@@ -127,7 +159,7 @@ def _walk(key: str, day: Column) -> Column:
 
 
 def kind(text: Column) -> Column:
-    """email, ip, date, ssn, phone or card for a valid value that the pattern found, else null."""
+    """email, ip, date, ssn, iban, phone or card for a valid value that the pattern found, else null."""
     whole = lambda p: text.rlike(rf"^(?:{p})$")
     area, group, serial = (F.substring(text, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     return (
@@ -135,7 +167,9 @@ def kind(text: Column) -> Column:
         .when(whole(IP), "ip")
         .when(whole(DATE), F.when(_calendar(text).isNotNull(), "date"))
         .when(whole(SSN), F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), "ssn"))
+        .when(whole(IBAN), F.when(_remainder(F.replace(text, F.lit(" "), F.lit(""))) == 1, "iban"))
         .when(whole(PHONE), "phone")
+        .when(F.startswith(text, F.lit("+")), F.when(F.length(_digits(text)).between(8, 15), "phone"))
         .when(_luhn(_digits(text), 1) % 10 == 0, "card")
     )
 
@@ -152,22 +186,28 @@ def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
     day = F.datediff(_calendar(text), F.lit(_EPOCH).cast("date"))
     date = F.date_add(F.lit(_EPOCH).cast("date"), _number(permute_pair(key, "date", F.floor(day / 773), day % 773, 189, 773), 773))
     late = F.date_add(F.lit(_EPOCH).cast("date"), _walk(key, day))
-    date = F.when(_month_first(text), F.date_format(late, "MM/dd/yyyy")).when(F.substring(text, 3, 1) == "/", F.date_format(date, "dd/MM/yyyy")).when(F.substring(text, 3, 1) == ".", F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    date = F.when(_month_first(text), F.date_format(late, "MM/dd/yyyy")).when(F.substring(text, 3, 1) == "/", F.date_format(date, "dd/MM/yyyy")).when(F.substring(text, 3, 1) == ".", F.date_format(date, "dd.MM.yyyy")).when(F.substring(text, 5, 1) == "/", F.date_format(date, "yyyy/MM/dd")).otherwise(F.date_format(date, "yyyy-MM-dd"))
 
     area = F.substring(text, 1, 3).cast("int")
     rest = (F.substring(text, 5, 2).cast("int") - 1) * 9999 + F.substring(text, 8, 4).cast("int") - 1
     ssn = F.transform(F.array(permute_pair(key, "ssn", area - 1 - F.when(area > 666, 1).otherwise(0), rest, 898, 99 * 9999)), _social)[0]
 
     digits = _digits(text)
-    country = F.length(digits) - 10
-    phone = _refit(text, F.concat(F.substring(digits, F.lit(1), country), permute_text(key, "phone", F.substring(digits, country + 1, F.lit(10)))))
+    foreign = ~text.rlike(rf"^(?:{PHONE})$")
+    country = F.when(foreign, F.when(F.substring(digits, 1, 1).isin("1", "7"), 1).otherwise(2)).otherwise(F.length(digits) - 10)
+    phone = _refit(text, F.concat(F.substring(digits, F.lit(1), country), permute_text(key, "phone", F.substring(digits, country + 1, F.length(digits)))))
 
     body = F.concat(F.substring(digits, 1, 1), permute_text(key, "card", F.substring(digits, F.lit(2), F.length(digits) - 2)))
     card = F.transform(F.array(body), lambda d: F.concat(d, F.pmod(-_luhn(d, 0), F.lit(10)).cast("string")))[0]
     card = _refit(text, card)
 
+    plain = F.replace(text, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, 1, 2), F.lit("00"), permute_text(key, "iban", F.substring(plain, F.lit(5), F.length(plain))))
+    account = F.transform(F.array(moved), lambda a: F.concat(F.substring(a, 1, 2), F.lpad((98 - _remainder(a)).cast("string"), 2, "0"), F.substring(a, F.lit(5), F.length(a))))[0]
+    account = _refit(text, account, " ")
+
     out = text
-    for name, value in (("email", email), ("ip", ip), ("date", date), ("ssn", ssn), ("phone", phone), ("card", card)):
+    for name, value in (("email", email), ("ip", ip), ("iban", account), ("date", date), ("ssn", ssn), ("phone", phone), ("card", card)):
         out = F.when(kind == name, value).otherwise(out)
     return out
 
@@ -195,14 +235,15 @@ def _pattern(text: Column) -> Column:
     def with_cards(cards: Column) -> Column:
         exact = F.concat(F.lit(f"{_START}(?:"), F.array_join(cards, "|"), F.lit(f"){_END}"))
         around = F.concat(F.lit(r"(?<![\d.,\-])\d(?:[ \-]?(?!"), exact, F.lit(r")\d){12,18}(?![\d\-])"))
-        return F.concat(F.lit("|".join((EMAIL, IP, DATE, SSN, PHONE)) + "|"), exact, F.lit("|"), around)
+        return F.concat(F.lit(OTHERS + "|"), exact, F.lit("|"), around)
 
     chosen = F.transform(F.array(cards), lambda c: F.when(F.size(c) > 0, with_cards(c)).otherwise(F.lit(PATTERN)))[0]
     return F.when(text.rlike(CARD), chosen).otherwise(F.lit(PATTERN))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, found: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in column `text`; `found` names a column for (kind, start, original's length, pseudonym) of each value."""
+    key = session_key(docs.sparkSession) if key is None else key
     t = F.col(text)
     has = t.rlike(r"\d|@")
     docs = docs.withColumn("__pattern", F.when(has, _pattern(t)))
@@ -225,7 +266,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, found: str
     return docs.withColumn(text, changed).drop("__pattern", "__values", "__marked", "__named", "__gaps")
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, the text with pseudonyms, the number of values replaced and their kinds."""
     rows = pseudonymise(docs.select("doc_id", "text"), "text", key, "found")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda m: m["kind"]))), ",")
