@@ -3,7 +3,11 @@
 Rules and features are DataFrame functions; a fitted model is a sum of CASE
 expressions, so judging a table is one projection without exchange or Python.
 The trees are fitted on the driver from a sample of labelled URLs of at most
-about `max_rows` rows (default FIT_ROWS), chosen by a hash of the URL.
+about `max_rows` distinct ones (default FIT_ROWS), chosen by a hash of the URL and
+weighed by how many rows have them, so a URL in very many rows is one row of the sample.
+
+Statistics of suffixes (a host's last label) are smoothed log odds of their labels.  A row that trees
+learn from gets those of the other folds of hosts, so they do not tell it its own label.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits
 no rule and is judged by the trees (a null as an empty text); equal urls get
@@ -12,6 +16,8 @@ equal verdicts; without labelled urls, the trees allow everything.
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
@@ -19,8 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 FIT_ROWS = 20_000
-SUFFIXES = 256
-FEATURES = ("length", "host_length", "path_length", "depth", "host_dots", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_odds", "domain_odds")
+FOLDS = 5
+FEATURES = ("length", "host_length", "path_length", "depth", "host_dots", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_odds")
 
 
 @dataclass(frozen=True)
@@ -65,7 +71,7 @@ def _entropy(text: Column) -> Column:
 
 
 def add_features(df: DataFrame) -> DataFrame:
-    """Adds host, path, the suffix keys and the features that need no statistics; reads column `url`."""
+    """Adds host, path, the suffix and the features that need no statistics; reads column `url`."""
     host, path = host_and_path(F.col("url"))
     df = df.withColumn("__url", F.coalesce("url", F.lit(""))).withColumn("host", host).withColumn("path", path)
     u, h = F.col("__url"), F.col("host")
@@ -73,7 +79,6 @@ def add_features(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         F.substring_index(h, ".", -1).alias("suffix"),
-        F.substring_index(h, ".", -2).alias("domain"),
         F.length(u).cast("double").alias("length"),
         F.length(h).cast("double").alias("host_length"),
         F.length("path").cast("double").alias("path_length"),
@@ -93,13 +98,11 @@ class Model:
     base: float
     trees: list
     suffix: dict[str, float]
-    domain: dict[str, float]
 
     def score(self) -> Column:
-        columns = {f: F.col(f) for f in FEATURES[:-2]}
-        for name, key, odds in (("suffix_odds", "suffix", self.suffix), ("domain_odds", "domain", self.domain)):
-            found = F.element_at(F.create_map(*[F.lit(x) for pair in odds.items() for x in pair]), F.col(key)) if odds else F.lit(None)
-            columns[name] = F.coalesce(found, F.lit(0.0))
+        columns = {f: F.col(f) for f in FEATURES[:-1]}
+        odds = F.from_json(F.lit(json.dumps(self.suffix)), "map<string,double>")
+        columns["suffix_odds"] = F.coalesce(F.element_at(odds, F.col("suffix")), F.lit(0.0))
 
         def walk(node) -> Column:
             if isinstance(node, float):
@@ -109,25 +112,35 @@ class Model:
         return sum((walk(t) for t in self.trees), F.lit(self.base))
 
 
-def _odds(keys: list[str], y: np.ndarray) -> dict[str, float]:
-    """Smoothed log odds of the most frequent keys, SUFFIXES at most."""
-    found: dict[str, list[int]] = {}
-    for key, label in zip(keys, y.tolist(), strict=True):
-        seen = found.setdefault(key, [0, 0])
-        seen[int(label)] += 1
-    top = sorted(found.items(), key=lambda x: (-sum(x[1]), x[0]))[:SUFFIXES]
-    return {k: float(np.log((b + 1) / (a + 1))) for k, (a, b) in top}
+def _odds(keys: list[str], y: np.ndarray, weight: np.ndarray) -> dict[str, float]:
+    """Smoothed log odds of the keys."""
+    found: dict[str, list[float]] = {}
+    for key, label, w in zip(keys, y.tolist(), weight.tolist(), strict=True):
+        found.setdefault(key, [0.0, 0.0])[int(label)] += w
+    return {k: float(np.log((b + 1) / (a + 1))) for k, (a, b) in found.items()}
+
+
+def other_odds(suffixes: list[str], hosts: list[str], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The odds of each row's suffix among the rows of other folds of hosts; 0 where these have none."""
+    fold = np.array([zlib.crc32(h.encode()) % FOLDS for h in hosts], np.int64)
+    out = np.zeros(len(y))
+    for f in range(FOLDS):
+        rest = np.flatnonzero(fold != f)
+        odds = _odds([suffixes[i] for i in rest], y[rest], weight[rest])
+        for i in np.flatnonzero(fold == f):
+            out[i] = odds.get(suffixes[i], 0.0)
+    return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, penalty: float = 1.0) -> tuple[float, list]:
-    """Gradient-boosted trees for labels 0 and 1, split on quantile bins by the second-order gain."""
-    base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, penalty: float = 1.0) -> tuple[float, list]:
+    """Gradient-boosted trees for weighed labels 0 and 1, split on quantile bins by the second-order gain."""
+    base = float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     at = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
     score, out = np.full(len(y), base), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         step = np.zeros(len(y))
 
         def grow(rows: np.ndarray, left: int):
@@ -157,17 +170,20 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: f
 
 
 def fit(labelled: DataFrame, max_rows: int = FIT_ROWS) -> Model:
-    """Fits from columns url and block (1 or 0) of `labelled`, on a bounded sample."""
-    rows = labelled.count()
-    if rows > max_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * max_rows / rows))
-    got = sorted(add_features(labelled).select("suffix", "domain", "block", *FEATURES[:-2]).collect())
+    """Fits from columns url and block (1 or 0) of `labelled`, on a bounded sample of distinct urls."""
+    distinct = labelled.agg(F.approx_count_distinct("url")).first()[0] or 0
+    if distinct > max_rows:
+        labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * max_rows / distinct))
+    counted = labelled.groupBy("url", "block").agg(F.count(F.lit(1)).alias("times"))
+    got = sorted(add_features(counted).select("url", "suffix", "host", "block", "times", *FEATURES[:-1]).collect(), key=lambda r: (r[0] or "", r[3]))
     if not got:
-        return Model(-1.0, [], {}, {})
-    y = np.array([r[2] for r in got], float)
-    suffix, domain = _odds([r[0] for r in got], y), _odds([r[1] for r in got], y)
-    x = np.array([[*r[3:], suffix.get(r[0], 0.0), domain.get(r[1], 0.0)] for r in got], float)
-    return Model(*boost(x, y), suffix, domain)
+        return Model(-1.0, [], {})
+    y, weight = np.array([r[3] for r in got], float), np.array([r[4] for r in got], float)
+    weight /= weight.mean()
+    suffixes = [r[1] for r in got]
+    x = np.array([r[5:] for r in got], float)
+    x = np.hstack([x, other_odds(suffixes, [r[2] for r in got], y, weight)[:, None]])
+    return Model(*boost(x, y, weight), _odds(suffixes, y, weight))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_rows: int = FIT_ROWS) -> DataFrame:
