@@ -7,7 +7,8 @@ seen n-grams' log frequencies.  A document's language is the one with the
 greatest sum over its words.
 
 The model is fitted on a sample of labelled rows of about `fit_chars` characters
-at most (default FIT_CHARS), so what is broadcast to executors is bounded.
+at most (default FIT_CHARS), of which each language may have an equal share, so rare
+ones keep more of their rows and what is broadcast to executors is bounded.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties
 go to the first language by name; repeated rows get equal results; without any
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxtrail.llm.common import bounded_sample, fold, slices
+from voxtrail.llm.common import fold, per_worker, slices
 
 FIT_CHARS = 4_000_000
 LONGEST = 5
@@ -120,17 +121,21 @@ def fit(rows: Iterator[tuple[str, str]]) -> Model:
 def fit_documents(docs: DataFrame, fit_chars: int = FIT_CHARS, held_out_modulus: int = 5) -> Model:
     """Fits on rows outside the held-out fold that have a language."""
     rows = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id"), held_out_modulus) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = bounded_sample(rows, "text", fit_chars, ["doc_id"])
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
+    if sum(sizes.values()) > fit_chars:
+        share = {lang: min(1.0, fit_chars / len(sizes) / max(1, n)) for lang, n in sizes.items()}
+        keep = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 30)))])
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < keep[F.col("lang")])
     return fit((r[0], r[1]) for r in rows.select("text", "lang").orderBy("doc_id").toLocalIterator())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with columns lang_pred and score, in place of any of these names; needs neither shuffle nor sort."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = per_worker(docs.sparkSession, Model, model.langs, model.word_row, model.gram_row, model.word_log, model.gram_log)
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = get()
         for texts in batches:
             found = [model.predict(t) for t in slices(texts)]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
