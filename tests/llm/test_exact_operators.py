@@ -2,7 +2,10 @@
 
 import hashlib
 import re
+import time
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -13,7 +16,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxtrail.llm import bpe, fingerprint, golay, packing, pii, simhash, topk
+from voxtrail import session
+from voxtrail.llm import bpe, fingerprint, golay, graph, packing, pii, simhash, topk
 from voxtrail.llm.common import table
 from voxtrail.llm.graph import components
 
@@ -43,11 +47,21 @@ def test_pieces_made_of_tokens(tokens):
     assert list(CODEC.transducer.encode(piece)) == TIKTOKEN._core_bpe.encode_single_piece(piece)
 
 
-def test_simulation_equals_the_table():
-    small = bpe.Transducer(RANKS, max_states=20)
+def test_moves_made_anew_equal_those_kept():
+    small = bpe.Transducer(RANKS, max_moves=20)
     for text in ("antidisestablishmentarianism", "Donaudampfschifffahrt", "aaaaaaaaaaaaaaa", "é" * 30):
-        assert small.encode(text.encode()) == CODEC.transducer.encode(text.encode())
-    assert len(small.step) <= 20
+        assert small.encode(text.encode()) == CODEC.transducer.encode(text.encode()) == TIKTOKEN._core_bpe.encode_single_piece(text.encode())
+    assert len(small.moves) <= 20
+
+
+def test_one_long_piece_takes_work_in_proportion():
+    rng = np.random.default_rng(0)
+    piece = "".join(rng.choice(list("abcdefghijklmnoprstuvwxyzéèñü"), 300_000))
+    start = time.process_time()
+    ids = CODEC.transducer.encode(piece.encode())
+    assert time.process_time() - start < 10
+    assert b"".join(CODEC.transducer.token[i] for i in ids).decode() == piece
+    assert ids[:1000] == TIKTOKEN._core_bpe.encode_single_piece(piece[:20_000].encode())[:1000]
 
 
 def test_streaming_never_gives_broken_characters():
@@ -98,17 +112,43 @@ def test_special_marks_in_texts_follow_the_library():
         assert np.frombuffer(WORDS.encode_batch([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-def test_cuts_cover_every_length():
-    for n in range(1, 5000):
-        c = packing.cut(n)
-        assert c[0][0] == 0 and sum(m for _, m in c) == n and all(a + m == b for (a, m), (b, _) in zip(c, c[1:])) and max(m for _, m in c) <= 2048
+def test_marks_after_letters_that_decompose_follow_the_library():
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalnum() and (len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c)]
+    assert "İ" in letters and "\u0958" in letters
+    for c in letters:
+        for text in (f"{c}?", f"ab{c}!?", f"{c}' x", f"A{c}. b"):
+            assert np.frombuffer(WORDS.encode_batch([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_that_were_forgotten_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 3)
+    small = packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    for text in ("one two, Three", "four five six!", "one two seven", "Three, one eight", "", "nine one"):
+        assert np.frombuffer(small.encode_batch([text, text])[1], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def _packed(lengths, capacity, **more):
+    item, start, length, window = packing.pack_lengths(np.array(lengths, np.int64), capacity, **more)
+    assert not lengths or np.bincount(window, length).max() <= capacity
+    for i, n in enumerate(lengths):
+        own = sorted(zip(start[item == i].tolist(), length[item == i].tolist()))
+        assert own[0][0] == 0 and sum(m for _, m in own) == n and all(a + m == b for (a, m), (b, _) in zip(own, own[1:]))
+    return item, window
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60), st.integers(64, 100))
 def test_windows_hold_their_pieces(lengths, capacity):
-    at = packing.pack_lengths(np.array(lengths, np.int64), capacity)
-    assert len(at) == len(lengths) and (not lengths or np.bincount(at, lengths).max() <= capacity)
+    _packed(lengths, capacity, grain=8)
+
+
+def test_most_items_stay_whole_and_little_is_empty():
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 2048, 600), np.minimum(2047, rng.lognormal(5.5, 1.2, 1500).astype(int) + 1), np.full(400, 1100)):
+        item, window = _packed(lengths.tolist(), 2048)
+        assert (window.max() + 1) * 2048 <= 1.016 * lengths.sum() + 2048
+        if len(set(lengths)) > 1:
+            assert (np.bincount(item) == 1).mean() > 0.8
 
 
 def test_differencing_levels_known_sets():
@@ -160,6 +200,22 @@ def test_fingerprints_awkward(spark, docs_of, awkward):
     assert len(fingerprint.fingerprint_documents(docs_of([(7, "a", None), (7, "a", None), (None, "b", None)])).collect()) == 3
 
 
+def test_next_documents_with_outlying_and_repeated_ids(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 20)
+    ids = [*range(200), *[77] * 150, 2**63 - 1, -(2**63), *[None] * 60]
+    docs = docs_of([(i, f"text {n} of {i}", None) for n, i in enumerate(ids)])
+    rows, _ = fingerprint.with_next(docs.select("doc_id", "text"), "doc_id", "text")
+    rows = rows.select("doc_id", "text", "next_text", "__bucket", "__aux").collect()
+    own = [r for r in rows if not r["__aux"]]
+    assert max(Counter(r["__bucket"] for r in own).values()) < 120
+    assert len(own) == len(ids) and {r.text for r in own} == {r.next_text for r in own}  # one ring of all rows
+    first = lambda i: [r for r in own if r.doc_id == i]
+    assert first(2**63 - 1)[0].next_text.endswith(" of 199") and first(100)[0].next_text.endswith(" of 99")
+    assert sum(r.next_text.endswith(" of 77") for r in own if r.doc_id == 77) == 150 and first(78)[0].next_text.endswith(" of 77")
+    last = [r for r in own if r.doc_id is None and r.next_text.endswith(f" of {2**63 - 1}")]
+    assert len(last) == 1 and first(-(2**63))[0].next_text.endswith(" of None")
+
+
 def test_sketches_merge_and_estimate(spark):
     text = " ".join(f"w{i}" for i in range(3000))
     df = spark.createDataFrame([(0, text), (1, text[:9000])], "k int, text string")
@@ -192,6 +248,25 @@ def test_top_k_is_exact(spark):
     assert {k: sorted(v) for k, v in got.items()} == brute([r.vec_id for r in rows], q, 5, 50)
 
 
+def test_top_k_with_outlying_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "RANGE", 2)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(11)
+    ids = [*range(0, 400, 10), *[50] * 30, 2**63 - 1, -(2**63)]
+    rows = [(i, rng.standard_normal(5).round(3).tolist()) for i in ids]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.neighbours(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i != 50}
+    everything = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    for i, v in q.items():
+        if i % 50 == 0:
+            best = sorted((-int(v @ w), j) for j, w in everything if j != i)[:5]
+            assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+
+
 def test_blocks_prune_without_loss():
     rng = np.random.default_rng(0)
     m = np.repeat(rng.integers(-50, 50, (20, 6)) * 5, 64, 0) + rng.integers(-3, 4, (1280, 6))
@@ -275,7 +350,7 @@ def test_links_in_crowded_keys(spark):
     fps |= {base ^ (0b111 << 60), base ^ (0b11111 << 50)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     nodes = spark.createDataFrame(signed, "fp long")
-    hot = simhash.links_within_two_bits(nodes)
+    hot = simhash.links_within_two_bits(nodes, len(signed))
     roots = {r.node: r.root for r in components(hot).collect()}
     want = unite({s[0]: s[0] & ((1 << 64) - 1) for s in signed})
     for a in want:
@@ -283,7 +358,14 @@ def test_links_in_crowded_keys(spark):
             assert (want[a] == want[b]) == (roots.get(a, a) == roots.get(b, b))
 
 
-def test_components_of_chains_and_stars(spark):
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    _components_of_chains_and_stars(spark)
+    monkeypatch.setattr(graph, "PART_ROWS", 20)  # so that edges are in several parts
+    monkeypatch.setattr(session, "PART_ROWS", 20)
+    _components_of_chains_and_stars(spark)
+
+
+def _components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(51)) and all(got[i] == 100 for i in range(100, 140))
@@ -350,6 +432,23 @@ def test_tables_miss_few_pairs_at_the_threshold():
     assert missed.mean() < 1e-4
 
 
+def test_near_copies_of_awkward_rows(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, long, "en"), (1, "another text under the same id with words enough", "en"), (2, long, "en"), (None, long, "en"), (None, "no id but a text of its own", "en")]
+    rows += [(3, "one two three", "en"), (3, "one two three", "de"), (4, None, None), (5, "", None), (None, None, None)]
+    docs = docs_of(rows)
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in simhash.drop_near_copies(docs).collect())
+    assert out == sorted([(1, long), (1, rows[1][1]), (-1, rows[4][1]), (3, "one two three"), (4, "")])
+    assert simhash.drop_near_copies(docs).columns == docs.columns and simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_fingerprints_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"Word{i % 977}" for i in range(5000))
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 64)
+    parts = list(simhash.shingle_parts(text, 3, 64))
+    assert len(parts) > 70 and [s for p in parts for s in p] == simhash.shingles(text, 3) and simhash.fingerprint(text) == naive(text)
+
+
 # ---- personal data
 
 
@@ -391,6 +490,86 @@ def test_pseudonyms_of_cards_beside_numbers_and_of_month_first_dates(spark, docs
     assert len(set(moved)) == len(dates) and all(re.fullmatch(r"(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01])/\d{4}", d) for d in moved)
 
 
+def _digest(*parts):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def _pair(key, what, a, b, m, n):
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            a = (a + _digest(key, what, i, b) % m) % m
+        else:
+            b = (b + _digest(key, what, i, a) % n) % n
+    return a, b
+
+
+def _text(key, what, text):
+    def shift(half, other, i):
+        out = ""
+        for j, c in enumerate(half):
+            first, size = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26) if c.isupper() else (0, 0)
+            out += chr((ord(c) - first + _digest(key, what, i, j, other) % size) % size + first) if size else c
+        return out
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(pii.ROUNDS):
+        a, b = (shift(a, b, i), b) if i % 2 == 0 else (a, shift(b, a, i))
+    return a + b
+
+
+def _check_digit(body):
+    total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(body)))
+    return str(-total % 10)
+
+
+def test_pseudonyms_equal_a_feistel_network_by_hand(spark, docs_of):
+    import datetime as d
+
+    key, rng, rows = "some key", np.random.default_rng(8), []
+    day0 = d.date(1800, 1, 1)
+    for _ in range(25):
+        body = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        moved = "4" + _text(key, "card", body[1:])
+        rows.append((body + _check_digit(body), moved + _check_digit(moved)))
+        area, group, serial = int(rng.integers(1, 666)), int(rng.integers(1, 100)), int(rng.integers(1, 10000))
+        a, b = _pair(key, "ssn", area - 1, (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        rows.append((f"{area:03d}-{group:02d}-{serial:04d}", f"{a + 1 + (a + 1 > 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"))
+        w, x, y, z = rng.integers(0, 256, 4).tolist()
+        a, b = _pair(key, "ip", w * 256 + x, y * 256 + z, 1 << 16, 1 << 16)
+        rows.append((f"{w}.{x}.{y}.{z}", f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"))
+        digits = "".join(map(str, rng.integers(0, 10, 10)))
+        moved = _text(key, "phone", digits)
+        rows.append((f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"({moved[:3]}) {moved[3:6]}-{moved[6:]}"))
+        rows.append((f"+49{digits}", f"+49{moved}"))
+        name = "".join(rng.choice(list("abcdefXYZ019._"), 9)) + "q"
+        rows.append((f"{name}@mail.example", f"{_text(key, 'email', name)}@mail.example"))
+        n = int(rng.integers(0, 146_097))
+        a, b = _pair(key, "date", n // 773, n % 773, 189, 773)
+        rows.append(((day0 + d.timedelta(n)).isoformat(), (day0 + d.timedelta(a * 773 + b)).isoformat()))
+        account = "".join(map(str, rng.integers(0, 10, 18)))
+        moved = _text(key, "iban", account)
+        check = lambda x: f"{98 - int(x + '131400') % 97:02d}"  # noqa: E731  D and E as 13 and 14
+        rows.append((f"DE{check(account)}{account}", f"DE{check(moved)}{moved}"))
+    got = [r.text for r in pii.pseudonymise(docs_of([f"see {a} now" for a, _ in rows]), key=key).orderBy("doc_id").collect()]
+    assert got == [f"see {b} now" for _, b in rows]
+
+
+def test_the_key_comes_from_the_session(spark, docs_of):
+    docs = docs_of(["mail anna.berg@mail.example.com"])
+    with pytest.warns(UserWarning, match="public key"):
+        public = pii.pseudonymise(docs).first().text
+    spark.conf.set(pii.KEY_SETTING, "a secret")
+    try:
+        assert pii.pseudonymise(docs).first().text == pii.pseudonymise(docs, key="a secret").first().text != public
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_invalid_accounts_and_foreign_numbers_stay(spark, docs_of):
+    texts = ["DE89 3704 0044 0532 0130 01", "DE8937040044053201300", "XX89370400440532013000", "+1234", "a+49 30 1", "1990/02/30"]
+    assert [r.text for r in pii.pseudonymise(docs_of(texts)).orderBy("doc_id").collect()] == texts
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6 * 7).select(pii.permute_pair("k", "w", (F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int"), 6, 7).alias("p")).distinct()
     assert pairs.count() == 42 and pairs.agg(F.max("p.a"), F.max("p.b")).first() == (5, 6)

@@ -158,6 +158,54 @@ def test_url_trees_learn_and_score_natively(spark):
     assert np.mean([r.ok for r in got]) > 0.95
 
 
+def _by_hand(model, row):
+    """A model's score of one row's features, by walking its trees."""
+    values = [row[f] for f in urls.FEATURES[:-1]] + [model.suffix.get(row["suffix"], 0.0)]
+
+    def walk(node):
+        while not isinstance(node, float):
+            node = node[2] if values[node[0]] <= node[1] else node[3]
+        return node
+
+    return model.base + sum(walk(t) for t in model.trees)
+
+
+def test_url_verdicts_equal_trees_walked_by_hand(spark):
+    table_ = table(spark, SF, "pages")
+    host, path = urls.host_and_path(F.col("url"))
+    labelled = table_.select("url", urls.matching_rule(host, path, urls.RULES, "verdict").alias("v")).filter("v is not null")
+    model = urls.fit(labelled.select("url", (F.col("v") == "block").cast("int").alias("block")))
+    rows = {r["page_id"]: r.asDict() for r in urls.add_features(table_.select("page_id", "url")).collect()}
+    for r in urls.judge(table_).collect():
+        want = _by_hand(model, rows[r.page_id])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-want)))
+        assert r.rule is not None or r.verdict == ("block" if want >= 0 else "allow")
+
+
+def test_url_features_by_hand(spark):
+    url = "HTTP://www.Shop-1.example.com/a/b-c/42?x=1&y=2#z"
+    r = urls.add_features(spark.createDataFrame([(url,)], "url string")).first()
+    share = Counter(url)
+    entropy = -sum(n / len(url) * math.log2(n / len(url)) for n in share.values())
+    assert (r.host, r.path, r.suffix) == ("www.shop-1.example.com", "/a/b-c/42", "com")
+    assert (r.length, r.host_length, r.path_length, r.depth, r.host_dots, r.hyphens, r.parameters) == (len(url), 22, 9, 3, 3, 2, 2)
+    assert r.digit_ratio == pytest.approx(5 / len(url)) and r.entropy == pytest.approx(entropy)
+
+
+def test_url_in_very_many_rows_is_one_row_of_the_sample(spark):
+    many = spark.range(50_000).selectExpr("'http://hot.example.net/x' as url", "1 as block")
+    few = spark.createDataFrame([(f"http://h{i}.example.org/p{i}", i % 2) for i in range(400)], "url string, block int")
+    model = urls.fit(many.unionByName(few), max_rows=300)
+    assert {"net", "org"} >= set(model.suffix) and model.suffix
+
+
+def test_url_odds_do_not_tell_a_row_its_own_label():
+    hosts = [f"h{i}.example.com" for i in range(40)]
+    y = np.arange(40) % 2.0
+    odds = urls.other_odds([f"own{i}" for i in range(40)], hosts, y, np.ones(40))
+    assert not odds.any()
+
+
 def test_url_empty_and_unlabelled(spark):
     assert urls.judge(pages(spark, ["http://a.com/"]).limit(0)).collect() == []
     assert [r.verdict for r in urls.judge(pages(spark, ["http://a.com/"])).collect()] == ["allow"]

@@ -71,13 +71,13 @@ def bounded_sample(df: DataFrame, text: str, max_chars: int, by: list[str]) -> D
 def range_key(key: str, *ties: Column) -> Column:
     """What rows are ordered by: whether `key` is there, its value, and the ties' values, all as integers."""
     parts = [F.col(key).isNotNull().cast("int"), F.coalesce(F.col(key).cast("long"), F.lit(0)), *ties]
-    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+    return F.named_struct(*[x for i, p in enumerate(parts) for x in (F.lit(f"k{i}"), p.cast("bigint"))])
 
 
 def range_buckets(df: DataFrame, key: Column, rows: int, most: int) -> tuple[Column, int]:
     """A column that gives consecutive values of the struct `key` the same number, and how many numbers there are.
 
-    A bucket has about `rows` rows, and there are `most` buckets at most.  Bounds are values of `key` in a sample
+    A bucket has about `rows` rows, and there are `most` buckets at most.  Bounds are values of `key`, made by `range_key`, in a sample
     of about SAMPLED rows for each bucket, as far apart as there, so neither gaps nor outliers
     make a bucket large.  Equal keys share a bucket; greater ones never have a smaller number.
     """
@@ -97,7 +97,6 @@ def range_buckets(df: DataFrame, key: Column, rows: int, most: int) -> tuple[Col
     told = lambda table: [{n: int(v) for n, v in zip(names, r)} for r in table.itertuples(index=False)]
     firsts = F.from_json(F.lit(json.dumps([told(r.iloc[:1])[0] for r in runs])), f"array<{kind}>")
     all_ = F.from_json(F.lit(json.dumps([told(r) for r in runs])), f"array<array<{kind}>>")
-    wide = F.struct(*[key[n].cast("bigint").alias(n) for n in names])
-    run = F.size(F.filter(firsts, lambda x: x <= wide))
-    within = F.size(F.filter(F.element_at(all_, F.greatest(run, F.lit(1))), lambda x: x <= wide))
+    run = F.size(F.filter(firsts, lambda x: x <= key))
+    within = F.size(F.filter(F.element_at(all_, F.greatest(run, F.lit(1))), lambda x: x <= key))
     return F.when(run == 0, 0).otherwise((run - 1) * width + within).cast("int"), len(cuts) + 1
