@@ -107,7 +107,7 @@ def test_neighbours_match_numpy(spark):
     rng = np.random.default_rng(3)
     e = rng.standard_normal((40, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "p long, v array<double>")
-    got = vectors.nearest_and_farthest(vectors.block_distances(df, "p", "v", 3), 4).collect()
+    got = vectors.nearest_and_farthest(vectors.block_distances(df.withColumn("g", F.lit(1)), ["g"], "p", "v", 3), 4).collect()
     d = ((e[:, None] - e[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     near = {i: set(np.argsort(d[i])[:4].tolist()) for i in range(40)}

@@ -19,6 +19,23 @@ def gradient(df: DataFrame, value: str, along: str, plane: list[str], out: str)
     return df.withColumn(out, F.coalesce(step, F.lit(0.0)))
 
 
+def quantiles(df: DataFrame, value: str, keys: list[str], shares: list[float]) -> DataFrame:
+    """Exact quantiles (linear between ranks) of each key as array __p, with least and greatest value.
+
+    Distinct values are counted first, in as many tasks as there are; their running counts then give the two values
+    around each rank, so no task holds a key's values in memory.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(value).alias("__min"), F.max(value).alias("__max"))
+    up_to = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value))
+    line = counts.withColumn("__up", up_to).join(totals, keys)
+    ranks = [F.lit(s) * (F.col("__all") - 1) for s in shares]
+    at = lambda rank: F.min(F.when(F.col("__up") > rank, F.col(value)))
+    ends = line.groupBy(*keys, "__all", "__min", "__max").agg(*[at(f(r)).alias(f"__{n}{i}") for i, r in enumerate(ranks) for n, f in (("a", F.floor), ("b", F.ceil))])
+    mixed = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (r - F.floor(r)) for i, r in enumerate(ranks)]
+    return ends.select(*keys, F.array(*[m.cast("double") for m in mixed]).alias("__p"), "__min", "__max")
+
+
 def percentiles(df: DataFrame, value: str, keys: list[str], low: float, high: float) -> DataFrame:
-    """Exact percentiles (in percent, linear between ranks) with least and greatest value of each key."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("__p"), F.min(value).alias("__min"), F.max(value).alias("__max"))
+    """Two percentiles (in percent) of each key, as `quantiles`."""
+    return quantiles(df, value, keys, [low / 100, high / 100])

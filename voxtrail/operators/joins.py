@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+RINGS = 16
+
+
 def distance(a: str, b: str, dims: list[str]) -> Column:
     """Euclidean distance of the columns `a.dim` and `b.dim`."""
     return F.sqrt(reduce(lambda s, d: s + d, [(F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) * (F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) for d in dims]))
@@ -33,12 +36,39 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], radius: float, di
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: float, dims: list[str], left_id: list[str], right_id: str) -> DataFrame:
-    """For each left row the nearest right row within `radius`; ties go to the smaller `right_id`."""
+    """For each left row the nearest right row within `radius`; ties go to the smaller `right_id`.
+
+    Most rows have one nearby, so the search begins at a RINGS-th of the radius, with small cells; only
+    rows that have none there go on to the whole radius.
+    """
+    close = _nearest(left, right, keys, radius / RINGS, dims, left_id, right_id)
+    rest = left.join(close.select(*left_id), left_id, "left_anti")
+    return close.unionByName(_nearest(rest, right, keys, radius, dims, left_id, right_id))
+
+
+def _nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: float, dims: list[str], left_id: list[str], right_id: str) -> DataFrame:
     pairs = within(left, right, keys, radius, dims)
     best = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in left_id]).agg(F.min_by(F.struct("b", "d"), F.struct("d", F.col(f"b.{right_id}"))).alias("m"))
     return best.select(*left_id, "m.b", "m.d")
 
 
+def nearest_distance(points: DataFrame, keys: list[str], ids: list[str], dims: list[str], start: float, apart: float = 0.0) -> DataFrame:
+    """Distance `d` of each row to the nearest other one equal in `keys` that is more than `apart` away; rows without one are left out.
+
+    The search widens fourfold from `start` for the rows that have found none, up to the extent of all rows.
+    """
+    ends = points.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first()
+    extent = sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(len(dims)) if ends[2 * i] is not None) ** 0.5
+    rest, found = points, []
+    while True:
+        near = within(rest, points, keys, start, dims).filter(F.col("d") > apart)
+        found.append(near.groupBy(*[F.col(f"a.{i}").alias(i) for i in ids]).agg(F.min("d").alias("d")))
+        rest = rest.join(found[-1].select(*ids), ids, "left_anti")
+        if start >= extent or rest.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
+        start *= 4
+
+
 def within_box(left: DataFrame, right: DataFrame, keys: list[str], half: float, dims: list[str]) -> DataFrame:
     """Pairs equal in `keys` and at most `half` apart in every one of `dims`, with structs a and b."""
     reach = half * len(dims) ** 0.5

@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from voxtrail.functions.windows import quantiles
+
 CELL = ["movie", "t", "label"]
 
 
@@ -54,15 +56,12 @@ def sample_channels(voxels: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def dominant_channel(cells: DataFrame, channels: list[str], dim_quantile: float = 0.1) -> DataFrame:
-    """Channel of greatest mean, the first on ties; -1 where that mean is at or below its quantile over all cells.
-
-    The quantile is one number, joined as a one-row table.
-    """
+    """Channel of greatest mean, the first on ties; -1 where that mean is at or below its quantile over the movie's cells."""
     greatest = F.greatest(*[F.col(f"mean_{c}") for c in channels])
     which = reduce(lambda out, i: F.when(F.col(f"mean_{channels[i]}") == F.col("greatest"), i).otherwise(out), reversed(range(len(channels))), F.lit(None).cast("int"))
     cells = cells.withColumn("greatest", greatest)
-    cut = cells.agg(F.percentile("greatest", F.lit(dim_quantile)).alias("cut"))
-    return cells.join(F.broadcast(cut)).select(*CELL, F.when(F.col("greatest") <= F.col("cut"), -1).otherwise(which).alias("color_id"), "greatest")
+    cut = quantiles(cells, "greatest", ["movie"], [dim_quantile]).select("movie", F.col("__p")[0].alias("cut"))
+    return cells.join(cut, "movie").select(*CELL, F.when(F.col("greatest") <= F.col("cut"), -1).otherwise(which).alias("color_id"), "greatest")
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:

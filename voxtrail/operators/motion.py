@@ -29,9 +29,12 @@ def normalise_metric(df: DataFrame, keys: list[str], value: str = "value", low:
 
 def normalise_minmax(df: DataFrame, keys: list[str], value: str, eps: float = EPS) -> DataFrame:
     """Scales between least and greatest of a key."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(value, (F.col(value) - low) / (high - low + eps))
+    return _with_ends(df, keys, value).withColumn(value, (F.col(value) - F.col("__min")) / (F.col("__max") - F.col("__min") + eps)).drop("__min", "__max")
+
+
+def _with_ends(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Least and greatest value of each row's key: partial aggregates and a join, so a key of any size spreads over tasks."""
+    return df.join(df.groupBy(*keys).agg(F.min(value).alias("__min"), F.max(value).alias("__max")), keys)
 
 
 def normalise_range(df: DataFrame, keys: list[str], value: str, low: float = 1.0, high: float = 99.0) -> DataFrame:
@@ -43,16 +46,14 @@ def normalise_range(df: DataFrame, keys: list[str], value: str, low: float = 1.0
 
 def normalise_training(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Scales between least and greatest of a key; a constant key becomes 0."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(value, F.when(high - low > 1e-8, (F.col(value) - low) / (high - low)).otherwise(0.0))
+    low, high = F.col("__min"), F.col("__max")
+    return _with_ends(df, keys, value).withColumn(value, F.when(high - low > 1e-8, (F.col(value) - low) / (high - low)).otherwise(0.0)).drop("__min", "__max")
 
 
 def to_bytes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Scales each key to 0 to 255, cut to whole numbers; a constant key becomes 0."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(value, F.when(high > low, (F.col(value) - low) / (high - low) * 255).otherwise(0.0).cast("int"))
+    low, high = F.col("__min"), F.col("__max")
+    return _with_ends(df, keys, value).withColumn(value, F.when(high > low, (F.col(value) - low) / (high - low) * 255).otherwise(0.0).cast("int")).drop("__min", "__max")
 
 
 def project_channels(pixels: DataFrame, low: float = 0.01, high: float = 99.99) -> DataFrame:
@@ -159,12 +160,19 @@ def pivot_metrics(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.groupBy("movie", "t", "z", "y", "x").pivot("name", names).agg(F.first("value"))
 
 
-def softmax_channels(pixels: DataFrame, temperature: float = 0.3) -> DataFrame:
-    """Softmax over the channels of a pixel, times its brightest channel, scaled in each frame and channel."""
+def softmax_channels(pixels: DataFrame, temperature: float = 0.3, sigma: float = 5.0) -> DataFrame:
+    """Softmax over the smoothed channels of a pixel, times its brightest channel unsmoothed, scaled in each frame and channel.
+
+    A channel is scaled by its least and greatest value in the whole movie, then smoothed in each plane by a
+    Gaussian of `sigma` pixels, cut at four of them, with the plane mirrored at its borders, edge pixel included.
+    """
     w = Window.partitionBy("movie", "t", "z", "y", "x")
-    scaled = normalise_minmax(pixels, ["movie", "t", "c"], "v")
-    e = scaled.withColumn("bright", F.max("v").over(w)).withColumn("e", F.exp((F.col("v") - F.col("bright")) / temperature))
-    e = e.withColumn("value", F.col("e") / F.sum("e").over(w) * F.col("bright"))
+    scaled = normalise_minmax(pixels, ["movie", "c"], "v", 1e-8).withColumn("bright", F.max("v").over(w)).withColumn("s", F.col("v"))
+    size = 2 * int(4 * sigma + 0.5) + 1
+    for along in ("x", "y"):
+        scaled = blur(scaled, along, ["s"], sigma, size, plane=["movie", "t", "z", "c"], edge=True, also=["bright"])
+    e = scaled.withColumn("e", F.exp((F.col("s") - F.max("s").over(w)) / (temperature + 1e-8)))
+    e = e.withColumn("value", F.col("e") / (F.sum("e").over(w) + 1e-8) * F.col("bright"))
     return normalise_metric(e.select("movie", "t", "z", "y", "x", "c", "value"), ["movie", "t", "c"])
 
 
@@ -201,25 +209,26 @@ def structure_tensor(frames: DataFrame, sigma: float = 2.0, size: int = 7) -> Da
     return p.select("movie", "t", "z", "y", "x", F.sqrt(F.greatest(trace * trace - 4 * det, F.lit(0.0))).alias("edge_strength"))
 
 
-def blur(p: DataFrame, along: str, values: list[str], sigma: float, size: int) -> DataFrame:
-    """One pass of a Gaussian blur along an axis of a dense grid, reflected at its borders without the edge pixel.
+def blur(p: DataFrame, along: str, values: list[str], sigma: float, size: int, plane: list[str] = ["movie", "t", "z"], edge: bool = False, also: list[str] = []) -> DataFrame:
+    """One pass of a Gaussian blur along an axis of a dense grid, reflected at its borders, with the edge pixel or without.
 
     A line of a plane becomes an array, whose places are weighted sums of places of it; a place
-    beyond a border is read from the mirrored one inside.
+    beyond a border is read from the mirrored one inside, however far out it is.  Columns `also` are kept as they are.
     """
     half, other = size // 2, "x" if along == "y" else "y"
     weights = [2.718281828459045 ** (-((i - half) ** 2) / (2 * sigma**2)) for i in range(size)]
     total = sum(weights)
-    key = ["movie", "t", "z", other]
-    lines = p.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(along, *values))).alias("line"))
-    last = F.size("line") - 1
+    key = [*plane, other]
+    lines = p.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(along, *values, *also))).alias("line"))
+    n = F.size("line")
+    turn = 2 * n if edge else F.greatest(2 * n - 2, F.lit(1))
 
     def mixed(i: Column) -> Column:
         def at(o: int) -> Column:
-            j = F.abs(i + o)
-            return F.get("line", F.abs(F.when(j > last, 2 * last - j).otherwise(j)))
+            j = F.pmod(i + o, turn)
+            return F.get("line", F.least(j, turn - 1 - j if edge else turn - j))
 
         sums = [sum((w / total * at(o - half)[v] for o, w in enumerate(weights)), F.lit(0.0)).alias(v) for v in values]
-        return F.struct(F.get("line", i)[along].alias(along), *sums)
+        return F.struct(F.get("line", i)[along].alias(along), *sums, *[F.get("line", i)[a].alias(a) for a in also])
 
-    return lines.select(*key, F.explode(F.transform(F.sequence(F.lit(0), last), mixed)).alias("m")).select("movie", "t", "z", *[F.col(f"m.{c}" if c == along else c).alias(c) for c in ("y", "x")], *[F.col(f"m.{v}").alias(v) for v in values])
+    return lines.select(*key, F.explode(F.transform(F.sequence(F.lit(0), n - 1), mixed)).alias("m")).select(*plane, *[F.col(f"m.{c}" if c == along else c).alias(c) for c in ("y", "x")], *[F.col(f"m.{v}").alias(v) for v in [*values, *also]])

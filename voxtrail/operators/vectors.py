@@ -35,21 +35,22 @@ def fragment_affinity(pixels: DataFrame, pairs: DataFrame, vector: str = "emb")
     return pairs.join(a, "a").join(b, "b").select("a", "b", (dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("affinity"))
 
 
-def sample_pixels(points: DataFrame, key: str, max_pixels: int = 2000, seed: int = 0) -> DataFrame:
-    """The pixels that a loss takes of a patch: all, or `max_pixels` of them in the order of a hash."""
-    return points.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max_pixels)
+def sample_pixels(points: DataFrame, patch: list[str], key: str, max_pixels: int = 2000) -> DataFrame:
+    """The pixels that a loss takes of each patch: all, or `max_pixels` of them in the order of a multiplicative hash of integer `key`."""
+    w = Window.partitionBy(*patch).orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)), key)
+    return points.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= max_pixels).drop("__n")
 
 
-def block_distances(points: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
-    """Squared distances of all pairs of a bounded sample, made block by block of an equi-join.
+def block_distances(points: DataFrame, patch: list[str], key: str, vector: str, blocks: int = 4) -> DataFrame:
+    """Squared distances of all pairs of each patch's sampled pixels, made block by block of an equi-join.
 
-    Meant for the sampled pixels of a patch (a few thousand at most), as the losses take them.
+    A patch has a bounded sample (`sample_pixels`), as the losses take it; patches spread over tasks.
     """
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = points.select(F.col(key).alias("i"), F.col(vector).alias("vi"), b.alias("bi"), F.explode(every).alias("bj"))
-    right = points.select(F.col(key).alias("j"), F.col(vector).alias("vj"), b.alias("bj"), F.explode(every).alias("bi"))
-    pairs = left.join(right, ["bi", "bj"]).filter("i <> j")
+    left = points.select(*patch, F.col(key).alias("i"), F.col(vector).alias("vi"), b.alias("bi"), F.explode(every).alias("bj"))
+    right = points.select(*patch, F.col(key).alias("j"), F.col(vector).alias("vj"), b.alias("bj"), F.explode(every).alias("bi"))
+    pairs = left.join(right, [*patch, "bi", "bj"]).filter("i <> j")
     return pairs.select("i", "j", dot(F.zip_with("vi", "vj", lambda x, y: x - y), F.zip_with("vi", "vj", lambda x, y: x - y)).alias("d2"), dot(F.col("vi"), F.col("vj")).alias("sim"))
 
 

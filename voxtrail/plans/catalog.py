@@ -152,9 +152,11 @@ def cell_intensities(spark, sf_dir):
     return tidy(labels.intensities(A.voxels(spark, sf_dir), CHANNELS))
 
 
-@query(_VOX + ", c as (select movie, t, label, avg(v0) as a, avg(v1) as b, avg(v2) as c, greatest(avg(v0), avg(v1), avg(v2)) as g from voxel where label > 0 group by all), q as (select quantile_cont(g, 0.1) as cut from c) select movie, t, label, (case when g <= cut then -1 when a = g then 0 when b = g then 1 else 2 end)::int as color_id, round(g, 6) as greatest from c, q")
+@query(_VOX + ", c as (select 'm' || (label % 3)::varchar as movie, t, label, avg(v0) as a, avg(v1) as b, avg(v2) as c, greatest(avg(v0), avg(v1), avg(v2)) as g from voxel where label > 0 group by all), q as (select movie, quantile_cont(g, 0.1) as cut from c group by movie) select movie, t, label, (case when g <= cut then -1 when a = g then 0 when b = g then 1 else 2 end)::int as color_id, round(g, 6) as greatest from c join q using (movie)")
 def cell_colours(spark, sf_dir):
-    return tidy(labels.dominant_channel(labels.intensities(A.voxels(spark, sf_dir), CHANNELS), CHANNELS))
+    """Three movies, each with a threshold of its own."""
+    v = A.voxels(spark, sf_dir).withColumn("movie", F.concat(F.lit("m"), (F.col("label") % 3).cast("string")))
+    return tidy(labels.dominant_channel(labels.intensities(v, CHANNELS), CHANNELS))
 
 
 _PAIR = A.oracle("pair")
@@ -341,7 +343,19 @@ def flow_alignment(spark, sf_dir):
     return tidy(motion.alignment(A.fields(spark).filter("scale = 1"), A.pixels(spark).filter("c = 0")).drop("z"))
 
 
-@query(_PIX + ", n as (select t, c, y, x, (v - min(v) over w) / (max(v) over w - min(v) over w + 1e-5) as v from pixel window w as (partition by t, c)), e as (select *, max(v) over p as bright, exp((v - max(v) over p) / 0.3) as e from n window p as (partition by t, y, x)), s as (select t, c, y, x, e / sum(e) over (partition by t, y, x) * bright as value from e), q as (select t, c, quantile_cont(value, 0.0002) as a, quantile_cont(value, 0.9998) as b from s group by all) select 'm0' as movie, t, c, y, x, round(greatest(least((value - a) / (b - a + 1e-8), 1), 0), 6) as value from s join q using (t, c)")
+_MIRROR = "least(((({p} + o) % 32) + 32) % 32, 31 - ((({p} + o) % 32) + 32) % 32)"
+
+
+@query(
+    _PIX
+    + f""", n as (select t, c, y, x, (v - min(v) over w) / (max(v) over w - min(v) over w + 1e-8) as v from pixel window w as (partition by c)),
+    g as (select o, exp(-(o * o) / 50.0) / sum(exp(-(o * o) / 50.0)) over () as w from (select (i - 20)::int as o from range(41) r(i))),
+    gx as (select n.t, n.c, n.y, n.x, sum(g.w * m.v) as v from n cross join g join n m on m.t = n.t and m.c = n.c and m.y = n.y and m.x = {_MIRROR.format(p="n.x")} group by all),
+    gy as (select n.t, n.c, n.y, n.x, sum(g.w * m.v) as v from gx n cross join g join gx m on m.t = n.t and m.c = n.c and m.x = n.x and m.y = {_MIRROR.format(p="n.y")} group by all),
+    b as (select t, y, x, max(v) as bright from n group by all),
+    e as (select *, exp((v - max(v) over p) / (0.3 + 1e-8)) as e from gy window p as (partition by t, y, x)),
+    s as (select t, c, y, x, e / (sum(e) over (partition by t, y, x) + 1e-8) * bright as value from e join b using (t, y, x)), q as (select t, c, quantile_cont(value, 0.0002) as a, quantile_cont(value, 0.9998) as b from s group by all) select 'm0' as movie, t, c, y, x, round(greatest(least((value - a) / (b - a + 1e-8), 1), 0), 6) as value from s join q using (t, c)"""
+)
 def softmax_channels(spark, sf_dir):
     s = motion.softmax_channels(A.pixels(spark))
     return tidy(s.select("movie", "t", "c", "y", "x", "value"))
@@ -405,30 +419,31 @@ def mean_embeddings(spark, sf_dir):
 @query(
     _EMB
     + """, e as (select fragment, generate_subscripts(emb, 1) as d, unnest(emb) as x from pixel_emb), m as (select fragment, d, avg(x) as x from e group by all), n as (select fragment, sqrt(sum(x * x)) + 1e-5 as n from m group by fragment),
-    p as (select a.fragment as a, b.fragment as b, sum(a.x * b.x) as s from m a join m b using (d) where a.fragment < b.fragment group by all)
+    p as (select a.fragment as a, b.fragment as b, sum(a.x * b.x) as s from m a join m b using (d) where b.fragment - a.fragment between 1 and 3 group by all)
     select a, b, round(s / (i.n * j.n), 6) as affinity from p join n i on i.fragment = a join n j on j.fragment = b"""
 )
 def fragment_affinity(spark, sf_dir):
     e = A.pixel_embeddings(spark, sf_dir)
     f = e.select("fragment").distinct()
-    pairs = f.select(F.col("fragment").alias("a")).join(f.select(F.col("fragment").alias("b")), F.col("a") < F.col("b"))
+    near = f.select(F.col("fragment").alias("a"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("step")).select("a", (F.col("a") + F.col("step")).alias("b"))
+    pairs = near.join(f.select(F.col("fragment").alias("b")), "b", "left_semi")  # of fragments whose numbers are close
     return tidy(vectors.fragment_affinity(e, pairs))
 
 
 def _ranked(spark, sf_dir):
-    sample = vectors.sample_pixels(A.pixel_embeddings(spark, sf_dir), "pixel")
-    return vectors.nearest_and_farthest(vectors.block_distances(sample, "pixel", "emb", 4), 10)
+    sample = vectors.sample_pixels(A.pixel_embeddings(spark, sf_dir), ["fragment"], "pixel")
+    return vectors.nearest_and_farthest(vectors.block_distances(sample, ["fragment"], "pixel", "emb"), 10)
 
 
 @query()
 def embedding_neighbours(spark, sf_dir):
-    """Nearest and farthest pixels in embedding space; ties in the last digit differ between engines, so tests use numpy."""
+    """Nearest and farthest pixels of the same patch in embedding space, of 2000 sampled ones at most, as the loss takes them; ties in the last digit differ between engines, so tests use numpy."""
     return tidy(_ranked(spark, sf_dir).select("i", "j", "rank", "sim"))
 
 
 @query(
     _EMB
-    + """, s as (select * from pixel_emb), p as (select a.pixel as i, b.pixel as j, list_dot_product(a.emb, b.emb) as sim, list_distance(a.emb, b.emb) as d from s a join s b on a.pixel <> b.pixel),
+    + """, s as (select * from pixel_emb qualify row_number() over (partition by fragment order by (pixel * 2654435761) % 4294967296, pixel) <= 2000), p as (select a.pixel as i, b.pixel as j, list_dot_product(a.emb, b.emb) as sim, list_distance(a.emb, b.emb) as d from s a join s b on a.fragment = b.fragment and a.pixel <> b.pixel),
     r as (select *, row_number() over (partition by i order by d, j) as near, row_number() over (partition by i order by d desc, j) as far from p)
     select round(avg(case when near <= 10 then greatest(1 - sim, 0) end), 6) as loss_pos, round(avg(case when far <= 10 then greatest(0.5 + sim, 0) end), 6) as loss_neg from r"""
 )
@@ -507,19 +522,26 @@ def merged_features(spark, sf_dir):
     return joins.merge_defaults(a, b, ["movie", "cell_id"], {"n_a": 0, "n_b": 0})
 
 
+@query("select o_orderkey, o_custkey, coalesce(c_acctbal, -1.0) as balance from orders left join (select * from customer where c_mktsegment = 'BUILDING') on o_custkey = c_custkey")
+def looked_up_balances(spark, sf_dir):
+    """A lookup with a default for what is not found."""
+    some = A.read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("balance"))
+    return joins.lookup(A.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), some, ["o_custkey"], "balance", -1.0).select("o_orderkey", "o_custkey", "balance")
+
+
 @query(_DET + "select a.movie, a.t, a.cell_id from det a where not exists (select 1 from det b where b.movie = a.movie and b.cell_id = a.cell_id and b.t = a.t - 1)")
 def births(spark, sf_dir):
     d = A.detections(spark, sf_dir).select("movie", "t", "cell_id")
     return d.join(d.withColumn("t", F.col("t") + 1), ["movie", "t", "cell_id"], "left_anti")
 
 
-_NEAR = _DET + f", n as (select a.movie, a.track_id, a.t, min({_D2}) as d from track a join track b on a.movie = b.movie and a.t = b.t where {_D2} > 0.1 and {_D2} <= 60 group by all)\n"
+_NEAR = _DET + f", n as (select a.movie, a.track_id, a.t, min({_D2}) as d from track a join track b on a.movie = b.movie and a.t = b.t where {_D2} > 0.1 group by all)\n"
 
 
 @query(_NEAR + "select movie, count(*) as n, round(quantile_cont(d, 0.5), 6) as median_nn from n group by movie")
 def neighbour_distances(spark, sf_dir):
     p = A.track_points(spark, sf_dir)
-    d = joins.within(p, p, ["movie", "t"], 60.0, ["y_um", "x_um"]).filter("d > 0.1").groupBy("a.movie", "a.track_id", "a.t").agg(F.min("d").alias("d"))
+    d = joins.nearest_distance(p, ["movie", "t"], ["movie", "track_id", "t"], ["y_um", "x_um"], 15.0, 0.1)
     return tidy(d.groupBy("movie").agg(F.count(F.lit(1)).alias("n"), F.percentile("d", F.lit(0.5)).alias("median_nn")))
 
 
