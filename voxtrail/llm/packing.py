@@ -39,7 +39,7 @@ CAPACITY = 2048
 GRAIN = 32
 WINDOWS = 256
 PADDING = 0.015
-MEMO = 700_000
+MEMO = 400_000
 END = (1).to_bytes(4, "little")
 _FULL = 1 << 62
 _SPACE = re.compile(r"[ \t\n\r]+")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtrail.llm import golay
-from voxtrail.llm.common import slices
+from voxtrail.llm.common import bounded_batches, slices
 from voxtrail.llm.graph import components
 from voxtrail.session import pin
 
@@ -230,6 +230,7 @@ def _attach(docs: DataFrame, nodes: DataFrame, on: list[str]) -> DataFrame:
 
 def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, for links at two differing bits or fewer."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -328,6 +329,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     A component's id is its smallest doc_id.  `kept` marks its first row by doc_id, nulls last, and text_hash; rows
     that agree in both are marked alike.
     """
+    bounded_batches(docs.sparkSession)
     which = table_minima(tables)
     same = ["h0", "h1"]  # of equal sets of shingles
 
@@ -393,9 +395,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     Of rows that agree in these, the first by all columns' text stays.  Texts are read in place: what
     is joined to them are the ids of rows that go.
     """
-    groups = pin(near_groups(docs, words, similarity))
-    pairs = groups.groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    some = pin(pairs.filter("not kept or n > 1"))
+    pairs = near_groups(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    some = pin(pairs.filter("not kept or n > 1"), docs.count())
     few = _broadcast_if_small(some.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
     twice = _broadcast_if_small(some.filter("kept").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
     on = (F.col("__hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
