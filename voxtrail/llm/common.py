@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of a sample for each bucket of a range.
 SAMPLED = 10
+#: Arrow's buffers double as they grow, on either side of each worker, so large batches cost several times their size.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _RESOLUTION = 1 << 30
 
 
@@ -37,12 +40,20 @@ def slices(values: pa.Array, rows: int = 500, size: int = 4_000_000) -> Iterator
         at = stop
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets the session's Arrow batches have BATCH_BYTES at most, whatever the length of texts; a smaller setting stays."""
+    size = spark.conf.get(_BATCH_SETTING)
+    if size.rstrip("b").isdigit() and int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def per_worker(spark: SparkSession, make: Callable, *plain) -> Callable[[], Any]:
     """A function that gives make(*plain) in Python workers, made once in each and kept for later tasks.
 
     `plain` is broadcast and must be of built-in types or arrays, so that workers need no module of this
     package; `make` travels by value.  What is made is kept beside the broadcast data, which workers hold on to.
     """
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast({"plain": plain})
 
     def get():

@@ -40,7 +40,7 @@ ORDER = 7
 FOLDS = 3
 MAX_MARKS = 1_000_000
 WINDOW = 2
-MEMO = 250_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
