@@ -425,6 +425,29 @@ def test_near_groups_find_pairs_just_above_the_threshold(spark, docs_of):
     assert all(got[i] == got[j] for i, j in near)
 
 
+def test_near_groups_of_crowded_keys_equal_brute_force(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "HUBS", 2)
+    rng, texts = np.random.default_rng(9), []
+    for _ in range(3):
+        base = rng.choice(3000, 200).astype(str).tolist()
+        for k in range(30):  # a group that spreads: some pairs are alike, others only in chains or not at all
+            texts.append(_changed(rng, base, rng.choice(200, rng.integers(0, 7), replace=False)))
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (i, j), v in _likeness(texts).items():
+        if v >= 0.8:
+            a, b = find(i), find(j)
+            up[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs_of(texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 3 < len(set(got.values())) < 60
+
+
 def test_tables_miss_few_pairs_at_the_threshold():
     tables = simhash.table_minima()
     alike = np.random.default_rng(5).random((100_000, simhash.MINIMA)) < 0.8

@@ -19,7 +19,10 @@ as many hash functions, which two sets share each with the probability of their
 similarity, make TABLES keys, each of BAND minima; two sets at 0.8 share no key with a
 probability of 1e-5, which README derives.  Keys only propose: rows that meet
 another under a key are given their sets, as 32-bit hashes, and a link holds where the
-similarity of the two sets does.  It has no cap on partners.
+similarity of the two sets does.  It has no cap on partners.  A key with more than CROWD sets is
+dealt to parts of about as many, and some of its sets (hubs) are compared with all parts.  Sets that are
+connected by then need no comparison with each other, so only those outside the key's largest component
+are hubs of the next rounds, until none is left that has not been one.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; repeated rows and ids
@@ -51,6 +54,8 @@ MINIMA = 128
 BAND = 6
 TABLES = 64
 HOT_NODES = 1000
+CROWD = 2000
+HUBS = 64
 #: Ids that a join may broadcast: 16 MB of them.
 BROADCAST_IDS = 2_000_000
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -290,6 +295,48 @@ def _grow_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
     return out
 
 
+def _hub_links(rows: list[np.ndarray], hubs: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(row, hub) of all pairs of sets of a part and hubs that are alike."""
+    out, sizes, ends = [], np.array([len(r) for r in rows]), np.cumsum([len(r) for r in rows])
+    flat = np.concatenate(rows)
+    for j, hub in enumerate(hubs):
+        at = np.minimum(np.searchsorted(hub, flat), len(hub) - 1)
+        common = np.add.reduceat((hub[at] == flat).astype(np.int64), ends - sizes)
+        near = common / (sizes + len(hub) - common) >= similarity
+        out += [(int(i), j) for i in np.flatnonzero(near)]
+    return out
+
+
+def _crowd_links(rows: DataFrame, known: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of the sets under crowded keys, rows (key, node), that connect what is connected there; `links` are those of other keys."""
+
+    def compare(some: pd.DataFrame, hubs: pd.DataFrame) -> pd.DataFrame:
+        sets = [[np.frombuffer(x, "<u4") for x in t] for t in (some.shingles, hubs.hub_shingles)]
+        found = _hub_links(*sets, similarity) if len(some) and len(hubs) else []
+        return pd.DataFrame({"a": [some.node.iloc[i] for i, _ in found], "b": [hubs.hub.iloc[j] for _, j in found]}, dtype="int64")
+
+    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("parts"))
+    full = pin(rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(known, "node"))
+    state = pin(full.select("key", "node", "parts").withColumn("done", F.lit(False)))
+    turn = 0
+    while True:
+        label = state.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        label = pin(label)
+        main = label.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        open_ = label.join(main, "key").filter("label <> main and not done")
+        per = open_.groupBy("key").agg(F.count(F.lit(1)).alias("open"), F.min("node").alias("first"))
+        share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(HUBS << 30)) / F.col("open")
+        hubs = pin(open_.join(per, "key").filter(share | (F.col("node") == F.col("first"))).select("key", "node", "parts"))
+        if hubs.isEmpty():
+            return links
+        sent = hubs.join(known, "node").select(F.col("key").alias("of_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("of_part"), F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
+        met = full.select("key", "part", "node", "shingles").groupBy("key", "part").cogroup(sent.groupBy("of_key", "of_part"))
+        found = met.applyInPandas(compare, "a long, b long")
+        links = pin(links.unionByName(found.filter("a <> b")))
+        state = pin(label.join(hubs.select("key", "node", F.lit(True).alias("now")), ["key", "node"], "left").select("key", "node", "parts", (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        turn += 1
+
+
 def _set_linker(similarity: float):
     """Reads partitions of (key, id, shingles) sorted by key; yields links (a, b) that hold by their sets."""
 
@@ -367,14 +414,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     members = [F.count(F.lit(1)).over(alone).alias("met"), F.min("node").over(alone).alias("least"), F.bit_xor(F.xxhash64("node")).over(alone).alias("mix")]
     met = pin(rows.select("*", *members).filter("met > 1"), tables * count // 8)
     # Of keys under which the same documents meet, one will do.
-    met = met.join(met.groupBy("met", "least", "mix").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "node")
+    met = met.join(met.groupBy("met", "least", "mix").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "node", "met")
     some = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.text_hash").alias("of_hash"))
     some = pin(some, count)
     hashed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     on = (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
     known = hashed.join(_broadcast_if_small(some), on).select("node", sets(F.col("text")).alias("shingles")).dropDuplicates(["node"])
-    rows = met.join(known, "node").select("key", F.col("node").alias("id"), "shingles")
+    crowds = met.filter(F.col("met") > CROWD)
+    crowded = not crowds.isEmpty()
+    known = pin(known, count) if crowded else known
+    rows = met.filter(F.col("met") <= CROWD).join(known, "node").select("key", F.col("node").alias("id"), "shingles")
     links = _by_key(rows).mapInPandas(_set_linker(similarity), "a long, b long")
+    if crowded:
+        links = _crowd_links(crowds.select("key", "node"), known, pin(links), similarity)
     roots = components(links)
     rooted = nodes.select(*same, "n", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))

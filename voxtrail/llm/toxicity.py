@@ -37,7 +37,7 @@ from voxtrail.llm.common import fold, per_worker, slices
 
 FIT_CHARS = 2_000_000
 ORDER = 7
-FOLDS = 3
+FOLDS = 2
 MAX_MARKS = 1_000_000
 WINDOW = 2
 MEMO = 150_000
@@ -217,6 +217,12 @@ def _ratios(a: KneserNey, b: KneserNey) -> tuple[dict[str, float], dict[str, flo
     return ratio, backoff
 
 
+def _differences(rows: list[tuple[str, int]], texts: list[str]) -> list[float]:
+    """What models of `rows` find in other texts."""
+    model = Model(*_ratios(*class_models(rows)), 0.0, 0.0)
+    return list(map(model.difference, texts))
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Fits the curve on rows compared by models that have not seen them, then the models on all rows."""
     rows = sorted(rows, key=lambda r: (-r[1], r[0]))
@@ -225,10 +231,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model({}, {}, 0.0, math.log(share / (1 - share)))
     x, y = [], []
     for part in range(FOLDS):
-        model = Model(*_ratios(*class_models([r for i, r in enumerate(rows) if i % FOLDS != part])), 0.0, 0.0)
-        for text, label in (r for i, r in enumerate(rows) if i % FOLDS == part):
-            x.append(model.difference(text))
-            y.append(label)
+        x += _differences([r for i, r in enumerate(rows) if i % FOLDS != part], [t for t, _ in rows[part::FOLDS]])
+        y += [label for _, label in rows[part::FOLDS]]
     return Model(*_ratios(*class_models(rows)), *logistic(np.array(x), np.array(y, float)))
 
 
