@@ -205,8 +205,9 @@ def structure_tensor(frames: DataFrame, sigma: float = 2.0, size: int = 7) -> Da
     p = g.select("movie", "t", "z", "y", "x", (F.col("gx") * F.col("gx")).alias("xx"), (F.col("gy") * F.col("gy")).alias("yy"), (F.col("gx") * F.col("gy")).alias("xy"))
     for along in ("x", "y"):
         p = blur(p, along, ["xx", "yy", "xy"], sigma, size)
-    trace, det = F.col("xx") + F.col("yy"), F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    return p.select("movie", "t", "z", "y", "x", F.sqrt(F.greatest(trace * trace - 4 * det, F.lit(0.0))).alias("edge_strength"))
+    # The squared trace less four determinants, in a form that cannot cancel.
+    apart = F.col("xx") - F.col("yy")
+    return p.select("movie", "t", "z", "y", "x", F.sqrt(apart * apart + 4 * F.col("xy") * F.col("xy")).alias("edge_strength"))
 
 
 def blur(p: DataFrame, along: str, values: list[str], sigma: float, size: int, plane: list[str] = ["movie", "t", "z"], edge: bool = False, also: list[str] = []) -> DataFrame:

@@ -21,7 +21,7 @@ def point_colours(points: DataFrame, detections: DataFrame, radius: float = MATC
     return points.select(*KEY, "t").join(found.select(*KEY, "t", F.col("b.color_id").alias("color_id")), [*KEY, "t"], "left").withColumn("color_id", F.coalesce("color_id", F.lit(-1)))
 
 
-def _steps(points: DataFrame) -> DataFrame:
+def steps(points: DataFrame) -> DataFrame:
     """Points of known colour with what stood before them in their track."""
     w = Window.partitionBy(*KEY).orderBy("t")
     known = points.filter("color_id >= 0").withColumn("before", F.lag("color_id").over(w)).withColumn("gap", F.col("t") - F.lag("t").over(w))
@@ -31,8 +31,8 @@ def _steps(points: DataFrame) -> DataFrame:
 def track_switches(points: DataFrame) -> DataFrame:
     """Switches, transitions and rate of each track with two points of known colour; runs between switches; dominant colour."""
     lengths = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("length"))
-    steps = _steps(points)
-    per = steps.groupBy(*KEY).agg(
+    at = steps(points)
+    per = at.groupBy(*KEY).agg(
         F.sum("switch").cast("bigint").alias("switches"),
         (F.count(F.lit(1)) - 1).alias("transitions"),
         F.sum(F.when(F.col("gap") == 1, F.col("switch")).otherwise(0)).cast("bigint").alias("within_run"),
@@ -51,7 +51,7 @@ def dominant_colours(points: DataFrame) -> DataFrame:
 def run_lengths(points: DataFrame) -> DataFrame:
     """Length of every run of one colour in tracks of two known points and more."""
     w = Window.partitionBy(*KEY).orderBy("t")
-    runs = _steps(points).withColumn("run", F.sum("switch").over(w)).withColumn("known", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
+    runs = steps(points).withColumn("run", F.sum("switch").over(w)).withColumn("known", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
     return runs.filter("known >= 2").groupBy(*KEY, F.col("run").cast("bigint").alias("run")).agg(F.count(F.lit(1)).alias("run_len"))
 
 

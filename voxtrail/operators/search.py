@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtrail.operators import scoring, tracking
+from voxtrail.operators import labels, scoring, segmentation, tracking
 
 #: Bounds of the searched parameters.
 TRACKING_BOUNDS = {"max_cost": (0.2, 3.0), "process_noise": (0.1, 10.0), "obs_noise": (1.0, 30.0), "chi2_gate": (2.0, 20.0), "w_color": (0.0, 2.0)}
@@ -83,6 +84,39 @@ def tracking_scores(detections: DataFrame, trials: list[dict[str, float]]) -> li
     return [by.get(i, -1.0) for i in range(len(trials))]
 
 
+#: What the settings of a search are called in the segmenter's parameters.
+_SEGMENTER = {"prob_threshold": "prob_threshold", "affinity": "affinity", "prob_weight": "prob_weight", "merge_affinity": "merge_affinity", "merge_brightness": "merge_brightness", "merge_distance": "merge_distance"}
+
+
+def segmentation_scores(planes: DataFrame, voxels: DataFrame, channels: list[str], trials: list[dict[str, float]], base: segmentation.Parameters = segmentation.Parameters(), min_size: int = 100, purity: float = 0.7, count_penalty: float = 0.0) -> list[float]:
+    """Each trial's purity score, averaged over frames, from one job: `planes` as `segmentation.segment` takes them, `voxels` their channels.
+
+    A trial without any cell scores 0.
+    """
+    settings = {i: base.with_values(**{_SEGMENTER[k]: v for k, v in t.items()}) for i, t in enumerate(trials)}
+    listed = planes.withColumn("trial_id", F.explode(F.array(*[F.lit(i) for i in settings])))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = segmentation.label_plane(pdf, lambda prob, emb: segmentation.segment_plane(prob, emb, settings[key[0]]))
+        out.insert(0, "trial_id", key[0])
+        return out
+
+    found = listed.groupBy("trial_id", "movie", "t", "z").applyInPandas(one, "trial_id int, movie string, t int, z int, y int, x int, label int")
+    every = voxels.drop("label").withColumn("trial_id", F.explode(F.array(*[F.lit(i) for i in settings])))
+    at = ["trial_id", "movie", "t", "z", "y", "x"]
+    cells = every.join(found, at, "left").withColumn("label", F.coalesce("label", F.lit(0))).withColumn("movie", F.concat_ws("/", "trial_id", "movie")).drop("trial_id")
+    scores = labels.purity_score(labels.classify(cells, channels, min_size, purity), count_penalty)
+    by = {int(r[0]): r[1] for r in scores.groupBy(F.substring_index("movie", "/", 1).alias("trial")).agg(F.avg("score")).collect()}
+    return [by.get(i, 0.0) for i in settings]
+
+
+def optimise_segmentation(planes: DataFrame, voxels: DataFrame, channels: list[str], max_evals: int = 150, fixed: dict[str, float] | None = None, seed: int = 1, **scoring_options) -> tuple[dict[str, float], list[tuple[dict[str, float], float]]]:
+    """Searches the segmenter's five parameters but the fixed ones, a generation at a time."""
+    fixed = fixed or {}
+    bounds = {k: b for k, b in SEGMENTATION_BOUNDS.items() if k not in fixed}
+    return maximise(lambda trials: segmentation_scores(planes, voxels, channels, [{**t, **fixed} for t in trials], **scoring_options), bounds, max_evals, seed=seed)
+
+
 def optimise_tracking(detections: DataFrame, max_evals: int = 100, fixed: dict[str, float] | None = None, seed: int = 1) -> tuple[dict[str, float], list[tuple[dict[str, float], float]]]:
     """Searches the tracker's parameters but the fixed ones."""
     fixed = fixed or {}

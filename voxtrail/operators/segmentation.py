@@ -209,17 +209,21 @@ def segment_two_pass(prob: np.ndarray, emb: np.ndarray, large: Parameters = LARG
     return np.where(add, second + first.max(), first)
 
 
+def label_plane(pdf: pd.DataFrame, segmenter) -> pd.DataFrame:
+    """The labelled pixels of one plane's rows."""
+    y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
+    emb = np.stack(pdf.emb.to_numpy())
+    prob, grid = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1, emb.shape[1]))
+    prob[y, x], grid[y, x] = pdf.prob.to_numpy(), emb
+    out = pdf[["movie", "t", "z", "y", "x"]].assign(label=segmenter(prob, grid)[y, x].astype("int32"))
+    return out[out.label > 0]
+
+
 def segment(pixels: DataFrame, p: Parameters = Parameters(), two_pass: bool = False) -> DataFrame:
     """Labels of all pixels (movie, t, z, y, x, prob, emb); planes run side by side."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
-        emb = np.stack(pdf.emb.to_numpy())
-        prob, grid = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1, emb.shape[1]))
-        prob[y, x], grid[y, x] = pdf.prob.to_numpy(), emb
-        found = segment_two_pass(prob, grid) if two_pass else segment_plane(prob, grid, p)
-        out = pdf[["movie", "t", "z", "y", "x"]].assign(label=found[y, x].astype("int32"))
-        return out[out.label > 0]
+        return label_plane(pdf, segment_two_pass if two_pass else lambda prob, emb: segment_plane(prob, emb, p))
 
     return pixels.groupBy("movie", "t", "z").applyInPandas(one, "movie string, t int, z int, y int, x int, label int")
 

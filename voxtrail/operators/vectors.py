@@ -41,17 +41,17 @@ def sample_pixels(points: DataFrame, patch: list[str], key: str, max_pixels: int
     return points.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= max_pixels).drop("__n")
 
 
-def block_distances(points: DataFrame, patch: list[str], key: str, vector: str, blocks: int = 4) -> DataFrame:
+def block_distances(points: DataFrame, patch: list[str], key: str, vector: str, blocks: int = 4, keep: list[str] = []) -> DataFrame:
     """Squared distances of all pairs of each patch's sampled pixels, made block by block of an equi-join.
 
-    A patch has a bounded sample (`sample_pixels`), as the losses take it; patches spread over tasks.
+    A patch has a bounded sample (`sample_pixels`), as the losses take it; patches spread over tasks.  Columns `keep` of the patch are kept.
     """
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = points.select(*patch, F.col(key).alias("i"), F.col(vector).alias("vi"), b.alias("bi"), F.explode(every).alias("bj"))
     right = points.select(*patch, F.col(key).alias("j"), F.col(vector).alias("vj"), b.alias("bj"), F.explode(every).alias("bi"))
     pairs = left.join(right, [*patch, "bi", "bj"]).filter("i <> j")
-    return pairs.select("i", "j", dot(F.zip_with("vi", "vj", lambda x, y: x - y), F.zip_with("vi", "vj", lambda x, y: x - y)).alias("d2"), dot(F.col("vi"), F.col("vj")).alias("sim"))
+    return pairs.select(*keep, "i", "j", dot(F.zip_with("vi", "vj", lambda x, y: x - y), F.zip_with("vi", "vj", lambda x, y: x - y)).alias("d2"), dot(F.col("vi"), F.col("vj")).alias("sim"))
 
 
 def nearest_and_farthest(pairs: DataFrame, k: int) -> DataFrame:

@@ -374,9 +374,22 @@ def intensity_target(spark, sf_dir):
     return t.select("movie", "t", "y", "x", F.round("target", 5).alias("target"))
 
 
-@query()
+_INSIDE = "least(((({p} + o) % 30) + 30) % 30, 30 - ((({p} + o) % 30) + 30) % 30)"
+_SUMS = "sum(w.w * m.{0}) as {0}"
+
+
+@query(
+    _PIX
+    + f""", p as (select * from pixel where c = 0),
+    g as (select t, y, x, {_GRAD.format(v="v", w="k")} as gx, {_GRAD.format(v="v", w="r")} as gy from p window r as (partition by t, y order by x), k as (partition by t, x order by y)),
+    f as (select t, y, x, gx * gx as xx, gy * gy as yy, gx * gy as xy from g),
+    w as (select o, exp(-(o * o) / 8.0) / sum(exp(-(o * o) / 8.0)) over () as w from (select (i - 3)::int as o from range(7) r(i))),
+    a as (select f.t, f.y, f.x, {", ".join(_SUMS.format(c) for c in ("xx", "yy", "xy"))} from f cross join w join f m on m.t = f.t and m.y = f.y and m.x = {_INSIDE.format(p="f.x")} group by all),
+    b as (select a.t, a.y, a.x, {", ".join(_SUMS.format(c) for c in ("xx", "yy", "xy"))} from a cross join w join a m on m.t = a.t and m.x = a.x and m.y = {_INSIDE.format(p="a.y")} group by all)
+    select 'm0' as movie, t, 0 as z, y, x, round(sqrt((xx - yy) * (xx - yy) + 4 * xy * xy), 6) as edge_strength from b"""
+)
 def structure_tensor(spark, sf_dir):
-    """Edge strength; its blur is checked against numpy in the tests."""
+    """Gap of the eigenvalues of the blurred structure tensor."""
     return tidy(motion.structure_tensor(A.pixels(spark).filter("c = 0")))
 
 
@@ -715,6 +728,54 @@ def track_sequence(spark, sf_dir):
     return tidy(tracking.track(_to_track(spark, sf_dir), ["movie"]))
 
 
+def _per_frame(points):
+    return points.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("track_id").alias("n_tracks"), F.countDistinct("cell_id").alias("n_cells"))
+
+
+_PER_FRAME = "select movie, t, count(*) as n_points, count(*) as n_tracks, count(distinct cell_id) as n_cells from det"
+
+
+@query(A.oracle("det") + _PER_FRAME + " group by movie, t")
+def track_sequence_frames(spark, sf_dir):
+    """Every detection of a frame is in a track, and in one of its own."""
+    return _per_frame(tracking.track(_to_track(spark, sf_dir), ["movie"]))
+
+
+@query(A.oracle("det") + _PER_FRAME + " where color_id >= 0 group by movie, t")
+def track_population_frames(spark, sf_dir):
+    """The same for tracks of each colour, whose ids never meet."""
+    return _per_frame(tracking.track_populations(_to_track(spark, sf_dir)))
+
+
+@query(A.oracle("det") + "select movie, t, count(*) as n_points, count(*) as n_tracks from det group by movie, t")
+def stitched_tracklet_frames(spark, sf_dir):
+    """Joining tracks over gaps never gives one track two points of a frame."""
+    found = tracking.stitch_tracklets(tracking.track(_to_track(spark, sf_dir), ["movie"]))
+    return found.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("stitched_id").alias("n_tracks"))
+
+
+_KALMAN = A.oracle("det").replace("with ", "with recursive ", 1) + """, d as (select movie || '-' || cell_id::varchar as lane, row_number() over (partition by movie, cell_id order by t) as n, cz * 4.0::double as mz, cy * 0.48::double as my, cx * 0.48::double as mx from det),
+    k as (
+        select lane, n, 0::bigint as tid, mz as z, my as y, mx as x, 0.0::double as vz, 0.0::double as vy, 0.0::double as vx, 9.0::double as p00, 0.0::double as p01, 4.0::double as p11 from d where n = 1
+        union all
+        select lane, n, tid + (not hit)::bigint,
+            case when hit then z + a00 / s * (mz - z) else mz end, case when hit then y + a00 / s * (my - y) else my end, case when hit then x + a00 / s * (mx - x) else mx end,
+            case when hit then vz + a01 / s * (mz - z) else 0 end, case when hit then vy + a01 / s * (my - y) else 0 end, case when hit then vx + a01 / s * (mx - x) else 0 end,
+            case when hit then a00 - a00 / s * a00 else 9 end, case when hit then a01 - a00 / s * a01 else 0 end, case when hit then a11 - a01 / s * a01 else 4 end
+        from (select *, ((mz - z) * (mz - z) + (my - y) * (my - y) + (mx - x) * (mx - x)) / s <= 9.21 as hit from (
+            select d.*, k.tid, k.z + k.vz as z, k.y + k.vy as y, k.x + k.vx as x, k.vz, k.vy, k.vx, k.p00 + 2 * k.p01 + k.p11 + 1 as a00, k.p01 + k.p11 as a01, k.p11 + 2 as a11, k.p00 + 2 * k.p01 + k.p11 + 10 as s
+            from k join d on d.lane = k.lane and d.n = k.n + 1)))
+    select lane as movie, n::int as t, tid as track_id from k"""
+
+
+@query(_KALMAN)
+def kalman_lanes(spark, sf_dir):
+    """Tracks of single cells without gaps: predictions, gates and updates, as SQL computes them step by step."""
+    w = Window.partitionBy("movie", "cell_id").orderBy("t")
+    d = _to_track(spark, sf_dir).withColumn("t", F.row_number().over(w)).withColumn("movie", F.concat_ws("-", "movie", "cell_id"))
+    return tracking.track(d, ["movie"], tracking.Config(max_gap=0)).select("movie", "t", "track_id")
+
+
 @query()
 def track_populations(spark, sf_dir):
     """Kalman tracks of every colour by itself."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxtrail import adapters as A
 from voxtrail.operators import analytics, flow, labels, motion, segmentation, shapes, tiles, tracking, vectors
 from voxtrail.plans import motion_table
-from voxtrail.plans.catalog import _DET, _VOX, _known, _to_track, query, tidy
+from voxtrail.plans.catalog import _DET, _GRAD, _VOX, _known, _to_track, query, tidy
 
 _STEP = _DET + """, s as (select *, case when t - lag(t) over w = 1 then y_um - lag(y_um) over w end as vy, case when t - lag(t) over w = 1 then x_um - lag(x_um) over w end as vx,
         case when lead(t) over w - t = 1 then lead(y_um) over w end as ny, case when lead(t) over w - t = 1 then lead(x_um) over w end as nx
@@ -82,7 +82,13 @@ def tracker_against_truth(spark, sf_dir):
     return analytics.compare_links(analytics.links(A.track_points(spark, sf_dir)), analytics.links(found))
 
 
-@query()
+@query(
+    _DET
+    + """, k as (select track.movie, track_id, track.t, [(color_id = 0)::int::double, (color_id = 1)::int::double, (color_id >= 2)::int::double + 0.1] as colour from track join det using (movie, t, cell_id)),
+    n as (select *, row_number() over (partition by movie, track_id order by t) as i, count(*) over (partition by movie, track_id) as m, sqrt(list_dot_product(colour, colour)) + 1e-12 as size from k),
+    s as (select *, case when i = 1 then pow(0.9, m - 1) else 0.1 * pow(0.9, m - i) end / size as w from n)
+    select movie, track_id, round(sum(w * colour[1]), 6) as c0, round(sum(w * colour[2]), 6) as c1, round(sum(w * colour[3]), 6) as c2 from s group by movie, track_id"""
+)
 def colour_averages(spark, sf_dir):
     """Moving averages of colours along tracks."""
     return analytics.colour_average(_coloured(spark, sf_dir), "colour").select("movie", "track_id", *[F.round(F.col("colour")[i], 6).alias(f"c{i}") for i in range(3)])
@@ -146,14 +152,15 @@ def tiled_average(spark, sf_dir):
 
 @query(
     A.oracle("det", "pixel")
-    + """, c as (select movie, t, cell_id, (cy % 16)::int as y, (cx % 16)::int as x from det where movie = 'm0'),
+    + """, c as (select movie, t, cell_id, (cy % 16)::int as y, (cx % 16)::int as x from det),
     g as (select c.movie, c.t, c.cell_id, p.y - c.y as dy, p.x - c.x as dx, max(p.v) as v from c join pixel p on p.t = c.t and p.c = 0 and p.y between c.y - 3 and c.y + 2 and p.x between c.x - 3 and c.x + 2 group by all),
     s as (select movie, t, cell_id, avg(v) as m, stddev_pop(v) as s from g group by all)
     select movie, t, cell_id, dy, dx, round((v - m) / (s + 1e-5), 6) as v from g join s using (movie, t, cell_id)"""
 )
 def patch_crops(spark, sf_dir):
-    d = A.detections(spark, sf_dir).filter("movie = 'm0'").select("movie", "t", "cell_id", F.lit(0).alias("z"), (F.col("cy") % 16).cast("int").alias("y"), (F.col("cx") % 16).cast("int").alias("x"))
-    return tidy(segmentation.crops(A.pixels(spark).filter("c = 0").drop("c"), d, 3))
+    d = A.detections(spark, sf_dir).select("movie", "t", "cell_id", F.lit(0).alias("z"), (F.col("cy") % 16).cast("int").alias("y"), (F.col("cx") % 16).cast("int").alias("x"))
+    planes = A.pixels(spark).filter("c = 0").drop("c").withColumn("movie", F.explode(F.array(*[F.lit(f"m{i}") for i in range(5)])))
+    return tidy(segmentation.crops(planes, d, 3))
 
 
 @query()
@@ -163,7 +170,14 @@ def warp_consistency(spark, sf_dir):
     return tidy(vectors.warp_consistency(e, e, A.fields(spark).filter("scale = 1")))
 
 
-@query()
+@query(
+    A.oracle("voxel", "flow")
+    + f""", g as (select *, {_GRAD.format(v="u", w="r")} as ux, {_GRAD.format(v="u", w="k")} as uy, {_GRAD.format(v="v", w="r")} as vx, {_GRAD.format(v="v", w="k")} as vy
+        from flow where scale = 1 window r as (partition by movie, t0, y order by x), k as (partition by movie, t0, x order by y)),
+    f as (select t0, z, y, x, u, v, sqrt(u * u + v * v) as mag, ux + vy as divergence, vx - uy as vorticity, sqrt(0.5 * ((ux - vy) * (ux - vy) + (uy + vx) * (uy + vx))) as strain from g)
+    select a.movie, a.t, a.label, {", ".join(f"round(avg(f.{c}), 6) as {c}" for c in ("u", "v", "mag", "divergence", "vorticity", "strain"))}
+    from voxel a join f on a.t = f.t0 and a.z = f.z and a.y = f.y and a.x = f.x where a.label > 0 group by all"""
+)
 def cell_flow_features(spark, sf_dir):
     """Six motion features of every cell: displacement, size, divergence, vorticity and strain."""
     field = motion.magnitudes(motion.deformation(A.fields(spark).filter("scale = 1"))).withColumnRenamed("t0", "t")

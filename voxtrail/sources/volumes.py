@@ -38,6 +38,20 @@ def from_planes(planes: DataFrame) -> DataFrame:
     return planes.select("movie", "t", "z", F.explode("pixels").alias("p")).select("movie", "t", "z", "p.*")
 
 
+def pyramid(planes: DataFrame, levels: int) -> DataFrame:
+    """Planes (…, y, x, v) at `levels` resolutions: `level` 0 as they are, each further one by means of 2 x 2 pixels of the one before's grid."""
+    keys = [c for c in planes.columns if c not in ("y", "x", "v")]
+    listed = planes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    at = [F.floor(F.col(c) / size).cast("int").alias(c) for c in ("y", "x")]
+    return listed.select(*keys, "level", *at, "v").groupBy(*keys, "level", "y", "x").agg(F.avg("v").alias("v"))
+
+
+def level(pyramid: DataFrame, number: int) -> DataFrame:
+    """One resolution of a pyramid."""
+    return pyramid.filter(F.col("level") == number).drop("level")
+
+
 def slice_volume(pixels: DataFrame, t: tuple[int, int] | None = None, z: tuple[int, int] | None = None, channels: list[int] | None = None) -> DataFrame:
     """Rows of some frames, slices and channels; the conditions reach the scan."""
     out = pixels
