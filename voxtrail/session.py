@@ -31,11 +31,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one that spark.checkpoint.dir names.
 
-    Only where that is unset (tests, notebooks) is a folder of this machine used.
+    Only where that is unset and Spark is local (tests, notebooks) is a folder of this machine used.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxtrail-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="voxtrail-"))
     return context.getCheckpointDir()
 
 
