@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail import adapters as A
-from voxtrail.operators import joins, motion, scoring, search, segmentation, training
+from voxtrail.operators import joins, motion, scoring, search, segmentation, tiles, training
 from voxtrail.plans.catalog import _DET, _PIX, _POINTS, coloured_points, query, tidy
 from voxtrail.plans.catalog_kernels import _planes
 from voxtrail.sources import volumes
@@ -104,3 +104,10 @@ def variance_repulsion(spark, sf_dir):
     """The repulsion term of every analytic plane, by tiles of eight pixels."""
     p = _planes(spark, sf_dir).join(channel_voxels(spark), ["movie", "t", "z", "y", "x"]).withColumn("metrics", F.array("v0", "v1"))
     return tidy(training.variance_loss(p, side=8, max_tiles=3))
+
+
+@query(_PIX + ", q as (select t, quantile_cont(v, 0.01) as a, quantile_cont(v, 0.99) as b from pixel where c = 0 group by t) select movie, t, z, y, x, round((v - a) / (b - a) * 2 + 1, 6) as v from pixel join q using (t) where c = 0")
+def restored_planes(spark, sf_dir):
+    """The whole chain around a restoring model, which here doubles values and adds one."""
+    planes = A.pixels(spark).filter("c = 0").drop("c")
+    return tidy(tiles.restore(planes, lambda t: t.withColumn("v", F.col("v") * 2 + 1), A.GRID, A.GRID, 24))
