@@ -601,14 +601,14 @@ def ground_truth_pairs(spark, sf_dir):
 
 @query(_POINTS + "select before as from_color, coalesce(sum((color_id = 0)::int), 0)::bigint as to_0, coalesce(sum((color_id = 1)::int), 0)::bigint as to_1, coalesce(sum((color_id = 2)::int), 0)::bigint as to_2, coalesce(sum((color_id = 3)::int), 0)::bigint as to_3 from step where switch = 1 group by before")
 def switch_matrix(spark, sf_dir):
-    s = scoring._steps(coloured_points(spark, sf_dir)).filter("switch = 1")
+    s = scoring.steps(coloured_points(spark, sf_dir)).filter("switch = 1")
     m = s.groupBy(F.col("before").alias("from_color")).pivot("color_id", [0, 1, 2, 3]).count()
     return m.select("from_color", *[F.coalesce(F.col(str(c)), F.lit(0)).alias(f"to_{c}") for c in range(4)])
 
 
 @query(_POINTS + "select movie, t, sum(switch)::bigint as n_switches, count(before) as n_transitions, round(sum(switch) / nullif(count(before), 0)::double, 6) as rate from step group by movie, t")
 def switch_rate_by_frame(spark, sf_dir):
-    s = scoring._steps(coloured_points(spark, sf_dir)).groupBy("movie", "t").agg(F.sum("switch").cast("bigint").alias("n_switches"), F.count("before").alias("n_transitions"))
+    s = scoring.steps(coloured_points(spark, sf_dir)).groupBy("movie", "t").agg(F.sum("switch").cast("bigint").alias("n_switches"), F.count("before").alias("n_transitions"))
     return tidy(s.withColumn("rate", F.when(F.col("n_transitions") > 0, F.col("n_switches") / F.col("n_transitions"))))
 
 
