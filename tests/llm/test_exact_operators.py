@@ -120,9 +120,8 @@ def test_marks_after_letters_that_decompose_follow_the_library():
             assert np.frombuffer(WORDS.encode_batch([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
 
 
-def test_words_that_were_forgotten_are_encoded_again(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 3)
-    small = packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+def test_words_that_were_forgotten_are_encoded_again():
+    small = packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read(), 3)
     for text in ("one two, Three", "four five six!", "one two seven", "Three, one eight", "", "nine one"):
         assert np.frombuffer(small.encode_batch([text, text])[1], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 

@@ -39,7 +39,7 @@ CAPACITY = 2048
 GRAIN = 32
 WINDOWS = 256
 PADDING = 0.015
-MEMO = 400_000
+MEMO = 900_000
 END = (1).to_bytes(4, "little")
 _FULL = 1 << 62
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -49,16 +49,17 @@ _ODD = re.compile(r"[\x1c-\x1f]")  # blanks to str.split, but not to the file
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose pieces never span white space.
 
-    Words are encoded once and kept; an older generation is kept while a new one fills.  A text with one of the file's special marks,
+    Words are encoded once and kept, `memo` of them; an older generation is kept while a new one fills.  A text with one of the file's special marks,
     which could span words, is encoded as a whole.
     """
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most = memo
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -79,7 +80,7 @@ class WordTokenizer:
             marks = word[len(base) :]
             found = self.tails.get(marks)
             if found is None:
-                if len(self.tails) >= MEMO:
+                if len(self.tails) >= self.most:
                     self.tails.clear()
                 found = self.tails[marks] = self._encode(marks)
             tail = found
@@ -114,7 +115,7 @@ class WordTokenizer:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         split = [None if not t or any(s in t for s in self.special) else _SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        if len(self.memo) >= MEMO:
+        if len(self.memo) >= self.most:
             self.memo, self.older = {}, self.memo
         find, found, gaps, new = self.memo.get, [], [], set()
         for words in split:
@@ -265,13 +266,13 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, grain: int = GRA
         share = min(1.0, 2 * share or 0.0625)
 
 
-def items(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def items(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, memo: int = MEMO) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and grains of every document's whole sequences and its rest.
 
     `grains` has the rest's checksums by grains of `grain` ids, as unsigned 32-bit integers.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = per_worker(docs.sparkSession, WordTokenizer, f.read())
+        tokenizer = per_worker(docs.sparkSession, WordTokenizer, f.read(), memo)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, crc32, size = tokenizer().encode_batch, zlib.crc32, 4 * grain
@@ -294,9 +295,9 @@ def items(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
     return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, grains binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, windows: int = WINDOWS) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of all pieces of all documents."""
-    found = pin(items(docs, tokenizer_path, capacity, grain)).withColumn("row", F.monotonically_increasing_id())
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, windows: int = WINDOWS, memo: int = MEMO) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of all pieces of all documents; a worker keeps `memo` words twice."""
+    found = pin(items(docs, tokenizer_path, capacity, grain, memo)).withColumn("row", F.monotonically_increasing_id())
     whole = found.filter(F.col("length") == capacity)
     whole = whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("row") + F.lit(_FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = found.filter(F.col("length") < capacity)
