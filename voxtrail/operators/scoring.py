@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtrail.operators.joins import nearest
+from voxtrail.session import pin
 
 KEY = ["movie", "track_id"]
 MATCH_UM = 50.0
@@ -79,7 +80,8 @@ def fragmentation(switches: DataFrame) -> DataFrame:
 
 
 def report(points: DataFrame) -> DataFrame:
-    """One row of scores for each movie, from points with colours."""
+    """One row of scores for each movie, from points with colours, which are written once as four scores read them."""
+    points = pin(points.select(*KEY, "t", "color_id"))
     switches = track_switches(points)
     rates = switches.groupBy("movie").agg(
         F.count(F.lit(1)).alias("n_evaluated"),
