@@ -129,9 +129,13 @@ def last_slices(voxels: DataFrame) -> DataFrame:
 def contacts(voxels: DataFrame) -> DataFrame:
     """For each pair of labels of a plane, the pixels of b that are 4-neighbours of a."""
     v = foreground(voxels).select("movie", "t", "z", "y", "x", "label").distinct()
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-    near = v.select("movie", "t", "z", F.col("label").alias("a"), "y", "x", F.explode(steps).alias("s")).select("movie", "t", "z", "a", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    pairs = near.join(v.withColumnRenamed("label", "b"), ["movie", "t", "z", "y", "x"]).filter("a <> b")
+    # Each neighbourhood is met once, from its upper or left pixel, and then counted for either side.
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((1, 0), (0, 1))])
+    near = v.select("movie", "t", "z", F.col("label").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), F.explode(steps).alias("s"))
+    near = near.select("movie", "t", "z", "a", "ay", "ax", (F.col("ay") + F.col("s.dy")).alias("y"), (F.col("ax") + F.col("s.dx")).alias("x"))
+    met = near.join(v.withColumnRenamed("label", "b"), ["movie", "t", "z", "y", "x"]).filter("a <> b")
+    side = lambda a, b, y, x: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(y).alias("y"), F.col(x).alias("x"))
+    pairs = met.select("movie", "t", "z", F.explode(F.array(side("a", "b", "y", "x"), side("b", "a", "ay", "ax"))).alias("p")).select("movie", "t", "z", "p.*")
     return pairs.distinct().groupBy("movie", "t", "z", "a", "b").agg(F.count(F.lit(1)).alias("n_contact"))
 
 
