@@ -50,6 +50,19 @@ def test_kneser_ney_sums_to_one():
         assert sum(model.char(context, c) for c in "abc>") == pytest.approx(1.0)
 
 
+def test_log_ratios_equal_the_two_models_by_hand():
+    rows = [(f"plain words here number {i % 7} and more of them", 0) for i in range(40)] + [(f"vile vileword and vilest words {'again' * (i % 3)}", 1) for i in range(20)]
+    a, b = toxicity.class_models(rows)
+    model = toxicity.Model(*toxicity._ratios(a, b), 1.0, 0.0)
+    for word in ("vile", "plain", "words", "vilewordy", "unknown", "zz", "them", "v", "againagain", "numbervile"):
+        assert model.word(word) == pytest.approx(a.word(word) - b.word(word))
+    text = "plain vile words here"
+    each = [(a.word(w) - b.word(w), len(w) + 1) for w in text.split()]
+    n = toxicity.WINDOW
+    assert model.difference(text) == pytest.approx(max(sum(x for x, _ in each[i : i + n]) / sum(c for _, c in each[i : i + n]) for i in range(len(each) - n + 1)))
+    assert toxicity.discounts({"h": Counter("aabbbcccc")}) == [0.0, 0.5, 0.5, 0.5]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     out = toxicity.score_documents(docs, labels).join(labels, "doc_id").collect()

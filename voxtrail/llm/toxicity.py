@@ -49,9 +49,9 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _counts(vocabulary: Counter) -> list[dict[str, Counter]]:
+def _counts(vocabulary: Counter) -> list[dict[str, dict[str, int]]]:
     """For each order, counts of the next character by context; below the top order, of distinct longer contexts."""
-    tables: list[dict[str, Counter]] = [{} for _ in range(ORDER)]
+    tables: list[dict[str, dict[str, int]]] = [{} for _ in range(ORDER)]
     seen: list[set[str]] = [set() for _ in range(ORDER)]
     for word, n in vocabulary.items():
         edged = f"<{word}>"
@@ -64,11 +64,14 @@ def _counts(vocabulary: Counter) -> list[dict[str, Counter]]:
                     if longer in seen[k]:
                         break
                     seen[k].add(longer)
-                tables[k].setdefault(context, Counter())[char] += n if top else 1
+                found = tables[k].get(context)
+                if found is None:
+                    found = tables[k][context] = {}
+                found[char] = found.get(char, 0) + (n if top else 1)
     return tables
 
 
-def discounts(table: dict[str, Counter]) -> list[float]:
+def discounts(table: dict[str, dict[str, int]]) -> list[float]:
     """What counts of 0, 1, 2 and 3 or more are discounted by, from how many counts of 1 to 4 there are."""
     seen = Counter(n for c in table.values() for n in c.values() if n <= 4)
     if not all(seen[n] for n in (1, 2, 3, 4)):
@@ -81,7 +84,7 @@ def discounts(table: dict[str, Counter]) -> list[float]:
 class KneserNey:
     """Interpolated Kneser-Ney probabilities; `shared` gives those of the shortest context for both classes."""
 
-    tables: list[dict[str, Counter]]
+    tables: list[dict[str, dict[str, int]]]
     shared: dict[str, float]
     floor: float
     off: list[list[float]] = field(init=False)
@@ -100,7 +103,7 @@ class KneserNey:
             if total is None:
                 break
             n, freed = total
-            seen = self.tables[k][h][char]
+            seen = self.tables[k][h].get(char, 0)
             p = (seen - self.off[k][min(seen, 3)] + freed * p) / n
         return p
 
@@ -205,15 +208,31 @@ def class_models(rows: list[tuple[str, int]]) -> tuple[KneserNey, KneserNey]:
 
 
 def _ratios(a: KneserNey, b: KneserNey) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratios of two models for all n-grams that either has seen, and what contexts add to those of shorter ones."""
+    """Log ratios of two models for all n-grams that either has seen, and what contexts add to those of shorter ones.
+
+    Orders go from short to long, so a gram's probabilities come from those of the gram without its first character.
+    """
     ratio: dict[str, float] = {}
     backoff: dict[str, float] = {}
+    lower = {c: (p, p) for c, p in a.shared.items()}
     for k in range(1, ORDER):
-        for h in {*a.tables[k], *b.tables[k]}:
-            (na, da), (nb, db) = a.sums[k].get(h, (1, 1.0)), b.sums[k].get(h, (1, 1.0))
-            backoff[h] = math.log(da / na / (db / nb))
-            for char in {*a.tables[k].get(h, ()), *b.tables[k].get(h, ())}:
-                ratio[h + char] = math.log(a.char(h, char) / b.char(h, char))
+        now: dict[str, tuple[float, float]] = {}
+        (ta, sa, oa), (tb, sb, ob) = ((m.tables[k], m.sums[k], m.off[k]) for m in (a, b))
+        for h in ta.keys() | tb.keys():
+            (na, fa), (nb, fb), rest = sa.get(h, (1, 1.0)), sb.get(h, (1, 1.0)), h[1:]
+            ca, cb = ta.get(h), tb.get(h)
+            backoff[h] = math.log(fa / na / (fb / nb))
+            for char in (ca or {}).keys() | (cb or {}).keys():
+                pa, pb = lower[rest + char]
+                if ca is not None:
+                    seen = ca.get(char, 0)
+                    pa = (seen - oa[min(seen, 3)] + fa * pa) / na
+                if cb is not None:
+                    seen = cb.get(char, 0)
+                    pb = (seen - ob[min(seen, 3)] + fb * pb) / nb
+                now[h + char] = pa, pb
+                ratio[h + char] = math.log(pa / pb)
+        lower = now
     return ratio, backoff
 
 
