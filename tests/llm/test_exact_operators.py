@@ -1,6 +1,7 @@
 """Operators with one right answer, against brute force and the libraries they follow."""
 
 import hashlib
+import ipaddress
 import re
 import time
 import unicodedata
@@ -559,6 +560,11 @@ def test_pseudonyms_equal_a_feistel_network_by_hand(spark, docs_of):
         w, x, y, z = rng.integers(0, 256, 4).tolist()
         a, b = _pair(key, "ip", w * 256 + x, y * 256 + z, 1 << 16, 1 << 16)
         rows.append((f"{w}.{x}.{y}.{z}", f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"))
+        six = [0x2001, *rng.integers(0, 1 << 16, 7).tolist()]
+        number = int("".join(f"{g:04x}" for g in six[1:]), 16)
+        a, b = _pair(key, "ipv6", number >> 56, number & ((1 << 56) - 1), 1 << 56, 1 << 56)
+        moved = f"{a:014x}{b:014x}"
+        rows.append((":".join(f"{g:X}" for g in six), ":".join(["2001", *(f"{int(moved[i : i + 4], 16):x}" for i in range(0, 28, 4))])))
         digits = "".join(map(str, rng.integers(0, 10, 10)))
         moved = _text(key, "phone", digits)
         rows.append((f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"({moved[:3]}) {moved[3:6]}-{moved[6:]}"))
@@ -592,6 +598,18 @@ def test_invalid_accounts_and_foreign_numbers_stay(spark, docs_of):
     assert [r.text for r in pii.pseudonymise(docs_of(texts)).orderBy("doc_id").collect()] == texts
 
 
+def test_long_addresses_are_linked_however_they_are_abbreviated(spark, docs_of):
+    same = ["2001:db8::8a2e:370:7334", "2001:0DB8:0:0:0:8a2e:0370:7334", "2001:db8:0:0::8A2E:370:7334"]
+    others = ["fe80::1", "fdab:cdef::a", "2001:db8::8a2e:370:7335"]
+    plain = ["std::move a::b 12:30:45 dead::beef", "2001:1:2:3:4:5:6:7:8", "2001:1:2:3:4::5:6:7:8", "2001:db8::12345 x2001:db8::1 2020:: 00:1b:44:11:3a:b7"]
+    rows = pii.pseudonymise_documents(docs_of([f"from [{a}], yes" for a in same + others] + plain)).orderBy("doc_id").collect()
+    new = [re.fullmatch(r"from \[(.*)\], yes", r.text)[1] for r in rows[:6]]
+    assert len(set(new[:3])) == 1 and len(set(new)) == 4 and not set(new) & set(same + others)
+    assert all(r.kinds == "ipv6" and r.n_found == 1 for r in rows[:6]) and [a[:4] for a in new[2:5]] == ["2001", "fe80", "fdab"]
+    assert all(len(a.split(":")) == 8 and ipaddress.ip_address(a) for a in new)
+    assert [r.text for r in rows[6:]] == plain
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6 * 7).select(pii.permute_pair("k", "w", (F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int"), 6, 7).alias("p")).distinct()
     assert pairs.count() == 42 and pairs.agg(F.max("p.a"), F.max("p.b")).first() == (5, 6)

@@ -1,17 +1,17 @@
 """Format-preserving pseudonyms of personal data, in DataFrame functions only.
 
-E-mail addresses, IPv4 addresses, bank accounts (IBAN), dates, social security numbers, telephone numbers
+E-mail addresses, IPv4 and IPv6 addresses, bank accounts (IBAN), dates, social security numbers, telephone numbers
 and payment card numbers are found by one pattern and validated: card and account numbers by
 their check digits and an account's length by its country, dates by the calendar, social security numbers by the areas in use,
-addresses by their octets, international telephone numbers by their length.  A valid value is replaced by its image under a keyed Feistel
+IPv4 addresses by their octets, IPv6 ones by their groups and a first group in use, international telephone numbers by their length.  A valid value is replaced by its image under a keyed Feistel
 permutation of the values of its format, so equal values get equal pseudonyms in all
 documents, different ones different, and a pseudonym is valid again.
 
 Characters are permuted within their class (digit, small or capital letter) by rounds in
-which one half of the text shifts the other; dates, IPv4 addresses and social security
+which one half of the text shifts the other; dates, IPv4 and IPv6 addresses and social security
 numbers are numbered, and the number is permuted as a pair of parts, each shifted by
-the other.  Separators, an address's domain, a card's first digit and the country of an account or a telephone number
-stay; check digits are computed anew.
+the other.  Separators, an e-mail address's domain, the first group of an IPv6 address, a card's first digit and the country of an account or a telephone number
+stay; check digits are computed anew.  However an IPv6 address is abbreviated, its pseudonym is the same, with all eight groups.
 
 The key is a secret of whoever runs this: `session_key` reads it from the session's setting KEY_SETTING.  KEY
 is for tests; what is made with it can be undone by anyone.
@@ -38,6 +38,9 @@ _EPOCH, _DAYS, _LAST = "1800-01-01", 146_097, "2199-12-31"  # one Gregorian cycl
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_NETWORK = "(?:[23][0-9A-Fa-f]{3}|[fF](?:[eE][89ABab][0-9A-Fa-f]|[CDcd][0-9A-Fa-f]{2}))"  # global, link-local, unique local
+IPV6 = rf"(?<![\w:.]){_NETWORK}(?:(?::{_GROUP}){{7}}|(?::{_GROUP}){{0,5}}::{_GROUP}(?::{_GROUP}){{0,5}})(?![\w:])"
 DATE = r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/\-]|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d(+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])"
@@ -49,7 +52,7 @@ ACCOUNTS = {
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
 }
 IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNTS.items()) + ")(?![A-Za-z0-9])"
-OTHERS = "|".join((EMAIL, IP, IBAN, DATE, SSN, PHONE, FOREIGN))
+OTHERS = "|".join((EMAIL, IP, IPV6, IBAN, DATE, SSN, PHONE, FOREIGN))
 PATTERN = f"{OTHERS}|{CARD}"
 #: Layouts of cards that may have other numbers beside them, which CARD takes along.
 _START, _END = r"(?<![\d.,\-])", r"(?!\d|-\d{4})"
@@ -159,12 +162,13 @@ def _walk(key: str, day: Column) -> Column:
 
 
 def kind(text: Column) -> Column:
-    """email, ip, date, ssn, iban, phone or card for a valid value that the pattern found, else null."""
+    """email, ip, ipv6, date, ssn, iban, phone or card for a valid value that the pattern found, else null."""
     whole = lambda p: text.rlike(rf"^(?:{p})$")
     area, group, serial = (F.substring(text, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     return (
         F.when(F.contains(text, F.lit("@")), "email")
         .when(whole(IP), "ip")
+        .when(whole(IPV6), F.when(F.size(_groups(text)) == 8, "ipv6"))
         .when(whole(DATE), F.when(_calendar(text).isNotNull(), "date"))
         .when(whole(SSN), F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), "ssn"))
         .when(whole(IBAN), F.when(_remainder(F.replace(text, F.lit(" "), F.lit(""))) == 1, "iban"))
@@ -183,6 +187,13 @@ def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
     moved = permute_pair(key, "ip", octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], 1 << 16, 1 << 16)
     ip = F.concat_ws(".", *[x.cast("string") for x in _bytes(moved)])
 
+    # After the first group there are 28 digits, two parts of 56 bits.
+    rest = F.substring(F.array_join(F.transform(_groups(text), lambda g: F.lpad(g, 4, "0")), ""), 5, 28)
+    halves = [F.conv(F.substring(rest, at, 14), 16, 10).cast("bigint") for at in (1, 15)]
+    moved = F.transform(F.array(permute_pair(key, "ipv6", *halves, 1 << 56, 1 << 56)), lambda p: F.concat(_hex(p["a"]), _hex(p["b"])))[0]
+    cut = F.transform(F.array(moved), lambda h: F.concat_ws(":", *[F.regexp_replace(F.substring(h, at, 4), "^0{1,3}", "") for at in range(1, 29, 4)]))[0]
+    ipv6 = F.concat(F.lower(F.substring(text, 1, 4)), F.lit(":"), cut)
+
     day = F.datediff(_calendar(text), F.lit(_EPOCH).cast("date"))
     date = F.date_add(F.lit(_EPOCH).cast("date"), _number(permute_pair(key, "date", F.floor(day / 773), day % 773, 189, 773), 773))
     late = F.date_add(F.lit(_EPOCH).cast("date"), _walk(key, day))
@@ -207,7 +218,7 @@ def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
     account = _refit(text, account, " ")
 
     out = text
-    for name, value in (("email", email), ("ip", ip), ("iban", account), ("date", date), ("ssn", ssn), ("phone", phone), ("card", card)):
+    for name, value in (("email", email), ("ip", ip), ("ipv6", ipv6), ("iban", account), ("date", date), ("ssn", ssn), ("phone", phone), ("card", card)):
         out = F.when(kind == name, value).otherwise(out)
     return out
 
@@ -216,6 +227,17 @@ def _bytes(pair: Column) -> list[Column]:
     return [F.floor(pair["a"] / 256), pair["a"] % 256, F.floor(pair["b"] / 256), pair["b"] % 256]
 
 
+def _groups(text: Column) -> Column:
+    """The groups of an IPv6 address in small letters, those that `::` stands for as 0, at least one."""
+    small = F.lower(text)
+    first, last = F.split(F.substring_index(small, "::", 1), ":"), F.split(F.substring_index(small, "::", -1), ":")
+    return F.when(F.contains(small, F.lit("::")), F.concat(first, F.array_repeat(F.lit("0"), F.greatest(F.lit(1), 8 - F.size(first) - F.size(last))), last)).otherwise(first)
+
+
+def _hex(part: Column) -> Column:
+    return F.lpad(F.lower(F.hex(part)), 14, "0")
+
+
 def _number(pair: Column, n: int) -> Column:
     return F.transform(F.array(pair), lambda p: p["a"] * n + p["b"])[0].cast("int")
 
@@ -245,7 +267,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, fo
     """`docs` with pseudonyms in column `text`; `found` names a column for (kind, start, original's length, pseudonym) of each value."""
     key = session_key(docs.sparkSession) if key is None else key
     t = F.col(text)
-    has = t.rlike(r"\d|@")
+    has = t.rlike(r"\d|@|::")
     docs = docs.withColumn("__pattern", F.when(has, _pattern(t)))
     pattern = F.col("__pattern")
     values = F.when(has, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
