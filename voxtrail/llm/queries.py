@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrail.llm import bpe, fingerprint, gru, langid, packing, pii, simhash, topk, toxicity, urls
+from voxtrail.llm import bpe, fim, fingerprint, gru, langid, packing, pii, simhash, topk, toxicity, urls
 from voxtrail.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES = {
         op8_language_id,
         op9_simhash_groups,
         op10_byte_bpe,
+        op11_fill_in_middle,
     )
 }
 ORACLE: dict[str, str] = {
@@ -82,4 +87,22 @@ ORACLE: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from ranked where rank <= 5
     """,
+    "op11_fill_in_middle": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as digest from documents
+        ), u as (
+            select doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+                list_transform(range(4), lambda i: ('0x' || substr(digest, 8 * i + 1, 8))::bigint) as h from d
+        ), c as (
+            select *, len(units) as n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as b,
+                case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 50 then 'plain'
+                    when h[4] % 100 < 80 then 'spm' else 'psm' end as form from u
+        ), parts as (
+            select doc_id, text, n, form, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c
+        )
+        select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+        from parts
+    """,
 }
