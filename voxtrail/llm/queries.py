@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrail.llm import bpe, fim, fingerprint, gru, langid, packing, pii, simhash, topk, toxicity, urls
+from voxtrail.llm import bpe, chat, fim, fingerprint, gru, langid, packing, pii, simhash, topk, toxicity, urls
 from voxtrail.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES = {
         op9_simhash_groups,
         op10_byte_bpe,
         op11_fill_in_middle,
+        op12_chat_windows,
     )
 }
 ORACLE: dict[str, str] = {
