@@ -1,5 +1,7 @@
 """Chat windows: escaping, budgets, history and masks against a plain greedy reading, and digests against SQL."""
 
+import hashlib
+
 import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -86,6 +88,10 @@ def test_long_conversations_spread_over_blocks(spark):
             assert told[0] == turns[0] and len(told) > 1 and told[1:] == [t for t in turns if t in told[1:]]
     assert {r.block for r in made if r.conv_id == 5} == set(range(32))
     assert [(r.block, r.repeated) for r in made if r.conv_id == 6] == [(0, 0), (10, 0)]
+    back = {r.conv_id: r for r in chat.read_back(chat.windows(spark.createDataFrame(rows, SCHEMA), 100, 30, block_turns=64)).collect()}
+    said = "".join(t for r, t in turns if r == "assistant")
+    assert back[5].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest() and back[5].n_turns == len(turns)
+    assert (back[5].loss_chars, back[5].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest()) and back[6].n_turns == 2
     plan = chat.blocks(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
@@ -99,6 +105,12 @@ def test_null_turns_repeats_and_empty_tables(spark):
     assert [(r.conv_id, r.n_turns) for r in empty] == [(-7, 2)]
 
 
+def test_windows_out_of_order_are_an_error(spark):
+    made = chat.windows(spark.createDataFrame([(1, i, "user", "word " * 30, "", "", "") for i in range(9)], SCHEMA), 60, 0)
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_back(made.orderBy(chat.F.desc("window"))).collect()
+
+
 def test_whole_table_equals_sql(spark):
     want = duckdb.sql(f"""
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from '{SF}/conversations.parquet'

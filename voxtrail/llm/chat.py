@@ -38,7 +38,8 @@ _SALTS = 64
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
 #: What is escaped, in the order in which it is done; no code holds what a later one replaces.
 ESCAPES = (("\\", "\\\\"), ("###", "\\H"), ("</turn>", "\\T"))
-WINDOWS = "conv_id long, block long, window int, repeated int, n_turns int, n_tokens long, text string, loss array<struct<start:int,length:int>>"
+WINDOWS = "conv_id long, block long, window int, repeated int, n_turns int, n_tokens long, text string, loss array<struct<start:int,length:int>>, alone boolean, closing boolean"
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str, codes: tuple = ESCAPES) -> str:
@@ -71,6 +72,13 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\s?\S{1,8}|\s{1,8}")).cast("long")
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 class Windows:
     """Windows of one block, fed turn by turn: (role, text, tokens, tokens up to its end)."""
 
@@ -143,7 +151,10 @@ class Windows:
 
 
 def blocks(turns: DataFrame, tokens=count_tokens, history_turns: int = HISTORY_TURNS, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """Turns by block, in order, with prefix sums of their tokens; kind 0 is the system turn, 1 turns before the block, 2 its own."""
+    """Turns by block, in order, with prefix sums of their tokens.
+
+    Kind 0 marks a block that is not alone, with the system turn if it is a later one; 1 are turns before the block, 2 its own.
+    """
     number = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
     base = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -152,7 +163,7 @@ def blocks(turns: DataFrame, tokens=count_tokens, history_turns: int = HISTORY_T
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    # Conversations of several blocks: their first row, and its text if it is a system turn, go to every later block.
+    # Conversations of several blocks: each block learns that it is not alone, every later one gets the first row's text if that is a system turn.
     per = base.groupBy("conv_id", "block").agg(F.min(F.struct("turn", "role")).alias("head"))
     ends = per.groupBy("conv_id").agg(F.min(F.struct("block", "head")).alias("first"), F.max("block").alias("last")).filter("first.block < last")
     ends = ends.select(F.col("conv_id").alias("conv"), F.col("first.block").alias("from"), F.col("first.head").alias("head"))
@@ -160,9 +171,10 @@ def blocks(turns: DataFrame, tokens=count_tokens, history_turns: int = HISTORY_T
     leads = base.filter("role = 'system'").join(ends, opening).groupBy("conv").agg(F.min("text").alias("lead"))
     leads = leads.select(F.col("conv").alias("of"), "lead")
     leads = ends.join(leads, F.col("conv").eqNullSafe(F.col("of")), "left").select("conv", "from", "lead", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    same = F.col("conv_id").eqNullSafe(F.col("conv")) & (F.pmod("block", F.lit(_SALTS)) == F.col("salt")) & (F.col("block") > F.col("from"))
-    role = F.when(F.col("lead").isNotNull(), "system").otherwise("")
-    carried = per.join(leads, same).select("conv_id", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("turn"), role.alias("role"), F.coalesce("lead", F.lit("")).alias("text"))
+    same = F.col("conv_id").eqNullSafe(F.col("conv")) & (F.pmod("block", F.lit(_SALTS)) == F.col("salt"))
+    role = F.when(F.col("block") == F.col("from"), "first").when(F.col("lead").isNotNull(), "system").otherwise("")
+    lead = F.when(role == "system", F.col("lead")).otherwise("")
+    carried = per.join(leads, same).select("conv_id", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("turn"), role.alias("role"), lead.alias("text"))
     own = F.struct(F.col("block"), F.lit(2).alias("kind"))
     next_ = F.when(F.pmod("turn", F.lit(block_turns)) >= block_turns - history_turns, F.struct((F.col("block") + 1).alias("block"), F.lit(1).alias("kind")))
     rows = base.withColumn("at", F.explode(F.array_compact(F.array(own, next_)))).select("conv_id", "at.block", "at.kind", "turn", "role", "text")
@@ -173,7 +185,11 @@ def blocks(turns: DataFrame, tokens=count_tokens, history_turns: int = HISTORY_T
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS, tokens=count_tokens, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """Windows (WINDOWS) of all conversations; `repeated` of its turns stand in earlier windows too, `loss` is in code points of `text`."""
+    """Windows (WINDOWS) of all conversations, those of a block one after the other.
+
+    `repeated` of a window's turns stand in earlier ones too, `loss` is in code points of `text`, `alone` says that the
+    conversation has one block, `closing` that the window is its block's last.
+    """
     bounded_batches(turns.sparkSession)
     schema = pa.schema(
         [
@@ -184,82 +200,118 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
             ("n_turns", pa.int32()),
             ("n_tokens", pa.int64()),
             ("text", pa.string()),
-            ("loss", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))),
+            ("loss", _SPANS),
+            ("alone", pa.bool_()),
+            ("closing", pa.bool_()),
         ]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, out, size = None, None, [], 0
-
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
+        key, state, alone, out, size = None, None, True, [], 0
         for batch in batches:
             for conv, block, kind, role, text, cost, up_to in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "kind", "role", "text", "cost", "up_to"))):
-                done = []
                 if (conv, block) != key:
-                    if state is not None:
-                        done.append((*key, *last) if (last := state.close()) else None)
-                    key, state = (conv, block), Windows(budget, history, history_turns)
+                    if state is not None and (last := state.close()):
+                        out.append((*key, *last, alone, True))
+                        size += len(last[4])
+                    key, state, alone = (conv, block), Windows(budget, history, history_turns), True
                 turn = (role, text, cost, up_to)
                 if kind == 0:
-                    state.lead(turn if role else None)
+                    alone = False
+                    if role != "first":
+                        state.lead(turn if role else None)
                 elif kind == 1:
                     state.first = False
                     state.remember(turn)
                 elif full := state.add(turn):
-                    done.append((*key, *full))
-                for window in filter(None, done):
-                    out.append(window)
-                    size += len(window[6])
+                    out.append((*key, *full, alone, False))
+                    size += len(full[4])
                 if size > BATCH_BYTES // 4:
-                    yield given()
+                    yield _batch(out, schema)
                     out, size = [], 0
         if state is not None and (last := state.close()):
-            out.append((*key, *last))
+            out.append((*key, *last, alone, True))
         if out:
-            yield given()
+            yield _batch(out, schema)
 
     return blocks(turns, tokens, history_turns, block_turns).mapInArrow(cut, WINDOWS)
 
 
+class Digest:
+    """What is read back from a conversation's windows, taken in order."""
+
+    def __init__(self) -> None:
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.chars = self.formatted = 0
+
+    def add(self, text: str, repeated: int, spans: list[dict]) -> None:
+        for role, body in read_turns(text)[repeated:]:
+            self.turns.update(f"{role}\n{body}\n".encode())
+            self.n += 1
+        for span in spans:
+            target = unescape(text[span["start"] : span["start"] + span["length"]])
+            self.loss.update(target.encode())
+            self.chars += len(target)
+        self.formatted += len(text)
+
+    def row(self) -> tuple:
+        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.formatted
+
+
 def read_back(made: DataFrame) -> DataFrame:
-    """conv_id, turns, hashes of all turns and of all text under the mask, read from windows.
+    """conv_id, turns, hashes of all turns and of all text under the mask, read from windows in the order in which `windows` gives them.
 
-    A digest runs through its conversation's windows in order, so they pass through one task, a window at a time.
+    Conversations of one block are read where their windows lie.  Others' windows are brought together first: a
+    digest runs through them in order, so they pass through one task, a window at a time.
     """
     bounded_batches(made.sparkSession)
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    told = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    at = [("conv_id", pa.int64()), ("block", pa.int64()), ("window", pa.int32())]
+    given = [("repeated", pa.int32()), ("text", pa.string()), ("loss", _SPANS)]
+    between, final = pa.schema(at + given + told), pa.schema(at[:1] + told)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, conv, rows = False, None, []
-
-        def row() -> tuple:
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, due = None, (None, 0)
+        for batch in batches:
+            rows = []
+            for conv, block, window, repeated, text, spans, alone, closing in zip(*(batch.column(c).to_pylist() for c in (*between.names[:6], "alone", "closing"))):
+                if not alone:
+                    rows.append((conv, block, window, repeated, text, spans, *[None] * 5))
+                    continue
+                if digest is None:
+                    digest, due = Digest(), (conv, 0)
+                if (conv, window) != due:
+                    raise ValueError(f"window {window} of conversation {conv} is out of order")
+                digest.add(text, repeated, spans)
+                due = (conv, window + 1)
+                if closing:
+                    rows.append((conv, block, window, None, None, None, *digest.row()))
+                    digest = None
+            if rows:
+                yield _batch(rows, between)
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, of = None, None
         for batch in batches:
-            for at, repeated, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "repeated", "text", "loss"))):
-                if not started or at != conv:
-                    if started:
-                        rows.append(row())
-                    started, conv, n, turns, chars, loss, formatted = True, at, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-                for role, body in read_turns(text)[repeated:]:
-                    turns.update(f"{role}\n{body}\n".encode())
-                    n += 1
-                for span in spans:
-                    target = unescape(text[span["start"] : span["start"] + span["length"]])
-                    loss.update(target.encode())
-                    chars += len(target)
-                formatted += len(text)
+            rows = []
+            for conv, repeated, text, spans, *done in zip(*(batch.column(c).to_pylist() for c in ("conv_id", *(n for n, _ in given + told)))):
+                if digest is not None and (text is None or conv != of):
+                    rows.append((of, *digest.row()))
+                    digest = None
+                if text is None:
+                    rows.append((conv, *done))
+                    continue
+                if digest is None:
+                    digest, of = Digest(), conv
+                digest.add(text, repeated, spans)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-                rows = []
-        if started:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row(), schema)], schema=schema)
-
-    order = ["conv_id", "block", "window"]
-    kept = made.select(*order, "repeated", "text", "loss").repartition("conv_id").sortWithinPartitions(*order)
-    return kept.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+                yield _batch(rows, final)
+        if digest is not None:
+            yield _batch([(of, *digest.row())], final)
+
+    order = [n for n, _ in at]
+    kept = made.mapInArrow(here, f"conv_id long, block long, window int, repeated int, text string, loss array<struct<start:int,length:int>>, {DIGESTS}")
+    return kept.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(together, f"conv_id long, {DIGESTS}")
 
 
 def with_control_strings(turns: DataFrame) -> DataFrame:
