@@ -9,6 +9,7 @@ from voxtrail.operators import analytics
 from voxtrail.plans import motion_table
 from voxtrail import adapters
 
+SF = "/root/testdata/sf0.01"
 POINTS = "movie string, track_id long, t int, z_um double, y_um double, x_um double"
 
 
@@ -47,8 +48,8 @@ def test_colour_average_folds_in_order(spark):
 
 
 def test_metric_table_has_all_names_in_range(spark):
-    frames = adapters.pixels(spark).filter("c = 0").drop("c")
-    out = motion_table.motion_metrics(adapters.fields(spark), frames, [1, 2]).groupBy("name").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()
+    frames = adapters.pixels(spark, SF).filter("c = 0").drop("c")
+    out = motion_table.motion_metrics(adapters.fields(spark, SF), frames, [1, 2]).groupBy("name").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()
     assert {r.name for r in out} == {"mag_1", "mag_2", "divergence", "vorticity", "strain", "flow_structure_alignment", "normal_flow", "tangential_flow", "edge_strength", "cumulative_mag", "cell_boundary_likelihood", "acceleration", "direction_stability"}
     assert all(-1e-9 <= r.a <= r.b <= 1 + 1e-9 for r in out)
 

@@ -14,8 +14,10 @@ from voxtrail.functions.windows import latest
 #: µm per voxel, and the colours of event kinds; -1 is dim.
 RESOLUTION = {"z": 4.0, "y": 0.48, "x": 0.48}
 COLOURS = {"view": 0, "click": 1, "purchase": 2, "signup": 3}
+#: Pixels of a plane's side, and frames of a movie of images; frames are numbered on from movie to movie.
 GRID = 16
-FRAMES = 6
+FRAMES = 24
+PLANE = GRID * GRID
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,33 +77,37 @@ def pixel_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pixel"), F.col("label").alias("fragment"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"))
 
 
-def fields(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """Analytic displacement fields on a GRID x GRID plane for FRAMES frames and scales 1, 2 and 4: outflow and rotation."""
-    n = spark.range(FRAMES * 3 * GRID * GRID)
-    k = F.col("id")
-    place = n.select(
-        (k % GRID).cast("int").alias("x"),
-        (F.floor(k / GRID) % GRID).cast("int").alias("y"),
-        F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.floor(k / (GRID * GRID)) % 3 + 1).cast("int")).alias("scale"),
-        F.floor(k / (GRID * GRID * 3)).cast("int").alias("t0"),
-    )
-    x, y, t, s = (F.col(c).cast("double") for c in ("x", "y", "t0", "scale"))
-    u = (x - 8) * s * 0.25 - (y - 5) * t * 0.5
-    v = (y - 8) * s * 0.25 + (x - 3) * t * 0.5 + x * y * 0.0625
-    return place.select(F.lit("m0").alias("movie"), "t0", (F.col("t0") + F.col("scale")).alias("t1"), "scale", F.lit(0).alias("z"), "y", "x", u.alias("u"), v.alias("v"))
-
-
-def pixels(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """Two channels of analytic intensities on the same grid."""
-    k = F.col("id")
-    place = spark.range(FRAMES * 2 * GRID * GRID).select(
-        (k % GRID).cast("int").alias("x"),
-        (F.floor(k / GRID) % GRID).cast("int").alias("y"),
-        (F.floor(k / (GRID * GRID)) % 2).cast("int").alias("c"),
-        F.floor(k / (GRID * GRID * 2)).cast("int").alias("t"),
-    )
-    v = ((F.col("x") * 7 + F.col("y") * 13 + F.col("t") * 5 + F.col("c") * 29) % 31 + (F.col("x") * F.col("y")) % 5 * 8).cast("double")
-    return place.select(F.lit("m0").alias("movie"), "t", F.lit(0).alias("z"), "c", "y", "x", v.alias("v"))
+def _planes(table: DataFrame, key: str, value: str, sets: int) -> DataFrame:
+    """Rows numbered by `key` as frames of `sets` planes: t, k (place in the frame) and `value`, null where the last frame has no row."""
+    size = sets * PLANE
+    frames = table.filter(F.col(key) % size == 0).select(F.floor(F.col(key) / size).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
+    frames = frames.withColumn("__key", F.col("t").cast("long") * size + F.col("k"))
+    rows = frames.join(table.select(F.col(key).alias("__key"), value), "__key", "left")
+    place = [(F.col("k") % GRID).alias("x"), (F.floor(F.col("k") / GRID) % GRID).cast("int").alias("y"), F.floor(F.col("k") / PLANE).cast("int").alias("set")]
+    return rows.select(F.concat(F.lit("m"), F.floor(F.col("t") / FRAMES).cast("string")).alias("movie"), "t", F.lit(0).alias("z"), *place, value)
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Displacement fields of `events` at scales 1, 2 and 4: outflow and rotation, moved on by each event's value.
+
+    Events make planes of GRID x GRID pixels in order of their number; a pixel without one stays where it is.
+    """
+    p = _planes(read(spark, sf_dir, "events"), "event_id", "value", 3)
+    scale = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("set") + 1)
+    p = p.withColumn("scale", scale).withColumn("push", (F.floor(F.col("value") * 4) % 9 - 4) * 0.125)
+    x, y, t, s = (F.col(c).cast("double") for c in ("x", "y", "t", "scale"))
+    turn = (t % 6) * 0.5
+    u = (x - 8) * s * 0.25 - (y - 5) * turn + F.col("push")
+    v = (y - 8) * s * 0.25 + (x - 3) * turn + x * y * 0.0625 - F.col("push")
+    return p.select("movie", F.col("t").alias("t0"), (F.col("t") + F.col("scale")).alias("t1"), "scale", "z", "y", "x", F.coalesce(u, F.lit(0.0)).alias("u"), F.coalesce(v, F.lit(0.0)).alias("v"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels of intensities from `orders`, a pattern that moves with time under each order's price; pixels without an order are dark."""
+    p = _planes(read(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 2)
+    at = (F.col("x") * 7 + F.col("y") * 13 + F.col("t").cast("long") * 5 + F.col("set") * 29) % 31 + (F.col("x") * F.col("y")) % 5 * 8
+    v = (at + F.floor("o_totalprice") % 16).cast("double")
+    return p.select("movie", "t", "z", F.col("set").alias("c"), "y", "x", F.coalesce(v, F.lit(0.0)).alias("v"))
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +117,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLOUR_SQL = " ".join(f"when '{k}' then {v}" for k, v in COLOURS.items())
+#: The movie of frame t of a row f.
+_MOVIE_SQL = f"'m' || (f.t // {FRAMES})::varchar"
 ORACLE = {
     "det": f"""det as (
         select 'm' || (user_id % 5)::varchar as movie, t::int as t, user_id::int as cell_id, (event_id % 5)::double as cz,
@@ -126,15 +134,15 @@ ORACLE = {
     "pair": "pair as (select (l_suppkey % 17)::int as a, (l_partkey % 13)::int as b from lineitem)",
     "pixel_emb": "pixel_emb as (select vec_id as pixel, label as fragment, list_transform(embedding, lambda x: x::double) as emb from embeddings)",
     "flow": f"""flow as (
-        select 'm0' as movie, t0, t0 + scale as t1, scale, 0 as z, y, x,
-            (x::double - 8) * scale * 0.25 - (y::double - 5) * t0 * 0.5 as u,
-            (y::double - 8) * scale * 0.25 + (x::double - 3) * t0 * 0.5 + x::double * y * 0.0625 as v
-        from (select (i % {GRID})::int as x, (i // {GRID} % {GRID})::int as y, ([1, 2, 4])[i // {GRID * GRID} % 3 + 1]::int as scale, (i // {GRID * GRID * 3})::int as t0
-            from range({FRAMES * 3 * GRID * GRID}) r(i)))""",
+        select movie, t0, t0 + scale as t1, scale, 0 as z, y, x,
+            coalesce((x::double - 8) * scale * 0.25 - (y::double - 5) * (t0 % 6) * 0.5 + push, 0.0) as u,
+            coalesce((y::double - 8) * scale * 0.25 + (x::double - 3) * (t0 % 6) * 0.5 + x::double * y * 0.0625 - push, 0.0) as v
+        from (select {_MOVIE_SQL} as movie, f.t::int as t0, (k % {GRID})::int as x, (k // {GRID} % {GRID})::int as y, ([1, 2, 4])[k // {PLANE} + 1]::int as scale, (floor(e.value * 4)::bigint % 9 - 4) * 0.125::double as push
+            from (select event_id // {3 * PLANE} as t, unnest(range({3 * PLANE})) as k from events where event_id % {3 * PLANE} = 0) f left join events e on e.event_id = f.t * {3 * PLANE} + f.k))""",
     "pixel": f"""pixel as (
-        select 'm0' as movie, t, 0 as z, c, y, x, ((x * 7 + y * 13 + t * 5 + c * 29) % 31 + (x * y) % 5 * 8)::double as v
-        from (select (i % {GRID})::int as x, (i // {GRID} % {GRID})::int as y, (i // {GRID * GRID} % 2)::int as c, (i // {GRID * GRID * 2})::int as t
-            from range({FRAMES * 2 * GRID * GRID}) r(i)))""",
+        select movie, t, 0 as z, c, y, x, coalesce(((x * 7 + y * 13 + t::bigint * 5 + c * 29) % 31 + (x * y) % 5 * 8 + price % 16)::double, 0.0) as v
+        from (select {_MOVIE_SQL} as movie, f.t::int as t, (k % {GRID})::int as x, (k // {GRID} % {GRID})::int as y, (k // {PLANE})::int as c, floor(o.o_totalprice)::bigint as price
+            from (select o_orderkey // {2 * PLANE} as t, unnest(range({2 * PLANE})) as k from orders where o_orderkey % {2 * PLANE} = 0) f left join orders o on o.o_orderkey = f.t * {2 * PLANE} + f.k))""",
     "trial": "trial as (select p_partkey as trial_id, (p_size % 4)::int as gate, (p_partkey % 3)::int as weight, (p_partkey * 37 % 101) / 100.0::double as continuity, p_size / 50.0::double as switch_rate from part)",
 }
 

@@ -239,19 +239,19 @@ def shape_moments(spark, sf_dir):
 
 @query(A.oracle("voxel", "flow") + "select v.movie, v.t, v.label, round(avg(f.u), 6) as u, round(avg(f.v), 6) as v from voxel v join flow f on v.t = f.t0 and f.scale = 1 and f.y = v.y and f.x = v.x and v.z = f.z where v.label > 0 group by all")
 def cell_flows(spark, sf_dir):
-    field = A.fields(spark).filter("scale = 1").withColumnRenamed("t0", "t")
+    field = A.fields(spark, sf_dir).filter("scale = 1").withColumnRenamed("t0", "t")
     return tidy(labels.mean_field(A.voxels(spark, sf_dir), field, ["u", "v"]))
 
 
 @query(A.oracle("voxel", "flow") + "select movie, t0 as t, y, x, round(avg(u), 6) as u, round(avg(v), 6) as v from flow f where scale = 1 and exists (select 1 from voxel v where v.label > 0 and v.t = f.t0 and v.z = f.z) group by all")
 def dense_flow(spark, sf_dir):
-    field = A.fields(spark).filter("scale = 1").withColumnRenamed("t0", "t")
+    field = A.fields(spark, sf_dir).filter("scale = 1").withColumnRenamed("t0", "t")
     return tidy(labels.dense_mean_field(A.voxels(spark, sf_dir), field, ["u", "v"]))
 
 
 @query(A.oracle("voxel", "pixel") + "select v.movie, v.t, v.label, p.c, round(avg(p.v), 6) as mean_v, count(*) as n from voxel v join pixel p on v.t = p.t and v.z = p.z and v.y = p.y and v.x = p.x where v.label > 0 group by all")
 def sampled_channels(spark, sf_dir):
-    return tidy(labels.sample_channels(A.voxels(spark, sf_dir), A.pixels(spark)))
+    return tidy(labels.sample_channels(A.voxels(spark, sf_dir), A.pixels(spark, sf_dir)))
 
 
 # ---- normalisation and motion -----------------------------------------------------------------------------------
@@ -262,33 +262,33 @@ _PIX = A.oracle("pixel")
 
 @query(_FLOW + ", m as (select *, sqrt(u * u + v * v) as mag from flow), q as (select movie, t0, scale, quantile_cont(mag, 0.0002) as a, quantile_cont(mag, 0.9998) as b from m group by all) select m.movie, m.t0, m.scale, y, x, round(greatest(least((mag - a) / (b - a + 1e-8), 1), 0), 6) as mag from m join q using (movie, t0, scale)")
 def normalised_magnitude(spark, sf_dir):
-    m = motion.normalise_metric(motion.magnitudes(A.fields(spark)), motion.FLOW_KEY, "mag")
+    m = motion.normalise_metric(motion.magnitudes(A.fields(spark, sf_dir)), motion.FLOW_KEY, "mag")
     return tidy(m.select("movie", "t0", "scale", "y", "x", "mag"))
 
 
 @query(_PIX + "select movie, t, c, y, x, round((v - min(v) over w) / (max(v) over w - min(v) over w + 1e-5), 6) as v from pixel window w as (partition by movie, c)")
 def minmax_normalised(spark, sf_dir):
-    return tidy(motion.normalise_minmax(A.pixels(spark), ["movie", "c"], "v").drop("z"))
+    return tidy(motion.normalise_minmax(A.pixels(spark, sf_dir), ["movie", "c"], "v").drop("z"))
 
 
-@query(_PIX + ", q as (select t, c, quantile_cont(v, 0.01) as a, quantile_cont(v, 0.99) as b from pixel group by all) select movie, t, c, y, x, round((v - a) / (b - a), 6) as v from pixel join q using (t, c)")
+@query(_PIX + ", q as (select t, c, quantile_cont(v, 0.01) as a, quantile_cont(v, 0.99) as b from pixel group by all) select movie, t, c, y, x, round(case when b > a then (v - a) / (b - a) else 0 end, 6) as v from pixel join q using (t, c)")
 def range_normalised(spark, sf_dir):
-    return tidy(motion.normalise_range(A.pixels(spark), ["movie", "t", "c"], "v").drop("z"))
+    return tidy(motion.normalise_range(A.pixels(spark, sf_dir), ["movie", "t", "c"], "v").drop("z"))
 
 
 @query(_PIX + "select movie, t, c, y, x, round(case when max(v) over w - min(v) over w > 1e-8 then (v - min(v) over w) / (max(v) over w - min(v) over w) else 0 end, 6) as v from pixel window w as (partition by movie, t, c)")
 def training_normalised(spark, sf_dir):
-    return tidy(motion.normalise_training(A.pixels(spark), ["movie", "t", "c"], "v").drop("z"))
+    return tidy(motion.normalise_training(A.pixels(spark, sf_dir), ["movie", "t", "c"], "v").drop("z"))
 
 
 @query(_PIX + "select movie, t, c, y, x, floor(case when max(v) over w > min(v) over w then (v - min(v) over w) / (max(v) over w - min(v) over w) * 255 else 0 end)::int as v from pixel window w as (partition by movie, t, c)")
 def scaled_to_bytes(spark, sf_dir):
-    return motion.to_bytes(A.pixels(spark), ["movie", "t", "c"], "v").drop("z")
+    return motion.to_bytes(A.pixels(spark, sf_dir), ["movie", "t", "c"], "v").drop("z")
 
 
-@query(_PIX + ", q as (select c, quantile_cont(v, 0.0001) as a, quantile_cont(v, 0.9999) as b from pixel group by c) select movie, t, z, y, x, max(floor(greatest(least((v - a) / (b - a + 1e-8), 1), 0) * 255)::int) as v from pixel join q using (c) group by all")
+@query(_PIX + ", q as (select movie, c, quantile_cont(v, 0.0001) as a, quantile_cont(v, 0.9999) as b from pixel group by movie, c) select movie, t, z, y, x, max(floor(greatest(least((v - a) / (b - a + 1e-8), 1), 0) * 255)::int) as v from pixel join q using (movie, c) group by all")
 def projected_channels(spark, sf_dir):
-    return motion.project_channels(A.pixels(spark))
+    return motion.project_channels(A.pixels(spark, sf_dir))
 
 
 _GRAD = "coalesce(case when lag({v}) over {w} is null then lead({v}) over {w} - {v} when lead({v}) over {w} is null then {v} - lag({v}) over {w} else (lead({v}) over {w} - lag({v}) over {w}) / 2 end, 0)"
@@ -301,23 +301,23 @@ _GRAD = "coalesce(case when lag({v}) over {w} is null then lead({v}) over {w} -
     select movie, t0, scale, y, x, round(ux + vy, 6) as divergence, round(vx - uy, 6) as vorticity, round(sqrt(0.5 * ((ux - vy) * (ux - vy) + (uy + vx) * (uy + vx))), 6) as strain from g"""
 )
 def flow_deformation(spark, sf_dir):
-    return tidy(motion.deformation(A.fields(spark)).drop("t1", "z", "u", "v"))
+    return tidy(motion.deformation(A.fields(spark, sf_dir)).drop("t1", "z", "u", "v"))
 
 
-@query(_FLOW + ", t as (select distinct movie, t0 as t from flow) select a.movie, a.t as t0, b.t as t1, (b.t - a.t)::int as scale from t a join t b on b.t - a.t in (1, 2, 4)")
+@query(_FLOW + ", t as (select distinct movie, t0 as t from flow) select a.movie, a.t as t0, b.t as t1, (b.t - a.t)::int as scale from t a join t b on a.movie = b.movie and b.t - a.t in (1, 2, 4)")
 def scale_pairs(spark, sf_dir):
-    frames = A.fields(spark).select("movie", F.col("t0").alias("t")).distinct()
+    frames = A.fields(spark, sf_dir).select("movie", F.col("t0").alias("t")).distinct()
     return motion.scale_pairs(frames, [1, 2, 4])
 
 
 @query(_FLOW + "select movie, t0 as center_t, y, x, round(sum(u) over w, 6) as u, round(sum(v) over w, 6) as v from flow where scale = 1 window w as (partition by movie, y, x order by t0 rows between 2 preceding and 1 following) union all select movie, t0 + 1, y, x, round(sum(u) over w, 6), round(sum(v) over w, 6) from flow where scale = 1 window w as (partition by movie, y, x order by t0 rows between 1 preceding and current row) qualify t0 = max(t0) over (partition by movie)")
 def cumulative_displacement(spark, sf_dir):
-    return tidy(motion.cumulative(A.fields(spark), 5).drop("z"))
+    return tidy(motion.cumulative(A.fields(spark, sf_dir), 5).drop("z"))
 
 
 @query(_FLOW + "select a.movie, a.t0, a.y, a.x, round(greatest(least((a.u * b.u + a.v * b.v) / (sqrt(a.u * a.u + a.v * a.v) * sqrt(b.u * b.u + b.v * b.v) + 1e-5), 1), 0), 6) + 0.0 as direction_stability from flow a join flow b using (movie, t0, y, x) where a.scale = 1 and b.scale = 4")
 def direction_stability(spark, sf_dir):
-    return tidy(motion.direction_stability(A.fields(spark), 1, 4).drop("z"))
+    return tidy(motion.direction_stability(A.fields(spark, sf_dir), 1, 4).drop("z"))
 
 
 @query(
@@ -326,10 +326,10 @@ def direction_stability(spark, sf_dir):
     n as (select m.t0, m.scale, y, x, greatest(least((mag - a) / (b - a + 1e-8), 1), 0) as mag from m join q using (t0, scale)),
     d as (select a.t0, a.y, a.x, abs(b.mag - a.mag) as acc from n a join n b using (t0, y, x) where a.scale = 1 and b.scale = 4),
     p as (select t0, quantile_cont(acc, 0.0002) as a, quantile_cont(acc, 0.9998) as b from d group by t0)
-    select 'm0' as movie, t0, y, x, round(greatest(least((acc - a) / (b - a + 1e-8), 1), 0), 5) as acceleration from d join p using (t0)"""
+    select 'm' || (t0 // 24)::varchar as movie, t0, y, x, round(greatest(least((acc - a) / (b - a + 1e-8), 1), 0), 5) as acceleration from d join p using (t0)"""
 )
 def flow_acceleration(spark, sf_dir):
-    d = motion.acceleration(A.fields(spark), 1, 4)
+    d = motion.acceleration(A.fields(spark, sf_dir), 1, 4)
     return d.select("movie", "t0", "y", "x", F.round("acceleration", 5).alias("acceleration"))
 
 
@@ -340,7 +340,7 @@ def flow_acceleration(spark, sf_dir):
     select movie, t0, scale, y, x, round(abs((gx * u + gy * v) / (s * f)), 6) as flow_structure_alignment, round(abs(u * gx / s + v * gy / s), 6) as normal_flow, round(abs(-u * gy / s + v * gx / s), 6) as tangential_flow from j"""
 )
 def flow_alignment(spark, sf_dir):
-    return tidy(motion.alignment(A.fields(spark).filter("scale = 1"), A.pixels(spark).filter("c = 0")).drop("z"))
+    return tidy(motion.alignment(A.fields(spark, sf_dir).filter("scale = 1"), A.pixels(spark, sf_dir).filter("c = 0")).drop("z"))
 
 
 _MIRROR = "least(((({p} + o) % 32) + 32) % 32, 31 - ((({p} + o) % 32) + 32) % 32)"
@@ -348,16 +348,16 @@ _MIRROR = "least(((({p} + o) % 32) + 32) % 32, 31 - ((({p} + o) % 32) + 32) % 32
 
 @query(
     _PIX
-    + f""", n as (select t, c, y, x, (v - min(v) over w) / (max(v) over w - min(v) over w + 1e-8) as v from pixel window w as (partition by c)),
+    + f""", n as (select t, c, y, x, (v - min(v) over w) / (max(v) over w - min(v) over w + 1e-8) as v from pixel window w as (partition by movie, c)),
     g as (select o, exp(-(o * o) / 50.0) / sum(exp(-(o * o) / 50.0)) over () as w from (select (i - 20)::int as o from range(41) r(i))),
     gx as (select n.t, n.c, n.y, n.x, sum(g.w * m.v) as v from n cross join g join n m on m.t = n.t and m.c = n.c and m.y = n.y and m.x = {_MIRROR.format(p="n.x")} group by all),
     gy as (select n.t, n.c, n.y, n.x, sum(g.w * m.v) as v from gx n cross join g join gx m on m.t = n.t and m.c = n.c and m.x = n.x and m.y = {_MIRROR.format(p="n.y")} group by all),
     b as (select t, y, x, max(v) as bright from n group by all),
     e as (select *, exp((v - max(v) over p) / (0.3 + 1e-8)) as e from gy window p as (partition by t, y, x)),
-    s as (select t, c, y, x, e / (sum(e) over (partition by t, y, x) + 1e-8) * bright as value from e join b using (t, y, x)), q as (select t, c, quantile_cont(value, 0.0002) as a, quantile_cont(value, 0.9998) as b from s group by all) select 'm0' as movie, t, c, y, x, round(greatest(least((value - a) / (b - a + 1e-8), 1), 0), 6) as value from s join q using (t, c)"""
+    s as (select t, c, y, x, e / (sum(e) over (partition by t, y, x) + 1e-8) * bright as value from e join b using (t, y, x)), q as (select t, c, quantile_cont(value, 0.0002) as a, quantile_cont(value, 0.9998) as b from s group by all) select 'm' || (t // 24)::varchar as movie, t, c, y, x, round(greatest(least((value - a) / (b - a + 1e-8), 1), 0), 6) as value from s join q using (t, c)"""
 )
 def softmax_channels(spark, sf_dir):
-    s = motion.softmax_channels(A.pixels(spark))
+    s = motion.softmax_channels(A.pixels(spark, sf_dir))
     return tidy(s.select("movie", "t", "c", "y", "x", "value"))
 
 
@@ -367,10 +367,10 @@ def softmax_channels(spark, sf_dir):
     n as (select a.t, a.y, a.x, a.v, sum(b.v) as s, sum(b.v * b.v) as q from p a join p b on a.t = b.t and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by all),
     m as (select *, sqrt(greatest((q - s * s / 25) / 24, 0)) + 1e-5 as contrast, (coalesce(abs(lead(v) over (partition by t, y order by x) - v), 0) + coalesce(abs(lead(v) over (partition by t, x order by y) - v), 0)) / 2 as edge from n),
     k as (select t, avg(v) as av, stddev_samp(v) as sv, avg(contrast) as ac, stddev_samp(contrast) as sc, avg(edge) as ae, stddev_samp(edge) as se from m group by t)
-    select 'm0' as movie, t, y, x, round(sqrt(0.5 * (v > av + sv + 1e-5)::int + 0.3 * greatest(least((contrast - ac) / (sc + 1e-5), 1), 0) + 0.2 * greatest(least((edge - ae) / (se + 1e-5), 1), 0)), 5) as target from m join k using (t)"""
+    select 'm' || (t // 24)::varchar as movie, t, y, x, round(sqrt(0.5 * (v > av + sv + 1e-5)::int + 0.3 * greatest(least((contrast - ac) / (sc + 1e-5), 1), 0) + 0.2 * greatest(least((edge - ae) / (se + 1e-5), 1), 0)), 5) as target from m join k using (t)"""
 )
 def intensity_target(spark, sf_dir):
-    t = motion.intensity_target(A.pixels(spark).filter("c = 0"))
+    t = motion.intensity_target(A.pixels(spark, sf_dir).filter("c = 0"))
     return t.select("movie", "t", "y", "x", F.round("target", 5).alias("target"))
 
 
@@ -386,34 +386,34 @@ _SUMS = "sum(w.w * m.{0}) as {0}"
     w as (select o, exp(-(o * o) / 8.0) / sum(exp(-(o * o) / 8.0)) over () as w from (select (i - 3)::int as o from range(7) r(i))),
     a as (select f.t, f.y, f.x, {", ".join(_SUMS.format(c) for c in ("xx", "yy", "xy"))} from f cross join w join f m on m.t = f.t and m.y = f.y and m.x = {_INSIDE.format(p="f.x")} group by all),
     b as (select a.t, a.y, a.x, {", ".join(_SUMS.format(c) for c in ("xx", "yy", "xy"))} from a cross join w join a m on m.t = a.t and m.x = a.x and m.y = {_INSIDE.format(p="a.y")} group by all)
-    select 'm0' as movie, t, 0 as z, y, x, round(sqrt((xx - yy) * (xx - yy) + 4 * xy * xy), 6) as edge_strength from b"""
+    select 'm' || (t // 24)::varchar as movie, t, 0 as z, y, x, round(sqrt((xx - yy) * (xx - yy) + 4 * xy * xy), 6) as edge_strength from b"""
 )
 def structure_tensor(spark, sf_dir):
     """Gap of the eigenvalues of the blurred structure tensor."""
-    return tidy(motion.structure_tensor(A.pixels(spark).filter("c = 0")))
+    return tidy(motion.structure_tensor(A.pixels(spark, sf_dir).filter("c = 0")))
 
 
-@query(_FLOW + ", f as (select unnest(range(0, 8))::int as t0), g as (select distinct movie, z, y, x from flow), h as (select * from flow where scale = 1) select g.movie, f.t0, g.y, g.x, coalesce(u, 0) as u, coalesce(v, 0) as v from f cross join g left join h on h.t0 = f.t0 and h.y = g.y and h.x = g.x")
+@query(A.oracle("flow", "pixel") + ", f as (select distinct movie, t as t0 from pixel), g as (select distinct movie, z, y, x from flow), h as (select * from flow where scale = 1) select g.movie, f.t0, g.y, g.x, coalesce(u, 0) as u, coalesce(v, 0) as v from f join g on g.movie = f.movie left join h on h.t0 = f.t0 and h.y = g.y and h.x = g.x")
 def filled_flow(spark, sf_dir):
-    frames = spark.range(8).select(F.lit("m0").alias("movie"), F.col("id").cast("int").alias("t"))
-    return motion.fill_frames(A.fields(spark), frames).drop("z")
+    frames = A.pixels(spark, sf_dir).select("movie", "t").distinct()
+    return motion.fill_frames(A.fields(spark, sf_dir), frames).drop("z")
 
 
-@query("select 'm0' as movie, t::int as t, t < 6 as has_flow from range(8) r(t)")
+@query(A.oracle("flow", "pixel") + "select movie, t, t in (select t0 from flow where scale = 1) as has_flow from (select distinct movie, t from pixel)")
 def flow_pairs(spark, sf_dir):
-    frames = spark.range(8).select(F.lit("m0").alias("movie"), F.col("id").cast("int").alias("t"))
-    return motion.flow_pairs(frames, A.fields(spark))
+    frames = A.pixels(spark, sf_dir).select("movie", "t").distinct()
+    return motion.flow_pairs(frames, A.fields(spark, sf_dir))
 
 
 @query(_FLOW + "select movie, t0 as t, z, y, x, max(case when scale = 1 then sqrt(u * u + v * v) end) as mag_1, max(case when scale = 2 then sqrt(u * u + v * v) end) as mag_2, max(case when scale = 4 then sqrt(u * u + v * v) end) as mag_4 from flow group by all")
 def pivoted_metrics(spark, sf_dir):
-    m = motion.magnitudes(A.fields(spark)).select("movie", F.col("t0").alias("t"), "z", "y", "x", F.concat(F.lit("mag_"), F.col("scale")).alias("name"), F.col("mag").alias("value"))
+    m = motion.magnitudes(A.fields(spark, sf_dir)).select("movie", F.col("t0").alias("t"), "z", "y", "x", F.concat(F.lit("mag_"), F.col("scale")).alias("name"), F.col("mag").alias("value"))
     return motion.pivot_metrics(m, ["mag_1", "mag_2", "mag_4"])
 
 
 @query(_FLOW + ", f as (select distinct movie, t0 as t, scale from flow), n as (select scale, count(*) as n from f group by scale) select movie, t, scale, least(n - 1, greatest(0, t - 1))::int as flow_t from f join n using (scale)")
 def flow_index(spark, sf_dir):
-    f = A.fields(spark).select("movie", F.col("t0").alias("t"), "scale").distinct()
+    f = A.fields(spark, sf_dir).select("movie", F.col("t0").alias("t"), "scale").distinct()
     n = f.groupBy("scale").agg(F.count(F.lit(1)).alias("n"))
     return f.join(n, "scale").select("movie", "t", "scale", motion.flow_index(F.col("t"), F.col("n")).cast("int").alias("flow_t"))
 
@@ -524,7 +524,7 @@ def nearest_window_centre(spark, sf_dir):
 def sampled_field(spark, sf_dir):
     near = lambda c: F.least(F.greatest(F.bround(F.col(c) / 12.5), F.lit(0)), F.lit(15)).cast("int")
     d = A.detections(spark, sf_dir).select("movie", "t", "cell_id", near("cy").alias("y"), near("cx").alias("x"))
-    f = A.fields(spark).filter("scale = 1").select(F.col("t0").alias("t"), "y", "x", "u", "v")
+    f = A.fields(spark, sf_dir).filter("scale = 1").select(F.col("t0").alias("t"), "y", "x", "u", "v")
     return tidy(d.join(f, ["t", "y", "x"]).select("movie", "t", "cell_id", "u", "v"))
 
 

@@ -101,8 +101,8 @@ def stitched_slices(spark, sf_dir):
 
 
 def _planes(spark, sf_dir):
-    """Probabilities and embeddings of analytic pixels, for the segmenter."""
-    p = A.pixels(spark).filter("c = 0")
+    """Probabilities and embeddings of pixels, for the segmenter."""
+    p = A.pixels(spark, sf_dir).filter("c = 0")
     y, x = F.col("y").cast("double"), F.col("x").cast("double")
     prob = 0.5 + 0.45 * F.sin(y * 0.8) * F.cos(x * 0.6 + F.col("t"))
     return p.select("movie", "t", "z", "y", "x", prob.alias("prob"), F.array(F.cos(x * 0.3), F.sin(y * 0.3), F.lit(0.5)).alias("emb"))
@@ -140,13 +140,13 @@ def cell_morphology(spark, sf_dir):
 
 @query()
 def dense_optical_flow(spark, sf_dir):
-    """Displacements between analytic frames at two scales."""
-    return tidy(flow.dense_flow(A.pixels(spark).filter("c = 0").select("movie", "t", "z", "y", "x", "v"), [1, 2]))
+    """Displacements between frames at two scales."""
+    return tidy(flow.dense_flow(A.pixels(spark, sf_dir).filter("c = 0").select("movie", "t", "z", "y", "x", "v"), [1, 2]))
 
 
 @query(A.oracle("pixel") + "select movie, t, z, y, x, round(v, 6) as v from pixel where c = 0")
 def tiled_average(spark, sf_dir):
-    p = A.pixels(spark).filter("c = 0")
+    p = A.pixels(spark, sf_dir).filter("c = 0")
     return tidy(tiles.average(tiles.tile(p, A.GRID, A.GRID, 12), "v", 12))
 
 
@@ -159,7 +159,7 @@ def tiled_average(spark, sf_dir):
 )
 def patch_crops(spark, sf_dir):
     d = A.detections(spark, sf_dir).select("movie", "t", "cell_id", F.lit(0).alias("z"), (F.col("cy") % 16).cast("int").alias("y"), (F.col("cx") % 16).cast("int").alias("x"))
-    planes = A.pixels(spark).filter("c = 0").drop("c").withColumn("movie", F.explode(F.array(*[F.lit(f"m{i}") for i in range(5)])))
+    planes = A.pixels(spark, sf_dir).filter("c = 0").drop("c").withColumn("movie", F.explode(F.array(*[F.lit(f"m{i}") for i in range(5)])))
     return tidy(segmentation.crops(planes, d, 3))
 
 
@@ -167,7 +167,7 @@ def patch_crops(spark, sf_dir):
 def warp_consistency(spark, sf_dir):
     """Agreement of embeddings along displacements."""
     e = _planes(spark, sf_dir)
-    return tidy(vectors.warp_consistency(e, e, A.fields(spark).filter("scale = 1")))
+    return tidy(vectors.warp_consistency(e, e, A.fields(spark, sf_dir).filter("scale = 1")))
 
 
 @query(
@@ -180,19 +180,19 @@ def warp_consistency(spark, sf_dir):
 )
 def cell_flow_features(spark, sf_dir):
     """Six motion features of every cell: displacement, size, divergence, vorticity and strain."""
-    field = motion.magnitudes(motion.deformation(A.fields(spark).filter("scale = 1"))).withColumnRenamed("t0", "t")
+    field = motion.magnitudes(motion.deformation(A.fields(spark, sf_dir).filter("scale = 1"))).withColumnRenamed("t0", "t")
     return tidy(labels.mean_field(A.voxels(spark, sf_dir), field, ["u", "v", "mag", "divergence", "vorticity", "strain"]))
 
 
 @query()
 def motion_metrics(spark, sf_dir):
-    """All named motion metrics of the analytic movie."""
-    frames = A.pixels(spark).filter("c = 0").drop("c")
-    return tidy(motion_table.motion_metrics(A.fields(spark), frames, [1, 2, 4]))
+    """All named motion metrics of the movie."""
+    frames = A.pixels(spark, sf_dir).filter("c = 0").drop("c")
+    return tidy(motion_table.motion_metrics(A.fields(spark, sf_dir), frames, [1, 2, 4]))
 
 
 @query()
 def track_with_flow(spark, sf_dir):
     """Tracks with displacement fields in the costs."""
-    f = A.fields(spark).filter("scale = 1").select("movie", F.col("t0").alias("t"), "y", "x", "u", "v")
+    f = A.fields(spark, sf_dir).filter("scale = 1").select("movie", F.col("t0").alias("t"), "y", "x", "u", "v")
     return tidy(tracking.track_with_flow(_to_track(spark, sf_dir), f, A.RESOLUTION))

@@ -38,13 +38,13 @@ def external_tracks(spark, sf_dir):
     A.oracle("flow", "pixel")
     + """, b as (select movie, t, z, y, x, avg(v) as i, max(v) as bright from pixel group by all),
     m as (select t0, z, y, x, sum(case when scale in (1, 2) then sqrt(u * u + v * v) end) as mag, max(case when scale = 1 then u end) as u, max(case when scale = 1 then v end) as v from flow group by all),
-    s as (select b.movie, b.t, b.z, b.y, b.x, i + bright + mag as total, m.u, m.v from b join m on m.t0 = b.t and m.z = b.z and m.y = b.y and m.x = b.x)
-    select s.movie, s.t, s.y, s.x, 4 as n_inputs, round(s.total, 6) as total, round(n.total, 6) as next_total, case when n.t is not null then s.u end as u, case when n.t is not null then s.v end as v
-    from s left join s n on n.t = s.t + 1 and n.z = s.z and n.y = s.y and n.x = s.x"""
+    s as (select b.movie, b.t, b.z, b.y, b.x, i + bright + coalesce(mag, 0) as total, case when mag is null then 2 else 4 end as n_inputs, m.u, m.v from b left join m on m.t0 = b.t and m.z = b.z and m.y = b.y and m.x = b.x)
+    select s.movie, s.t, s.y, s.x, s.n_inputs, round(s.total, 6) as total, round(case when s.u is not null then n.total end, 6) as next_total, case when n.t is not null then s.u end as u, case when n.t is not null then s.v end as v
+    from s left join s n on n.movie = s.movie and n.t = s.t + 1 and n.z = s.z and n.y = s.y and n.x = s.x"""
 )
 def assembled_pixels(spark, sf_dir):
     """Inputs of every pixel with those of the next frame, as a sum of four."""
-    flow, pixels = A.fields(spark), A.pixels(spark)
+    flow, pixels = A.fields(spark, sf_dir), A.pixels(spark, sf_dir)
     at = ["movie", "t", "z", "y", "x"]
     temporal = motion.magnitudes(flow.filter("scale in (1, 2)")).select("movie", F.col("t0").alias("t"), "z", "y", "x", F.concat(F.lit("mag_"), F.col("scale")).alias("name"), F.col("mag").alias("value"))
     variance = pixels.groupBy(*at).agg(F.max("v").alias("value")).withColumn("name", F.lit("bright"))
@@ -55,12 +55,12 @@ def assembled_pixels(spark, sf_dir):
 
 @query(_PIX + "select movie, t, z, c, l::int as level, (y // (1 << l))::int as y, (x // (1 << l))::int as x, round(avg(v), 6) as v from pixel cross join range(3) r(l) group by all")
 def pyramid_levels(spark, sf_dir):
-    return tidy(volumes.pyramid(A.pixels(spark), 3))
+    return tidy(volumes.pyramid(A.pixels(spark, sf_dir), 3))
 
 
 @query(_PIX + "select movie, t, z, c, (y // 4)::int as y, (x // 4)::int as x, round(avg(v), 6) as v from pixel group by all")
 def pyramid_level(spark, sf_dir):
-    return tidy(volumes.level(volumes.pyramid(A.pixels(spark), 3), 2))
+    return tidy(volumes.level(volumes.pyramid(A.pixels(spark, sf_dir), 3), 2))
 
 
 @query(
@@ -85,29 +85,29 @@ SETTINGS = {
 }
 
 
-def channel_voxels(spark) -> DataFrame:
-    """The analytic channels of each pixel, as two columns."""
+def channel_voxels(spark, sf_dir) -> DataFrame:
+    """The channels of each pixel, as two columns."""
     at = ["movie", "t", "z", "y", "x"]
-    return A.pixels(spark).groupBy(*at).pivot("c", [0, 1]).agg(F.first("v")).withColumnsRenamed({"0": "v0", "1": "v1"})
+    return A.pixels(spark, sf_dir).groupBy(*at).pivot("c", [0, 1]).agg(F.first("v")).withColumnsRenamed({"0": "v0", "1": "v1"})
 
 
 @query()
 def segmentation_settings(spark, sf_dir):
     """The purity score of three settings of the segmenter."""
     base = segmentation.Parameters(seed_size=5, prob_threshold=0.5, min_size=3)
-    scores = search.segmentation_scores(_planes(spark, sf_dir), channel_voxels(spark), ["v0", "v1"], list(SETTINGS.values()), base, min_size=10, purity=0.55)
+    scores = search.segmentation_scores(_planes(spark, sf_dir), channel_voxels(spark, sf_dir), ["v0", "v1"], list(SETTINGS.values()), base, min_size=10, purity=0.55)
     return tidy(spark.createDataFrame(list(zip(SETTINGS, map(float, scores))), "setting string, score double"))
 
 
 @query()
 def variance_repulsion(spark, sf_dir):
-    """The repulsion term of every analytic plane, by tiles of eight pixels."""
-    p = _planes(spark, sf_dir).join(channel_voxels(spark), ["movie", "t", "z", "y", "x"]).withColumn("metrics", F.array("v0", "v1"))
+    """The repulsion term of every plane, by tiles of eight pixels."""
+    p = _planes(spark, sf_dir).join(channel_voxels(spark, sf_dir), ["movie", "t", "z", "y", "x"]).withColumn("metrics", F.array("v0", "v1"))
     return tidy(training.variance_loss(p, side=8, max_tiles=3))
 
 
 @query(_PIX + ", q as (select t, quantile_cont(v, 0.01) as a, quantile_cont(v, 0.99) as b from pixel where c = 0 group by t) select movie, t, z, y, x, round((v - a) / (b - a) * 2 + 1, 6) as v from pixel join q using (t) where c = 0")
 def restored_planes(spark, sf_dir):
     """The whole chain around a restoring model, which here doubles values and adds one."""
-    planes = A.pixels(spark).filter("c = 0").drop("c")
+    planes = A.pixels(spark, sf_dir).filter("c = 0").drop("c")
     return tidy(tiles.restore(planes, lambda t: t.withColumn("v", F.col("v") * 2 + 1), A.GRID, A.GRID, 24))
