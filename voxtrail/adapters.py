@@ -7,7 +7,7 @@ that another SQL engine computes the same rows; ORACLE holds that SQL, view by v
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtrail.functions.windows import latest
 
@@ -24,10 +24,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frame_of(ts: Column) -> Column:
+    """The frame of a time: its day's number."""
+    return F.datediff(F.to_date(ts), F.lit("2024-01-01").cast("date"))
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections from `events`: a user's last event of a day is a cell in that frame; five movies."""
-    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    e = latest(e.withColumn("t", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))), ["user_id", "t"], [F.desc("ts"), F.desc("event_id")])
+    return detections_of(read(spark, sf_dir, "events"))
+
+
+def detections_of(events: DataFrame) -> DataFrame:
+    """Detections of rows of `events`."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value")
+    e = latest(e.withColumn("t", frame_of(F.col("ts"))), ["user_id", "t"], [F.desc("ts"), F.desc("event_id")])
     colour = F.lit(-1)
     for kind, number in COLOURS.items():
         colour = F.when(F.col("event_type") == kind, number).otherwise(colour)

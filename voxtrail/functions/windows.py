@@ -19,13 +19,13 @@ def gradient(df: DataFrame, value: str, along: str, plane: list[str], out: str)
     return df.withColumn(out, F.coalesce(step, F.lit(0.0)))
 
 
-def quantiles(df: DataFrame, value: str, keys: list[str], shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, value: str, keys: list[str], shares: list[float], times: str | None = None) -> DataFrame:
     """Exact quantiles (linear between ranks) of each key as array __p, with least and greatest value.
 
     Distinct values are counted first, in as many tasks as there are; their running counts then give the two values
     around each rank, so no task holds a key's values in memory.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("__n"))
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(value).alias("__min"), F.max(value).alias("__max"))
     up_to = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value))
     line = counts.withColumn("__up", up_to).join(totals, keys)

@@ -40,21 +40,17 @@ def top_rows(df: DataFrame, order: list, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds the rank of each value, the mean one among equals, from counts of distinct values."""
-    keys = keys or []
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("avg_rank", F.sum("__n").over(w) - (F.col("__n") - 1) / 2).drop("__n")
-    return df.join(ranked, [*keys, value])
-
-
-def rank_auc(df: DataFrame, value: str, positive: str, keys: list[str]) -> DataFrame:
-    """Probability that a positive row has the greater value, ties counting half, by key."""
-    ranked = average_ranks(df.filter(F.col(value).isNotNull()), value, keys)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(positive), F.col("avg_rank"))).alias("r"), F.sum(F.col(positive).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
-    p, q = F.col("p"), F.col("n") - F.col("p")
-    return sums.select(*keys, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc"), "p", "n")
+def rank_auc(df: DataFrame, value: str, positive: str, keys: list[str], times: str | None = None) -> DataFrame:
+    """Probability that a positive row has the greater value, ties counting half, by key; a row stands for `times` rows.
+
+    Rows are counted by value first, so only counts are ordered; rows without a value are left out, and a row that is
+    neither positive nor not counts as not.
+    """
+    yes, each = F.coalesce(F.col(positive), F.lit(False)), F.lit(1) if times is None else F.col(times)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(yes, each).otherwise(0)).alias("__p"), F.sum(F.when(yes, 0).otherwise(each)).alias("__q"))
+    below = F.sum("__q").over(Window.partitionBy(*keys).orderBy(value)) - F.col("__q") / 2
+    sums = counts.withColumn("__won", F.col("__p") * below).groupBy(*keys).agg(F.sum("__won").alias("__won"), F.sum("__p").alias("p"), F.sum("__q").alias("__q"))
+    return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("__q") > 0), F.col("__won") / (F.col("p") * F.col("__q"))).alias("auc"), "p", (F.col("p") + F.col("__q")).alias("n"))
 
 
 def win_fraction(df: DataFrame, better: str, worse: str) -> DataFrame:
