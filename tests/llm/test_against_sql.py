@@ -44,7 +44,7 @@ REPEATED = [(1, "one two three 10.0.0.1", "en"), (1, "one two three 10.0.0.1", "
 @pytest.mark.parametrize(
     "name,apply",
     [
-        ("pii", pii.pseudonymise_documents),
+        ("pii", lambda d: pii.pseudonymise_documents(d, pii.KEY)),
         ("bpe", lambda d: bpe.round_trip_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)),
         ("packing", lambda d: packing.pack(d, P.path("word_bpe_49k.json"))),
         ("simhash", simhash.group_documents),

@@ -13,24 +13,26 @@ numbers are numbered, and the number is permuted as a pair of parts, each shifte
 the other.  Separators, an e-mail address's domain, the first group of an IPv6 address, a card's first digit and the country of an account or a telephone number
 stay; check digits are computed anew.  However an IPv6 address is abbreviated, its pseudonym is the same, with all eight groups.
 
-The key is a secret of whoever runs this: `session_key` reads it from the session's setting KEY_SETTING.  KEY
-is for tests; what is made with it can be undone by anyone.
+The key is a secret of whoever runs this: `session_key` reads it from the session's setting KEY_SETTING, and its lack is an error.  KEY
+is for tests and for queries whose results others repeat; what is made with it can be undone by anyone.
 
 Defined cases: a null text stays null; a text without values stays as it is; numbers
 that fail validation stay, but a card number among other numbers is found by its
-groups; nn/nn/yyyy is day/month, or month/day where that is no date; values that overlap are taken from the left, the longest kind first
-in the order above; repeated rows are treated alike.  Everything is row-local.
+groups; nn/nn/yyyy is day/month, or month/day where that is no date, and a date past the 12th becomes one past a 12th in
+every layout; values that overlap are taken from the left, the longest kind first
+in the order above; repeated rows are treated alike; an empty table stays
+empty; texts of any length are searched whole.  Columns named __pattern, __values, __marked, __named and __gaps are lost.  Everything is row-local.
 """
 
 from __future__ import annotations
 
-import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KEY_SETTING = "spark.voxtrail.pseudonym.key"
 ROUNDS = 8
-WALK = 100  # a walk past as many early days has a probability of 1e-40
+WALK = 100  # a walk past as many days of the other sort has a probability of 1e-21
 KEY = "voxtrail"
 _EPOCH, _DAYS, _LAST = "1800-01-01", 146_097, "2199-12-31"  # one Gregorian cycle of 400 years
 
@@ -59,12 +61,12 @@ _START, _END = r"(?<![\d.,\-])", r"(?!\d|-\d{4})"
 LAYOUTS = (r"\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})", r"\d{4}(?: \d{6} \d{5}|-\d{6}-\d{5})", r"\d{4}(?: \d{6} \d{4}|-\d{6}-\d{4})", r"\d{13,19}")
 
 
-def session_key(spark: SparkSession) -> str:
-    """The key that the session is set to, or KEY with a warning."""
-    key = spark.conf.get(KEY_SETTING, "")
+def session_key(spark: SparkSession, default: str | None = None) -> str:
+    """The key that the session is set to, else `default`; without either there are no pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, "") or default
     if not key:
-        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key", stacklevel=2)
-    return key or KEY
+        raise ValueError(f"set {KEY_SETTING}: pseudonyms made with a known key can be undone")
+    return key
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -89,16 +91,22 @@ def permute_text(key: str, what: str, text: Column) -> Column:
     """A keyed permutation of the texts with the same length and, at each place, the same class of character."""
 
     def shift(half: Column, other: Column, i: Column) -> Column:
-        def one(c: Column, j: Column) -> Column:
-            by = _digest(key, F.lit(what), i, j, other)
+        def one(c: Column, by: Column) -> Column:
             code = F.ascii(c)
 
             def within(first: int, size: int) -> Column:
-                return F.char(F.pmod(code - first + by % size, F.lit(size)) + first)
+                return F.char(F.pmod(code - first + by, F.lit(size)) + first)
 
             return F.when(code.between(48, 57), within(48, 10)).when(code.between(97, 122), within(97, 26)).when(code.between(65, 90), within(65, 26)).otherwise(c)
 
-        return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
+        def shifted(digest: Column) -> Column:
+            by = lambda j: F.conv(F.substring(digest, j * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            return F.array_join(F.transform(F.split(half, ""), lambda c, j: one(c, by(j))), "")
+
+        # One digest for 32 characters, of which each takes four hexadecimal digits.
+        runs = F.sequence(F.lit(0), F.floor((F.length(half) - 1) / 32).cast("int"))
+        digest = F.array_join(F.transform(runs, lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit(what), i.cast("string"), k.cast("string"), other), 512)), "")
+        return F.when(F.length(half) == 0, half).otherwise(F.transform(F.array(digest), shifted)[0])
 
     def turn(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -149,13 +157,32 @@ def _month_first(text: Column) -> Column:
     return text.rlike(r"^\d{2}/(?:1[3-9]|[23]\d)/")
 
 
+def _dated(text: Column) -> Callable[[Column], Column]:
+    """A date in the layout of `text`."""
+    sign = lambda at: F.substring(text, at, 1)
+    layouts = ((_month_first(text), "MM/dd/yyyy"), (sign(3) == "/", "dd/MM/yyyy"), (sign(3) == ".", "dd.MM.yyyy"), (sign(5) == "/", "yyyy/MM/dd"))
+
+    def format_(date: Column) -> Column:
+        out = F.date_format(date, "yyyy-MM-dd")
+        for holds, layout in reversed(layouts):
+            out = F.when(holds, F.date_format(date, layout)).otherwise(out)
+        return out
+
+    return format_
+
+
 def _walk(key: str, day: Column) -> Column:
-    """A keyed permutation of the days (from _EPOCH) past the 12th of a month: the dates' own one, again until it is past a 12th."""
-    start = F.struct(day.cast("int").alias("day"), F.lit(False).alias("done"))
+    """A keyed permutation of the days from _EPOCH that keeps apart those past the 12th of a month.
+
+    These may stand as month/day/year, the others may not, so a pair's permutation is repeated until it is back among
+    days of the same sort; a date has one image then, whatever its layout.
+    """
+    past = lambda d: F.dayofmonth(F.date_add(F.lit(_EPOCH).cast("date"), d)) > 12
+    start = F.struct(day.cast("int").alias("day"), past(day).alias("late"), F.lit(False).alias("done"))
 
     def turn(s: Column, i: Column) -> Column:
         moved = _number(permute_pair(key, "date", F.floor(s["day"] / 773), s["day"] % 773, 189, 773), 773)
-        moved = F.transform(F.array(moved), lambda d: F.struct(d.alias("day"), (F.dayofmonth(F.date_add(F.lit(_EPOCH).cast("date"), d)) > 12).alias("done")))[0]
+        moved = F.transform(F.array(moved), lambda d: F.struct(d.alias("day"), s["late"].alias("late"), (past(d) == s["late"]).alias("done")))[0]
         return F.when(s["done"], s).otherwise(moved)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, turn)["day"]
@@ -195,9 +222,7 @@ def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
     ipv6 = F.concat(F.lower(F.substring(text, 1, 4)), F.lit(":"), cut)
 
     day = F.datediff(_calendar(text), F.lit(_EPOCH).cast("date"))
-    date = F.date_add(F.lit(_EPOCH).cast("date"), _number(permute_pair(key, "date", F.floor(day / 773), day % 773, 189, 773), 773))
-    late = F.date_add(F.lit(_EPOCH).cast("date"), _walk(key, day))
-    date = F.when(_month_first(text), F.date_format(late, "MM/dd/yyyy")).when(F.substring(text, 3, 1) == "/", F.date_format(date, "dd/MM/yyyy")).when(F.substring(text, 3, 1) == ".", F.date_format(date, "dd.MM.yyyy")).when(F.substring(text, 5, 1) == "/", F.date_format(date, "yyyy/MM/dd")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    date = F.transform(F.array(F.date_add(F.lit(_EPOCH).cast("date"), _walk(key, day))), _dated(text))[0]
 
     area = F.substring(text, 1, 3).cast("int")
     rest = (F.substring(text, 5, 2).cast("int") - 1) * 9999 + F.substring(text, 8, 4).cast("int") - 1
@@ -267,7 +292,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, fo
     """`docs` with pseudonyms in column `text`; `found` names a column for (kind, start, original's length, pseudonym) of each value."""
     key = session_key(docs.sparkSession) if key is None else key
     t = F.col(text)
-    has = t.rlike(r"\d|@|::")
+    has = t.rlike(r"\d|@|::|:[A-Fa-f]{1,4}:")
     docs = docs.withColumn("__pattern", F.when(has, _pattern(t)))
     pattern = F.col("__pattern")
     values = F.when(has, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -281,8 +306,14 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, fo
     docs = docs.withColumn("__gaps", F.when(some, gaps))
     pieces = F.zip_with("__gaps", "__named", lambda g, m: F.concat(g, F.coalesce(m["pseudonym"], F.lit(""))))
     if found:
-        before = lambda i: F.aggregate(F.slice("__gaps", 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice("__named", 1, i), F.lit(0), lambda n, m: n + F.length(m["value"]))
-        spans = F.filter(F.transform("__named", lambda m, i: F.struct(m["kind"].alias("kind"), before(i).alias("start"), F.length(m["value"]).alias("length"), m["pseudonym"].alias("pseudonym"))), lambda m: m["kind"].isNotNull())
+        sizes = F.zip_with(F.slice("__gaps", 1, F.size("__named")), "__named", lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["value"]).alias("length")))
+        starts = F.aggregate(
+            sizes,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda s, x: F.struct((s["at"] + x["gap"] + x["length"]).alias("at"), F.array_append(s["starts"], s["at"] + x["gap"]).alias("starts")),
+        )["starts"]
+        spans = F.zip_with("__named", starts, lambda m, at: F.struct(m["kind"].alias("kind"), at.alias("start"), F.length(m["value"]).alias("length"), m["pseudonym"].alias("pseudonym")))
+        spans = F.filter(spans, lambda m: m["kind"].isNotNull())
         docs = docs.withColumn(found, F.coalesce(F.when(some, spans), F.array().cast("array<struct<kind:string,start:int,length:int,pseudonym:string>>")))
     changed = F.when(some, F.array_join(pieces, "")).otherwise(t)
     return docs.withColumn(text, changed).drop("__pattern", "__values", "__marked", "__named", "__gaps")

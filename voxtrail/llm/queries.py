@@ -10,7 +10,7 @@ from voxtrail.llm.common import table
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), pii.session_key(spark, pii.KEY))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
