@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail import adapters as A
 from voxtrail.operators import joins, motion, scoring, search, segmentation, tiles, training
 from voxtrail.plans.catalog import _DET, _PIX, _POINTS, coloured_points, query, tidy
 from voxtrail.plans.catalog_kernels import _planes
-from voxtrail.sources import volumes
+from voxtrail.session import shared_folder
+from voxtrail.sources import chunks, volumes
 
 
 @query(_DET + ", f as (select distinct movie, t from det), n as (select *, row_number() over (partition by movie order by ((t + 1)::bigint * 2654435761) % 4294967296, t) as i, count(*) over (partition by movie) as n from f) select movie, t, i <= floor(n * 0.8) as is_train from n")
@@ -63,6 +66,14 @@ def pyramid_level(spark, sf_dir):
     return tidy(volumes.level(volumes.pyramid(A.pixels(spark, sf_dir), 3), 2))
 
 
+@query(_PIX + "select movie, t, z, c, (y // 2)::int as y, (x // 2)::int as x, round(avg(v), 6) as v from pixel where c = 1 group by all")
+def chunk_store_level(spark, sf_dir):
+    """A channel at half resolution, from a store of chunks at three levels that this writes first."""
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks.write(A.pixels(spark, sf_dir), path, levels=3, side=8)
+    return tidy(chunks.read(spark, path, side=8, level=1, channels=[1]))
+
+
 @query(
     _POINTS
     + """, n as (select a.movie, a.track_id, a.t, min(sqrt((a.y_um - b.y_um) * (a.y_um - b.y_um) + (a.x_um - b.x_um) * (a.x_um - b.x_um))) as d from track a join track b on a.movie = b.movie and a.t = b.t
