@@ -1,6 +1,7 @@
 """Array files and chunk stores: what a slice reads, order, filters, large files and odd shapes."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -87,7 +88,8 @@ def test_a_store_gives_slices_of_every_level(spark, tmp_path):
     assert rows_of(part, "tzcyx") == {k: v for k, v in np.ndenumerate(a) if k[0] == 1 and k[1] == 0 and k[2] == 1 and 3 <= k[3] < 6 and k[4] == 8}
     assert chunks.chunks(spark, path, 4, channels=[1], t=(1, 2), z=(0, 1), y=(3, 6), x=(8, 9)).count() == 2  # of 108 at this level
     plan = part._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(level" in plan and "PushedFilters" in plan and "GreaterThanOrEqual(cy,0)" in plan
+    scan = plan[plan.index("PartitionFilters") :]
+    assert re.match(r"PartitionFilters: \[[^\]]*level#\d+ = 0[^\]]*", scan) and re.search(r"PushedFilters: \[\w+\(", scan), scan
     chunks.write(pixel_rows(spark, a[:1] * 2).withColumn("t", F.lit(1)), path, levels=2, side=4)
     again = rows_of(chunks.read(spark, path, 4), "tzcyx")
     assert all(again[k] == (2 * a[(0, *k[1:])] if k[0] == 1 else a[k]) for k in whole)
