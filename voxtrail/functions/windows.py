@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxtrail.session import pin
+
+#: Bins of a key's histogram, and parts in which its values meet the bounds.
+BINS = 64
+SALTS = 16
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by `order`."""
@@ -20,16 +28,25 @@ def gradient(df: DataFrame, value: str, along: str, plane: list[str], out: str)
 
 
 def quantiles(df: DataFrame, value: str, keys: list[str], shares: list[float], times: str | None = None) -> DataFrame:
-    """Exact quantiles (linear between ranks) of each key as array __p, with least and greatest value.
+    """Exact quantiles (linear between ranks) of each key as array __p, with least and greatest value; a row stands for `times` rows.
 
-    Distinct values are counted first, in as many tasks as there are; their running counts then give the two values
-    around each rank, so no task holds a key's values in memory.
+    Distinct values are counted first, and the counts written once.  A histogram whose BINS bounds come from a sketch of them says which bins hold the
+    ranks; only these bins' values are put in order, each bin by itself, so no task orders a key's values.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("__n"))
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(value).alias("__min"), F.max(value).alias("__max"))
-    up_to = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value))
-    line = counts.withColumn("__up", up_to).join(totals, keys)
+    counts = pin(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("__n")))
+    inner = [F.lit(i / BINS) for i in range(1, BINS)]
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(value).alias("__min"), F.max(value).alias("__max"), F.percentile_approx(value, F.array(*inner), 10 * BINS).alias("__cuts"))
+    # A key's counts meet its bounds in SALTS parts.
+    salted = totals.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    binned = counts.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"])
+    binned = binned.withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts", "__salt")
+    sizes = binned.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__size"), F.first("__all").alias("__all"))
+    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__bin")) - F.col("__size")
     ranks = [F.lit(s) * (F.col("__all") - 1) for s in shares]
+    holds = reduce(lambda a, b: a | b, [(f(r) >= F.col("__before")) & (f(r) < F.col("__before") + F.col("__size")) for r in ranks for f in (F.floor, F.ceil)])
+    needed = sizes.withColumn("__before", before).filter(holds).select(*keys, "__bin", "__before")
+    up_to = F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys, "__bin").orderBy(value))
+    line = binned.join(needed, [*keys, "__bin"]).withColumn("__up", up_to)
     at = lambda rank: F.min(F.when(F.col("__up") > rank, F.col(value)))
     ends = line.groupBy(*keys, "__all", "__min", "__max").agg(*[at(f(r)).alias(f"__{n}{i}") for i, r in enumerate(ranks) for n, f in (("a", F.floor), ("b", F.ceil))])
     mixed = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (r - F.floor(r)) for i, r in enumerate(ranks)]

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxtrail.session import pin
 
 RINGS = 16
 
@@ -39,9 +40,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: float, d
     """For each left row the nearest right row within `radius`; ties go to the smaller `right_id`.
 
     Most rows have one nearby, so the search begins at a RINGS-th of the radius, with small cells; only
-    rows that have none there go on to the whole radius.
+    rows that have none there go on to the whole radius.  What the first search finds is written once.
     """
-    close = _nearest(left, right, keys, radius / RINGS, dims, left_id, right_id)
+    close = pin(_nearest(left, right, keys, radius / RINGS, dims, left_id, right_id))
     rest = left.join(close.select(*left_id), left_id, "left_anti")
     return close.unionByName(_nearest(rest, right, keys, radius, dims, left_id, right_id))
 
@@ -62,8 +63,8 @@ def nearest_distance(points: DataFrame, keys: list[str], ids: list[str], dims: l
     rest, found = points, []
     while True:
         near = within(rest, points, keys, start, dims).filter(F.col("d") > apart)
-        found.append(near.groupBy(*[F.col(f"a.{i}").alias(i) for i in ids]).agg(F.min("d").alias("d")))
-        rest = rest.join(found[-1].select(*ids), ids, "left_anti")
+        found.append(pin(near.groupBy(*[F.col(f"a.{i}").alias(i) for i in ids]).agg(F.min("d").alias("d"))))
+        rest = pin(rest.join(found[-1].select(*ids), ids, "left_anti"))
         if start >= extent or rest.isEmpty():
             return reduce(lambda a, b: a.unionByName(b), found)
         start *= 4

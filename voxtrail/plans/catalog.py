@@ -88,7 +88,7 @@ def run_lengths(spark, sf_dir):
 
 @query(_POINTS + "select movie, t, n_active, n_bridge, round(continuity, 6) as continuity from cont")
 def frame_continuity(spark, sf_dir):
-    return tidy(scoring.frame_continuity(coloured_points(spark, sf_dir)))
+    return tidy(scoring.frame_continuity(A.track_points(spark, sf_dir)))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtrail import adapters as A
-from voxtrail.operators import analytics, flow, labels, motion, segmentation, shapes, tiles, tracking, vectors
+from voxtrail.operators import analytics, flow, labels, motion, segmentation, shapes, tiled, tiles, tracking, vectors
 from voxtrail.plans import motion_table
 from voxtrail.plans.catalog import _DET, _GRAD, _VOX, _known, _to_track, query, tidy
 
@@ -114,6 +114,28 @@ def segmented_planes(spark, sf_dir):
     return segmentation.segment(_planes(spark, sf_dir), segmentation.Parameters(seed_size=5, min_size=3))
 
 
+@query(
+    A.oracle("pixel")
+    + """, m as materialized (select movie, t, z, y, x, y::bigint * 4294967296 + x as id from pixel where c = 0 and v > 30),
+    n as materialized (select a.movie, a.t, a.z, a.id as a, b.id as b from m a join m b on a.movie = b.movie and a.t = b.t and a.z = b.z and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+    reach as (
+        with recursive r as (
+            select movie, t, z, id, id as root from m union
+            select n.movie, n.t, n.z, n.b, r.root from r join n on n.movie = r.movie and n.t = r.t and n.z = r.z and n.a = r.id where r.root < n.b)
+        select movie, t, z, id, min(root) as region from r group by all)
+    select m.movie, m.t, m.z, m.y, m.x, reach.region from m join reach using (movie, t, z, id)"""
+)
+def tiled_regions(spark, sf_dir):
+    """Regions of bright pixels, labelled in tiles of five pixels and united over their borders."""
+    return tiled.regions(A.pixels(spark, sf_dir).filter("c = 0 and v > 30"), side=5)
+
+
+@query()
+def tiled_growth(spark, sf_dir):
+    """Seeds grown in tiles of eight pixels that exchange halos of four."""
+    return tiled.segment(_planes(spark, sf_dir), segmentation.Parameters(seed_size=5, min_size=3), side=8, halo=4)
+
+
 @query()
 def two_pass_segments(spark, sf_dir):
     """Large objects, then small ones where the first pass left bright pixels."""

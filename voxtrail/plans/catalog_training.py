@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail import adapters as A
-from voxtrail.operators import joins, motion, scoring, search, segmentation, tiles, training
-from voxtrail.plans.catalog import _DET, _PIX, _POINTS, coloured_points, query, tidy
+from voxtrail.operators import analytics, joins, linking, motion, scoring, search, segmentation, tiles, training
+from voxtrail.plans.catalog import _DET, _PIX, _POINTS, _to_track, coloured_points, query, tidy
 from voxtrail.plans.catalog_kernels import _planes
 from voxtrail.session import shared_folder
 from voxtrail.sources import chunks, volumes
@@ -122,3 +122,22 @@ def restored_planes(spark, sf_dir):
     """The whole chain around a restoring model, which here doubles values and adds one."""
     planes = A.pixels(spark, sf_dir).filter("c = 0").drop("c")
     return tidy(tiles.restore(planes, lambda t: t.withColumn("v", F.col("v") * 2 + 1), A.GRID, A.GRID, 24))
+
+
+@query(
+    _DET
+    + """, s as (select movie, cell_id, t, coalesce((t - lag(t) over w > 2)::int, 0) as cut from det window w as (partition by movie, cell_id order by t)),
+    r as (select *, sum(cut) over (partition by movie, cell_id order by t) as run from s)
+    select movie || '-' || cell_id::varchar as movie, min(t) over (partition by movie, cell_id, run)::bigint * 4294967296 + cell_id as track_id, t, cell_id from r"""
+)
+def global_lanes(spark, sf_dir):
+    """Cheapest sets of tracks where every cell has a movie of its own: a link is dear only if it leaves out two frames."""
+    d = _to_track(spark, sf_dir)
+    return linking.link_globally(d.withColumn("movie", F.concat_ws("-", "movie", "cell_id")), 1000.0, max_gap=1, birth=0.5, death=0.5)
+
+
+@query()
+def global_links_against_truth(spark, sf_dir):
+    """Links of the known tracks that the cheapest set of tracks of each movie kept, broke or gave to another cell."""
+    found = linking.link_globally(_to_track(spark, sf_dir), 6.0)
+    return analytics.compare_links(analytics.links(A.track_points(spark, sf_dir)), analytics.links(found))
