@@ -39,12 +39,16 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], radius: float, di
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: float, dims: list[str], left_id: list[str], right_id: str) -> DataFrame:
     """For each left row the nearest right row within `radius`; ties go to the smaller `right_id`.
 
-    Most rows have one nearby, so the search begins at a RINGS-th of the radius, with small cells; only
-    rows that have none there go on to the whole radius.  What the first search finds is written once.
+    Most rows have one nearby, so the search begins at a RINGS-th of the radius, with small cells.  What it finds is written
+    once, beside the rows that have none there; only these, if there are any, go on to the whole radius.
     """
-    close = pin(_nearest(left, right, keys, radius / RINGS, dims, left_id, right_id))
-    rest = left.join(close.select(*left_id), left_id, "left_anti")
-    return close.unionByName(_nearest(rest, right, keys, radius, dims, left_id, right_id))
+    close = _nearest(left, right, keys, radius / RINGS, dims, left_id, right_id)
+    none = left.select(*left_id, F.lit(None).cast(close.schema["b"].dataType).alias("b"), F.lit(None).cast("double").alias("d"))
+    marked = pin(close.unionByName(none).groupBy(*left_id).agg(F.first(F.when(F.col("d").isNotNull(), F.struct("b", "d")), ignorenulls=True).alias("m")))
+    found, rest = marked.filter("m is not null").select(*left_id, "m.b", "m.d"), marked.filter("m is null").select(*left_id)
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_nearest(left.join(rest, left_id, "left_semi"), right, keys, radius, dims, left_id, right_id))
 
 
 def _nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: float, dims: list[str], left_id: list[str], right_id: str) -> DataFrame:
