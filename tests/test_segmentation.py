@@ -152,3 +152,19 @@ def test_morphology_rows(spark):
     df = spark.createDataFrame(rows, "movie string, t int, z int, y int, x int, label int")
     out = {r.label: r for r in shapes.morphology(df).collect()}
     assert out[1].area == 42 and out[1].ring_area == pytest.approx(41.5) and out[2].ring is None and out[2].area == 1
+
+
+def test_pattern_features_equal_the_kernels(spark):
+    from voxtrail.operators import shapes
+
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for label in range(1, 25):
+        mask = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < rng.choice([0.3, 0.6, 0.9, 1.0])
+        if not mask.any():
+            continue
+        found = shapes.features_of(mask)
+        want[label] = [found[c] for c in ("area", "euler_number", "perimeter", "perimeter_crofton")]
+        rows += [("m", 0, int(z), int(y), int(x), label) for z in (0, 1) for y, x in np.argwhere(mask)]
+    df = spark.createDataFrame(rows + [("m", 0, 0, 0, 0, 0)], "movie string, t int, z int, y int, x int, label int")
+    got = {r.label: [r.area, r.euler_number, r.perimeter, r.perimeter_crofton] for r in shapes.pattern_features(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

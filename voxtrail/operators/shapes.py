@@ -20,6 +20,9 @@ FEATURES = ("area", "bbox_area", "convex_area", "eccentricity", "equivalent_diam
 _N, _S, _W, _E = (0.0, 0.5), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)
 _SIDES = {1: [(_W, _N)], 2: [(_N, _E)], 3: [(_W, _E)], 4: [(_S, _W)], 5: [(_S, _N)], 6: [(_N, _E), (_S, _W)], 7: [(_S, _E)], 8: [(_E, _S)], 9: [(_W, _N), (_E, _S)], 10: [(_N, _S)], 11: [(_W, _S)], 12: [(_E, _W)], 13: [(_E, _N)], 14: [(_N, _W)]}
 
+# The neighbourhood sums whose pixel is on a straight, a diagonal or a bent piece of the border's line.
+_LINE = {**dict.fromkeys((5, 7, 15, 17, 25, 27), 1.0), **dict.fromkeys((21, 33), 2**0.5), **dict.fromkeys((13, 23), (1 + 2**0.5) / 2)}
+
 
 def rings(mask: np.ndarray) -> list[np.ndarray]:
     """Closed outlines (y, x) of a mask at half level, by marching squares; the longest first."""
@@ -87,10 +90,7 @@ def perimeter(mask: np.ndarray) -> float:
     straight = sum(shifted(border, dy, dx, False).astype(int) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))
     diagonal = sum(shifted(border, dy, dx, False).astype(int) for dy, dx in ((-1, -1), (-1, 1), (1, -1), (1, 1)))
     code = (1 + 2 * straight + 10 * diagonal)[border]
-    root = 2**0.5
-    # The neighbourhood sums whose pixel is on a straight, a diagonal or a bent piece of the line.
-    weights = {**dict.fromkeys((5, 7, 15, 17, 25, 27), 1.0), **dict.fromkeys((21, 33), root), **dict.fromkeys((13, 23), (1 + root) / 2)}
-    return float(sum(weights.get(int(c), 0.0) for c in code))
+    return float(sum(_LINE.get(int(c), 0.0) for c in code))
 
 
 def crofton(mask: np.ndarray) -> float:
@@ -180,6 +180,39 @@ def features(voxels: DataFrame) -> DataFrame:
     return _projected(voxels).groupBy("movie", "t", "label").applyInPandas(one, "movie string, t int, label int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def pattern_features(voxels: DataFrame) -> DataFrame:
+    """area, euler_number, perimeter and perimeter_crofton of each cell of each frame, from counts of neighbourhood patterns.
+
+    A pixel is listed under the squares of 2 x 2 and the neighbourhoods that it lies in, and what each of these holds is
+    summed up, so cells of any size spread over tasks and nothing leaves the JVM.
+    """
+    cell, at = ["movie", "t", "label"], ["movie", "t", "label", "y", "x"]
+    pixels = _projected(voxels)
+
+    def listed(rows: DataFrame, places: list[tuple[int, int, dict[str, int]]]) -> DataFrame:
+        """Sums, over each pixel's surroundings, of what its rows put there: offsets and numbers by name."""
+        spots = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), *[F.lit(n).alias(c) for c, n in put.items()]) for dy, dx, put in places]))
+        names = list(places[0][2])
+        return rows.select(*cell, spots.alias("s")).groupBy(*cell, F.col("s.y").alias("y"), F.col("s.x").alias("x")).agg(*[F.sum(f"s.{c}").alias(c) for c in names])
+
+    quads = listed(pixels, [(0, 0, {"code": 8}), (0, 1, {"code": 4}), (1, 0, {"code": 2}), (1, 1, {"code": 1})])
+    bit = lambda i: F.col("code").bitwiseAND(1 << i) > 0  # noqa: E731  above-left, above-right, below-left, below-right
+    differ = lambda i, j: F.sum((bit(i) != bit(j)).cast("long"))
+    ones = F.bit_count("code")
+    euler = F.sum(F.when(F.col("code").isin(6, 9), -2).when(ones == 1, 1).when(ones == 3, -1).otherwise(0)) / 4
+    cross = F.lit(float(np.pi / 8)) * (differ(0, 1) + differ(0, 2) + (differ(0, 3) + differ(1, 2)) / F.lit(2**0.5))
+    sums = quads.groupBy(*cell).agg((F.sum((bit(3)).cast("long"))).alias("area"), euler.alias("euler_number"), cross.alias("perimeter_crofton"))
+
+    four, corners = ((-1, 0), (1, 0), (0, -1), (0, 1)), ((-1, -1), (-1, 1), (1, -1), (1, 1))
+    around = listed(pixels, [(0, 0, {"own": 1, "near": 0}), *((dy, dx, {"own": 0, "near": 1}) for dy, dx in four)])
+    border = around.filter("own = 1 and near < 4").select(*at)
+    line = listed(border, [(0, 0, {"own": 1, "code": 1}), *((dy, dx, {"own": 0, "code": 2}) for dy, dx in four), *((dy, dx, {"own": 0, "code": 10}) for dy, dx in corners)])
+    weight = F.lit(0.0)
+    for code, length in _LINE.items():
+        weight = F.when(F.col("code") == code, length).otherwise(weight)
+    return sums.join(line.filter("own = 1").groupBy(*cell).agg(F.sum(weight).alias("perimeter")), cell)
+
+
 def outlines(voxels: DataFrame, min_area: float = 10, min_points: int = 8) -> DataFrame:
     """The largest outline of each cell that has more than `min_points` points and the area."""
 

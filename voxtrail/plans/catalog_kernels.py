@@ -142,6 +142,24 @@ def two_pass_segments(spark, sf_dir):
     return segmentation.segment(_planes(spark, sf_dir), two_pass=True)
 
 
+@query(
+    _VOX
+    + """, p as (select distinct movie, t, label, y, x from voxel where label > 0),
+    q as (select movie, t, label, y + dy as y, x + dx as x, sum(w)::int as code from p cross join (values (0, 0, 8), (0, 1, 4), (1, 0, 2), (1, 1, 1)) o(dy, dx, w) group by all),
+    b as (select *, code & 1 > 0 as b0, code & 2 > 0 as b1, code & 4 > 0 as b2, code & 8 > 0 as b3 from q),
+    s as (select movie, t, label, sum(b3::int)::bigint as area, sum(case when code in (6, 9) then -2 when bit_count(code) = 1 then 1 when bit_count(code) = 3 then -1 else 0 end) / 4 as euler_number,
+        pi() / 8 * (sum((b0 <> b1)::int) + sum((b0 <> b2)::int) + (sum((b0 <> b3)::int) + sum((b1 <> b2)::int)) / sqrt(2)) as perimeter_crofton from b group by all),
+    edge as (select * from p where (select count(*) from p n where n.movie = p.movie and n.t = p.t and n.label = p.label and abs(n.y - p.y) + abs(n.x - p.x) = 1) < 4),
+    line as (select a.movie, a.t, a.label, a.y, a.x, 1 + sum(case when abs(b.y - a.y) + abs(b.x - a.x) = 1 then 2 when abs(b.y - a.y) = 1 and abs(b.x - a.x) = 1 then 10 else 0 end) as code
+        from edge a join edge b on a.movie = b.movie and a.t = b.t and a.label = b.label and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all),
+    l as (select movie, t, label, sum(case when code in (5, 7, 15, 17, 25, 27) then 1 when code in (21, 33) then sqrt(2) when code in (13, 23) then (1 + sqrt(2)) / 2 else 0 end) as perimeter from line group by all)
+    select movie, t, label, area, round(euler_number, 6) as euler_number, round(perimeter, 6) as perimeter, round(perimeter_crofton, 6) as perimeter_crofton from s join l using (movie, t, label)"""
+)
+def pattern_features(spark, sf_dir):
+    """Area, Euler number and two perimeters of every projected cell, by patterns of neighbours."""
+    return tidy(shapes.pattern_features(A.voxels(spark, sf_dir)))
+
+
 @query()
 def shape_features(spark, sf_dir):
     """All shape features of every projected cell."""
@@ -185,6 +203,20 @@ def patch_crops(spark, sf_dir):
     return tidy(segmentation.crops(planes, d, 3))
 
 
+@query(
+    A.oracle("pixel")
+    + """, p as (select movie, t, y, x, c, v / 100.0::double as s from pixel), w as (select movie, t, y, x, avg(s) as whole, sum(s) as total, count(*) as n from p group by all)
+    select 'channel ' || c::varchar as metric, round(avg(abs(whole - (total - s) / n)), 6) as importance from p join w using (movie, t, y, x) group by c"""
+)
+def channel_importance(spark, sf_dir):
+    """How much a mean of channels changes where one of them is set to zero."""
+    at = ["movie", "t", "y", "x"]
+    p = A.pixels(spark, sf_dir).withColumn("s", F.col("v") / 100)
+    full = p.groupBy(*at).agg(F.avg("s").alias("prob"), F.sum("s").alias("total"), F.count(F.lit(1)).alias("n"))
+    left = p.join(full, at).select(*at, F.concat(F.lit("channel "), F.col("c").cast("string")).alias("metric"), ((F.col("total") - F.col("s")) / F.col("n")).alias("prob"))
+    return tidy(analytics.ablation_importance(full, left, at))
+
+
 @query()
 def warp_consistency(spark, sf_dir):
     """Agreement of embeddings along displacements."""
