@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxtrail import adapters as A
+from voxtrail import adapters as A, sql
 from voxtrail.operators import analytics, joins, linking, motion, scoring, search, segmentation, tiles, training
 from voxtrail.plans.catalog import _DET, _PIX, _POINTS, _to_track, coloured_points, query, tidy
 from voxtrail.plans.catalog_kernels import _planes
@@ -141,3 +141,21 @@ def global_links_against_truth(spark, sf_dir):
     """Links of the known tracks that the cheapest set of tracks of each movie kept, broke or gave to another cell."""
     found = linking.link_globally(_to_track(spark, sf_dir), 6.0)
     return analytics.compare_links(analytics.links(A.track_points(spark, sf_dir)), analytics.links(found))
+
+
+@query(_POINTS + "select movie, track_id, switches, transitions, dominant_color from sw")
+def switches_in_sql(spark, sf_dir):
+    """Switches of colour and dominant colours of tracks, written in SQL with the library's functions."""
+    sql.register(spark)
+    text = """select movie, track_id, color_switches(p) as switches, color_known(p) - 1 as transitions, dominant_color(p) as dominant_color
+        from (select movie, track_id, collect_list(struct(t, color_id as color)) as p from {points} group by movie, track_id) where color_known(p) >= 2"""
+    return spark.sql(text, points=coloured_points(spark, sf_dir))
+
+
+@query(_PIX + ", s as (select unnest([0, 4])::int as start) select movie, t, y, x, count(*) as n_tiles, round(avg(v), 6) as v from pixel join s a on y between a.start and a.start + 11 join s b on x between b.start and b.start + 11 where c = 0 group by all")
+def tiles_in_sql(spark, sf_dir):
+    """How many tiles each pixel is in and the mean of its values there, with a table function."""
+    sql.register(spark)
+    text = """select movie, t, y, x, count(*) as n_tiles, avg(v) as v from {pixels}, lateral tile_starts(16, 12, 0.1D) a, lateral tile_starts(16, 12, 0.1D) b
+        where c = 0 and y between a.start and a.start + 11 and x between b.start and b.start + 11 group by movie, t, y, x"""
+    return tidy(spark.sql(text, pixels=A.pixels(spark, sf_dir)))
