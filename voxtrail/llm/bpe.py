@@ -14,7 +14,9 @@ continuation bytes still due.  It is composed with the vocabulary, so that it st
 once for each token, and it holds back an unfinished character between steps.
 
 Defined cases: a null text is empty; an empty text has no ids; repeated rows give
-equal results.  Nothing is learned, so there is no corpus state and no shuffle.
+equal results; an empty table stays empty; a text of any length is encoded whole, piece by piece; ties cannot arise, as no two
+tokens have one rank; further columns are left out, and their names do not matter.  Nothing is learned, so there is no
+corpus state and no shuffle.
 """
 
 from __future__ import annotations

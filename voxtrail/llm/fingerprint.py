@@ -6,7 +6,8 @@ two of them estimate resemblance, containment and the number of distinct shingle
 
 Defined cases: a null or blank text has an empty sketch; a text of fewer words
 than a shingle has one shingle, all its words; two empty sketches resemble each
-other fully; repeated words and rows change nothing but their own rows.
+other fully; repeated words and rows change nothing but their own rows; an empty table
+stays empty; a text of any length is hashed whole; further columns are left out by `fingerprint_documents`, and their names do not matter.
 """
 
 from __future__ import annotations

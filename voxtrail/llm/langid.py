@@ -12,7 +12,8 @@ ones keep more of their rows and what is broadcast to executors is bounded.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties
 go to the first language by name; repeated rows get equal results; without any
-training row every text is `und`.
+training row every text is `und`; an empty table stays empty; a text of any length is read
+whole; in `identify` further columns stay, but for lang_pred and score.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ consecutive: a block's number with the window's, or a whole sequence's row numbe
 
 Defined cases: a null or empty text has one id, the end mark; equal documents are packed
 each for itself; an empty table gives no rows; a block's last window is the only
-one that can be much shorter than the others, and only where the table has few ids.
+one that can be much shorter than the others, and only where the table has few ids; a text of any length is read whole and
+cut where windows end; null ids are ids like any other, last in order; windows of equal length are merged in the order of
+their documents; further columns are left out, and their names do not matter.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ of single rows is ever made by a join, and a last merge keeps k of each query's
 Defined cases: vectors that are null or hold null or non-finite components take no
 part, nor do rows with a null id; shorter vectors count as if filled with zeros; a
 query is not compared to rows of its own id; ties go to the smaller id, and of
-repeated ids each row counts; with fewer candidates than k, all are returned.
+repeated ids each row counts; with fewer candidates than k, all are returned; queries of one id share
+one list of k, the best rows for any of their vectors; an empty table gives no rows; further columns are left out, and
+their names do not matter.
 """
 
 from __future__ import annotations

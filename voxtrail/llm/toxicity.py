@@ -18,7 +18,8 @@ for each class at most (default FIT_CHARS); what is broadcast is bounded so.
 
 Defined cases: a null, empty or wordless text gets the score of no evidence; a
 row of `labels` with a null label, or of no document, is not learned from; several
-labels of one document all count; ties cannot arise, as scores depend on the text alone.
+labels of one document all count; ties cannot arise, as scores depend on the text alone;
+an empty table stays empty; a text of any length is read whole; in `score` further columns stay, but for its own score.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ learn from gets those of the other folds of hosts, so they do not tell it its ow
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits
 no rule and is judged by the trees (a null as an empty text); equal urls get
-equal verdicts; without labelled urls, the trees allow everything.
+equal verdicts; without labelled urls, the trees allow everything;
+among equal splits the first feature's lowest cut is taken; an empty table stays empty; a url of any length is read
+whole; further columns are left out, and their names do not matter.
 """
 
 from __future__ import annotations
