@@ -151,7 +151,7 @@ def count_before_after(voxels: DataFrame, min_voxels: int) -> DataFrame:
 
 
 def shape_moments(voxels: DataFrame) -> DataFrame:
-    """Area, box, extent, axes, eccentricity, orientation and equivalent diameter of each cell's projection along z.
+    """Area, box, extent, axes, eccentricity and equivalent diameter of each cell's projection along z.
 
     Second moments of the pixels, each taken as a square of side 1, give the ellipse of equal moments.
     """

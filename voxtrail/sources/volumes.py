@@ -1,4 +1,4 @@
-"""Arrays in files as pixel and label rows: a Python data source for .npy volumes, and plane rows."""
+"""Pixel and label rows: small .npy volumes read whole, plane rows and pyramids (files of any size: sources.arrays)."""
 
 from __future__ import annotations
 
