@@ -9,6 +9,8 @@ from voxtrail.plans import catalog_training
 from voxtrail.plans.catalog_kernels import _planes
 from voxtrail.sources import volumes
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_variance_loss_equals_numpy(spark):
     rng = np.random.default_rng(0)
@@ -49,8 +51,8 @@ def test_pyramid_means(spark):
 
 
 def test_segmentation_search_never_ends_below_its_trials(spark):
-    planes = _planes(spark, "").filter("t < 2").cache()
-    voxels = catalog_training.channel_voxels(spark).filter("t < 2").cache()
+    planes = _planes(spark, SF).filter("t < 2").cache()
+    voxels = catalog_training.channel_voxels(spark, SF).filter("t < 2").cache()
     base = segmentation.Parameters(seed_size=5, min_size=3)
     best, history = search.optimise_segmentation(planes, voxels, ["v0", "v1"], max_evals=8, fixed={"merge_affinity": 0.6}, base=base, min_size=10, purity=0.55)
     assert len(history) >= 8 and "merge_affinity" not in best
