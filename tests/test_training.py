@@ -60,3 +60,11 @@ def test_segmentation_search_never_ends_below_its_trials(spark):
     assert scores[0] == pytest.approx(max(s for _, s in history)) and scores[1] == 0.0
     at = [search.SEGMENTATION_BOUNDS[k] for k in best]
     assert all(low <= best[k] <= high for k, (low, high) in zip(best, at))
+
+
+def test_colour_keeps_crossing_tracks_from_switching(spark):
+    rows = [("m", t, c, c - 1, 0.0, (4.0 - t if c == 1 else t - 4.0) + 50.0 * k, 0.0) for t in range(8) for k in range(3) for c in (1, 2)]
+    rows = [(m, t, c + 10 * k, colour, z, y, x) for (m, t, c, colour, z, y, x), k in zip(rows, [k for _ in range(8) for k in range(3) for _ in (1, 2)])]
+    df = spark.createDataFrame(rows, "movie string, t int, cell_id int, color_id int, z_um double, y_um double, x_um double")
+    got = {r.w_color: (r.switch_rate, r.continuity) for r in catalog_training.colour_weights(df, [0.0, 2.0]).collect()}
+    assert got.keys() == {0.0, 2.0} and got[2.0][0] <= got[0.0][0] and got[2.0][0] < 0.2 and got[2.0][1] > 0.8

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail import adapters as A, sql
-from voxtrail.operators import analytics, joins, linking, motion, scoring, search, segmentation, tiles, training
+from voxtrail.operators import analytics, joins, linking, motion, scoring, search, segmentation, tiles, tracking, training
 from voxtrail.plans.catalog import _DET, _PIX, _POINTS, _to_track, coloured_points, query, tidy
 from voxtrail.plans.catalog_kernels import _planes
-from voxtrail.session import shared_folder
+from voxtrail.session import pin, shared_folder
 from voxtrail.sources import chunks, volumes
 
 
@@ -159,3 +159,22 @@ def tiles_in_sql(spark, sf_dir):
     text = """select movie, t, y, x, count(*) as n_tiles, avg(v) as v from {pixels}, lateral tile_starts(16, 12, 0.1D) a, lateral tile_starts(16, 12, 0.1D) b
         where c = 0 and y between a.start and a.start + 11 and x between b.start and b.start + 11 group by movie, t, y, x"""
     return tidy(spark.sql(text, pixels=A.pixels(spark, sf_dir)))
+
+
+def colour_weights(detections: DataFrame, weights: list[float]) -> DataFrame:
+    """Switch rate and mean continuity of the tracker's tracks under each weight of colour; detections (movie, t, cell_id, color_id, places)."""
+    own = [(F.col("color_id") == c).cast("int").cast("double").alias(n) for c, n in enumerate("rgb")]
+    seen = detections.select("*", *own)
+    grid = detections.sparkSession.createDataFrame([(i, {"w_color": w, "max_cost": 1.5 + w}) for i, w in enumerate(weights)], "trial_id int, params map<string,double>")
+    found = tracking.grid_search(seen, grid).join(detections.select("movie", "t", "cell_id", "color_id"), ["movie", "t", "cell_id"])
+    points = pin(found.select(F.concat_ws("/", "trial_id", "movie").alias("movie"), "track_id", "t", "color_id"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), F.substring_index("movie", "/", 1).cast("int") + 1).alias("w_color")
+    switches = scoring.track_switches(points).groupBy(weight).agg((F.sum("switches") / F.sum("transitions")).alias("switch_rate"))
+    steady = scoring.frame_continuity(points).groupBy(weight).agg(F.avg("continuity").alias("continuity"))
+    return switches.join(steady, "w_color")
+
+
+@query()
+def colour_weight_sweep(spark, sf_dir):
+    """The tracker under four weights of colour: fewer switches for less continuity."""
+    return tidy(colour_weights(_to_track(spark, sf_dir), [0.0, 1.0, 2.0, 3.0]))
