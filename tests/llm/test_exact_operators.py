@@ -55,6 +55,23 @@ def test_moves_made_anew_equal_those_kept():
     assert len(small.moves) <= 20
 
 
+def test_tokens_are_emitted_after_bounded_lookahead():
+    """What is not yet emitted stays within twice the longest token, however long the piece, and is never taken back."""
+    rng, machine = np.random.default_rng(1), bpe.Transducer(RANKS)
+    tokens, longest = sorted(RANKS), max(map(len, RANKS))
+    pieces = [b"".join(tokens[i] for i in rng.integers(0, len(tokens), 300)) for _ in range(20)]
+    pieces += [bytes(rng.integers(97, 101, 3000).tolist()), b"a" * 5000, b" " * 5000, b"=-" * 2000, b"ing" * 2000, rng.bytes(3000)]
+    for piece in pieces:
+        state, out, most = 0, [], 0
+        want = TIKTOKEN._core_bpe.encode_single_piece(piece)
+        for byte in piece:
+            state, more = machine.moves.get(state * 256 + byte) or machine.move(state, byte)
+            out += more
+            most = max(most, machine.pending(state))
+        assert out + list(machine.states[state][1][-1][0]) == want
+        assert most <= 2 * longest
+
+
 def test_one_long_piece_takes_work_in_proportion():
     rng = np.random.default_rng(0)
     piece = "".join(rng.choice(list("abcdefghijklmnoprstuvwxyzéèñü"), 300_000))

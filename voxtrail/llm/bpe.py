@@ -1,13 +1,17 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
-A state is the last emitted token with the place that the bytes since then have reached in the
-tree of tokens.  Such pairs are never listed: moves in the tree, which no emitted token changes,
-are compiled from the merges' tokens, and a move at a boundary is made when first met.  There,
-after a lookahead of one token's length at most, the longest token that the bytes
-start with is known; the move goes to the longest one of it and its beginnings that is compatible with
-the last token, emits that and leaves the rest of the lookahead to be read from the tree's root.
-A chain of tokens, each compatible with the one before, is the encoding.  Where no
-token is compatible, the last one was too long: it is taken back for the next shorter one.
+The transducer reads bytes and emits tokens.  A chain of tokens, each compatible with the one
+before, is the encoding of its bytes, and there is one for every run of bytes; so before each
+byte there are as many open ways as there are earlier places from which the bytes read so far
+begin a token: the chain up to that place, and the place that they have reached in the tree of
+tokens.  A state is the set of these ways: the last token emitted, and for each way the tokens of
+its chain that are not emitted yet and its node of the tree.  The merges are compiled into the tree's moves and the
+compatibility of two tokens; states and their moves are made when a byte is first read
+in them, so no move is made that no text needs.
+
+A token is emitted once all ways agree on it, and is never taken back.  A way is closed when
+no token begins with its bytes, which is after a token's greatest length at most, so what is not yet
+emitted is a few tokens beyond that (`pending` tells how many bytes).
 
 Decoding is a state machine over UTF-8: a state is the number and range of the
 continuation bytes still due.  It is composed with the vocabulary, so that it steps
@@ -37,6 +41,8 @@ from voxtrail.llm.common import per_worker, slices
 MOVES = 400_000
 DECODED = 80_000
 PIECES = 400_000
+#: Longer pieces are encoded each time, so that what a worker keeps is bounded in bytes as well.
+KEPT_CHARS = 64
 _NONE = 1 << 60
 
 
@@ -51,18 +57,29 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_moves: int = MOVES) -> None:
         self.ranks, self.max_moves = ranks, max_moves
         self.token = {v: k for k, v in ranks.items()}
-        self.size = {v: len(k) for k, v in ranks.items()}
-        #: Nodes by byte; at -1 the longest token that the way to a node starts with.
-        self.tree: dict[int, dict | int | None] = {-1: None}
-        #: Of a token, the longest shorter one that it starts with.
-        self.shorter: dict[int, int | None] = {}
-        for data in sorted(ranks, key=len):
-            node = self.tree
+        #: Nodes are numbered from the root, 0; a move is found by node * 256 + byte.
+        self.tree: dict[int, int] = {}
+        #: Of a node, the token that ends there, or -1; and whether longer tokens go through it.
+        self.ends, self.inner = [-1], [True]
+        for data in sorted(ranks):
+            node = 0
             for byte in data:
-                last, node = node, node.setdefault(byte, {-1: node[-1]})
-            self.shorter[ranks[data]], node[-1] = last[-1], ranks[data]
-        #: (last token, longest match) as one number, and the token that is emitted; -1 is none.
-        self.moves: dict[int, int] = {}
+                self.inner[node] = True
+                node = self.tree.setdefault(node * 256 + byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+                    self.inner.append(False)
+            self.ends[node] = ranks[data]
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        """Forgets all states but the first: nothing emitted, one way, at the root."""
+        self.states: list[tuple[int, tuple[tuple[tuple[int, ...], int], ...]]] = [(-1, (((), 0),))]
+        self.numbers = {self.states[0]: 0}
+        #: By state * 256 + byte: the next state, and what is emitted.
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: By left token * 2 ** 32 + right token.
+        self.fits: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a short piece by merging directly; used for pairs of tokens only."""
@@ -80,56 +97,72 @@ class Transducer:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when their bytes are encoded together; left -1 is nothing."""
-        want = [right] if left < 0 else [left, right]
-        return self.merged(b"".join(self.token[t] for t in want)) == want
-
-    def move(self, left: int, longest: int) -> int:
-        """Makes the move after token `left` for a longest match: the longest of it and its beginnings that may follow."""
-        token: int | None = longest
-        while token is not None and not self.compatible(left, token):
-            token = self.shorter[token]
+        key = (left << 32) + right
+        known = self.fits.get(key)
+        if known is None:
+            if len(self.fits) >= self.max_moves:
+                self.fits.clear()
+            want = [right] if left < 0 else [left, right]
+            known = self.fits[key] = self.merged(b"".join(self.token[t] for t in want)) == want
+        return known
+
+    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Makes the move from a state by a byte: all its ways go on, those that end a token also begin at the root again."""
+        last, ways = self.states[state]
+        tree, ends, inner = self.tree, self.ends, self.inner
+        gone: list[tuple[tuple[int, ...], int]] = []
+        whole = None
+        for chain, node in ways:
+            further = tree.get(node * 256 + byte)
+            if further is None:
+                continue
+            if inner[further]:
+                gone.append((chain, further))
+            if whole is None and (token := ends[further]) >= 0 and self.compatible(chain[-1] if chain else last, token):
+                whole = (*chain, token)
+        if whole is None:
+            raise ValueError("a byte of the piece is no token")
+        sure = len(whole)
+        for chain, _ in gone:
+            if chain[:sure] != whole[:sure]:
+                sure = next((i for i, (a, b) in enumerate(zip(chain, whole)) if a != b), min(sure, len(chain)))
+        out = whole[:sure]
+        if sure:
+            last = whole[sure - 1]
+            gone = [(chain[sure:], node) for chain, node in gone]
+        made = (last, (*gone, (whole[sure:], 0)))
         if len(self.moves) >= self.max_moves:
-            self.moves.clear()
-        made = self.moves[(left << 32) + longest] = -1 if token is None else token
-        return made
+            self._start_anew()
+            return self._number(made), out
+        found = self.moves[state * 256 + byte] = self._number(made), out
+        return found
+
+    def pending(self, state: int) -> int:
+        """Bytes that a state has read beyond the tokens emitted: its lookahead."""
+        return sum(len(self.token[t]) for t in self.states[state][1][-1][0])
+
+    def _number(self, state: tuple[int, tuple[tuple[tuple[int, ...], int], ...]]) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is a token by itself is that token.
 
-        Only one chain of compatible tokens leads to a place, so a place that a chain does not get past
-        is closed for good: each is left once at most, and the work grows with the piece's length.
+        One move for each byte; at the end the way that stands at the root has the tokens still due.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        moves, tree, size, shorter, n = self.moves, self.tree, self.size, self.shorter, len(piece)
-        out, left, at, closed = [], -1, 0, set()
-        while at < n:
-            node, i = tree, at
-            while i < n and (further := node.get(piece[i])) is not None:
-                node = further
-                i += 1
-            token = node[-1]
-            while True:
-                if token is not None:
-                    made = moves.get((left << 32) + token)
-                    token = self.move(left, token) if made is None else made
-                    if token >= 0:
-                        if not closed or at + size[token] not in closed:
-                            break
-                        token = shorter[token]
-                        continue
-                if not out:
-                    raise ValueError("a byte of the piece is no token")
-                closed.add(at)
-                last = out.pop()
-                at -= size[last]
-                left = out[-1] if out else -1
-                token = shorter[last]
-            out.append(token)
-            at += size[token]
-            left = token
-        return out
+        out: list[int] = []
+        state = 0
+        for byte in piece:
+            made = self.moves.get(state * 256 + byte) or self.move(state, byte)
+            state = made[0]
+            if made[1]:
+                out += made[1]
+        return out + list(self.states[state][1][-1][0])
 
 
 # Lead byte ranges of UTF-8 with the ranges that the second byte may take and the bytes that follow.
@@ -239,6 +272,9 @@ class Codec:
                 if data is None:
                     ids = encode(piece.encode())
                     data = struct.pack(f"<{len(ids)}I", *ids)
+                    if len(piece) > KEPT_CHARS:
+                        found[at] = data
+                        continue
                 found[at] = memo[piece] = data
         return b"".join(found)
 
