@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxtrail import adapters as A
-from voxtrail.operators import joins, labels, motion, scoring, sweeps, tracking, vectors
+from voxtrail.operators import adaptive, joins, labels, motion, scoring, sweeps, tracking, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -558,6 +558,16 @@ def neighbour_distances(spark, sf_dir):
     return tidy(d.groupBy("movie").agg(F.count(F.lit(1)).alias("n"), F.percentile("d", F.lit(0.5)).alias("median_nn")))
 
 
+_D3 = "(b.z_um - a.z_um) * (b.z_um - a.z_um) + (b.y_um - a.y_um) * (b.y_um - a.y_um) + (b.x_um - a.x_um) * (b.x_um - a.x_um)"
+
+
+@query(_DET + f"select a.movie, a.track_id, a.t, arg_min(b.track_id, ({_D3}, b.track_id)) as nearest, round(sqrt(min({_D3})), 6) as d from track a join track b on a.movie = b.movie and a.t = b.t and a.track_id <> b.track_id group by a.movie, a.track_id, a.t")
+def nearest_cells(spark, sf_dir):
+    """Each cell's nearest other cell in its frame, however far; no radius is given."""
+    p = A.track_points(spark, sf_dir)
+    return tidy(adaptive.nearest_anywhere(p, p, ["movie", "t"], ["z_um", "y_um", "x_um"], ["movie", "track_id", "t"], "track_id", "track_id"))
+
+
 _VEL = _DET + """, v as (select *, case when t - lag(t) over w = 1 then z_um - lag(z_um) over w end as vz_in, case when t - lag(t) over w = 1 then y_um - lag(y_um) over w end as vy_in, case when t - lag(t) over w = 1 then x_um - lag(x_um) over w end as vx_in,
         case when lead(t) over w - t = 1 then y_um - y_um + lead(y_um) over w - y_um end as vy_out, case when lead(t) over w - t = 1 then lead(x_um) over w - x_um end as vx_out
     from track window w as (partition by movie, track_id order by t))
