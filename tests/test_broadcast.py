@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxtrail.operators import joins
+from voxtrail.operators import joins, segmentation
 
 
 def plan(df) -> str:
@@ -27,3 +27,11 @@ def test_gap_pairs_shuffle_small_tables(spark):
     found = joins.gap_pairs(s, s, ["movie"], "t_end", "t_start", 4)
     assert "BroadcastExchange" not in plan(found)
     assert found.count() == sum(min(4, max(0, 19 - (i + 1))) for i in range(20))
+
+
+def test_crops_shuffle_small_tables(spark):
+    pixels = spark.range(256).select(F.lit("m").alias("movie"), F.lit(0).alias("t"), F.lit(0).alias("z"), (F.col("id") / 16).cast("int").alias("y"), (F.col("id") % 16).cast("int").alias("x"), F.col("id").cast("double").alias("v"))
+    centres = spark.range(3).select(F.lit("m").alias("movie"), F.lit(0).alias("t"), F.col("id").cast("int").alias("cell_id"), F.lit(0).alias("z"), F.lit(8).alias("y"), F.col("id").cast("int").alias("x"))
+    got = plan(segmentation.crops(pixels, centres, 3))
+    assert "BroadcastHashJoin" not in got.split("Generate")[0].rsplit("Aggregate", 1)[-1]
+    assert segmentation.crops(pixels, centres, 3).count() == 6 * (3 + 4 + 5)

@@ -319,6 +319,7 @@ def crops(pixels: DataFrame, centres: DataFrame, half: int = 12, depth: int = 1)
     side = lambda c: F.sequence(F.col(c) - half, F.col(c) + half - 1)
     listed = centres.select("movie", "t", "cell_id", F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(reach).alias("z"), "y", "x")
     listed = listed.withColumn("y", F.explode(side("cy"))).withColumn("x", F.explode(side("cx")))
-    got = listed.join(pixels, ["movie", "t", "z", "y", "x"]).groupBy("movie", "t", "cell_id", (F.col("y") - F.col("cy")).alias("dy"), (F.col("x") - F.col("cx")).alias("dx")).agg(F.max("v").alias("v"))
+    # Listed places are many more than Spark expects of their centres; a merge keeps them out of the driver.
+    got = listed.hint("merge").join(pixels, ["movie", "t", "z", "y", "x"]).groupBy("movie", "t", "cell_id", (F.col("y") - F.col("cy")).alias("dy"), (F.col("x") - F.col("cx")).alias("dx")).agg(F.max("v").alias("v"))
     stats = got.groupBy("movie", "t", "cell_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     return got.join(stats, ["movie", "t", "cell_id"]).select("movie", "t", "cell_id", "dy", "dx", ((F.col("v") - F.col("m")) / (F.col("s") + 1e-5)).alias("v"))
