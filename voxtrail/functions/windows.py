@@ -35,7 +35,8 @@ def quantiles(df: DataFrame, value: str, keys: list[str], shares: list[float], t
     """
     counts = pin(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("__n")))
     inner = [F.lit(i / BINS) for i in range(1, BINS)]
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(value).alias("__min"), F.max(value).alias("__max"), F.percentile_approx(value, F.array(*inner), 10 * BINS).alias("__cuts"))
+    # A sketch depends on the order in which its parts arrive, so bounds are written too: the bins counted are those that are put in order.
+    totals = pin(counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(value).alias("__min"), F.max(value).alias("__max"), F.percentile_approx(value, F.array(*inner), 10 * BINS).alias("__cuts")))
     # A key's counts meet its bounds in SALTS parts.
     salted = totals.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     binned = counts.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"])
