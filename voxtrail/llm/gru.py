@@ -5,8 +5,8 @@ next word, then the word in the class, so a step costs two short softmaxes.
 Training is truncated backpropagation through windows in numpy, with the state carried from
 window to window; scoring carries it through the whole document.  Weights start from a bounded
 sample of training documents (about `fit_tokens` tokens, default FIT_TOKENS) on the driver.  Then replicas of
-them learn side by side from a share of all training documents (SHARE, at about REPLICA
-tokens each), so what is learnt from grows with the corpus, and their mean is the model's.
+them learn side by side from all training documents, each from its part of about REPLICA
+tokens, and their mean is the model's.
 
 The network knows the VOCABULARY most frequent tokens.  Any other token is the
 outcome "rare", times its share of the rare tokens' mass under add-one counts of all
@@ -36,7 +36,6 @@ from voxtrail.llm.common import bounded_batches, bounded_sample, fold, per_worke
 from voxtrail.session import pin
 
 FIT_TOKENS = 500_000
-SHARE = 1 / 64
 REPLICA = 300_000
 VOCABULARY = 2047
 CLASSES = 46
@@ -320,17 +319,17 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def refine(training: DataFrame, fitted: Scorer, share: float = SHARE, replica: int = REPLICA) -> None:
-    """Replaces the network's weights by the mean of those of replicas, each trained on its part of a share of `training`.
+def refine(training: DataFrame, fitted: Scorer, replica: int = REPLICA) -> None:
+    """Replaces the network's weights by the mean of those of replicas, each trained on its part of `training`, which has all rows.
 
     Rows are dealt by a hash of their place, so repeated ids spread over replicas.  Replicas' weights are averaged
     in groups first; the driver gets about as many vectors as the square root of their number.
     """
     net = fitted.net
-    count = max(1, round(fitted.n * share / replica))
+    count = max(1, round(fitted.n / replica))
     groups = max(1, round(count**0.5))
     get = per_worker(training.sparkSession, _scorer, net.classes, net.place, net.sizes, net.p, fitted.symbol, {}, fitted.n, fitted.v, fitted.rare_log)
-    like, far = {k: np.empty(v.shape, np.int8) for k, v in net.p.items()}, 1 << 30
+    like = {k: np.empty(v.shape, np.int8) for k, v in net.p.items()}
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         model = get()
@@ -345,8 +344,7 @@ def refine(training: DataFrame, fitted: Scorer, share: float = SHARE, replica: i
         return pd.DataFrame({"n": [int(n.sum())], "w": [(total / n.sum()).astype("<f4").tobytes()]})
 
     place = F.monotonically_increasing_id()
-    some = training.select("text", place.alias("place")).filter(F.pmod(F.xxhash64("place"), F.lit(far)) < int(far * share))
-    dealt = some.withColumn("part", F.pmod(F.xxhash64("place", F.lit("part")), F.lit(count)).cast("int"))
+    dealt = training.select("text", place.alias("place")).withColumn("part", F.pmod(F.xxhash64("place", F.lit("part")), F.lit(count)).cast("int"))
     trained = dealt.groupBy("part").applyInPandas(learn, "part int, n long, w binary")
     got = trained.groupBy("part").applyInPandas(mean, "n long, w binary").collect()
     if got:
