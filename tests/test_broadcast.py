@@ -35,3 +35,22 @@ def test_crops_shuffle_small_tables(spark):
     got = plan(segmentation.crops(pixels, centres, 3))
     assert "BroadcastHashJoin" not in got.split("Generate")[0].rsplit("Aggregate", 1)[-1]
     assert segmentation.crops(pixels, centres, 3).count() == 6 * (3 + 4 + 5)
+
+
+def test_rivals_of_a_crowd_are_searched_close_by(spark, monkeypatch):
+    from voxtrail.operators import analytics
+
+    p = spark.range(400).select(F.lit("m").alias("movie"), (F.col("id") % 2).cast("int").alias("t"), F.floor(F.col("id") / 2).alias("track_id"), *[(F.col("id") * k % 211 / 10).alias(f"{a}_um") for a, k in (("y", 37), ("x", 53))])
+    asked, whole = [], joins.within
+    monkeypatch.setattr(joins, "within", lambda left, right, keys, radius, dims: asked.append(radius) or whole(left, right, keys, radius, dims))
+    monkeypatch.setattr(analytics, "within", joins.within)
+    found = {(r.track_id, r.rival) for r in analytics.rivals(p, 20.0).collect()}
+    assert asked[0] == 20.0 / joins.RINGS
+    rows = p.collect()
+    after = {r.track_id: r for r in rows if r.t == 1}
+    brute = set()
+    for i, own in after.items():
+        d, j = min((((own.y_um - r.y_um) ** 2 + (own.x_um - r.x_um) ** 2) ** 0.5, k) for k, r in after.items() if k != i)
+        if d <= 20:
+            brute.add((i, j))
+    assert found == brute
