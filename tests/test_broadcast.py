@@ -1,5 +1,6 @@
 """Rows that are listed under several keys are not sent through the driver, however small the tables look."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxtrail.operators import joins, segmentation
@@ -54,3 +55,38 @@ def test_rivals_of_a_crowd_are_searched_close_by(spark, monkeypatch):
         if d <= 20:
             brute.add((i, j))
     assert found == brute
+
+
+def crowd(spark, n: int = 240):
+    colours = F.array(*[F.array(*map(F.lit, c)) for c in ((1.0, 0.0, 0.1), (0.0, 1.0, 0.1), (0.0, 0.0, 1.1))])
+    p = spark.range(n).select(F.lit("m").alias("movie"), (F.col("id") % 3).cast("int").alias("t"), F.floor(F.col("id") / 3).alias("track_id"), *[(F.col("id") * k % 97 / 2).alias(f"{a}_um") for a, k in (("y", 37), ("x", 53))], F.element_at(colours, (F.floor(F.col("id") / 7) % 3 + 1).cast("int")).alias("colour"))
+    return p.withColumn("dy_um", F.lit(0.5)).withColumn("dx_um", F.lit(-0.25))
+
+
+def test_colour_matches_of_a_crowd_are_not_sorted_by_pairs(spark, monkeypatch):
+    from voxtrail.operators import analytics
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of rows were made")
+
+    monkeypatch.setattr(analytics, "within", no_pairs)
+    monkeypatch.setattr(joins, "PAIRS", 50)  # several blocks for each cell
+    p = crowd(spark)
+    rows = p.collect()
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) ** 0.5 + 1e-8) * (sum(x * x for x in b) ** 0.5 + 1e-8))
+    kinds, gaps = {}, []
+    for a in rows:
+        near = [(cos(a.colour, b.colour), ((a.y_um - b.y_um) ** 2 + (a.x_um - b.x_um) ** 2) ** 0.5, b) for b in rows if b.t == a.t + 1]
+        near = [x for x in near if x[1] <= 12]
+        if near:
+            kinds[a.track_id, a.t] = (sum(c > 0.8 for c, _, _ in near), sum(c < 0.2 for c, _, _ in near), sum(0.2 <= c <= 0.8 for c, _, _ in near))
+        alike = [(-c, d, b.track_id, b) for c, d, b in near if c > 0.8]
+        if alike:
+            _, d, _, b = min(alike, key=lambda x: x[:3])
+            gaps.append((d, ((b.y_um - a.y_um - 0.5) ** 2 + (b.x_um - a.x_um + 0.25) ** 2) ** 0.5))
+    found = analytics.candidate_classes(p, p, 12.0)
+    assert {(r.track_id, r.t): (r.n_positive, r.n_negative, r.n_ambiguous) for r in found.collect()} == kinds
+    (got,) = analytics.landing_zone(p, p, 12.0).collect()
+    assert got.n == len(gaps)
+    assert abs(got.naive_median - np.median([d for d, _ in gaps])) < 1e-9 and abs(got.flow_median - np.median([f for _, f in gaps])) < 1e-9
+    assert abs(got.improved - np.mean([f < d for d, f in gaps])) < 1e-9
