@@ -90,3 +90,26 @@ def test_colour_matches_of_a_crowd_are_not_sorted_by_pairs(spark, monkeypatch):
     assert got.n == len(gaps)
     assert abs(got.naive_median - np.median([d for d, _ in gaps])) < 1e-9 and abs(got.flow_median - np.median([f for _, f in gaps])) < 1e-9
     assert abs(got.improved - np.mean([f < d for d, f in gaps])) < 1e-9
+
+
+def test_labels_of_a_pixel_are_paired_once(spark):
+    from voxtrail.operators import labels
+
+    v = spark.range(3000).select(F.lit("m").alias("movie"), F.lit(0).alias("t"), (F.col("id") % 2).cast("int").alias("z"), (F.col("id") * 7 % 5).cast("int").alias("y"), (F.col("id") * 11 % 4).cast("int").alias("x"), F.floor(F.col("id") / 7 % 4).cast("int").alias("label"))
+    rows = [(r.z, r.y, r.x, r.label) for r in v.collect() if r.label > 0]
+    seen, touch = set(rows), {}
+    for z, y, x, b in seen:
+        for a in {a for z2, y2, x2, a in seen if z2 == z and abs(y2 - y) + abs(x2 - x) == 1 and a != b}:
+            touch[z, a, b] = touch.get((z, a, b), 0) + 1
+    found = labels.contacts(v)
+    assert {(r.z, r.a, r.b): r.n_contact for r in found.collect()} == touch
+    assert "collect_set" in plan(found)
+    over = labels.slice_overlaps(v)
+    above = {}
+    for z, y, x, a in rows:
+        if z == 0:
+            for b in (r[3] for r in rows if r[:3] == (1, y, x)):
+                above[a, b] = above.get((a, b), 0) + 1
+    assert {(r.label, r.label_up): r.n for r in over.collect()} == above
+    # Rows of one pixel and label are one row before the pairing.
+    assert "k_up" in plan(over)

@@ -80,8 +80,10 @@ def slice_overlaps(voxels: DataFrame, skip: int = 1) -> DataFrame:
     """Overlaps of labels in slices z and z + skip of one frame, with sizes and the Jaccard index."""
     v = foreground(voxels).select("movie", "t", "z", "y", "x", "label")
     sizes = v.groupBy("movie", "t", "z", "label").agg(F.count(F.lit(1)).alias("size"))
-    above = v.select("movie", "t", (F.col("z") - skip).alias("z"), "y", "x", F.col("label").alias("label_up"))
-    n = v.join(above, ["movie", "t", "z", "y", "x"]).groupBy("movie", "t", "z", "label", "label_up").agg(F.count(F.lit(1)).alias("n"))
+    # Rows of a pixel with one label are counted before they are paired.
+    v = v.groupBy("movie", "t", "z", "y", "x", "label").agg(F.count(F.lit(1)).alias("k"))
+    above = v.select("movie", "t", (F.col("z") - skip).alias("z"), "y", "x", F.col("label").alias("label_up"), F.col("k").alias("k_up"))
+    n = v.join(above, ["movie", "t", "z", "y", "x"]).groupBy("movie", "t", "z", "label", "label_up").agg(F.sum(F.col("k") * F.col("k_up")).alias("n"))
     up = sizes.select("movie", "t", (F.col("z") - skip).alias("z"), F.col("label").alias("label_up"), F.col("size").alias("size_up"))
     out = n.join(sizes, ["movie", "t", "z", "label"]).join(up, ["movie", "t", "z", "label_up"])
     return out.withColumn("iou", F.col("n") / (F.col("size") + F.col("size_up") - F.col("n")))
@@ -128,15 +130,14 @@ def last_slices(voxels: DataFrame) -> DataFrame:
 
 def contacts(voxels: DataFrame) -> DataFrame:
     """For each pair of labels of a plane, the pixels of b that are 4-neighbours of a."""
-    v = foreground(voxels).select("movie", "t", "z", "y", "x", "label").distinct()
-    # Each neighbourhood is met once, from its upper or left pixel, and then counted for either side.
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((1, 0), (0, 1))])
-    near = v.select("movie", "t", "z", F.col("label").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), F.explode(steps).alias("s"))
-    near = near.select("movie", "t", "z", "a", "ay", "ax", (F.col("ay") + F.col("s.dy")).alias("y"), (F.col("ax") + F.col("s.dx")).alias("x"))
-    met = near.join(v.withColumnRenamed("label", "b"), ["movie", "t", "z", "y", "x"]).filter("a <> b")
-    side = lambda a, b, y, x: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(y).alias("y"), F.col(x).alias("x"))
-    pairs = met.select("movie", "t", "z", F.explode(F.array(side("a", "b", "y", "x"), side("b", "a", "ay", "ax"))).alias("p")).select("movie", "t", "z", "p.*")
-    return pairs.distinct().groupBy("movie", "t", "z", "a", "b").agg(F.count(F.lit(1)).alias("n_contact"))
+    at = ["movie", "t", "z", "y", "x"]
+    own = foreground(voxels).groupBy(*at).agg(F.collect_set("label").alias("labels"))
+    # The labels around a pixel are gathered before they are paired with its own, so a pair is met once for each pixel, and only counts are sent on.
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    near = own.select("movie", "t", "z", F.explode(steps).alias("s"), "y", "x", "labels").select("movie", "t", "z", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "labels")
+    around = near.groupBy(*at).agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("around"))
+    met = around.join(own, at).select("movie", "t", "z", F.explode("around").alias("a"), "labels").select("movie", "t", "z", "a", F.explode("labels").alias("b"))
+    return met.filter("a <> b").groupBy("movie", "t", "z", "a", "b").agg(F.count(F.lit(1)).alias("n_contact"))
 
 
 def frame_counts(cells: DataFrame, label: str = "label") -> DataFrame:
