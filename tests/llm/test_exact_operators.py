@@ -681,3 +681,22 @@ def test_spans_and_long_texts(spark, docs_of):
     r = pii.pseudonymise(docs_of([text]), key=pii.KEY, found="found").first()
     assert [(f.kind, text[f.start : f.start + f.length]) for f in r.found] == [("email", "a@b.example"), ("ip", "10.0.0.1")]
     assert len(pii.pseudonymise_documents(docs_of([]), pii.KEY).collect()) == 0
+
+
+def test_near_copies_take_the_links_of_fingerprints(spark, docs_of):
+    """Texts whose fingerprints are linked go, though less alike than the threshold by their sets of five words."""
+    words = [f"word{i}" for i in range(4000)]
+    base = words[:40] * 30 + words[40:52]
+    other = base[:-1] + ["else"]
+    texts = [" ".join(base), " ".join(other), "a text of its own that nothing is like"]
+    for i in range(52, 400, 12):  # further endings, until two are linked by fingerprints but not by sets
+        texts.append(" ".join(words[:40] * 30 + words[i : i + 12]))
+    docs = docs_of(texts)
+    linked = {r.doc_id: r.component_id for r in simhash.group_documents(docs).collect()}
+    sets = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    both = {r.doc_id: r.component_id for r in simhash.near_groups(docs, prints_too=True).collect()}
+    apart = [(i, j) for i in linked for j in linked if i < j and linked[i] == linked[j] and sets[i] != sets[j]]
+    assert apart
+    assert all(both[i] == both[j] for m in (linked, sets) for i in m for j in m if m[i] == m[j])
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert kept == {i for i in both if both[i] == i}

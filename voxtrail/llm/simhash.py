@@ -14,7 +14,7 @@ fingerprints at most.
 Equal fingerprints are one node throughout, so exact copies, however many, cost one row.
 
 `near_groups` is for texts that are alike by a given Jaccard similarity of their sets of
-shingles, further apart than fingerprints show.  MINIMA smallest values of the set under
+shingles, further apart than fingerprints show; on demand it takes the links of fingerprints as well.  MINIMA smallest values of the set under
 as many hash functions, which two sets share each with the probability of their
 similarity, make TABLES keys, each of BAND minima; two sets at 0.8 share no key with a
 probability of 1e-5, which README derives.  Keys only propose: rows that meet
@@ -233,16 +233,22 @@ def _attach(docs: DataFrame, nodes: DataFrame, on: list[str]) -> DataFrame:
     return hot.unionByName(cold.join(nodes.filter(~heavy).drop("n"), on).select(hot.columns))
 
 
-def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint and component_id of every document, for links at two differing bits or fewer."""
-    bounded_batches(docs.sparkSession)
+def _print_column(words: int):
+    """A function of a text column: fingerprints as long."""
 
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.array([fingerprint(t, words) for t in slices(texts)], "<u8").view(np.int64))
 
-    base = pin(docs.select("doc_id", prints(F.col("text")).alias("fp")))
+    return prints
+
+
+def group_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document, for links at two differing bits or fewer."""
+    bounded_batches(docs.sparkSession)
+
+    base = pin(docs.select("doc_id", _print_column(words)(F.col("text")).alias("fp")))
     nodes = base.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     count = nodes.count()
     nodes = pin(nodes, count)
@@ -374,9 +380,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, prints_too: bool = False) -> DataFrame:
     """doc_id, text_hash, component_id and kept of every document; components are of texts alike by `similarity` of their shingles, in chains too.
 
+    With `prints_too`, texts whose fingerprints are linked, as in `group_documents`, are in one component as well.
+
     A component's id is its smallest doc_id.  `kept` marks its first row by doc_id, nulls last, and text_hash; rows
     that agree in both are marked alike.
     """
@@ -408,7 +416,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
             yield pa.array([short_hashes(shingle_set(t, words)).tobytes() for t in slices(texts)], pa.binary())
 
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    base = pin(docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), prints(F.col("text")).alias("p")).select("doc_id", "text_hash", "p.*"))
+    base = pin(docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), prints(F.col("text")).alias("p"), *([_print_column(WORDS)(F.col("text")).alias("fp")] if prints_too else [])).select("doc_id", "text_hash", *(["fp"] if prints_too else []), "p.*"))
     count = base.count()
     nodes = pin(base.groupBy(*same).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), tables * count // 8)
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of a written table, so always the same
@@ -431,6 +439,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     links = _by_key(rows).mapInPandas(_set_linker(similarity), "a long, b long")
     if crowded:
         links = _crowd_links(crowds.select("key", "node"), known, pin(links), similarity)
+    if prints_too:
+        links = links.unionByName(_print_links(base.select(*same, "fp").distinct().join(nodes.select(*same, "node"), same), count))
     roots = components(links)
     rooted = nodes.select(*same, "n", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
@@ -440,18 +450,28 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     return out.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
 
+def _print_links(nodes: DataFrame, count: int) -> DataFrame:
+    """(a, b): links of the nodes, rows (node, fp) of which `count` at most, whose fingerprints are connected as in `group_documents`."""
+    nodes = pin(nodes.select("node", "fp"), count)
+    prints = pin(nodes.select("fp").distinct(), count)
+    roots = components(links_within_two_bits(prints, count)).withColumnRenamed("node", "fp")
+    rooted = pin(nodes.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), count)
+    least = rooted.groupBy("root").agg(F.min("node").alias("b"))
+    return rooted.join(least, "root").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def _broadcast_if_small(ids: DataFrame) -> DataFrame:
     """Ids for a join: broadcast up to BROADCAST_IDS of them, so that texts stay where they are; beyond, the join shuffles."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each component of `near_groups`: the first by doc_id, nulls last, and the text's hash.
+    """One row of each component of `near_groups`, by fingerprints and sets: the first by doc_id, nulls last, and the text's hash.
 
     Of rows that agree in these, the first by all columns' text stays.  Texts are read in place: what
     is joined to them are the ids of rows that go.
     """
-    pairs = near_groups(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = near_groups(docs, words, similarity, prints_too=True).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     some = pin(pairs.filter("not kept or n > 1"), docs.count())
     few = _broadcast_if_small(some.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
     twice = _broadcast_if_small(some.filter("kept").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
