@@ -144,3 +144,13 @@ def test_planes_round_trip_and_slices(spark):
     back = volumes.from_planes(volumes.to_planes(df))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert volumes.slice_volume(df.withColumn("c", F.lit(1)), t=(1, 1), channels=[1]).count() == 4
+
+
+def test_blur_looks_for_mirrored_places_once_a_line(spark):
+    """Each of the weights of each pixel made its own search for the mirrored place."""
+    df = spark.createDataFrame([("m", 0, 0, 0, x, float(x)) for x in range(4)], "movie string, t int, z int, y int, x int, v double")
+    blurred = motion.blur(df, "x", ["v"], 2.0, 21, edge=True)
+    assert blurred._jdf.queryExecution().optimizedPlan().toString().count("pmod(") <= 2
+    line, w = [0.0, 1.0, 2.0, 3.0, 3.0, 2.0, 1.0, 0.0], np.exp(-((np.arange(21) - 10) ** 2) / 8.0)
+    for r in blurred.collect():
+        assert r.v == pytest.approx(sum(w[o] * line[(r.x + o - 10) % 8] for o in range(21)) / w.sum())

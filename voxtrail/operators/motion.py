@@ -224,12 +224,14 @@ def blur(p: DataFrame, along: str, values: list[str], sigma: float, size: int, p
     n = F.size("line")
     turn = 2 * n if edge else F.greatest(2 * n - 2, F.lit(1))
 
-    def mixed(i: Column) -> Column:
-        def at(o: int) -> Column:
-            j = F.pmod(i + o, turn)
-            return F.get("line", F.least(j, turn - 1 - j if edge else turn - j))
+    def mirrored(k: Column) -> Column:
+        j = F.pmod(k - half, turn)
+        return F.get("line", F.least(j, turn - 1 - j if edge else turn - j))
 
-        sums = [sum((w / total * at(o - half)[v] for o, w in enumerate(weights)), F.lit(0.0)).alias(v) for v in values]
+    def mixed(i: Column) -> Column:
+        sums = [sum((w / total * F.get("wide", i + o)[v] for o, w in enumerate(weights)), F.lit(0.0)).alias(v) for v in values]
         return F.struct(F.get("line", i)[along].alias(along), *sums, *[F.get("line", i)[a].alias(a) for a in also])
 
+    # The line with its mirrored ends is made once, so that a weight costs one place of it and no search for that.
+    lines = lines.withColumn("wide", F.transform(F.sequence(F.lit(0), n - 1 + 2 * half), mirrored))
     return lines.select(*key, F.explode(F.transform(F.sequence(F.lit(0), n - 1), mixed)).alias("m")).select(*plane, *[F.col(f"m.{c}" if c == along else c).alias(c) for c in ("y", "x")], *[F.col(f"m.{v}").alias(v) for v in [*values, *also]])
