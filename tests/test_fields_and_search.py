@@ -154,3 +154,25 @@ def test_blur_looks_for_mirrored_places_once_a_line(spark):
     line, w = [0.0, 1.0, 2.0, 3.0, 3.0, 2.0, 1.0, 0.0], np.exp(-((np.arange(21) - 10) ** 2) / 8.0)
     for r in blurred.collect():
         assert r.v == pytest.approx(sum(w[o] * line[(r.x + o - 10) % 8] for o in range(21)) / w.sum())
+
+
+def test_extreme_pairs_rank_as_all_pairs_do(spark):
+    """Only pairs that may have a rank leave a block: 2 x 3 of each row, not all 29; ties, NaN and vectors without a product are as before."""
+    rng = np.random.default_rng(4)
+    rows = [(g, 100 * g + i, rng.integers(0, 3, 4).astype(float).tolist()) for g in range(2) for i in range(30)]
+    rows += [(0, 90, [float("nan"), 0.0, 1.0, 2.0]), (0, 91, [1.0, None, 0.0, 0.0]), (1, 190, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "g int, p long, v array<double>")
+    for part in (df, df.filter("p not in (90, 91, 190)")):
+        few = vectors.block_extremes(part, ["g"], "p", "v", 3, 3, 2, keep=["g"])
+        assert few.count() <= part.count() * 6
+        ranked = lambda pairs: sorted(map(str, vectors.nearest_and_farthest(pairs, 3).collect()))
+        assert ranked(few.drop("g")) == ranked(vectors.block_distances(part, ["g"], "p", "v", 2))
+    assert vectors.block_extremes(df.filter("p < 0"), ["g"], "p", "v", 3, 3).count() == 0
+
+
+def test_losses_sort_few_pairs(spark, monkeypatch):
+    """The losses made and sorted all pairs of a patch; now they ask for no table of them."""
+    monkeypatch.setattr(vectors, "block_distances", None)
+    from voxtrail.plans import catalog
+
+    assert len(catalog.QUERIES["contrastive_terms"](spark, "/root/testdata/sf0.001").collect()) == 1
