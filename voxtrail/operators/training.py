@@ -57,7 +57,7 @@ def variance_loss(pixels: DataFrame, metrics: str = "metrics", emb: str = "emb",
     every = F.greatest(F.lit(1), F.floor(F.col("side") * F.col("side") / max_pixels))
     p = p.withColumn("at", at).filter((F.col("at") % every == 0) & (F.col("at") < every * max_pixels))
     p = p.select(*tile, "at", vectors.normalise(F.col(metrics), 1e-12).alias("m"), vectors.normalise(F.col(emb), 1e-12).alias("e"))
-    pairs = vectors.block_distances(p, tile, "at", "m", keep=tile)
+    pairs = vectors.block_extremes(p, tile, "at", "m", 0, k, blocks=1, keep=tile)
     ranked = pairs.withColumn("far", F.row_number().over(Window.partitionBy(*tile, "i").orderBy(F.desc("d2"), "j"))).filter(F.col("far") <= k)
     e = p.select(*tile, F.col("at"), "e")
     sims = ranked.join(e.withColumnsRenamed({"at": "i", "e": "ei"}), [*tile, "i"]).join(e.withColumnsRenamed({"at": "j", "e": "ej"}), [*tile, "j"])
