@@ -29,6 +29,21 @@ def test_variance_loss_equals_numpy(spark):
     assert training.variance_loss(df, side=8, max_tiles=2).first().n_tiles == 2
 
 
+def test_variance_loss_takes_all_tiles_and_pixels(spark):
+    rng = np.random.default_rng(1)
+    met, emb = rng.random((4, 1152, 3)), rng.standard_normal((4, 1152, 4))  # 32 x 36 pixels are a whole tile and a part of one
+    rows = [("m", t, 0, y, x, met[t, 36 * y + x].tolist(), emb[t, 36 * y + x].tolist()) for t in range(2) for y in range(32) for x in range(36)]
+    df = spark.createDataFrame(rows, "movie string, t int, z int, y int, x int, metrics array<double>, emb array<double>")
+    for r in training.variance_loss(df).collect():
+        m, e = (a[r.t].reshape(32, 36, -1)[:, :32].reshape(1024, -1) for a in (met, emb))
+        m, e = m / np.linalg.norm(m, axis=1, keepdims=True), e / np.linalg.norm(e, axis=1, keepdims=True)
+        far = np.argsort(((m[:, None] - m[None]) ** 2).sum(2), 1)[:, -10:]
+        assert r.n_tiles == 1 and r.loss == pytest.approx(np.maximum(0.5 + np.take_along_axis(e @ e.T, far, 1), 0).mean())
+    assert {r.n_tiles for r in training.variance_loss(df, side=8).collect()} == {16}
+    planes = catalog_training.variance_repulsion(spark, "/root/testdata/sf0.001")
+    assert {r.n_tiles for r in planes.collect()} == {4}
+
+
 def test_shuffled_split_is_no_prefix_and_keeps_the_share(spark):
     frames = spark.range(40).select(F.lit("a").alias("movie"), F.col("id").cast("int").alias("t"))
     got = {r.t: r.is_train for r in training.shuffled_split(frames, 0.75).collect()}

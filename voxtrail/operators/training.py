@@ -40,22 +40,26 @@ def assemble(frames: DataFrame, temporal: DataFrame, variance: DataFrame, flow:
     return base.join(moved, AT, "left")
 
 
-def variance_loss(pixels: DataFrame, metrics: str = "metrics", emb: str = "emb", k: int = 10, margin: float = 0.5, side: int = 32, max_tiles: int = 8, max_pixels: int = 512, seed: int = 0) -> DataFrame:
+def variance_loss(pixels: DataFrame, metrics: str = "metrics", emb: str = "emb", k: int = 10, margin: float = 0.5, side: int = 32, max_tiles: int | None = None, max_pixels: int | None = None, seed: int = 0) -> DataFrame:
     """Repulsion of the k pixels of a tile that are farthest in metric space, averaged over a frame's tiles.
 
-    Whole tiles of `side` pixels are taken, `max_tiles` of a frame at most in the order of a scatter of their places, and evenly
-    spaced pixels of each, `max_pixels` at most; so a tile's pairs are bounded, and tiles spread over tasks.
+    All whole tiles of `side` pixels are taken with all their pixels, so `side` bounds a tile's pairs, and tiles spread over tasks.
+    A training step that wants a draw of them names it: `max_tiles` of a frame at most in the order of a scatter of their
+    places, and evenly spaced pixels of each, `max_pixels` at most.
     """
     plane, tile = ["movie", "t", "z"], ["movie", "t", "z", "ty", "tx"]
     ends = pixels.groupBy(*plane).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     ends = ends.withColumn("side", F.least(F.lit(side), "h", "w"))
     p = pixels.join(ends, plane).withColumn("ty", F.floor(F.col("y") / F.col("side"))).withColumn("tx", F.floor(F.col("x") / F.col("side")))
     p = p.filter(((F.col("ty") + 1) * F.col("side") <= F.col("h")) & ((F.col("tx") + 1) * F.col("side") <= F.col("w")))
-    chosen = p.select(*tile).distinct().withColumn("n", F.row_number().over(Window.partitionBy(*plane).orderBy(mixed(F.col("ty") * 65537 + F.col("tx"), seed), "ty", "tx"))).filter(F.col("n") <= max_tiles)
-    p = p.join(chosen.select(*tile), tile, "left_semi")
+    if max_tiles is not None:
+        chosen = p.select(*tile).distinct().withColumn("n", F.row_number().over(Window.partitionBy(*plane).orderBy(mixed(F.col("ty") * 65537 + F.col("tx"), seed), "ty", "tx"))).filter(F.col("n") <= max_tiles)
+        p = p.join(chosen.select(*tile), tile, "left_semi")
     at = (F.col("y") - F.col("ty") * F.col("side")) * F.col("side") + F.col("x") - F.col("tx") * F.col("side")
-    every = F.greatest(F.lit(1), F.floor(F.col("side") * F.col("side") / max_pixels))
-    p = p.withColumn("at", at).filter((F.col("at") % every == 0) & (F.col("at") < every * max_pixels))
+    p = p.withColumn("at", at)
+    if max_pixels is not None:
+        every = F.greatest(F.lit(1), F.floor(F.col("side") * F.col("side") / max_pixels))
+        p = p.filter((F.col("at") % every == 0) & (F.col("at") < every * max_pixels))
     p = p.select(*tile, "at", vectors.normalise(F.col(metrics), 1e-12).alias("m"), vectors.normalise(F.col(emb), 1e-12).alias("e"))
     pairs = vectors.block_extremes(p, tile, "at", "m", 0, k, blocks=1, keep=tile)
     ranked = pairs.withColumn("far", F.row_number().over(Window.partitionBy(*tile, "i").orderBy(F.desc("d2"), "j"))).filter(F.col("far") <= k)

@@ -112,9 +112,9 @@ def segmentation_settings(spark, sf_dir):
 
 @query()
 def variance_repulsion(spark, sf_dir):
-    """The repulsion term of every plane, by tiles of eight pixels."""
+    """The repulsion term of every plane, by all of its tiles of eight pixels."""
     p = _planes(spark, sf_dir).join(channel_voxels(spark, sf_dir), ["movie", "t", "z", "y", "x"]).withColumn("metrics", F.array("v0", "v1"))
-    return tidy(training.variance_loss(p, side=8, max_tiles=3))
+    return tidy(training.variance_loss(p, side=8))
 
 
 @query(_PIX + ", q as (select t, quantile_cont(v, 0.01) as a, quantile_cont(v, 0.99) as b from pixel where c = 0 group by t) select movie, t, z, y, x, round((v - a) / (b - a) * 2 + 1, 6) as v from pixel join q using (t) where c = 0")
