@@ -683,6 +683,19 @@ def test_spans_and_long_texts(spark, docs_of):
     assert len(pii.pseudonymise_documents(docs_of([]), pii.KEY).collect()) == 0
 
 
+def test_near_copies_need_no_broadcast_that_grows(spark, docs_of, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") % 50)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    every = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2000))
+    told = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    expected = [told(simhash.drop_near_copies(d)) for d in (docs, every)]
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 10)
+    monkeypatch.setattr(simhash.F, "broadcast", lambda df: sent.append((df.columns, df.count())) or broadcast(df))
+    assert [told(simhash.drop_near_copies(d)) for d in (docs, every)] == expected
+    assert all(n <= 10 or c == ["__of_row", "__bits"] for c, n in sent if "of_id" in c or "__bits" in c) and any("__bits" in c for c, _ in sent)
+
+
 def test_near_copies_take_the_links_of_fingerprints(spark, docs_of):
     """Texts whose fingerprints are linked go, though less alike than the threshold by their sets of five words."""
     words = [f"word{i}" for i in range(4000)]

@@ -56,8 +56,10 @@ TABLES = 64
 HOT_NODES = 1000
 CROWD = 2000
 HUBS = 64
-#: Ids that a join may broadcast: 16 MB of them.
-BROADCAST_IDS = 2_000_000
+#: Ids that a join may broadcast; in the driver each takes over 100 bytes, some of them twice.
+BROADCAST_IDS = 100_000
+#: Bits of a filter of ids: for each id, in a row (4 KB, as Spark's bitmaps have), and at most.
+ID_BITS, ROW_BITS, FILTER_BITS = 16, 1 << 15, 1 << 25
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
@@ -430,8 +432,13 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     some = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.text_hash").alias("of_hash"))
     some = pin(some, count)
     hashed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
-    on = (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-    known = hashed.join(_broadcast_if_small(some), on).select("node", sets(F.col("text")).alias("shingles")).dropDuplicates(["node"])
+    # Sets are made before ids that are not broadcast are joined, as they are smaller than texts.
+    several = some.count()
+    if several <= BROADCAST_IDS:
+        known = hashed.join(F.broadcast(some), _same_row()).select("node", sets(F.col("text")).alias("shingles"))
+    else:
+        known = _through_filter(hashed, some, several).select("doc_id", "text_hash", sets(F.col("text")).alias("shingles")).join(some.hint("merge"), _same_row()).select("node", "shingles")
+    known = known.dropDuplicates(["node"])
     crowds = met.filter(F.col("met") > CROWD)
     crowded = not crowds.isEmpty()
     known = pin(known, count) if crowded else known
@@ -460,9 +467,40 @@ def _print_links(nodes: DataFrame, count: int) -> DataFrame:
     return rooted.join(least, "root").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _broadcast_if_small(ids: DataFrame) -> DataFrame:
-    """Ids for a join: broadcast up to BROADCAST_IDS of them, so that texts stay where they are; beyond, the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _same_row() -> Column:
+    return (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+
+
+def _bits(rows: int, text_hash: str, doc_id: str) -> tuple[Column, list[Column]]:
+    """The row of a filter of ids and the two bits there that stand for an id."""
+    scattered = lambda n, size: F.pmod(F.xxhash64(text_hash, doc_id, F.lit(n)), F.lit(size))
+    return scattered(0, rows), [scattered(n, ROW_BITS) for n in (1, 2)]
+
+
+def _through_filter(docs: DataFrame, ids: DataFrame, count: int, how: str = "left_semi") -> DataFrame:
+    """The rows of `docs` (doc_id, text_hash) that a filter of `ids` (of_id, of_hash; `count` of them) lets through, or with "left_anti" the others.
+
+    It lets all rows of the ids through and a few hundredths of the others.  It has FILTER_BITS at most, so what is broadcast does not grow
+    with the table, and rows are read where they are.
+    """
+    rows = max(1, min(FILTER_BITS, ID_BITS * count) // ROW_BITS)
+    row, bits = _bits(rows, "of_hash", "of_id")
+    filter_ = ids.select(row.alias("__of_row"), F.explode(F.array(*bits)).alias("bit")).groupBy("__of_row").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    row, bits = _bits(rows, "text_hash", "doc_id")
+    fits = row == F.col("__of_row")
+    for bit in bits:
+        byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        fits = fits & (F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return docs.join(F.broadcast(filter_), fits, how)
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
+    """`docs` (doc_id, text_hash) joined with `ids` (of_id, of_hash): few ids are broadcast, else rows that a filter lets through are shuffled."""
+    count = ids.count()
+    if count <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), _same_row(), how)
+    found = _through_filter(docs, ids, count).join(ids.hint("merge"), _same_row(), how)
+    return found.unionByName(_through_filter(docs, ids, count, how)) if how == "left_anti" else found
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -472,12 +510,13 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     is joined to them are the ids of rows that go.
     """
     pairs = near_groups(docs, words, similarity, prints_too=True).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    some = pin(pairs.filter("not kept or n > 1"), docs.count())
-    few = _broadcast_if_small(some.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
-    twice = _broadcast_if_small(some.filter("kept").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
-    on = (F.col("__hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-    hashed = docs.withColumn("__hash", text_hash(F.col("text")))
-    once = hashed.join(few, on, "left_anti").select(docs.columns)
-    copies = hashed.join(twice, on).withColumn("__all", F.to_json(F.struct(*docs.columns)))
-    one = copies.groupBy("of_id", "of_hash").agg(F.min_by(F.struct(*docs.columns), "__all").alias("row")).select("row.*")
+    pairs = pin(pairs.withColumn("plain", F.expr("kept and n = 1")), docs.count())
+    total, some = pairs.count(), pairs.filter("not plain")
+    ids = lambda rows: rows.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    hashed = docs.withColumn("__doc", F.struct(*docs.columns)).select("__doc", "doc_id", text_hash(F.col("text")).alias("text_hash"))
+    # Whichever are fewer, the rows that stay as they are or the others, are looked for.
+    once = _with_ids(hashed, ids(some), "left_anti") if 2 * some.count() <= total else _with_ids(hashed, ids(pairs.filter("plain")), "left_semi")
+    once = once.select("__doc.*")
+    copies = _with_ids(hashed, ids(some.filter("kept"))).withColumn("__all", F.to_json("__doc"))
+    one = copies.groupBy("of_id", "of_hash").agg(F.min_by("__doc", "__all").alias("row")).select("row.*")
     return once.unionByName(one.select(docs.columns))
