@@ -77,9 +77,9 @@ def components(mask: np.ndarray) -> np.ndarray:
 
 
 def window_max(a: np.ndarray, size: int) -> np.ndarray:
-    """Greatest value in a square window; an even size reaches one further back, and edges are reflected."""
+    """Greatest value in a square window of the first two axes; an even size reaches one further back, and edges are reflected."""
     for axis in (0, 1):
-        p = np.pad(a, [(size // 2, size - 1 - size // 2) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
+        p = np.pad(a, [(size // 2, size - 1 - size // 2) if i == axis else (0, 0) for i in range(a.ndim)], mode="symmetric")
         a = np.lib.stride_tricks.sliding_window_view(p, size, axis).max(-1)
     return a
 
