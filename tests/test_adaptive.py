@@ -87,3 +87,17 @@ def test_few_rows_are_compared(spark, monkeypatch):
     monkeypatch.setattr(adaptive, "pin", counting)
     same(answer(spark, rows, rows, True, levels=8), brute(rows, rows, True))
     assert max(kept) < 8 * len(rows)
+
+
+def test_rows_begin_near_their_answer(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = pd.concat([frame(rng.uniform(0, 1, (1500, 2))), frame(rng.uniform(0, 1, (300, 2)), "b")])
+    sizes, pin = [], adaptive.pin
+    monkeypatch.setattr(adaptive, "pin", lambda df, *a: sizes.append((df.columns, (out := pin(df, *a)).count())) or out)
+    monkeypatch.setattr(adaptive, "CURVE_ROWS", 2, raising=False)
+    same(answer(spark, rows, rows, True), brute(rows, rows, True))
+    # Of 16 children of every open node few are held.
+    assert sum(n for c, n in sizes if "hit" in c) < 12 * len(rows)
+    rows = pd.concat([rows, frame([(50, 50)], "b", 300)])
+    few = rows.iloc[::20].assign(y=lambda r: r.y * 30 - 3)
+    same(answer(spark, few, rows, False), brute(few, rows, False))

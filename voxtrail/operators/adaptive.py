@@ -7,6 +7,9 @@ tree level by level, all rows at once, in equi-joins of open nodes with their ch
 open while its box is no farther than what is certain for the row: the nearest row seen, or the far corner of a box.
 So rows are compared only in cells that may hold the answer, whatever the density and however far the answer.
 
+What is certain for a row at first is the nearest of some right rows beside it in the order of a curve through the cells
+(`beside`).  Most rows then need not begin at the root but in the few cells of a middle level that their answer may lie in.
+
 Of rows at one place the two of smallest ids take part: no other can be an answer, and a crowd at one place costs nothing.
 """
 
@@ -22,6 +25,10 @@ from voxtrail.session import pin
 BITS = 2
 LEAF = 8
 MAX_LEVELS = 12
+#: Right rows that an average cell has where rows are put on the curve, rows of the curve looked at on either side, cells in which a row may begin.
+CURVE_ROWS = 64
+ASIDE = 6
+FIRST_CELLS = 8
 
 
 def _squares(parts: list[Column]) -> Column:
@@ -46,6 +53,23 @@ def cell_tree(rows: DataFrame, keys: list[str], dims: list[str], levels: int) ->
     return nodes[::-1]
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str], dims: list[str], levels: int, coarse: int) -> DataFrame:
+    """`left` (keys, cell, but, p) with `bound`, the least squared distance to the right rows (keys, cell, id, dims) among the ASIDE rows on either side; infinite without one.
+
+    Both sides are in order along a Z curve through the finest cells, within each cell of level `coarse`.
+    """
+    bits, used = BITS * levels, min(BITS * levels, 62 // len(dims))
+    # The first `used` bits of all dimensions in turn
+    curve = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftright(F.col("cell")[i], bits - 1 - n).bitwiseAND(F.lit(1).cast("long")), (used - 1 - n) * len(dims) + i) for n in range(used) for i in range(len(dims))])
+    at = [F.transform("cell", lambda c: F.shiftright(c, BITS * (levels - coarse))).alias("__at"), curve.alias("__curve")]
+    row = F.struct("id", *dims).alias("__row")
+    both = left.select("*", *at, F.lit(None).cast(right.select(row).schema[0].dataType).alias("__row")).unionByName(right.select(*keys, *at, row), allowMissingColumns=True)
+    near = both.withColumn("__near", F.collect_list("__row").over(Window.partitionBy(*keys, "__at").orderBy("__curve").rowsBetween(-ASIDE, ASIDE))).filter("__row is null")
+    others = F.filter("__near", lambda r: ~r["id"].eqNullSafe(F.col("but")))
+    apart = F.array_min(F.transform(others, lambda r: _squares([r[x] - F.col("p")[d] for x, d in zip(dims, left.schema["p"].dataType.names)])))
+    return near.withColumn("bound", F.coalesce(apart, F.lit(float("inf")))).select(*left.columns, "bound")
+
+
 def nearest_anywhere(left: DataFrame, right: DataFrame, keys: list[str], dims: list[str], left_id: list[str], right_id: str, but: str | None = None, levels: int | None = None) -> DataFrame:
     """`left_id`, the nearest right row's id as `nearest` and its distance `d`, among rows equal in `keys`; ties go to the smaller id.
 
@@ -78,16 +102,34 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, keys: list[str], dims: l
     hit = F.array_min(F.transform(others, lambda r: F.struct(apart(r).alias("d2"), r["id"].alias("id"))))
     listed = F.col("rows").isNotNull()
 
-    answers, opened = [], found.withColumn("bound", F.lit(float("inf")))
+    # The level whose cells have about CURVE_ROWS rows of a key; there rows begin whose bound reaches into few cells.
+    many = ends["n"] / max(1, rows.select(*ks).distinct().count())
+    first = max(0, min(levels - 1, math.floor(math.log(max(1.0, many / CURVE_ROWS), 2 ** (BITS * len(dims))))))
+    width = step * (1 << (BITS * (levels - first)))
+    on = lambda c, x, size, cells: F.greatest(F.lit(0).cast("long"), F.least(F.floor((c - ends[f"lo_{x}"]) / size).cast("long"), F.lit(cells - 1).cast("long")))
+    placed = found.withColumn("cell", F.array(*[on(p, x, step, last + 1) for x, p in zip(xs, place)]))
+    found = pin(beside(placed, rows, ks, xs, levels, first).drop("cell")) if levels else found.withColumn("bound", F.lit(float("inf")))
+    # A little more than the bound, as cells and distances are rounded
+    reach = F.sqrt("bound") * (1 + 1e-9) + step * 1e-6 + 1e-150
+    ranges = [(on(p - reach, x, width, 1 << (BITS * first)), on(p + reach, x, width, 1 << (BITS * first))) for x, p in zip(xs, place)]
+    cells = reduce(lambda a, b: a * b, [(b - a + 1).cast("double") for a, b in ranges])
+    direct = (F.col("bound") < float("inf")) & (cells <= FIRST_CELLS) if levels else F.lit(False)
+    begin = found.filter(direct)
+    for i, (a, b) in enumerate(ranges):
+        begin = begin.withColumn(f"c{i}", F.explode(F.sequence(a, b)))
+    begin = begin.withColumn("above", F.array(*[f"c{i}" for i in range(len(xs))])).drop(*[f"c{i}" for i in range(len(xs))])
+    answers, opened = [], found.filter(~direct)
     for level, nodes in enumerate(cell_tree(rows, ks, xs, levels)):
+        if level == first + 1:
+            opened = begin.unionByName(opened, allowMissingColumns=True)
         nodes = nodes.withColumn("above", F.transform("cell", lambda c: F.shiftright(c, BITS)))
-        met = opened.join(nodes, [*ks, "above"] if level else ks).withColumn("near", near).withColumn("hit", hit)
+        met = opened.join(nodes, [*ks, "above"] if level else ks).withColumn("near", near).filter(F.col("near") <= F.col("bound")).withColumn("hit", hit)
         sure = F.least("bound", F.when(listed, F.col("hit.d2")).otherwise(far))
         met = met.withColumn("bound", F.min(sure).over(Window.partitionBy("q"))).filter(F.col("near") <= F.col("bound"))
         met = pin(met.select(*ks, "q", "p", "but", "bound", F.col("cell").alias("above"), "hit", listed.alias("listed")))
         answers.append(met.filter("hit is not null").select("q", "hit"))
         opened = met.filter("not listed").drop("hit", "listed")
-        if opened.isEmpty():
+        if level > first and opened.isEmpty():
             break
     else:
         pairs = opened.withColumnRenamed("above", "cell").join(rows, [*ks, "cell"]).filter(~F.col("id").eqNullSafe(F.col("but")))
